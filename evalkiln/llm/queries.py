@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import simhash
+from evalkiln.llm import decontaminate, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_simhash_near_dedup": simhash.op8_simhash_near_dedup}
+    return {
+        "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+        "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
