@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import decontaminate, simhash
+from evalkiln.llm import decontaminate, pii, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scans": secrets.op1_secret_scans,
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     }
