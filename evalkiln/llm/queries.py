@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
+        "op3_personal_data": pii.op3_personal_data,
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     }
