@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import decontaminate, html_text, language, pii, secrets, simhash
+from evalkiln.llm import decontaminate, fertility, html_text, language, pii, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op7_html_extraction": html_text.op7_html_extraction,
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+        "op10_quality_rules": fertility.op10_quality_rules,
     }
 
 
