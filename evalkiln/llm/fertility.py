@@ -39,7 +39,7 @@ class Band:
 
 #: By dominant script. The vocabulary is made for Latin text; it spells others in short pieces or bytes.
 BANDS = {
-    "latin": Band(1.5, 9.0, 0.15, 4.5),
+    "latin": Band(1.5, 9.0, 0.15, 5.0),
     "greek": Band(0.6, 6.0, 0.60, 4.0),
     "cyrillic": Band(0.8, 7.0, 0.40, 4.0),
     "han": Band(0.25, 3.0, 0.95, 4.0),
