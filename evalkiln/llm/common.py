@@ -49,16 +49,22 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is removed when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/evalkiln-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
     The table survives lost executors and is removed when the driver's interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evalkiln-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     writer = df.write.options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

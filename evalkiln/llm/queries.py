@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import bpe, decontaminate, fertility, html_text, language, pii, secrets, simhash
+from evalkiln.llm import bpe, decontaminate, fertility, html_text, language, pii, secrets, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
         "op3_personal_data": pii.op3_personal_data,
+        "op4_token_store": token_store.op4_token_store,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_language_id": language.op6_language_id,
         "op7_html_extraction": html_text.op7_html_extraction,
