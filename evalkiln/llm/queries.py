@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import bpe, decontaminate, fertility, html_text, language, pii, secrets, simhash, token_store
+from evalkiln.llm import bpe, decontaminate, fertility, html_text, language, licences, pii, secrets, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
+        "op2_licence_scans": licences.op2_licence_scans,
         "op3_personal_data": pii.op3_personal_data,
         "op4_token_store": token_store.op4_token_store,
         "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -27,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Only operators that SQL can express; the others are tested against brute force."""
-    return {}
+    return {"op2_licence_scans": licences.op2_sql()}
