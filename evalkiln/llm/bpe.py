@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from evalkiln.llm.common import small_batches
+from evalkiln.llm.common import carried, restored, small_batches
 from evalkiln.llm.spans import let
 
 #: Words a task proposes for the dictionary and words the dictionary has.
@@ -193,6 +193,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     folded = words.repartition(parts, "word").select("word", fold_words(F.col("word").cast("binary"), ranks_of(ranks_path)).alias("ids"))
     dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in folded.toLocalIterator()})
 
+    df = carried(docs, text_col, keep)
+    fields = ["kept", "__text"] if text_col in keep else ["kept"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks, known = regex.compile(pattern).findall, ranks_of(ranks_path), dictionary.value.get
 
@@ -215,11 +218,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])))
             values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), ids], names=["__row", ids_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), ids], names=[*fields, "ids"])
 
-    df = docs.select(F.struct(*keep).alias("__row") if keep else F.lit(None).cast("int").alias("__row"), F.col(text_col).alias("__text"))
-    out = df.mapInArrow(run, T.StructType([df.schema["__row"], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
-    return out.select(*[F.col("__row")[c].alias(c) for c in keep], ids_col)
+    out = df.mapInArrow(run, T.StructType([*df.select(*fields).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return restored(out, text_col, keep, "ids").withColumnRenamed("ids", ids_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
@@ -68,3 +68,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None, **o
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def carried(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """(kept, __text): the columns to keep as one struct, so that no name can clash, and the text once."""
+    rest = [c for c in keep if c != text_col]
+    return docs.select(F.struct(*rest).alias("kept") if rest else F.lit(None).cast("int").alias("kept"), F.col(text_col).alias("__text"))
+
+
+def restored(df: DataFrame, text_col: str, keep: list[str], *more: str) -> DataFrame:
+    """The kept columns in their order, and ``more``; the inverse of ``carried``."""
+    return df.select(*[F.col("__text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in keep], *more)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from evalkiln.llm.common import small_batches
+from evalkiln.llm.common import carried, restored, small_batches
 
 WINDOW = 10
 #: Words of test items in one broadcast block.
@@ -33,6 +33,8 @@ _FOLD = bytes(
 )
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_pos", T.IntegerType()), T.StructField("doc_pos", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
 
+ADDED = {"n_words": "bigint", "hit_from": "array<int>", "hit_to": "array<int>", "items": "array<string>", "matches": f"array<{MATCH.simpleString()}>"}
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
@@ -147,11 +149,10 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
     """
     spark = docs.sparkSession
     small_batches(spark)
-    new = {"n_words": "bigint", "hit_from": "array<int>", "hit_to": "array<int>", "items": "array<string>", "matches": f"array<{MATCH.simpleString()}>"}
+    new = ADDED
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     fields = ["kept", "__text", *new]
-    empty = {c: F.array().cast(kind) for c, kind in new.items() if c != "n_words"}
-    df = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), F.col(text_col).alias("__text"), F.lit(0).cast("bigint").alias("n_words"), *(v.alias(c) for c, v in empty.items()))
+    df = carried(docs, text_col, keep).withColumns({c: (F.lit(0) if c == "n_words" else F.array()).cast(kind) for c, kind in new.items()})
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in fields])
     for block in test_blocks(bench, item_col, bench_text_col, window, block_words):
         shared = spark.sparkContext.broadcast(block)
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
                 yield pdf[fields]
 
         df = df.mapInPandas(search, schema)
-    return df.select(*([F.col("kept")[c].alias(c) for c in keep]), *new)
+    return restored(df, text_col, keep, *new)
 
 
 def n_hit(hit_from: str = "hit_from", hit_to: str = "hit_to"):
@@ -180,8 +181,10 @@ def n_hit(hit_from: str = "hit_from", hit_to: str = "hit_to"):
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that share a window with a test item; columns and other rows are unchanged."""
-    found = scan(docs.withColumn("__row", F.struct(*docs.columns)), bench, keep=["__row"], **options)
-    return found.where(F.size("hit_from") == 0).select("__row.*")
+    clash = [c for c in docs.columns if c in ADDED]
+    found = scan(docs.withColumnsRenamed({c: f"__{c}" for c in clash}), bench, **options)
+    clean = found.where(F.size("hit_from") == 0).drop(*ADDED)
+    return clean.withColumnsRenamed({f"__{c}": c for c in clash})
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

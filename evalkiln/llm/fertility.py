@@ -18,7 +18,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from evalkiln.llm.common import small_batches
+from evalkiln.llm.common import carried, restored, small_batches
 
 #: Fixed values of the base rule.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -118,19 +118,21 @@ def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list
     small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*COLUMNS, "base_failed", "kept")]
 
+    df = carried(docs, text_col, keep)
+    fields = ["kept", "__text"] if text_col in keep else ["kept"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = pd.DataFrame([measures(x, vocabulary) for x in pdf["__text"]], columns=list(COLUMNS))
-            yield pd.concat([pdf[["__row"]].reset_index(drop=True), got], axis=1)
+            yield pd.concat([pdf[fields].reset_index(drop=True), got], axis=1)
 
-    df = docs.select(F.struct(*keep).alias("__row") if keep else F.lit(None).cast("int").alias("__row"), F.col(text_col).alias("__text"))
-    out = df.mapInPandas(run, df.drop("__text").withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS.items()}).schema)
+    out = df.mapInPandas(run, df.select(*fields).withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS.items()}).schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     inside = F.lit(False)
     for script, b in BANDS.items():
         ok = F.col("chars_per_token").between(b.fewest, b.most) & (F.col("byte_share") <= b.bytes_at_most) & (F.col("token_entropy") >= b.entropy_at_least)
         inside = inside | ((F.col("script") == script) & ok)
-    return out.select(*[F.col("__row")[c].alias(c) for c in keep], *COLUMNS, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return restored(out.withColumns({"base_failed": failed, "inside": ~failed & inside}), text_col, keep, *COLUMNS, "base_failed", "inside").withColumnRenamed("inside", "kept")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

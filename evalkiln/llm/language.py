@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalkiln.llm.common import small_batches
+from evalkiln.llm.common import carried, restored, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
@@ -138,15 +138,16 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     small_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)
+    df = carried(docs, text_col, keep)
+    fields = ["kept", "__text"] if text_col in keep else ["kept"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [shared.value.predict(x) for x in pdf["__text"]]
-            yield pd.DataFrame({"kept": pdf["kept"], "lang_pred": [x for x, _ in got], "score": [y for _, y in got]})
+            yield pdf[fields].assign(lang_pred=[x for x, _ in got], score=[y for _, y in got])
 
-    df = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.col(text_col).alias("__text"))
-    out = df.mapInPandas(run, df.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
-    return out.select(*[F.col("kept")[c].alias(c) for c in keep], "lang_pred", "score")
+    out = df.mapInPandas(run, df.select(*fields).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return restored(out, text_col, keep, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
