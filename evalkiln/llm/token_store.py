@@ -13,8 +13,10 @@ Shards are ranges of the document id, so the store as a whole is in ascending or
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 17
 WIDTH = 32
 #: Texts between spaces whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 800_000
+#: Parts that one call of the library encodes.
+GROUP = 256
 CHUNKS = "shard int, chunk int, first bigint, n_ids bigint, doc_ids array<bigint>, doc_lens array<int>, block_ids array<int>, bits boolean, planes array<array<binary>>"
 
 
@@ -60,29 +64,74 @@ def _tokenizer(path: str):
     return found
 
 
+#: ASCII marks that may end a part; an apostrophe may start a word of the vocabulary's pattern.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+#: Letters whose lower case or normal form may end in a mark that isn't a letter, and all beyond Latin.
+_UNUSUAL = re.compile("[^\u0000-\u024f]|\u0130")
+
+
 class Encoder:
-    """Ids of whole texts by a vocabulary that drops white space.
+    """Ids of whole texts by a vocabulary that folds case and drops white space.
 
-    Its normalisation and its words never reach across a space, so the ids of a text are those of what stands
-    between its spaces, which are encoded once and kept, up to CACHE of them.
+    Its normalisation and its words never reach across a space, so the ids of a text are those of the parts between
+    its spaces. A part that ends in marks after a letter or digit is two words, the marks being one. Parts are encoded
+    once and kept, up to CACHE of them, for all tasks of a worker.
     """
 
     def __init__(self, path: str):
         self.path, self.known = path, {"": b""}
 
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, many in one call: a special token, which ordinary text never gives, stands between them."""
+        plain = [p for p in parts if "<|" not in p]
+        out = {p: np.array(e.ids, "<u4").tobytes() for p in parts if "<|" in p for e in (_tokenizer(self.path).encode(p, add_special_tokens=False),)}
+        if not plain:
+            return out
+        joiner, mark, mark_id = _joiner(self.path)
+        found = joiner.encode_batch_fast([mark.join(plain[i : i + GROUP]) + mark for i in range(0, len(plain), GROUP)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        ends = (4 * np.flatnonzero(ids == mark_id)).tolist()
+        data = ids.tobytes()
+        out.update(zip(plain, (data[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends))))
+        return out
+
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        parts = [(x or "").split(" ") for x in texts]
+        parts = [(x if _UNUSUAL.search(x) else x.lower()).split(" ") if x else [] for x in texts]
         known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        fresh = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in _tokenizer(self.path).encode_batch(new, add_special_tokens=False))))
-        for p, ids in fresh.items():
-            if len(known) >= CACHE:
-                break
-            if len(p) <= 64:
-                known[p] = ids
+        new = set().union(*parts) - known.keys()
+        halves = {}
+        for p in new:
+            core = p.rstrip(_MARKS)
+            if core and len(core) < len(p) and core[-1].isalnum() and not _UNUSUAL.match(core[-1]):
+                halves[p] = (core, p[len(core) :])
+        need = (new - halves.keys()) | {x for pair in halves.values() for x in pair if x not in known}
+        known.update(self._encode(list(need)))
+        known.update((p, known[core] + known[marks]) for p, (core, marks) in halves.items())
         end = np.array([end_id], "<u4").tobytes()
-        get = lambda p: known[p] if p in known else fresh[p]
-        return [b"".join([*map(get, ps), end]) for ps in parts]
+        out = [b"".join(map(known.__getitem__, ps)) + end for ps in parts]
+        fresh = need | new
+        for p in fresh if len(known) > CACHE else [p for p in fresh if len(p) > 64]:
+            known.pop(p, None)
+        known[""] = b""
+        return out
+
+
+@lru_cache(maxsize=2)
+def _joiner(path: str):
+    """The tokenizer with its special tokens in force, the first of them and its id."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    found = Tokenizer.from_file(path)
+    mark_id, mark = min((i, t.content) for i, t in found.get_added_tokens_decoder().items() if t.special)
+    return found, mark, mark_id
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, bits: bool = False) -> None:
@@ -96,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, shard, first, chunk = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encode, shard, first, chunk = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         own_ids: list = []
         own: list[bytes] = []
         size = 0

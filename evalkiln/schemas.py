@@ -1,0 +1,24 @@
+"""Table schemas of the engine; version 1."""
+
+from __future__ import annotations
+
+SCHEMA_VERSION = 1
+RELATIONS = (
+    "unit_level string, unit_id string, observation_id string, sample_id string, source_id string, rep_id string, target_id string, "
+    "group_id string, origin_sample_id string, derived_unit_id string, component_observation_ids array<string>, "
+    "sample_influence_weight double, quality_flag string, is_augmented boolean, excluded boolean, metadata map<string,string>, tags array<string>"
+)
+FOLD_MEMBERSHIP = "fold_set_id string, fold_id string, sample_id string, role string"
+PREDICTIONS = (
+    "prediction_id string, producer_node string, producer_port string, variant_id string, partition string, fold_id string, "
+    "level string, unit_id string, target string, target_pos int, value double, weight double"
+)
+TARGETS = "level string, unit_id string, target string, target_pos int, y double"
+SCORES = (
+    "producer_node string, producer_port string, variant_id string, partition string, fold_id string, level string, "
+    "metric string, target string, value double, row_count bigint"
+)
+CANDIDATES = "candidate_id string, metric string, value double, metric_level string, group_id string"
+UNIT_LEVELS = ("physical_sample", "source_sample", "observation", "combo")
+PARTITIONS = ("train", "validation", "test", "final")
+PHASES = ("COMPILE", "PLAN", "FIT_CV", "SELECT", "REFIT", "PREDICT", "EXPLAIN")
