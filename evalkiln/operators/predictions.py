@@ -23,14 +23,13 @@ def fold_mismatch(predictions: DataFrame, members: DataFrame) -> DataFrame:
 def coverage(predictions: DataFrame, universe: DataFrame, resampled: bool = False) -> DataFrame:
     """Per producer: requested, covered, missing, extra and repeated samples, and whether that is complete."""
     counts = predictions.groupBy("producer", "sample_id").agg(F.count("*").alias("n"))
-    producers = counts.select("producer").distinct()
-    # producers are the nodes of one plan: a handful of names
-    wanted = universe.select("sample_id").crossJoin(F.broadcast(producers)).withColumn("wants", F.lit(1))
-    both = counts.join(wanted, ["producer", "sample_id"], "full_outer")
-    report = both.groupBy("producer").agg(
-        F.count("wants").alias("n_requested"), F.count_if(F.col("wants").isNotNull() & F.col("n").isNotNull()).alias("n_covered"),
-        F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("wants").isNull()).alias("n_extra"), F.count_if(F.col("n") > 1).alias("n_repeated"),
+    known = universe.select("sample_id").distinct().withColumn("wants", F.lit(1))
+    report = counts.join(known, "sample_id", "left").groupBy("producer").agg(
+        F.count("wants").alias("n_covered"), F.count_if(F.col("wants").isNull()).alias("n_extra"), F.count_if(F.col("n") > 1).alias("n_repeated"),
     )
+    size = F.broadcast(known.agg(F.count("*").alias("n_requested")))  # one row
+    report = report.crossJoin(size).withColumn("n_missing", F.col("n_requested") - F.col("n_covered"))
+    report = report.select("producer", "n_requested", "n_covered", "n_missing", "n_extra", "n_repeated")
     complete = (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.lit(resampled) | (F.col("n_repeated") == 0))
     return report.withColumn("complete", complete.cast("int"))
 
