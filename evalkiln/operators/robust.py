@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
+from evalkiln.functions import counter_rng
+
 
 def severities(rows: DataFrame, kind: str, levels: tuple[float, ...], column: str = "value") -> DataFrame:
     """Each row at each severity; 0 is the identity. shift adds severity times 100, dropout zeroes what a hash picks."""
@@ -14,6 +18,15 @@ def severities(rows: DataFrame, kind: str, levels: tuple[float, ...], column: st
     return at.withColumn(column, F.when(chance < F.col("severity"), 0.0).otherwise(F.col(column)))
 
 
+def noisy(rows: DataFrame, levels: tuple[float, ...], seed: int, column: str = "value", id_col: str = "sample_id") -> DataFrame:
+    """Each row at each severity with Gaussian noise of that deviation, from a counter of the row; 0 is the identity."""
+    at = rows.withColumn("severity", F.explode(F.array(*[F.lit(float(s)) for s in levels])))
+    block = counter_rng.philox(counter_rng.counter_words(counter_rng.sequence(counter_rng.text(F.col(id_col)), counter_rng.text(F.lit("gaussian_noise")))), seed)
+    half = lambda b, i: (F.get(b, F.lit(i)) + F.lit(0.5)) / F.lit(4294967296.0)
+    normal = F.transform(F.array(block), lambda b: F.sqrt(-2 * F.ln(half(b, 0))) * F.cos(2 * math.pi * half(b, 1)))[0]
+    return at.withColumn(column, F.when(F.col("severity") == 0, F.col(column)).otherwise(F.col(column) + F.col("severity") * normal))
+
+
 def slices(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
     """Metrics for all rows and for each value of each slicing column: one pass with grouping sets."""
     e = F.col("value") - F.col("y")

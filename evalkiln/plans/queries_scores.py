@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalkiln.functions import scalars
+from evalkiln.functions import counter_rng, scalars
 from evalkiln.operators import chains, conformal, metrics, robust, select
 from evalkiln.plans.prelude import FOLDS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
@@ -332,3 +332,21 @@ def domain_support(spark, d):
 def decision_block(spark, d):
     rows = predictions(spark, d).where("producer = 'm:b'").select("sample_id", F.abs(F.col("value") - F.col("y")).alias("r"))
     return robust.decide(rows, "r", 0.5, 1.5).select("sample_id", "decision")
+
+
+@query("tcv1", "select c_custkey, upper('41' || printf('%016x', 2) || '53' || printf('%016x', strlen(c_name)) || hex(c_name::blob) || '49' || printf('%016x', length(c_custkey::varchar)) || hex(c_custkey::varchar::blob)) as encoded from customer")
+def typed_encoding(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.hex(counter_rng.sequence(counter_rng.text(F.col("c_name")), counter_rng.integer(F.col("c_custkey")))).alias("encoded"))
+
+
+@query("robustness_rng")
+def robustness_rng(spark, d):
+    identity = counter_rng.sequence(counter_rng.number(0.5), counter_rng.text(F.col("sample_id")), counter_rng.text(F.lit("global")), counter_rng.integer(F.lit(0)))
+    block = counter_rng.philox(counter_rng.counter_words(identity), 42)
+    return samples(spark, d).select("sample_id", block.alias("b")).select("sample_id", counter_rng.uniform(F.col("b")).alias("u"))
+
+
+@query("robust_noise")
+def robust_noise(spark, d):
+    rows = robust.noisy(_robust(spark, d), (0.0, 0.1, 0.5), seed=7)
+    return metrics.report(rows, ["severity"], ("rmse",)).select("severity", "n", F.round("rmse", 8).alias("rmse"))
