@@ -5,19 +5,29 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 #: Bytes in one Arrow batch, where Spark knows the setting.
 BATCH_BYTES = 16 << 20
+#: Characters of a plan that the driver keeps as text; literals such as a rank map are long.
+PLAN_TEXT = 1 << 16
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers, by rows and by bytes."""
+    """Bound the Arrow batches that go to Python workers, by rows and by bytes, and the plans' texts on the driver."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
+
+def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches that have rows: columns of an empty frame have no type that Arrow could keep."""
+    return (b for b in batches if len(b))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

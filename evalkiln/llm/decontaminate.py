@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from evalkiln.llm.common import carried, restored, small_batches
+from evalkiln.llm.common import carried, filled, restored, small_batches
 
 WINDOW = 10
 #: Words of test items in one broadcast block.
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in filled(batches):
                 got = shared.value.search(pdf["__text"].tolist())
                 pdf["n_words"] = [n for n, _, _, _ in got]
                 pdf["hit_from"] = [[*old, *(a for a, _ in r)] for old, (_, r, _, _) in zip(pdf["hit_from"], got)]

@@ -18,7 +18,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from evalkiln.llm.common import carried, restored, small_batches
+from evalkiln.llm.common import carried, filled, restored, small_batches
 
 #: Fixed values of the base rule.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -122,7 +122,7 @@ def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list
     fields = ["kept", "__text"] if text_col in keep else ["kept"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             got = pd.DataFrame([measures(x, vocabulary) for x in pdf["__text"]], columns=list(COLUMNS))
             yield pd.concat([pdf[fields].reset_index(drop=True), got], axis=1)
 

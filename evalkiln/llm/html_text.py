@@ -20,7 +20,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalkiln.llm.common import small_batches
+from evalkiln.llm.common import filled, small_batches
 from evalkiln.llm.labelled_pages import PAGES
 
 #: Elements that start and end a text block.
@@ -208,7 +208,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
     tree = trained_tree(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             found = [blocks_of(x) for x in pdf["__html"]]
             kept = classify(tree, np.vstack([np.empty((0, len(FEATURES))), *map(features, found)]))
             at, texts = 0, []

@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evalkiln.llm.common import small_batches, written
+from evalkiln.llm.common import filled, small_batches, written
 from evalkiln.llm.components import connected_components
 
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             fp = np.fromiter((fingerprint(x, shingle) for x in pdf["text"]), np.uint64, len(pdf))
             yield pd.DataFrame({"id": pdf["id"], "fp": fp.view(np.int64)})
 
@@ -116,14 +116,14 @@ def near_pairs(fps: DataFrame, threshold: int = 2, code: tuple = CODE) -> DataFr
     """Pairs (src, dst) of different fingerprints in ``fps.fp`` (distinct longs) that differ in <= threshold bits."""
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             for at in range(0, len(pdf), 1000):
                 own = pdf["fp"].to_numpy()[at : at + 1000]
                 got = [anchors_of(int(x) & (2**64 - 1), threshold, code)[1] for x in own]
                 yield pd.DataFrame({"anchor": np.concatenate(got), "other": np.repeat(own, [len(x) for x in got])})
 
     def live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             yield pd.DataFrame({"anchor": [anchors_of(int(x) & (2**64 - 1), 0, code)[0] for x in pdf["fp"]], "fp": pdf["fp"]})
 
     homes = fps.select("fp").mapInPandas(live, "anchor bigint, fp bigint")
