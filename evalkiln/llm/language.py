@@ -21,13 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalkiln.llm.common import carried, restored, small_batches
+from evalkiln.llm.common import carried, filled, restored, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Unseen words whose scores a worker keeps.
-CACHE = 200_000
+CACHE = 50_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -80,7 +80,7 @@ class LanguageModel:
         return self.languages[best], float(share[best] / share.sum())
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 2000, max_words: int = 200_000, max_grams: int = 60_000, max_languages: int = 200) -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 2000, max_words: int = 60_000, max_grams: int = 20_000, max_languages: int = 200) -> LanguageModel:
     """Learn from rows with a label and a text; the most frequent ``max_languages`` labels are learned."""
     small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -92,7 +92,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     sample = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(1_000_000)) < chance)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             by: dict[str, Counter] = {}
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 by.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
@@ -104,7 +104,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                         for w, c in words.items():
                             for g in grams(w, n):
                                 own[g] += c
-                    out.append(pd.DataFrame({"lang": lang, "n": n, "gram": list(own), "c": list(own.values())}))
+                    if own:
+                        out.append(pd.DataFrame({"lang": lang, "n": n, "gram": list(own), "c": list(own.values())}))
             if out:
                 yield pd.concat(out)
 
@@ -113,7 +114,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     at_most = F.when(F.col("n") == 0, max(1, max_words // len(share))).otherwise(max(1, max_grams // len(share)))
     top = table.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("rank") <= at_most)
     languages = sorted(share)
-    rows = top.select("lang", "n", "gram", "c").toPandas()
+    rows = top.select("lang", "n", "gram", "c").toPandas()  # at most max_words + 5 max_grams rows
     tables: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
     parts, at = [], 0
     for n in (0, *LENGTHS):
@@ -142,7 +143,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     fields = ["kept", "__text"] if text_col in keep else ["kept"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             got = [shared.value.predict(x) for x in pdf["__text"]]
             yield pdf[fields].assign(lang_pred=[x for x, _ in got], score=[y for _, y in got])
 
