@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evalkiln.llm.common import carried, restored, small_batches
@@ -30,7 +31,7 @@ from evalkiln.llm.spans import let
 PROPOSED = 20_000
 DICTIONARY = 50_000
 #: Chunks of text whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 #: No such merge.
 NONE = 2**31 - 1
 #: Longer words are merged with a heap.
@@ -177,16 +178,49 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", propos
     return rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(at_most)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, dictionary_words: int = DICTIONARY) -> DataFrame:
+class Chunks(dict):
+    """Ids (little endian, 32 bits) of chunks that follow a space, kept up to CACHE of them."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        super().__init__()
+        self.find, self.ranks = regex.compile(pattern).findall, ranks_of(ranks_path)
+        self.known: dict[str, bytes] = {}
+
+    def of_words(self, text: str) -> bytes:
+        known, fold = self.known.get, self.ranks.fold
+        return b"".join([known(w) or np.array(fold(w.encode()), "<i4").tobytes() for w in self.find(text)])
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.of_words(f" {chunk}")
+        if len(self) < CACHE and len(chunk) <= SHORT:
+            self[chunk] = ids
+        return ids
+
+
+_chunks_of: dict[tuple[str, str], Chunks] = {}
+
+
+def chunk_cache(ranks_path: str, pattern: str, dictionary: Broadcast) -> Chunks:
+    """The cache of this worker, shared by its tasks: ids of a chunk depend on the ranks and the pattern alone."""
+    key = (ranks_path, pattern)
+    if key not in _chunks_of:
+        _chunks_of[key] = Chunks(ranks_path, pattern)
+    _chunks_of[key].known = dictionary.value
+    return _chunks_of[key]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, dictionary_words: int = DICTIONARY, bytes_col: str | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row with its token ids (array<int>).
 
+    With ``bytes_col`` the ids are decoded again in the same pass, as ``decode`` does, and the bytes are a column too.
+
     Ids are those of the merges by rank within each match of ``pattern``; there are no special tokens. Null and
     empty texts have no ids. Texts and words are encoded whole, whatever their length. ``ranks_path`` is a file that
     the driver and every executor can read. A column named ``ids_col`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, bytes_col)]
     # The word length bound keeps the higher-order fold short; longer words are folded in the tasks.
     words = frequent_words(docs, pattern, text_col, at_most=dictionary_words).where(F.octet_length("word") <= SHORT).select("word")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -197,31 +231,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     fields = ["kept", "__text"] if text_col in keep else ["kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ranks, known = regex.compile(pattern).findall, ranks_of(ranks_path), dictionary.value.get
-
-        def of_words(text: str) -> bytes:
-            return b"".join([known(w) or np.array(ranks.fold(w.encode()), "<i4").tobytes() for w in find(text)])
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                ids = of_words(f" {chunk}")
-                if len(self) < CACHE and len(chunk) <= SHORT:
-                    self[chunk] = ids
-                return ids
-
-        after_space = Chunks()
+        encode = chunk_cache(ranks_path, pattern, dictionary)
+        of_words, piece = encode.of_words, encode.ranks.pieces.__getitem__
         for batch in batches:
             found = []
             for text in batch.column("__text").to_pylist():
                 parts = _chunks(text) if text else []
-                found.append(of_words(text) if parts is None else b"".join((of_words(parts[0]), *map(after_space.__getitem__, parts[1:]))) if parts else b"")
+                found.append(of_words(text) if parts is None else b"".join((of_words(parts[0]), *map(encode.__getitem__, parts[1:]))) if parts else b"")
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])))
             values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), ids], names=[*fields, "ids"])
+            columns = [*(batch.column(c) for c in fields), ids]
+            if bytes_col:
+                columns.append(pa.array([b"".join(map(piece, np.frombuffer(x, "<i4").tolist())) for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*fields, *new])
 
-    out = df.mapInArrow(run, T.StructType([*df.select(*fields).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return restored(out, text_col, keep, "ids").withColumnRenamed("ids", ids_col)
+    new = ["__ids", "__bytes"] if bytes_col else ["__ids"]
+    kinds = {"__ids": T.ArrayType(T.IntegerType()), "__bytes": T.BinaryType()}
+    out = df.mapInArrow(run, T.StructType([*df.select(*fields).schema, *(T.StructField(c, kinds[c]) for c in new)]))
+    return restored(out, text_col, keep, *new).withColumnsRenamed({"__ids": ids_col, "__bytes": bytes_col or "__bytes"})
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -237,9 +265,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
     return encoded.withColumn(bytes_col, pieces(F.col(ids_col)))
 
 
-def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents, decoded again."""
-    found = decode(encoded, ranks_path)
+def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of documents, encoded and decoded again."""
+    found = encode(docs, ranks_path, pattern, keep=["doc_id"], bytes_col="decoded")
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
@@ -249,6 +277,5 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"]), path)
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
