@@ -1,0 +1,88 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from evalkiln.llm import secrets
+from evalkiln.llm.spans import digest, spans_of, sums_before
+
+KEYWORD = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+BRUTE = [
+    ("assign", KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+]
+PIECES = ["token", "token=", "api_key:", "Api-key", " ", "  ", '"', "'", "=", ":", "abcdefgh", "AKIA", "AKIAAKIA1234", "ABCDEFGH12345678", "é", "😀", "PASSWD", ' secret = "', "deadbeef" * 4, "\n", "x.y/z+q"]
+
+
+def brute(text):
+    found = [(m.start(), i, m.end(), kind) for i, (kind, pattern, ok) in enumerate(BRUTE) for m in re.finditer(pattern, text or "") if ok(m)]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    rows += [(1000, None), (1001, ""), (1002, "token=" * 3000), (1003, "a" * 100_000), (1004, ("deadbeef" * 4 + " ") * 1500)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", digest(F.col("base_spans")).alias("b")).collect()
+    texts = dict(rows)
+    assert len(found) == len(rows)
+    assert all(r.b == brute(texts[r.doc_id]) for r in found)
+
+
+def test_sums_before_is_a_running_total(spark):
+    row = spark.range(1).select(sums_before(F.sequence(F.lit(1), F.lit(2000))).alias("s"), sums_before(F.array().cast("array<int>")).alias("e")).first()
+    assert row.s == [i * (i + 1) // 2 for i in range(2000)] and row.e == []
+
+
+def test_spans_of_adjacent_matches(spark):
+    row = spark.createDataFrame([("ababxab",)], "t string").select(spans_of(F.col("t"), "ab").alias("s")).first()
+    assert [(x.start, x.stop) for x in row.s] == [(0, 2), (2, 4), (5, 7)]
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("key Zq8rT1vLw0Pk7NsX4bYd9GhJ2mCa5uEf end", ["entropy_base64"]),
+        ("sum 9F8E1D0C7B6A5F4E3D2C1B0A99887766 end", ["entropy_hex"]),
+        ("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", []),  # low entropy
+        ("thisisaverylongidentifierwithoutdigits", []),  # allowed: no digit
+        ("550e8400-e29b-41d4-a716-446655440000", []),  # allowed: UUID
+        ("EXAMPLEq8rT1vLw0Pk7NsX4bYd9GhJ2mCa5uEf", []),  # allowed: placeholder
+        ("/usr/lib/python3/site/pack2/mod/file9", []),  # allowed: path
+        ("an ordinary sentence about nothing", []),
+    ],
+)
+def test_entropy_and_allow_list(spark, text, kinds):
+    row = secrets.scan_secrets(spark.createDataFrame([(text,)], "text string")).first()
+    assert [s.kind for s in row.added_spans] == kinds
+
+
+def test_entropy_window_equals_direct_computation(spark):
+    import math
+    from collections import Counter
+
+    c = secrets.CLASSES[1]
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcXYZ0123" if i % 2 else c.alphabet) for _ in range(rng.randint(20, 60))) for i in range(60)]
+
+    def direct(w):
+        hot = [i for i in range(len(w) - c.window + 1) if -sum(n / c.window * math.log2(n / c.window) for n in Counter(w[i : i + c.window]).values()) >= c.threshold - 1e-9]
+        return (hot[0], hot[-1] + c.window) if hot else None
+
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.entropy_span(F.col("w"), c).alias("s"))
+    assert all((tuple(r.s) if r.s else None) == direct(r.w) for r in df.collect())
+
+
+def test_redact_keeps_rows_and_columns(spark, edge_docs, no_docs):
+    docs = spark.createDataFrame([(1, 'a token="abcdefghij" b ' + "deadbeef" * 4, "s"), (2, None, "x"), (3, "password=token=abcdefghijkl", "q")], "doc_id int, text string, base_spans string")
+    out = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert out[1].text == 'a <assign>" b <hex>' and out[2].text is None and out[3].text == "<assign>" and out[1].base_spans == "s"
+    assert secrets.redact(edge_docs).exceptAll(edge_docs).count() == 0
+    assert secrets.redact(no_docs).count() == 0
+
+
+def test_query(spark, sf_dir):
+    rows = secrets.op1_secret_scans(spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and sum(r.n_hex + r.n_assign + r.n_access for r in rows) > 0
