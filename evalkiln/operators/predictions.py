@@ -12,6 +12,12 @@ def leakage_violations(predictions: DataFrame) -> DataFrame:
     return predictions.where("partition <> 'validation'").select("producer", "partition", "fold_id").distinct()
 
 
+def scope_violations(predictions: DataFrame, members: DataFrame) -> DataFrame:
+    """(producer, fold_id, sample_id) of validation rows outside the validation view of their fold."""
+    view = members.where("role = 'validation'").select("fold_id", "sample_id")
+    return predictions.where("partition = 'validation'").join(view, ["fold_id", "sample_id"], "left_anti").select("producer", "fold_id", "sample_id")
+
+
 def fold_mismatch(predictions: DataFrame, members: DataFrame) -> DataFrame:
     """(producer, fold_id, sample_id, problem): validation rows a fold lacks, or that it has and no one predicted."""
     blocks = predictions.where("partition = 'validation'").select("producer", "fold_id", "sample_id").distinct()

@@ -76,6 +76,11 @@ def oof_fold_mismatch(spark, d):
     return P.fold_mismatch(_gaps(predictions(spark, d)), membership(spark, d))
 
 
+@query("pred_scope_violations", sql("select producer, fold_id, sample_id from gaps g where not exists (select 1 from members m where m.fold_id = g.fold_id and m.sample_id = g.sample_id and m.role = 'validation')", SAMPLES, FOLDS, MEMBERS, PRED, GAPS))
+def pred_scope_violations(spark, d):
+    return P.scope_violations(_gaps(predictions(spark, d)), membership(spark, d))
+
+
 @query("oof_coverage_report", sql("""select p.producer, count(s.sample_id) as n_requested, count(g.n) as n_covered, count(*) filter (g.n is null) as n_missing, 0::bigint as n_extra, count(*) filter (g.n > 1) as n_repeated, cast(count(*) filter (g.n is null) = 0 and count(*) filter (g.n > 1) = 0 as int) as complete
  from samples s cross join (values ('m:a'), ('m:b')) p(producer) left join (select producer, sample_id, count(*) as n from gaps group by all) g on g.producer = p.producer and g.sample_id = s.sample_id group by p.producer""", SAMPLES, FOLDS, PRED, GAPS))
 def oof_coverage_report(spark, d):
