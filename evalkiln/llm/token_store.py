@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,15 +25,19 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evalkiln.llm.common import shared_path, small_batches
+from evalkiln.llm.common import filled, shared_path, small_batches
 
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 17
 WIDTH = 32
 #: Texts between spaces whose ids a worker keeps.
-CACHE = 800_000
+CACHE = 500_000
+#: Characters of the texts that are encoded in one go.
+ENCODE_CHARS = 8_000_000
 #: Parts that one call of the library encodes.
 GROUP = 256
+#: Stands between them; its bytes occur in no Latin text.
+MARK = "\u2603"
 CHUNKS = "shard int, chunk int, first bigint, n_ids bigint, doc_ids array<bigint>, doc_lens array<int>, block_ids array<int>, bits boolean, planes array<array<binary>>"
 
 
@@ -75,8 +80,8 @@ _UNUSUAL = re.compile("[^\u0000-\u024f]|\u0130")
 class Encoder:
     """Ids of whole texts by a vocabulary that folds case and drops white space.
 
-    Its normalisation and its words never reach across a space, so the ids of a text are those of the parts between
-    its spaces. A part that ends in marks after a letter or digit is two words, the marks being one. Parts are encoded
+    Its normalisation and its words never reach across a space or line feed, so the ids of a text are those of the
+    parts between them. A part that ends in marks after a letter or digit is two words, the marks being one. Parts are encoded
     once and kept, up to CACHE of them, for all tasks of a worker.
     """
 
@@ -84,49 +89,37 @@ class Encoder:
         self.path, self.known = path, {"": b""}
 
     def _encode(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts, many in one call: a special token, which ordinary text never gives, stands between them."""
-        plain = [p for p in parts if "<|" not in p]
-        out = {p: np.array(e.ids, "<u4").tobytes() for p in parts if "<|" in p for e in (_tokenizer(self.path).encode(p, add_special_tokens=False),)}
-        if not plain:
-            return out
-        joiner, mark, mark_id = _joiner(self.path)
-        found = joiner.encode_batch_fast([mark.join(plain[i : i + GROUP]) + mark for i in range(0, len(plain), GROUP)], add_special_tokens=False)
+        """Ids of parts. Latin ones go many to a call, with a mark between them whose first id no Latin text gives."""
+        tokenizer, mark = _tokenizer(self.path), _tokenizer(self.path).encode(MARK, add_special_tokens=False).ids
+        odd = [p for p in parts if _UNUSUAL.search(p)]
+        out = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
+        plain = [p for p in parts if p not in out]
+        found = tokenizer.encode_batch_fast([f" {MARK} ".join([*plain[i : i + GROUP], ""]) for i in range(0, len(plain), GROUP)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
-        ends = (4 * np.flatnonzero(ids == mark_id)).tolist()
-        data = ids.tobytes()
-        out.update(zip(plain, (data[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends))))
+        ends = (4 * np.flatnonzero(ids == mark[0])).tolist()
+        data, width = ids.tobytes(), 4 * len(mark)
+        out.update(zip(plain, (data[i:j] for i, j in zip([0, *(e + width for e in ends)], ends))))
         return out
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        parts = [(x if _UNUSUAL.search(x) else x.lower()).split(" ") if x else [] for x in texts]
+        parts = [(x.lower() if x.isascii() or not _UNUSUAL.search(x) else x).replace("\n", " ").split(" ") if x else [] for x in texts]
         known = self.known
-        new = set().union(*parts) - known.keys()
+        own = {p: known.get(p) for p in set().union(*parts)}  # small, so that the many look-ups below stay near
         halves = {}
-        for p in new:
+        for p in [p for p, ids in own.items() if ids is None]:
             core = p.rstrip(_MARKS)
             if core and len(core) < len(p) and core[-1].isalnum() and not _UNUSUAL.match(core[-1]):
                 halves[p] = (core, p[len(core) :])
-        need = (new - halves.keys()) | {x for pair in halves.values() for x in pair if x not in known}
-        known.update(self._encode(list(need)))
-        known.update((p, known[core] + known[marks]) for p, (core, marks) in halves.items())
+        for x in (x for pair in halves.values() for x in pair):
+            if own.get(x) is None:
+                own[x] = known.get(x)
+        fresh = [p for p, ids in own.items() if ids is None]
+        own.update(self._encode([p for p in fresh if p not in halves]))
+        own.update((p, own[core] + own[marks]) for p, (core, marks) in halves.items())
+        if len(known) < CACHE:
+            known.update((p, own[p]) for p in fresh if len(p) <= 64)
         end = np.array([end_id], "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, ps)) + end for ps in parts]
-        fresh = need | new
-        for p in fresh if len(known) > CACHE else [p for p in fresh if len(p) > 64]:
-            known.pop(p, None)
-        known[""] = b""
-        return out
-
-
-@lru_cache(maxsize=2)
-def _joiner(path: str):
-    """The tokenizer with its special tokens in force, the first of them and its id."""
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    mark_id, mark = min((i, t.content) for i, t in found.get_added_tokens_decoder().items() if t.special)
-    return found, mark, mark_id
+        return [b"".join(map(own.__getitem__, ps)) + end for ps in parts]
 
 
 @lru_cache(maxsize=2)
@@ -134,6 +127,20 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    """Ids and texts of batches, put together up to ENCODE_CHARS: a word is encoded once in each such lot."""
+    keys, texts, size = [], [], 0
+    for pdf in batches:
+        keys += pdf["i"].astype("Int64").tolist()
+        texts += pdf["t"].tolist()
+        size += int(pdf["t"].str.len().sum())
+        if size >= ENCODE_CHARS:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, bits: bool = False) -> None:
     """Encode every text whole and write the store.
 
@@ -156,8 +163,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             values = [shard, chunk, first, len(ids), own_ids, [len(x) // 4 for x in own], [len(b) for b in blocks], bits, [to_planes(b, bits) for b in blocks]]
             return pd.DataFrame({c.split()[0]: [v] for c, v in zip(CHUNKS.split(", "), values)})
 
-        for pdf in batches:
-            for i, ids in zip(pdf["i"].astype("Int64"), encode(pdf["t"].tolist(), end_id)):
+        for keys, texts in _gathered(filled(batches)):
+            for i, ids in zip(keys, encode(texts, end_id)):
                 own_ids.append(None if pd.isna(i) else int(i))
                 own.append(ids)
                 size += len(ids) // 4
@@ -180,22 +187,27 @@ def _shard_starts(index: DataFrame) -> DataFrame:
     return total.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of a store; ids are little-endian unsigned 32-bit numbers."""
+#: What ``read_tokens`` can give of a document's ids: themselves as little-endian unsigned 32-bit numbers, their CRC-32.
+CONTENT = {"ids": "binary", "ids_crc32": "bigint"}
+
+
+def read_tokens(spark: SparkSession, path: str, content: str = "ids") -> DataFrame:
+    """(doc_id, start, n_tokens, content): every document of a store, with one of CONTENT."""
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     index = spark.read.schema("shard int, chunk int, start bigint, n_ids bigint").parquet(f"{path}/index")
     before = index.where("chunk = 0").select("shard", F.col("start").alias("before"))  # one row per shard
     rows = chunks.join(F.broadcast(before), "shard").withColumn("first", F.col("first") + F.col("before")).drop("before")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             for r in pdf.itertuples(index=False):
                 ids = np.concatenate([from_planes(list(p), n, r.bits) for p, n in zip(r.planes, r.block_ids)]).tobytes()
                 ends = np.cumsum(np.asarray(r.doc_lens, np.int64))
                 starts = ends - r.doc_lens
-                yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "start": starts + r.first, "n_tokens": np.asarray(r.doc_lens, np.int64), "ids": [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]})
+                own = (ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist()))
+                yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "start": starts + r.first, "n_tokens": np.asarray(r.doc_lens, np.int64), content: list(own if content == "ids" else map(zlib.crc32, own))})
 
-    return rows.mapInPandas(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return rows.mapInPandas(unpack, f"doc_id bigint, start bigint, n_tokens bigint, {content} {CONTENT[content]}")
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,4 +215,4 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, "ids_crc32")
