@@ -21,7 +21,6 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evalkiln.llm.common import carried, restored, small_batches
@@ -30,8 +29,8 @@ from evalkiln.llm.spans import let
 #: Words a task proposes for the dictionary and words the dictionary has.
 PROPOSED = 20_000
 DICTIONARY = 50_000
-#: Chunks of text whose ids a worker keeps.
-CACHE = 150_000
+#: Chunks of text, and words, whose ids a task keeps.
+CACHE = 300_000
 #: No such merge.
 NONE = 2**31 - 1
 #: Longer words are merged with a heap.
@@ -60,12 +59,12 @@ class Ranks:
         ranks = [get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
         while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            new = parts[i] = parts[i] + parts.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = get(parts[i - 1] + parts[i], NONE)
+                ranks[i - 1] = get(parts[i - 1] + new, NONE)
             if i < len(ranks):
-                ranks[i] = get(parts[i] + parts[i + 1], NONE)
+                ranks[i] = get(new + parts[i + 1], NONE)
         return [self.rank[p] for p in parts]
 
     def _fold_long(self, word: bytes) -> list[int]:
@@ -178,17 +177,32 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", propos
     return rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(at_most)
 
 
+class Words(dict):
+    """Ids (little endian, 32 bits) of words, kept up to CACHE of them; ``known`` are those of the dictionary."""
+
+    def __init__(self, ranks: Ranks, known: dict[str, bytes]):
+        super().__init__()
+        self.ranks, self.known = ranks, known
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = np.array(self.ranks.fold(word.encode()), "<i4").tobytes()
+            if len(self) < CACHE and len(word) <= SHORT:
+                self[word] = ids
+        return ids
+
+
 class Chunks(dict):
-    """Ids (little endian, 32 bits) of chunks that follow a space, kept up to CACHE of them."""
+    """Ids of chunks that follow a space, kept up to CACHE of them."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, known: dict[str, bytes]):
         super().__init__()
         self.find, self.ranks = regex.compile(pattern).findall, ranks_of(ranks_path)
-        self.known: dict[str, bytes] = {}
+        self.words = Words(self.ranks, known)
 
     def of_words(self, text: str) -> bytes:
-        known, fold = self.known.get, self.ranks.fold
-        return b"".join([known(w) or np.array(fold(w.encode()), "<i4").tobytes() for w in self.find(text)])
+        return b"".join(map(self.words.__getitem__, self.find(text)))
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.of_words(f" {chunk}")
@@ -197,18 +211,6 @@ class Chunks(dict):
         return ids
 
 
-_chunks_of: dict[tuple[str, str], Chunks] = {}
-
-
-def chunk_cache(ranks_path: str, pattern: str, dictionary: Broadcast) -> Chunks:
-    """The cache of this worker, shared by its tasks: ids of a chunk depend on the ranks and the pattern alone."""
-    key = (ranks_path, pattern)
-    if key not in _chunks_of:
-        _chunks_of[key] = Chunks(ranks_path, pattern)
-    _chunks_of[key].known = dictionary.value
-    return _chunks_of[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, dictionary_words: int = DICTIONARY, bytes_col: str | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row with its token ids (array<int>).
 
@@ -231,7 +233,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     fields = ["kept", "__text"] if text_col in keep else ["kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_cache(ranks_path, pattern, dictionary)
+        encode = Chunks(ranks_path, pattern, dictionary.value)  # a cache for each task stays small enough to be fast
         of_words, piece = encode.of_words, encode.ranks.pieces.__getitem__
         for batch in batches:
             found = []

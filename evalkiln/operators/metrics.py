@@ -28,10 +28,11 @@ def regression_aggs(p: str = "value", y: str = "y", mean_y: str = "mean_y") -> d
 
 
 def report(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = ("mse", "rmse", "mae", "r2")) -> DataFrame:
-    """One row per key with the metrics; the mean of the truth is one small aggregation joined back."""
-    means = rows.groupBy(*keys).agg(F.avg("y").alias("mean_y"))
+    """One row per key with the metrics; only R² needs the mean of the truth, a small aggregation joined back."""
     aggs = regression_aggs()
-    return rows.join(means, keys).groupBy(*keys).agg(F.count("*").alias("n"), *[aggs[m].alias(m) for m in metrics])
+    if "r2" in metrics:
+        rows = rows.join(rows.groupBy(*keys).agg(F.avg("y").alias("mean_y")), keys)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[aggs[m].alias(m) for m in metrics])
 
 
 def long_form(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
