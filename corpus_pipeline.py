@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalkiln.llm import bpe, decontaminate, language, secrets, simhash
+from evalkiln.llm import bpe, decontaminate, language, secrets, similar
 from evalkiln.llm.common import written
 
 #: A prediction with a smaller share is a rejection.
@@ -23,9 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; repeated rows of it are one.
 
-    Documents without an id stay if their group has no document with one.
+    Near duplicates share 0.8 of their five-word shingles. Documents without an id stay if their group has no document with one.
     """
-    keep = simhash.simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    keep = similar.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
