@@ -1,9 +1,9 @@
 """Licence scans with built-in functions only: Dice coefficient over word bigrams against templates.
 
 A text is compared in units: each of its lines, each of its paragraphs (between empty lines) of more than one line,
-and the whole text. With a and b bigrams a unit and a template reach a Dice coefficient of at most
+and the whole text. With a and b distinct bigrams a unit and a template reach a Dice coefficient of at most
 2 min(a, b) / (a + b), so a threshold t leaves only templates with t / (2 - t) <= a / b <= (2 - t) / t; all others
-are pruned by their size before any bigram is looked at.
+are pruned by their size before any bigram is compared.
 """
 
 from __future__ import annotations
@@ -63,11 +63,13 @@ def _bound(n: int, threshold: float) -> tuple[int, int]:
 
 
 def template_table(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
+    """least and most bound the distinct bigrams of a unit; low and high, with repeats, are those of the SQL twin."""
     out = []
     for licence, text in templates:
         found = bigrams(text)
         low, high = _bound(len(found), threshold)
-        out.append({"licence": licence, "low": low, "high": high, "grams": sorted(set(found))})
+        least, most = _bound(len(set(found)), threshold)
+        out.append({"licence": licence, "low": low, "high": high, "least": least, "most": most, "grams": sorted(set(found))})
     return out
 
 
@@ -81,23 +83,23 @@ def _units(text: Column) -> Column:
 def scan_licences(docs: DataFrame, text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with licence_matches: array of (dice, licence), one for each unit and template at or above the threshold.
 
-    Sorted by falling coefficient, then by licence. The size of a unit is its number of bigrams, repeats included;
-    the coefficient is that of the sets. Null and empty texts match nothing; repeated rows agree; a column of that
+    Sorted by falling coefficient, then by licence. Size and coefficient are those of the sets of bigrams, so
+    repeated wording changes nothing. Null and empty texts match nothing; repeated rows agree; a column of that
     name is replaced. Templates are a fixed table, the literal in the plan has its size.
     """
     small_batches(docs.sparkSession)
     rows = template_table(templates, threshold)
-    kind = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
-    least, most = min(r["low"] for r in rows), max(r["high"] for r in rows)
+    kind = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
+    least = min(r["least"] for r in rows)
     words = lambda u: F.regexp_extract_all(F.translate(u, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
 
     def compare(w: Column, table: Column) -> Column:
         n = F.size(w) - 1
         pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(n, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-        by_size = F.filter(table, lambda t: n.between(t["low"], t["high"]))
         none = F.array().cast("array<struct<dice:double,licence:string>>")
-        scored = lambda grams: F.transform(by_size, lambda t: F.struct((2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["licence"].alias("licence")))
-        return F.when(n.between(least, most) & (F.size(by_size) > 0), let(pairs, lambda g: F.filter(scored(g), lambda s: s["dice"] >= threshold))).otherwise(none)
+        by_size = lambda grams: F.filter(table, lambda t: F.size(grams).between(t["least"], t["most"]))
+        scored = lambda grams: F.transform(by_size(grams), lambda t: F.struct((2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["licence"].alias("licence")))
+        return F.when(n >= least, let(pairs, lambda g: F.filter(scored(g), lambda s: s["dice"] >= threshold))).otherwise(none)
 
     of_units = lambda table: F.flatten(F.transform(_units(F.coalesce(F.col(text_col), F.lit(""))), lambda u: let(words(u), lambda w: compare(w, table))))
     found = let(F.from_json(F.lit(json.dumps(rows)), kind), of_units)

@@ -53,3 +53,17 @@ def test_sql_agrees(spark):
 
 def test_edges(spark, edge_docs, no_docs):
     assert licences.scan_licences(edge_docs).count() == edge_docs.count() and licences.scan_licences(no_docs).count() == 0
+
+
+def all_matches(text):
+    """All pairs of units and templates, with no rule of size at all."""
+    units = text.split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text) if "\n" in p and len(p) < len(text)] + ([text] if "\n" in text else [])
+    dice = [(2 * len(u & t) / (len(u) + len(t)), name) for u in (set(grams(u)) for u in units) for name, t in ((n, set(grams(t))) for n, t in licences.TEMPLATES)]
+    return [(round(d, 9), n) for d, n in sorted(dice, key=lambda x: (-x[0], x[1])) if d >= licences.THRESHOLD]
+
+
+def test_repeated_wording_is_no_reason_to_prune(spark):
+    texts = ["Released under the MIT License. Released under the MIT License.", "Licensed under CC BY 4.0. " * 30, licences.TEMPLATES[6][1] + "\n" + "and more " * 50, "\n\n".join([licences.TEMPLATES[11][1]] * 9), "a " * 4000, "no licence at all " * 20]
+    rows = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: [(round(m.dice, 9), m.licence) for m in r.licence_matches] for r in rows} == {i: all_matches(t) for i, t in enumerate(texts)}
+    assert all_matches(texts[0]) and all_matches(texts[1])
