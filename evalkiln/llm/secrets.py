@@ -2,7 +2,9 @@
 
 The base patterns are credentials by their form. The method adds what has no form: a window slides over candidate
 strings of a character class, and the Shannon entropy of its characters is kept up to date by counts that change
-for one leaving and one entering character. Candidates on the allow list are suppressed.
+for one leaving and one entering character. Base spans are cut out of the text first, so what is left beside them is
+still a candidate. The allow list works at two sizes: a candidate that as a whole is an identifier, number, path or
+checksum is no secret; a placeholder word suppresses only the windows near it.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalkiln.llm.common import small_batches
-from evalkiln.llm.spans import digest, labelled, let, spans_of
+from evalkiln.llm.spans import digest, labelled, let, merged, replaced, spans_of
 
 #: The base patterns and what a match needs.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,7 +26,7 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates are runs of ``alphabet`` with at least ``window`` characters, told apart by ``boundary``.
+    """Candidates are runs of ``alphabet`` with at least ``window`` characters, as ``pattern`` finds them.
 
     ``threshold`` is in bits a character, of at most log2(min(window, len(alphabet))).
     """
@@ -37,49 +39,72 @@ class CharClass:
 
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: "=" is in no class: it stands between names and values, and what it pads at the end says nothing.
 CLASSES = (
-    CharClass("entropy_hex", _DIGIT + "abcdefABCDEF", r"(?<![A-Za-z0-9+/=_-])[0-9a-fA-F]{24,}+(?![A-Za-z0-9+/=_-])", 24, 3.0),
-    CharClass("entropy_base64", _UPPER + _LOWER + _DIGIT + "+/=_-", r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{24,}+", 24, 4.0),
+    CharClass("entropy_hex", _DIGIT + "abcdefABCDEF", r"(?<![A-Za-z0-9])[0-9a-fA-F]{24,}+(?![A-Za-z0-9])", 24, 3.0),
+    CharClass("entropy_base64", _UPPER + _LOWER + _DIGIT + "+/_-", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+", 24, 4.0),
 )
-#: A candidate that one of these matches is no secret: identifiers without digits, numbers, UUIDs, paths and
-#: slugs of short parts, runs of the alphabet, placeholders and published example keys.
+#: A candidate that is one of these as a whole is no secret: identifiers without digits, numbers, UUIDs, paths and
+#: slugs of short words and numbers, checksums of published files.
 ALLOWED = (
     r"^[^0-9]*$",
-    r"^[0-9=_+/-]*$",
+    r"^[0-9_+/-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?[A-Za-z0-9=]{0,15}(?:[/_-]+[A-Za-z0-9=]{0,15})+$",
-    r"(?i)(?:abcdefgh|01234567|example|sample|placeholder|dummy|redacted|xxxxxx)",
-    r"^(?:sha(?:1|256|384|512)-|data-|integrity-)",
+    r"^/?[0-9]{0,8}[A-Za-z]{0,15}[0-9]{0,8}(?:[/_-]+[0-9]{0,8}[A-Za-z]{0,15}[0-9]{0,8})+$",
+    r"^sha(?:1-[A-Za-z0-9+/]{27}|256-[A-Za-z0-9+/]{43}|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86})$",
 )
+#: Words of placeholders and published example keys, and how far from one a window has to be to count.
+PLACEHOLDER = r"(?i)(?:abcdefgh|01234567|example|sample|placeholder|dummy|redacted|xxxxxx)"
+REACH = 40
+STRETCH = "array<struct<from:int,to:int>>"
 
 
-def entropy_span(candidate: Column, c: CharClass) -> Column:
-    """(from, to): the part of a candidate that windows of high entropy cover; null if none is high.
+def entropy_spans_of(candidate: Column, c: CharClass, placeholder: str = PLACEHOLDER, reach: int = REACH) -> Column:
+    """The stretches (from, to) of a candidate that windows of high entropy cover; windows that touch or overlap are one stretch.
 
-    H = log2(w) - sum(n log2 n) / w; a step changes two counts and two terms of the sum.
+    H = log2(w) - sum(n log2 n) / w; a step changes two counts and two terms of the sum. The counts are packed in
+    longs, so a step moves a few numbers, not one for each character of the alphabet.
     """
     w = c.window
+    bits = w.bit_length()
+    per = 62 // bits
     g = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(w + 1)])
     most = w * (math.log2(w) - c.threshold) + 1e-9  # the sum may not exceed this
-
-    def slide(codes: Column) -> Column:
-        zero = F.transform(F.sequence(F.lit(0), F.lit(len(c.alphabet))), lambda i: F.lit(0))
-
-        def step(s: Column, at: Column) -> Column:
-            enter = F.element_at(codes, at)
-            leave = F.when(at > w, F.element_at(codes, F.greatest(at - w, F.lit(1)))).otherwise(F.lit(-1))
-            fewer = F.when(leave < 0, 0.0).otherwise(g[F.get(s["n"], leave)] - g[F.get(s["n"], leave) - 1])
-            now = F.get(s["n"], enter) - F.when(leave == enter, 1).otherwise(0)
-            total = s["sum"] - F.coalesce(fewer, F.lit(0.0)) + g[now + 1] - g[now]
-            counts = F.transform(s["n"], lambda n, i: n + F.when(i == enter, 1).otherwise(0) - F.when(i == leave, 1).otherwise(0))
-            high = (at >= w) & (total <= most)
-            return F.struct(counts.alias("n"), total.alias("sum"), F.coalesce(s["from"], F.when(high, at - w)).alias("from"), F.when(high, at).otherwise(s["to"]).alias("to"))
-
-        start = F.struct(zero.alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda s: F.when(s["to"].isNotNull(), F.struct(s["from"].alias("from"), s["to"].alias("to"))))
-
-    codes = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(c.alphabet), ch))
-    return let(F.filter(codes, lambda x: x > 0), slide)
+    power = F.array(*[F.lit(1 << bits * k).cast("bigint") for k in range(per)])
+    digits = F.array(*[F.lit(i // per) for i in range(len(c.alphabet))]), F.array(*[F.lit(i % per) for i in range(len(c.alphabet))])
+
+    def slide(codes: Column, near: Column) -> Column:
+        shift = F.array(*[F.lit(i % per * bits) for i in range(len(c.alphabet))])
+        whole = lambda n, code: F.call_function("shiftright", F.get(n, F.get(digits[0], code)), F.get(shift, code)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        moved = lambda n, code, by: F.transform(n, lambda x, i: F.when(i == F.get(digits[0], code), x + by * F.get(power, F.get(digits[1], code))).otherwise(x))
+
+        def leave(s: Column, at: Column) -> Column:
+            code = F.get(codes, at - w - 1)
+            gone = let(whole(s["n"], code), lambda n: F.struct(moved(s["n"], code, -1).alias("n"), (s["sum"] - g[n] + g[n - 1]).alias("sum")))
+            return F.when(at > w, gone).otherwise(F.struct(s["n"].alias("n"), s["sum"].alias("sum")))
+
+        def enter(s: Column, t: Column, at: Column) -> Column:
+            code = F.get(codes, at - 1)
+            total = let(whole(t["n"], code), lambda n: t["sum"] + g[n + 1] - g[n])
+            return let(total, lambda x: mark(s, moved(t["n"], code, 1), x, at))
+
+        def mark(s: Column, n: Column, total: Column, at: Column) -> Column:
+            high = (at >= w) & (total <= most) & ~F.exists(near, lambda p: (at - w < p["stop"] + reach) & (at > p["start"] - reach))
+            new = high & (s["to"].isNull() | (s["to"] < at - w))
+            return F.struct(
+                n.alias("n"), total.alias("sum"), F.when(new, at - w).otherwise(s["from"]).alias("from"), F.when(high, at).otherwise(s["to"]).alias("to"),
+                F.when(new & s["to"].isNotNull(), F.concat(s["done"], F.array(F.struct(s["from"].alias("from"), s["to"].alias("to"))))).otherwise(s["done"]).alias("done"),
+            )
+
+        nothing = F.lit(None).cast("int")
+        zero = F.array(*[F.lit(0).cast("bigint")] * -(-len(c.alphabet) // per))
+        start = F.struct(zero.alias("n"), F.lit(0.0).alias("sum"), nothing.alias("from"), nothing.alias("to"), F.array().cast(STRETCH).alias("done"))
+        step = lambda s, at: let(leave(s, at), lambda t: enter(s, t, at))
+        last = lambda s: F.when(s["to"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["from"].alias("from"), s["to"].alias("to")))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, last)
+
+    codes = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(c.alphabet), ch) - 1)
+    return let(F.filter(codes, lambda x: x >= 0), lambda k: let(spans_of(candidate, placeholder), lambda near: F.when(F.size(k) < w, F.array().cast(STRETCH)).otherwise(slide(k, near))))
 
 
 def base_spans(text: Column) -> Column:
@@ -90,30 +115,32 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[labelled(s, kind, KINDS.index(kind)) for kind, s in parts]))
 
 
-def entropy_spans(text: Column, base: Column, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """Labelled spans of high entropy that are not on the allow list and touch no base span."""
-    def of_class(c: CharClass) -> Column:
-        ok = lambda s: ~F.concat(*[F.when(s["match"].rlike(p), "x").otherwise("") for p in allowed]).contains("x")
-        candidates = F.filter(F.filter(spans_of(text, c.pattern), ok), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-        with_place = F.transform(candidates, lambda s: F.struct(s["start"].alias("at"), entropy_span(s["match"], c).alias("part")))
-        high = F.filter(with_place, lambda s: s["part"].isNotNull())
-        return F.transform(high, lambda s: F.struct((s["at"] + s["part"]["from"]).alias("start"), F.lit(KINDS.index(c.kind)).alias("rank"), (s["at"] + s["part"]["to"]).alias("stop"), F.lit(c.kind).alias("kind")))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that all offsets stay."""
+    return replaced(text, merged(spans), lambda s: F.repeat(F.lit(" "), s["stop"] - s["start"]))
 
-    # A hexadecimal candidate is also one of base64; the narrower class stands.
-    wide = let(F.concat(*map(of_class, classes)), lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: (o["rank"] < s["rank"]) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))))
-    return F.array_sort(wide)
+
+def entropy_spans(rest: Column, c: CharClass, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """Labelled spans of high entropy of one class in ``rest``, the text without what earlier searches took."""
+    ok = lambda s: ~F.concat(*[F.when(s["match"].rlike(p), "x").otherwise("") for p in allowed]).contains("x")
+    label = lambda s, part: F.struct((s["start"] + part["from"]).alias("start"), F.lit(KINDS.index(c.kind)).alias("rank"), (s["start"] + part["to"]).alias("stop"), F.lit(c.kind).alias("kind"))
+    candidates = F.filter(spans_of(rest, c.pattern), ok)
+    return F.flatten(F.transform(candidates, lambda s: F.transform(entropy_spans_of(s["match"], c), lambda part: label(s, part))))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """``docs`` with base_spans and added_spans: arrays of (start, rank, stop, kind), offsets in code points.
 
-    Every row stays; null text counts as empty and has no spans; the text is searched whole. Columns of the
-    same names are replaced.
+    Every row stays; null text counts as empty and has no spans; the text is searched whole; repeated rows agree.
+    Columns of the same names are replaced, other columns may have any name.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("base_spans", base_spans(text))
-    return df.withColumn("added_spans", entropy_spans(text, F.col("base_spans"), classes, allowed))
+    keep = [c for c in docs.columns if c not in ("base_spans", "added_spans")]
+    df = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("rest"))
+    df = df.withColumn("base_spans", base_spans(F.col("rest"))).withColumn("rest", _blanked(F.col("rest"), F.col("base_spans")))
+    for i, c in enumerate(classes):
+        df = df.withColumn(f"found{i}", entropy_spans(F.col("rest"), c, allowed)).withColumn("rest", _blanked(F.col("rest"), F.col(f"found{i}")))
+    return df.select(*[F.col("kept")[c].alias(c) for c in keep], "base_spans", F.array_sort(F.concat(*[f"found{i}" for i in range(len(classes))])).alias("added_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -123,21 +150,8 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """
     columns = docs.columns
     found = scan_secrets(docs.select(F.struct(*columns).alias("__row"), F.col(text_col).alias("__text")), "__text", **options)
-    merged = F.aggregate(
-        F.array_sort(F.concat("base_spans", "added_spans")),
-        F.array().cast("array<struct<start:int,stop:int,kind:string>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (s["start"] < F.coalesce(F.get(done, F.size(done) - 1)["stop"], F.lit(-1))), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["stop"], s["stop"]).alias("stop"), F.get(done, F.size(done) - 1)["kind"].alias("kind"))))).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))),
-    )
     t = F.col("__text")
-
-    def cut(m: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["stop"]))
-        starts = F.concat(F.transform(m, lambda s: s["start"]), F.array(F.length(t)))
-        kept = F.zip_with(ends, starts, lambda a, b: F.substring(t, a + 1, b - a))
-        marks = F.concat(F.transform(m, lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))), F.array(F.lit("")))
-        return F.array_join(F.zip_with(kept, marks, lambda a, b: F.concat(a, b)), "")
-
-    clean = F.when((F.size("base_spans") + F.size("added_spans")) == 0, t).otherwise(let(merged, cut))
+    clean = replaced(t, merged(F.array_sort(F.concat("base_spans", "added_spans"))), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))
     return found.select(*[(F.when(t.isNull(), t).otherwise(clean) if c == text_col else F.col("__row")[c]).alias(c) for c in columns])
 
 

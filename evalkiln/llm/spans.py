@@ -20,25 +20,57 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _grow(values: Column, first: Column) -> Column:
-    """The sums of ``first`` and the values before each one; one more than there are values."""
-    step = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+Op = Callable[[Column, Column], Column]
+
+
+def _grow(values: Column, first: Column, op: Op) -> Column:
+    """``first`` combined with the values before each one; one more than there are values."""
+    step = lambda done, x: F.concat(done, F.array(op(F.element_at(done, -1), x)))
     return F.aggregate(values, F.array(first.cast("int")), step)
 
 
-def sums_before(values: Column) -> Column:
-    """For each value of an int array the sum of those before it."""
+def running_before(values: Column, op: Op) -> Column:
+    """For each value of an int array what those before it make by ``op``, 0 for none."""
+
+    def of_chunks(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), op))
+        return let(sums, lambda s: F.slice(_grow(s, F.lit(0), op), F.lit(1), F.size(s)))
 
     def chunked(all_values: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_values) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_values, i * CHUNK + 1, F.lit(CHUNK)))
-        return let(chunks, lambda c: F.flatten(F.zip_with(c, _totals(c), lambda chunk, base: F.when(chunk.isNotNull(), F.slice(_grow(chunk, base), F.lit(1), F.size(chunk))).otherwise(F.array().cast("array<int>")))))
+        return let(chunks, lambda c: F.flatten(F.zip_with(c, of_chunks(c), lambda chunk, base: F.when(chunk.isNotNull(), F.slice(_grow(chunk, base, op), F.lit(1), F.size(chunk))).otherwise(F.array().cast("array<int>")))))
 
     return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(chunked(v)))
 
 
-def _totals(chunks: Column) -> Column:
-    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-    return let(sums, lambda s: F.slice(_grow(s, F.lit(0)), F.lit(1), F.size(s)))
+def sums_before(values: Column) -> Column:
+    """For each value of an int array the sum of those before it."""
+    return running_before(values, lambda a, x: a + x)
+
+
+def merged(spans: Column) -> Column:
+    """Spans (start, .., stop, kind) in order of their starts, those that overlap as one of the first one's kind: array of (start, stop, kind)."""
+
+    def heads(s: Column) -> Column:
+        reach = running_before(F.transform(s, lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
+        first = F.filter(F.zip_with(s, reach, lambda x, m: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), m.alias("reach"))), lambda x: x["start"] >= x["reach"])
+        last = F.array(F.array_max(F.transform(s, lambda x: x["stop"])))
+        ends = lambda h: F.concat(F.transform(F.slice(h, F.lit(2), F.size(h)), lambda x: x["reach"]), last)
+        return let(first, lambda h: F.zip_with(h, ends(h), lambda x, e: F.struct(x["start"].alias("start"), e.alias("stop"), x["kind"].alias("kind"))))
+
+    return let(spans, lambda s: F.when(F.size(s) == 0, F.array().cast("array<struct<start:int,stop:int,kind:string>>")).otherwise(heads(s)))
+
+
+def replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with ``mark(span)`` in place of each of its spans; they are in order and don't overlap."""
+
+    def cut(m: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["stop"]))
+        starts = F.concat(F.transform(m, lambda s: s["start"]), F.array(F.length(text)))
+        kept = F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a))
+        return F.array_join(F.zip_with(kept, F.concat(F.transform(m, mark), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return let(spans, lambda m: F.when(F.size(m) == 0, text).otherwise(cut(m)))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
