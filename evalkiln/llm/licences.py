@@ -1,15 +1,21 @@
 """Licence scans with built-in functions only: Dice coefficient over word bigrams against templates.
 
-A text is compared in units: each of its lines, each of its paragraphs (between empty lines) of more than one line,
-and the whole text. With a and b distinct bigrams a unit and a template reach a Dice coefficient of at most
-2 min(a, b) / (a + b), so a threshold t leaves only templates with t / (2 - t) <= a / b <= (2 - t) / t; all others
-are pruned by their size before any bigram is compared.
+Comment marks at the start of lines are taken off, then a text is compared in units: each line, each paragraph
+(between empty lines) of more than one line, each run of up to RUN sentences, and the whole text; so a notice is met
+within a longer line, hard-wrapped, in a comment, or next to code. A template's result is that of its best unit.
+
+Two prunes, neither of which loses a match. With a and b distinct bigrams a unit and a template reach a coefficient
+of at most 2 min(a, b) / (a + b), so a threshold t leaves only templates with t / (2 - t) <= a / b <= (2 - t) / t.
+And a match has more than b t / (2 - t) bigrams of the template, so a text without any of the ``anchor_words``, which
+touch all but fewer than that, is not looked at.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -48,6 +54,12 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Regular expressions that Java, RE2 and Python read alike: comment marks, empty lines, ends of sentences.
+MARKS = r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|#+|//+|--+|;+|%+|<!--|>+|\|)[ \t]*"
+EMPTY_LINE = r"\n[ \t\r]*\n"
+SENTENCE_END = r"[.;:!?][ \t\r\n]+|\n[ \t\r]*\n"
+#: Words that say little about a text; anchors are other words where they suffice.
+COMMON = frozenset("a an and any are as at be by can do either file following for found free from he if in into is it its may must name no not of on one or other public so source that the this to under use used was when with without work you your".split())
 
 
 def bigrams(text: str) -> list[str]:
@@ -59,51 +71,86 @@ def bigrams(text: str) -> list[str]:
 def _bound(n: int, threshold: float) -> tuple[int, int]:
     """Fewest and most bigrams of a unit that can reach the threshold with a template of n."""
     low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
-    return int(-(-low // 1)), int(high)
+    return math.ceil(low - 1e-9), math.floor(high + 1e-9)
 
 
 def template_table(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
-    """least and most bound the distinct bigrams of a unit; low and high, with repeats, are those of the SQL twin."""
+    """Per template: licence, distinct bigrams, and the fewest and most distinct bigrams of a unit that can match it."""
     out = []
     for licence, text in templates:
-        found = bigrams(text)
-        low, high = _bound(len(found), threshold)
-        least, most = _bound(len(set(found)), threshold)
-        out.append({"licence": licence, "low": low, "high": high, "least": least, "most": most, "grams": sorted(set(found))})
+        found = sorted(set(bigrams(text)))
+        least, most = _bound(len(found), threshold)
+        out.append({"licence": licence, "least": least, "most": most, "grams": found})
     return out
 
 
-def _units(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    paragraphs = F.filter(F.split(text, "\n[ \t\r]*\n"), lambda p: p.contains("\n") & (F.length(p) < F.length(text)))
+def anchor_words(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every unit that matches a template has at least one; chosen by how many bigrams they touch."""
+    left = [(set(bigrams(t)), len(set(bigrams(t))) * threshold / (2 - threshold)) for _, t in templates]
+    chosen: list[str] = []
+    while open_ := [(g, least) for g, least in left if len(g) >= least - 1e-9]:
+        touched = Counter(w for g, _ in open_ for x in g for w in set(x.split()))
+        chosen.append(max(touched, key=lambda w: (w not in COMMON and not w.isdigit(), touched[w], w)))
+        left = [({x for x in g if chosen[-1] not in x.split()}, least) for g, least in left]
+    return sorted(chosen)
+
+
+def one_pattern(words: list[str]) -> str:
+    """A regular expression of the words in which common starts are written once, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for w in filter(None, words):
+        by.setdefault(w[0], []).append(w[1:])
+    if not by:
+        return ""
+    parts = "|".join(c + one_pattern(rest) for c, rest in sorted(by.items()))
+    return f"(?:{parts})?" if "" in words else f"(?:{parts})"
+
+
+def sentences_in_a_template(templates: tuple = TEMPLATES) -> int:
+    return max(len([x for x in re.split(SENTENCE_END, t) if re.search("[A-Za-z0-9]", x)]) for _, t in templates)
+
+
+def _units(text: Column, run: int) -> Column:
+    """Lines, paragraphs, runs of sentences and the whole of a text without comment marks."""
+    paragraphs = F.filter(F.split(text, EMPTY_LINE), lambda p: p.contains("\n") & (F.length(p) < F.length(text)))
     whole = F.when(text.contains("\n"), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.concat(lines, paragraphs, whole)
+    sentences = F.filter(F.split(text, SENTENCE_END), lambda x: x.rlike("[A-Za-z0-9]"))
+    runs = lambda s: F.flatten(F.transform(s, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(run), F.size(s) - i)), lambda k: F.array_join(F.slice(s, i + 1, k), " "))))
+    return F.concat(F.split(text, "\n"), paragraphs, let(sentences, runs), whole)
 
 
 def scan_licences(docs: DataFrame, text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with licence_matches: array of (dice, licence), one for each unit and template at or above the threshold.
+    """``docs`` with licence_matches: array of (dice, licence), one for each template at or above the threshold.
 
-    Sorted by falling coefficient, then by licence. Size and coefficient are those of the sets of bigrams, so
-    repeated wording changes nothing. Null and empty texts match nothing; repeated rows agree; a column of that
-    name is replaced. Templates are a fixed table, the literal in the plan has its size.
+    The coefficient is that of the template's best unit; they are sorted by falling coefficient, then by licence. Size
+    and coefficient are those of the sets of bigrams, so repeated wording changes nothing. Null and empty texts match
+    nothing; repeated rows agree; a column of that name is replaced, other columns may have any name. Texts are read
+    whole. Templates are a fixed table, the literal in the plan has its size.
     """
     small_batches(docs.sparkSession)
-    rows = template_table(templates, threshold)
-    kind = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
+    rows = [{"i": i, **r} for i, r in enumerate(template_table(templates, threshold))]
+    kind = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("licence", T.StringType()), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
     least = min(r["least"] for r in rows)
     words = lambda u: F.regexp_extract_all(F.translate(u, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
 
     def compare(w: Column, table: Column) -> Column:
         n = F.size(w) - 1
         pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(n, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-        none = F.array().cast("array<struct<dice:double,licence:string>>")
+        none = F.array().cast("array<struct<dice:double,i:int>>")
         by_size = lambda grams: F.filter(table, lambda t: F.size(grams).between(t["least"], t["most"]))
-        scored = lambda grams: F.transform(by_size(grams), lambda t: F.struct((2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["licence"].alias("licence")))
+        scored = lambda grams: F.transform(by_size(grams), lambda t: F.struct((2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["i"].alias("i")))
         return F.when(n >= least, let(pairs, lambda g: F.filter(scored(g), lambda s: s["dice"] >= threshold))).otherwise(none)
 
-    of_units = lambda table: F.flatten(F.transform(_units(F.coalesce(F.col(text_col), F.lit(""))), lambda u: let(words(u), lambda w: compare(w, table))))
-    found = let(F.from_json(F.lit(json.dumps(rows)), kind), of_units)
-    order = F.transform(found, lambda s: F.struct((-s["dice"]).alias("d"), s["licence"].alias("licence")))
+    def best(hits: Column, table: Column) -> Column:
+        of = lambda t: F.array_max(F.transform(F.filter(hits, lambda h: h["i"] == t["i"]), lambda h: h["dice"]))
+        return F.filter(F.transform(table, lambda t: F.struct((-of(t)).alias("d"), t["licence"].alias("licence"))), lambda x: x["d"].isNotNull())
+
+    plain = F.regexp_replace(F.col(text_col), MARKS, "$1")
+    of_units = lambda table: F.flatten(F.transform(_units(plain, sentences_in_a_template(templates)), lambda u: let(words(u), lambda w: compare(w, table))))
+    table = F.from_json(F.lit(json.dumps(rows)), kind)
+    found = let(table, lambda t: let(of_units(t), lambda hits: best(hits, t)))
+    anchors = rf"(?i)(?<![A-Za-z0-9]){one_pattern(anchor_words(templates, threshold))}(?![A-Za-z0-9])"
+    order = F.when(F.col(text_col).rlike(anchors), found).otherwise(F.array().cast("array<struct<d:double,licence:string>>"))
     return docs.withColumn("licence_matches", F.transform(F.array_sort(order), lambda s: F.struct((-s["d"]).alias("dice"), s["licence"].alias("licence"))))
 
 
@@ -117,26 +164,32 @@ def op2_licence_scans(spark, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
-    values = ", ".join("('{}', {}, {}, [{}])".format(r["licence"], r["low"], r["high"], ", ".join(f"'{g}'" for g in r["grams"])) for r in template_table())
+    """The same rows without any pruning: bigrams of all units are joined to those of the templates and counted."""
+    templates = ", ".join(f"({i}, '{licence}', [{', '.join(repr(g) for g in sorted(set(bigrams(text))))}])" for i, (licence, text) in enumerate(TEMPLATES))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return f"""
-with templates(licence, low, high, grams) as (values {values}),
+with templates(tid, licence, grams) as (values {templates}),
+wanted as (select tid, unnest(grams) as gram from templates),
+texts as materialized (select row_number() over () as rid, doc_id, regexp_replace(text, {quoted(MARKS)}, '\\1', 'g') as text from documents),
+sentences as (select rid, list_filter(regexp_split_to_array(text, {quoted(SENTENCE_END)}), lambda x: regexp_matches(x, '[A-Za-z0-9]')) as s from texts where text is not null),
+starts as (select rid, s, unnest(range(1, len(s) + 1)) as i from sentences),
 pieces as (
-  select doc_id, unnest(string_split(text, chr(10))) as unit from documents where text is not null
+  select rid, unnest(string_split(text, chr(10))) as unit from texts where text is not null
   union all
-  select doc_id, unit from (select doc_id, text, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) as unit from documents where text is not null)
+  select rid, unit from (select rid, text, unnest(regexp_split_to_array(text, {quoted(EMPTY_LINE)})) as unit from texts where text is not null)
   where contains(unit, chr(10)) and length(unit) < length(text)
   union all
-  select doc_id, text from documents where contains(text, chr(10))),
-worded as (select doc_id, regexp_extract_all(translate(unit, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') as w from pieces),
-sized as (select doc_id, w, len(w) - 1 as n from worded where len(w) - 1 between {min(r["low"] for r in template_table())} and {max(r["high"] for r in template_table())}),
-paired as (select doc_id, n, list_distinct(list_transform(range(1, n + 1), lambda i: w[i] || ' ' || w[i + 1])) as g from sized),
-scored as (
-  select doc_id, licence, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice
-  from paired join templates on n between low and high),
-hits as (select * from scored where dice >= {THRESHOLD}),
+  select rid, array_to_string(s[i:i + k - 1], ' ') from starts, range(1, {sentences_in_a_template() + 1}) r(k) where i + k - 1 <= len(s)
+  union all
+  select rid, text from texts where contains(text, chr(10))),
+worded as (select row_number() over () as uid, rid, regexp_extract_all(translate(unit, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') as w from pieces),
+paired as materialized (select uid, rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from worded where len(w) > 1),
+shared as (select uid, tid, count(*) as c from (select uid, unnest(g) as gram from paired) join wanted using (gram) group by uid, tid),
+scored as (select rid, tid, licence, 2.0::double * c / (len(g) + len(grams)) as dice from shared join paired using (uid) join templates using (tid)),
+hits as (select rid, tid, any_value(licence) as licence, max(dice) as dice from scored where dice >= {THRESHOLD} group by rid, tid),
 by_doc as (
-  select doc_id, count(*) as n_matches, string_agg(distinct licence, ',' order by licence) as licences,
+  select rid, count(*) as n_matches, string_agg(distinct licence, ',' order by licence) as licences,
          first(licence order by dice desc, licence) as best_licence, round(max(dice), 6) as best_dice
-  from hits group by doc_id)
+  from hits group by rid)
 select d.doc_id, coalesce(n_matches, 0)::bigint as n_matches, coalesce(licences, '') as licences, best_licence, best_dice
-from documents d left join by_doc b on d.doc_id = b.doc_id"""
+from texts d left join by_doc b on d.rid = b.rid"""
