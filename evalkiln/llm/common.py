@@ -89,3 +89,21 @@ def carried(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def restored(df: DataFrame, text_col: str, keep: list[str], *more: str) -> DataFrame:
     """The kept columns in their order, and ``more``; the inverse of ``carried``."""
     return df.select(*[F.col("__text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in keep], *more)
+
+
+#: A key with more than one row in so many is joined by broadcast; there can be no more such keys than this.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined with ``groups``, which has one row for each key and in ``count`` how many rows have it.
+
+    Keys that hold over a thousandth of all rows are at most HOT, so their groups may be broadcast; no other key can
+    fill a task. Keys are not null. The column ``count`` is not part of the result.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT > F.lit(total)
+    hot = groups.where(is_hot).drop(count)
+    with_hot = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~is_hot).drop(count), key, "left")
+    return with_hot.unionByName(others)
