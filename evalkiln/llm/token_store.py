@@ -30,6 +30,8 @@ from evalkiln.llm.common import filled, shared_path, small_batches
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 17
 WIDTH = 32
+#: Bytes of text in one shard.
+SHARD_BYTES = 16 << 20
 #: Texts between spaces whose ids a worker keeps.
 CACHE = 500_000
 #: Characters of the texts that are encoded in one go.
@@ -64,6 +66,14 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _words_only(path: str):
+    """The same vocabulary without added tokens, for the parts of texts that hold none."""
+    from tokenizers import Tokenizer
+
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
     return found
@@ -82,15 +92,18 @@ class Encoder:
 
     Its normalisation and its words never reach across a space or line feed, so the ids of a text are those of the
     parts between them. A part that ends in marks after a letter or digit is two words, the marks being one. Parts are encoded
-    once and kept, up to CACHE of them, for all tasks of a worker.
+    once and kept, up to CACHE of them, for all tasks of a worker. A text that holds an added token of the vocabulary
+    (such as an end mark) is encoded whole by the library.
     """
 
     def __init__(self, path: str):
         self.path, self.known = path, {"": b""}
+        self.added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
     def _encode(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts. Latin ones go many to a call, with a mark between them whose first id no Latin text gives."""
-        tokenizer, mark = _tokenizer(self.path), _tokenizer(self.path).encode(MARK, add_special_tokens=False).ids
+        tokenizer = _words_only(self.path)
+        mark = tokenizer.encode(MARK, add_special_tokens=False).ids
         odd = [p for p in parts if _UNUSUAL.search(p)]
         out = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
         plain = [p for p in parts if p not in out]
@@ -102,6 +115,13 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        end = np.array([end_id], "<u4").tobytes()
+        whole = [i for i, x in enumerate(texts) if x and any(t in x for t in self.added)]
+        if whole:
+            found = _tokenizer(self.path).encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            apart = {i: np.array(e.ids, "<u4").tobytes() + end for i, e in zip(whole, found)}
+            rest = iter(self([x for i, x in enumerate(texts) if i not in apart], end_id))
+            return [apart[i] if i in apart else next(rest) for i in range(len(texts))]
         parts = [(x.lower() if x.isascii() or not _UNUSUAL.search(x) else x).replace("\n", " ").split(" ") if x else [] for x in texts]
         known = self.known
         own = {p: known.get(p) for p in set().union(*parts)}  # small, so that the many look-ups below stay near
@@ -118,7 +138,6 @@ class Encoder:
         own.update((p, own[core] + own[marks]) for p, (core, marks) in halves.items())
         if len(known) < CACHE:
             known.update((p, own[p]) for p in fresh if len(p) <= 64)
-        end = np.array([end_id], "<u4").tobytes()
         return [b"".join(map(own.__getitem__, ps)) + end for ps in parts]
 
 
@@ -144,12 +163,15 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, bits: bool = False) -> None:
     """Encode every text whole and write the store.
 
-    Null and empty texts have just the end id. Rows of one id stay next to each other, ordered by a hash of the
-    text; rows without an id come first. The texts are shuffled once, by range of the id.
+    Null and empty texts have just the end id; texts are encoded whole. Rows of one id stay next to each other,
+    ordered by a hash of the text; rows without an id come first; repeated rows stay. Other columns are not read. The
+    texts are shuffled once, into ranges of id, hash and row number, so an id (or null) of very many rows fills many
+    ranges. ``shards`` is their number, by default one for each SHARD_BYTES of text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
+    shards = shards or 1 + (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SHARD_BYTES
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, shard, first, chunk = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0, 0
@@ -175,14 +197,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         if own:
             yield row()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).repartitionByRange(shards, "i").sortWithinPartitions("i", F.xxhash64("t"))
+    rows = rows.withColumns({"h": F.xxhash64("t"), "n": F.monotonically_increasing_id()}).repartitionByRange(shards, "i", "h", "n").sortWithinPartitions("i", "h", "n").select("i", "t")
     rows.mapInPandas(pack, CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     index = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("shard", "chunk", "first", "n_ids")
     index.join(F.broadcast(_shard_starts(index)), "shard").select("shard", "chunk", (F.col("before") + F.col("first")).alias("start"), "n_ids").write.parquet(f"{path}/index")
 
 
 def _shard_starts(index: DataFrame) -> DataFrame:
-    """(shard, before): ids before each shard. One row per shard, and shards are a parameter, so it may be broadcast."""
+    """(shard, before): ids before each shard. One row for each SHARD_BYTES of text: 100 TB make 6 million rows of 16 bytes, which may be broadcast."""
     total = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     return total.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
@@ -192,7 +214,11 @@ CONTENT = {"ids": "binary", "ids_crc32": "bigint"}
 
 
 def read_tokens(spark: SparkSession, path: str, content: str = "ids") -> DataFrame:
-    """(doc_id, start, n_tokens, content): every document of a store, with one of CONTENT."""
+    """(doc_id, start, n_tokens, content): every document of a store, with one of CONTENT.
+
+    Documents without text have their end id; repeated rows and rows without an id come back as they were written; an
+    empty store gives no rows.
+    """
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     index = spark.read.schema("shard int, chunk int, start bigint, n_ids bigint").parquet(f"{path}/index")
     before = index.where("chunk = 0").select("shard", F.col("start").alias("before"))  # one row per shard
