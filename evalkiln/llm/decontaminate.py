@@ -9,8 +9,9 @@ Two things keep the arrays small without losing a match. Words are numbered by t
 words are 0, and a match cannot cross a 0, so positions followed by too short a run of test words never enter the
 array. And positions are sorted by their first ``window`` words only, as deeper order changes no range.
 
-The test items are the stated query set: they are read in blocks of about BLOCK_WORDS words, each block is broadcast
-on its own, and a further block is a further pass over the same rows, not a join.
+The test items are the stated query set: they are read in blocks of about BLOCK_WORDS words. A block is broadcast on
+its own; if there are several, the result of each is written before the next is read, and its broadcast is released,
+so driver and executors hold one block at a time. A further block is a further pass over the rows, not a join.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from evalkiln.llm.common import carried, filled, restored, small_batches
+from evalkiln.llm.common import carried, filled, restored, small_batches, written
 
 WINDOW = 10
 #: Words of test items in one broadcast block.
 BLOCK_WORDS = 2_000_000
+#: Pairs of places that are compared at once.
+CELLS = 1 << 22
 #: A-Z become a-z; digits, a-z and all bytes from 0x80 on stay; the rest separates words.
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -60,11 +63,13 @@ class TestBlock:
                 windows[length][own[at : at + length].tobytes()].append((len(self.ids), at))
             self.ids.append(item_id)
             self.words.append(own.astype(np.int64))
-        #: For each window length: the different windows in order, the items of each, and one place of each.
+        #: For each window length: the different windows in order, the items of each, and all its places: item,
+        #: position, and the word before (-1 at the start of an item).
         self.windows = []
         for length, by in sorted(windows.items()):
             keys = sorted(by)
-            self.windows.append((length, np.array(keys, f"S{4 * length}"), [sorted({i for i, _ in by[k]}) for k in keys], [by[k][0] for k in keys]))
+            places = [np.array([(i, at, self.words[i][at - 1] if at else -1) for i, at in by[k]], np.int64) for k in keys]
+            self.windows.append((length, np.array(keys, f"S{4 * length}"), [sorted({i for i, _ in by[k]}) for k in keys], places))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str], list[tuple[str, int, int, int]]]]:
         """For each text of the shard: words, hit ranges [from, to), ids of occurring items, longest matches."""
@@ -81,7 +86,7 @@ class TestBlock:
         run = np.repeat(zeros[1:], np.diff(zeros)) - np.arange(len(shard) - 1)  # positions up to the next 0, itself included if it is one
         change = np.zeros(len(shard) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[str, int, int, int]]] = defaultdict(list)
         for length, keys, owners, places in self.windows:
             at = np.flatnonzero((run >= length) & (shard[:-1] > 0))
             if not len(at):
@@ -95,40 +100,48 @@ class TestBlock:
                 hit = at[low[k] : high[k]]
                 np.add.at(change, hit, 1)
                 np.add.at(change, hit + length, -1)
-                for p, d in zip(hit.tolist(), (np.searchsorted(begin, hit, "right") - 1).tolist()):
+                own = np.searchsorted(begin, hit, "right") - 1
+                for d in np.unique(own).tolist():
                     items[d].update(self.ids[i] for i in owners[k])
-                    found[d].append((p, *places[k]))
+                for p, d, item, pos in self._starts(hit, own, shard, places[k]):
+                    found[d].append((self.ids[item], pos, p - starts[d], self._length(item, pos, p, shard)))
         covered = np.cumsum(change[:-1]) > 0
         edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
         ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for a, b in edges.reshape(-1, 2).tolist():  # a separator is never covered, so a range lies in one document
             d = int(np.searchsorted(begin, a, "right")) - 1
             ranges[d].append((a - starts[d], b - starts[d]))
-        return [(n, ranges[d], items[d], self._longest(found[d], shard, starts[d]) if d in found else []) for d, n in enumerate(counts)]
-
-    def _longest(self, found: list[tuple[int, int, int]], shard: np.ndarray, start: int) -> list[tuple[str, int, int, int]]:
-        """Windows on one diagonal of a document and an item join up; each is extended as far as words agree."""
-        out, ends = [], {}
-        for p, item, pos in sorted(found):
-            words, diagonal = self.words[item], (item, p - pos)
-            if ends.get(diagonal, -1) > p:
-                continue
-            back = 0
-            while pos - back > 0 and shard[p - back - 1] == words[pos - back - 1]:
-                back += 1
-            n = back
-            while pos - back + n < len(words) and shard[p - back + n] == words[pos - back + n]:
-                n += 1
-            ends[diagonal] = p - back + n
-            out.append((self.ids[item], pos - back, p - back - start, n))
-        return out
+        return [(n, ranges[d], items[d], sorted(found[d], key=lambda m: (m[2], -m[3], m[0], m[1])) if d in found else []) for d, n in enumerate(counts)]
+
+    @staticmethod
+    def _starts(hit: np.ndarray, own: np.ndarray, shard: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(position, document, item, item position) of the window's places where the words before differ: a longest match starts there."""
+        for at in range(0, len(hit), max(1, CELLS // len(places))):
+            some = slice(at, at + max(1, CELLS // len(places)))
+            h, q = np.nonzero(shard[hit[some] - 1][:, None] != places[:, 2][None, :])
+            yield from zip(hit[some][h].tolist(), own[some][h].tolist(), places[q, 0].tolist(), places[q, 1].tolist())
+
+    def _length(self, item: int, pos: int, p: int, shard: np.ndarray) -> int:
+        """How many words agree from here on; a separator agrees with none."""
+        words = self.words[item][pos:]
+        step, n = 64, 0
+        while n < len(words):
+            text = shard[p + n : p + n + min(step, len(words) - n)]  # the shard ends with a separator, so a cut text differs
+            differ = np.flatnonzero(words[n : n + len(text)] != text)
+            if len(differ):
+                return n + int(differ[0])
+            n, step = n + step, 4 * step
+        return len(words)
+
+
+def count_blocks(bench: DataFrame, text_col: str, block_words: int) -> int:
+    return 1 + (bench.agg(F.sum(F.length(text_col))).first()[0] or 0) // (6 * block_words)
 
 
 def test_blocks(bench: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[TestBlock]:
     """Read the test items block by block, at least one; a block is a hash class of items."""
     rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t"))
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 + total // (6 * block_words)
+    blocks = count_blocks(bench, text_col, block_words)
     for b in range(blocks):
         block = TestBlock([(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()], window)
         if block.ids or b == 0:
@@ -142,8 +155,8 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
     """The columns ``keep`` (default: all) of every row of ``docs`` and what the search found in its text.
 
     Adds n_words, hit_from and hit_to (word ranges in a window that a test item shares), items (ids of the items
-    with such a window, as strings) and matches (longest verbatim matches with their places; of a window that
-    several items share, the first item is named). Rows stay as they are: null and empty texts have no words,
+    with such a window, as strings) and matches (every longest verbatim match of a window or more with its places in
+    item and text, by place in the text, then length). Rows stay as they are: null and empty texts have no words,
     repeated rows are each searched, an empty benchmark hits nothing. Added columns replace columns of the
     same names; a repeated or null item id counts as one item (``null``).
     """
@@ -154,6 +167,7 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
     fields = ["kept", "__text", *new]
     df = carried(docs, text_col, keep).withColumns({c: (F.lit(0) if c == "n_words" else F.array()).cast(kind) for c, kind in new.items()})
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in fields])
+    several = count_blocks(bench, bench_text_col, block_words) > 1
     for block in test_blocks(bench, item_col, bench_text_col, window, block_words):
         shared = spark.sparkContext.broadcast(block)
 
@@ -168,6 +182,9 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
                 yield pdf[fields]
 
         df = df.mapInPandas(search, schema)
+        if several:
+            df = written(df, "test-block")
+            shared.unpersist()
     return restored(df, text_col, keep, *new)
 
 
@@ -179,12 +196,15 @@ def n_hit(hit_from: str = "hit_from", hit_to: str = "hit_to"):
     return F.aggregate(pairs, zero, step, lambda s: s["n"]).cast("bigint")
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that share a window with a test item; columns and other rows are unchanged."""
-    clash = [c for c in docs.columns if c in ADDED]
-    found = scan(docs.withColumnsRenamed({c: f"__{c}" for c in clash}), bench, **options)
-    clean = found.where(F.size("hit_from") == 0).drop(*ADDED)
-    return clean.withColumnsRenamed({f"__{c}": c for c in clash})
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that share a window with a test item; columns and other rows are unchanged.
+
+    Null and empty texts share nothing and stay; repeated rows go or stay together; an empty benchmark drops nothing;
+    columns may have any name.
+    """
+    columns = docs.columns
+    found = scan(docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text")), bench, text_col="text", **options)
+    return found.where(F.size("hit_from") == 0).select("row.*")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
