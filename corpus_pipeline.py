@@ -14,28 +14,37 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or text) and those whose language is in doubt go."""
-    found = language.identify(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), language.learned(docs))
-    sure = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).drop("lang_pred", "score")
-    return sure.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+    """Documents without a letter (or text) and those whose language is in doubt go.
+
+    Repeated rows go or stay together; columns may have any name; an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = language.identify(rows, language.learned(docs), keep=["row"])
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; repeated rows of it are one.
+    """Of each group of near duplicates one document stays: that of the smallest id, of rows with one id the first.
 
-    Near duplicates share 0.8 of their five-word shingles. Documents without an id stay if their group has no document with one.
+    Near duplicates share 0.8 of their five-word shingles. A document without an id stays if its group has none with one.
+    Documents without a word are one group; repeated rows are one document; an empty table stays empty.
     """
-    keep = similar.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return similar.first_of_groups(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of words with a benchmark item go."""
+    """Documents that share a window of words with a benchmark item go.
+
+    Null and empty texts stay; repeated rows go or stay together; columns may have any name.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced by marks, and n_chars follows the text."""
+    """Every document stays; secrets in its text are replaced by marks, and n_chars follows the text.
+
+    Null texts stay null and keep their n_chars; empty texts and repeated rows stay as they are; columns may have any name.
+    """
     clean = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -43,7 +52,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the token ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the token ids and of the text decoded from them.
+
+    Null and empty texts have no tokens and the digests of nothing; repeated rows and rows without an id stay.
+    """
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -8,8 +8,8 @@ lives, so comparing residents with replicas anchor by anchor loses no pair.
 The code is a product of perfect codes on separate bits: twice the binary Golay code of length 23 (radius 3,
 4,096 words), so 2**24 anchors. A difference of ``t`` bits splits over the two blocks, and the ball "radius plus
 threshold" is taken as all words with block distances of at most 3 + e1 and 3 + e2, e1 + e2 <= t. That is about
-60 replicas for t = 2, whatever the fingerprint. For corpora of many billion distinct fingerprints a Hamming
-block of the remaining bits makes the anchors finer (``CODE_FINE``).
+60 replicas for t = 2, whatever the fingerprint. Beyond FINE_FROM distinct fingerprints a Hamming block of the
+remaining bits makes the anchors finer (``CODE_FINE``); the pairs are the same with either code.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evalkiln.llm.common import filled, small_batches, written
+from evalkiln.llm.common import filled, join_groups, small_batches, written
 from evalkiln.llm.components import connected_components
 
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
@@ -31,6 +31,8 @@ GOLAY = 0b110001110101
 #: Blocks of a code: (kind, first bit, length, covering radius).
 CODE = (("golay", 0, 23, 3), ("golay", 23, 23, 3))
 CODE_FINE = (*CODE, ("hamming", 46, 15, 1))
+#: Distinct fingerprints from which on an anchor of CODE would hold over a hundred of them.
+FINE_FROM = 100 << 24
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -113,7 +115,10 @@ def anchors_of(fp: int, threshold: int = 2, code: tuple = CODE) -> tuple[int, np
 
 
 def near_pairs(fps: DataFrame, threshold: int = 2, code: tuple = CODE) -> DataFrame:
-    """Pairs (src, dst) of different fingerprints in ``fps.fp`` (distinct longs) that differ in <= threshold bits."""
+    """Pairs (src, dst) of different fingerprints in ``fps.fp`` that differ in <= threshold bits, each once.
+
+    ``fps.fp`` has distinct longs, none of them null; other columns are not read; an empty table has no pairs.
+    """
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
@@ -129,25 +134,27 @@ def near_pairs(fps: DataFrame, threshold: int = 2, code: tuple = CODE) -> DataFr
     homes = fps.select("fp").mapInPandas(live, "anchor bigint, fp bigint")
     replicas = fps.select("fp").mapInPandas(replicate, "anchor bigint, other bigint")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    return homes.join(replicas, "anchor").where((F.col("fp") != F.col("other")) & (apart <= threshold)).select(F.least("fp", "other").alias("src"), F.greatest("fp", "other").alias("dst"))
+    return homes.join(replicas, "anchor").where((F.col("fp") != F.col("other")) & (apart <= threshold)).select(F.least("fp", "other").alias("src"), F.greatest("fp", "other").alias("dst")).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, code: tuple = CODE) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, code: tuple | None = None) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
     Copies share a fingerprint and are reduced to it before any pair is looked at, so a group of equal texts
-    costs one row. component_id is the smallest id reachable over links. Rows whose id is null keep their
+    costs one row, and a fingerprint of very many rows is joined apart from the others. The code is chosen by the
+    number of fingerprints unless it is given. component_id is the smallest id reachable over links. Rows whose id is null keep their
     fingerprint and get the component of their fingerprint; other columns of ``docs`` are not read; an empty
     table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")), "simhash-distinct")
+    code = code or (CODE if distinct.count() < FINE_FROM else CODE_FINE)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     label = connected_components(near_pairs(distinct.repartition(parts, "fp"), threshold, code))
-    label = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    label = distinct.join(label, distinct.fp == label.node, "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
     least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_print = label.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").select(
+    by_print = written(label.join(least, "component").select("fp", "n", "component_id"), "simhash-groups")
+    return join_groups(prints, by_print, "fp", "n").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

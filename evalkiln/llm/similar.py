@@ -1,10 +1,11 @@
-"""Near-duplicate documents by the Jaccard coefficient of their word shingles, without loss.
+"""The near-duplicate stage: SimHash groups of five-word shingles, completed to all pairs of a Jaccard coefficient >= 0.8.
 
-SimHash does not suit this threshold: two texts with a coefficient of 0.8 are expected to differ in 9.7 of 64 bits
-(standard deviation 2.9), and a covering of such a radius has very many replicas. So candidates come from prefixes:
-with the shingles of every set in one common order, two sets of coefficient >= t share one of the first
-n - ceil(t n) + 1 shingles of each. Candidates are bounded by sizes and places, and the coefficient of what is left
-is computed on the whole sets.
+SimHash alone doesn't reach this threshold: two texts with a coefficient of 0.8 are expected to differ in 9.7 of 64
+bits (standard deviation 2.9), and a covering of such a radius has very many replicas. So the pairs of operator 8
+(``simhash.near_pairs``: fingerprints that differ in few bits, by the anchor-point covering) are the first candidates;
+the others come from prefixes. With the shingles of every set in one common order, two sets of coefficient >= t share
+one of the first n - ceil(t n) + 1 shingles of each. Candidates are bounded by sizes and places, and the coefficient of
+every candidate of either kind is computed on the whole sets, so the result is exact.
 
 Any order gives the same result; rare shingles come first, so that wording shared by very many texts makes no
 candidates. Rarity is read from counts in a table of fixed size.
@@ -20,8 +21,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalkiln.llm.common import filled, small_batches, written
+from evalkiln.llm.common import filled, join_groups, small_batches, written
 from evalkiln.llm.components import connected_components
+from evalkiln.llm.simhash import near_pairs
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
@@ -53,13 +55,21 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).astype(np.int64)) if len(shingles) else 0
 
 
+def shingle_print(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed long: a bit is 1 if it is set in over half of the (remixed) hashes."""
+    h = (shingles ^ (shingles >> np.uint64(29))) * STEP
+    h ^= h >> np.uint64(32)
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h)).view(">i8")[0]) if len(h) else 0
+
+
 def jaccard_reaches(a: np.ndarray, b: np.ndarray, least: Fraction = SIMILARITY) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
 
 
 def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
-    """Links (src, dst) between set ids of ``sets`` (sid, text; sid distinct) whose coefficient is at least ``least``.
+    """Links (src, dst) between set ids of ``sets`` (sid, fp, text; sid distinct) whose coefficient is at least ``least``.
 
     All pairs are linked or connected by other links, so a group of near copies costs about one link a set and
     shingle, not the square of its size.
@@ -116,12 +126,19 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     often = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     rows = written(rows.join(often, "token"), "similar-met", compression="zstd")
 
-    # Neighbours first: each set meets a few of those with the same shingle, those next to it by size and by id.
+    # SimHash: sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet.
+    heads = written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "similar-prints")
+    near = near_pairs(heads.select("fp").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp"))
+    near = near.join(heads.toDF("src", "one"), "src").join(heads.toDF("dst", "two"), "dst").select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"))
+    same = sets.select("sid", "fp").join(heads, "fp").where("sid <> head").select(F.least("sid", "head").alias("src"), F.greatest("sid", "head").alias("dst"))
+
+    # Neighbours: each set meets a few of those with the same shingle, those next to it by size and by id.
     own = F.struct("sid", "n", "at")
     orders = (Window.partitionBy("token").orderBy("n", "sid"), Window.partitionBy("token").orderBy("sid"))
     chain = rows.withColumn("near", F.array(*[F.lag(own, back).over(order) for order in orders for back in (1, 2)]))
     chain = chain.select("sid", "n", "at", F.explode("near").alias("y")).select(F.col("sid").alias("src"), "n", "at", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"))
-    links = verified(chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "chain")
+    chain = chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    links = verified(chain.union(near).union(same).distinct(), "chain")
 
     # Then every pair that these links leave apart; shingles that stay within one part need no pairs at all.
     part = connected_components(links)
@@ -134,26 +151,44 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     return links.union(verified(last.where(enough(F.col("shared") + rest)), "candidates"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
-    """(id, component_id) for every row of ``docs``: the smallest id reachable over pairs of at least ``least``.
-
-    Texts with equal shingle sets are one set before any pair is looked at; all texts without a word are one group.
-    Rows whose id is null get the component of their set; an empty table gives an empty result.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sets, label): id and sid of every row; for each sid its first row; sid, n, component and the id of it."""
     spark = docs.sparkSession
     small_batches(spark)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
-            yield pdf.assign(sid=np.array([set_id(shingle_set(x, shingle)) for x in pdf["text"]], np.int64))
+            found = [shingle_set(x, shingle) for x in pdf["text"]]
+            yield pdf.drop(columns="text").assign(sid=np.array([set_id(s) for s in found], np.int64), fp=np.array([shingle_print(s) for s in found], np.int64))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = written(own.mapInPandas(mark, f"id {kind}, text string, sid bigint"), "similar", compression="zstd")
-    sets = written(marked.groupBy("sid").agg(F.min("id").alias("least_id"), F.first("text").alias("text")), "similar-sets", compression="zstd")
+    schema = own.drop("text").withColumns({"sid": F.lit(0).cast("bigint"), "fp": F.lit(0).cast("bigint")}).schema
+    rows = written(own.mapInPandas(mark, schema), "similar", compression="zstd")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
+    sets = written(rows.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-sets", compression="zstd")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    label = connected_components(similar_links(sets.where("sid <> 0").select("sid", "text").repartition(parts, "sid"), shingle, least))
-    label = sets.select("sid", "least_id").join(label, F.col("sid") == F.col("node"), "left").select("sid", "least_id", F.coalesce("component", "sid").alias("component"))
-    lowest = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_set = label.join(lowest, "component").select("sid", "component_id")
-    return marked.select("id", "sid").join(by_set, "sid", "left").select(F.col("id").alias(id_col), "component_id")
+    links = similar_links(sets.where("sid <> 0").select("sid", "fp", F.col("row")[text_col].alias("text")).repartition(parts, "sid"), shingle, least)
+    label = sets.select("sid", "first", "n").join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", "first", "n", F.coalesce("component", "sid").alias("component"))
+    lowest = label.groupBy("component").agg(F.min("first").alias("lowest"))
+    return rows.select("id", "sid"), sets, written(label.join(lowest, "component").select("sid", "n", "first", "lowest"), "similar-labels")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
+    """(id, component_id) for every row of ``docs``: the smallest id reachable over pairs of at least ``least``.
+
+    Texts with equal shingle sets are one set before any pair is looked at; all texts without a word are one group.
+    Rows whose id is null get the component of their set; an empty table gives an empty result; other columns may
+    have any name.
+    """
+    rows, _, label = _labelled(docs, id_col, text_col, shingle, least)
+    return join_groups(rows, label.select("sid", "n", F.col("lowest.id").alias("component_id")), "sid", "n").select(F.col("id").alias(id_col), "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
+    """One row of each group of ``similar_groups``, whole: that of the smallest id, of equal ids the first in the table.
+
+    Rows without an id come after all others, so one stays only where its group has no row with an id. Repeated rows
+    and texts without a word are groups like any other; an empty table gives an empty result.
+    """
+    _, sets, label = _labelled(docs, id_col, text_col, shingle, least)
+    return sets.join(label.where(F.col("first") == F.col("lowest")).select("sid"), "sid", "left_semi").select("row.*")

@@ -6,7 +6,7 @@ import tiktoken
 from evalkiln.llm import bpe
 
 import test_decontaminate
-import test_simhash
+import test_similar
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark, sf_dir):
         kept.append(docs)
     first, unique, clean, redacted, last = ({r.doc_id: r for r in d.collect()} for d in kept)
     assert all(d.columns == kept[0].columns for d in kept[:4])
-    groups = test_simhash.brute_groups([(i, test_simhash.brute_print(r.text)) for i, r in first.items()])
+    groups = test_similar.brute_groups({i: r.text for i, r in first.items()})  # five-word shingles, 0.8
     assert set(unique) == {i for i in first if groups[i] == i}
     assert set(clean) == {i for i, r in unique.items() if not test_decontaminate.brute(r.text, items)[1]}
     assert set(redacted) == set(clean) == set(last)
@@ -38,6 +38,14 @@ def test_rejections_and_odd_rows(spark, sf_dir):
         if n == 0:
             assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 1]
     assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1]
+    # Columns of the operators' own names, and a very long text.
+    long = "the of and in to is that it was for on as with he be at by " * 3000 + "token=abcdefghijkl"
+    clash = spark.createDataFrame([(1, long, "en", "s", len(long), 1, 2, 3, 4), (2, "the of and in to", "en", "s", 16, 1, 2, 3, 4)], "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, kept int, score int, sid int")
+    for name, stage in C.STAGES:
+        clash = C.written(stage(spark, clash, sf_dir), name)
+        assert name == "byte_bpe" or clash.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "kept", "score", "sid"]
+        assert name != "secret_scans" or clash.where("doc_id = 1").first().text.endswith("at by <assign>")
+    assert clash.count() == 2
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for name, stage in C.STAGES:
         empty = C.written(stage(spark, empty, sf_dir), name)

@@ -47,6 +47,21 @@ def test_stage_drops_near_copies_and_keeps_the_rest(spark, sf_dir):
     assert {r.doc_id for r in C.simhash_near_dedup(spark, docs, sf_dir).collect()} == {i for i, g in groups.items() if i == g}
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    """A copy under an id that another group keeps goes all the same, and equal ids in one group leave one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (8, c + " end"), (9, c.upper()), (None, a), (None, "only here"), (None, "only here"), (11, None), (12, "")]
+    kept = C.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), sf_dir).collect()
+    assert sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept)) == sorted([(3, b), (5, a), (7, c), (0, "only here"), (11, "")])
+
+
+def test_simhash_candidates_are_those_of_operator_8():
+    near = " ".join(f"w{i}" for i in range(2000))
+    one, two = (similar.shingle_print(similar.shingle_set(t)) for t in (near, near.replace("w777 ", "other ")))
+    far = similar.shingle_print(similar.shingle_set(" ".join(f"x{i}" for i in range(2000))))
+    assert (one ^ two).bit_count() <= 4 < ((one ^ far) & (2**64 - 1)).bit_count() and similar.shingle_print(similar.shingle_set("")) == 0
+
+
 def test_exact_fraction_decides():
     a = similar.shingle_set(" ".join(f"w{i}" for i in range(13)))
     assert len(a) == 9 and similar.jaccard_reaches(a[:8], a[:], Fraction(8, 9)) and not similar.jaccard_reaches(a[:7], a, Fraction(4, 5))
@@ -54,4 +69,6 @@ def test_exact_fraction_decides():
 
 def test_edges(spark, edge_docs, no_docs):
     assert similar.similar_groups(edge_docs).count() == edge_docs.count()
-    assert similar.similar_groups(no_docs).count() == 0
+    assert similar.similar_groups(no_docs).count() == 0 == similar.first_of_groups(no_docs).count()
+    clash = edge_docs.withColumnsRenamed({"kept": "sid", "score": "row"})
+    assert similar.first_of_groups(clash).columns == clash.columns
