@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,15 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+#: Where the tables that ``written`` gave are.
+_place: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before the interpreter
             return
 
@@ -62,14 +69,14 @@ atexit.register(_clean)
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there is removed when the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/evalkiln-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    The table survives lost executors and is removed when the driver's interpreter ends.
+    The table survives lost executors. It is removed by ``release``, or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -77,7 +84,29 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None, **o
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _place[out] = path
+    return out
+
+
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """``written``, in buckets of ``by``: later joins on that column don't shuffle these rows again.
+
+    ``df`` is grouped by that column already, so a task writes few buckets.
+    """
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"evalkiln_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    _place[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` or ``bucketed`` gave and that no later action reads."""
+    for df in tables:
+        path = _place.pop(df)
+        _delete(_written.pop(path), path)
 
 
 def carried(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evalkiln.llm.common import written
+from evalkiln.llm.common import release, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # Small star: a node and its smaller neighbours go to the smallest of them.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lowest)
-        now = written(small.distinct(), "cc")
+        last, now = now, written(small.distinct(), "cc")
+        release(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalkiln.llm.common import filled, join_groups, small_batches, written
+from evalkiln.llm.common import bucketed, filled, join_groups, release, small_batches, written
 from evalkiln.llm.components import connected_components
 from evalkiln.llm.simhash import near_pairs
 
@@ -111,10 +111,9 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
             ok = [jaccard_reaches(shingle_set(x, shingle), shingle_set(y, shingle), least) for x, y in zip(pdf["one"], pdf["two"])]
             yield pdf.loc[ok, ["src", "dst"]]
 
-    def verified(candidates: DataFrame, name: str) -> DataFrame:
-        candidates = written(candidates.select("src", "dst"), f"similar-{name}")
+    def verified(candidates: DataFrame) -> DataFrame:
         texts = sets.select("sid", "text")
-        both = candidates.join(texts.toDF("src", "one"), "src").join(texts.toDF("dst", "two"), "dst")
+        both = candidates.select("src", "dst").join(texts.toDF("src", "one"), "src").join(texts.toDF("dst", "two"), "dst")
         return written(both.select("src", "dst", "one", "two").mapInPandas(check, "src bigint, dst bigint"), "similar-links")
 
     # An overlap o reaches the threshold only if o (num + den) >= num (n + m).
@@ -122,9 +121,10 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("by"))
     possible = enough(F.least("at", "by") + rest)
 
-    rows = written(sets.select("sid", "text").mapInPandas(prefixes, "token bigint, sid bigint, n int, at int"), "similar-prefixes", compression="zstd")
-    often = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    rows = written(rows.join(often, "token"), "similar-met", compression="zstd")
+    # A shingle that stands in one set only is dropped where the sets of a shingle meet.
+    rows = sets.select("sid", "text").mapInPandas(prefixes, "token bigint, sid bigint, n int, at int")
+    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    rows = met = written(rows, "similar-met", compression="zstd")
 
     # SimHash: sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet.
     heads = written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "similar-prints")
@@ -138,23 +138,28 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     chain = rows.withColumn("near", F.array(*[F.lag(own, back).over(order) for order in orders for back in (1, 2)]))
     chain = chain.select("sid", "n", "at", F.explode("near").alias("y")).select(F.col("sid").alias("src"), "n", "at", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"))
     chain = chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    links = verified(chain.union(near).union(same).distinct(), "chain")
+    first = written(chain.union(near).union(same).distinct(), "similar-first")
+    links = verified(first)
+    release(first, heads)
 
     # Then every pair that these links leave apart; shingles that stay within one part need no pairs at all.
     part = connected_components(links)
     rows = rows.join(part, rows.sid == part.node, "left").select("token", "sid", "n", "at", F.coalesce("component", "sid").alias("part"))
     across = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    rows = written(rows.join(across, "token"), "similar-across", compression="zstd")
+    rows = apart = written(rows.join(across, "token"), "similar-across", compression="zstd")
     a, b = rows.toDF("token", "src", "n", "at", "part"), rows.toDF("token", "dst", "m", "by", "other")
-    met = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
-    last = met.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.max(F.struct("at", "by", "n", "m")).alias("x")).select("src", "dst", "shared", "x.*")
-    return links.union(verified(last.where(enough(F.col("shared") + rest)), "candidates"))
-
-
-def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, sets, label): id and sid of every row; for each sid its first row; sid, n, component and the id of it."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    meet = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
+    last = meet.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.max(F.struct("at", "by", "n", "m")).alias("x")).select("src", "dst", "shared", "x.*")
+    second = written(last.where(enough(F.col("shared") + rest)).select("src", "dst"), "similar-second")
+    release(met, apart)
+    out = links.union(verified(second))
+    release(second)
+    return out
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(row, id, uid, sid, fp): every row whole, its number, and set id and SimHash of its text."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,15 +167,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, least:
             found = [shingle_set(x, shingle) for x in pdf["text"]]
             yield pdf.drop(columns="text").assign(sid=np.array([set_id(s) for s in found], np.int64), fp=np.array([shingle_print(s) for s in found], np.int64))
 
-    schema = own.drop("text").withColumns({"sid": F.lit(0).cast("bigint"), "fp": F.lit(0).cast("bigint")}).schema
-    rows = written(own.mapInPandas(mark, schema), "similar", compression="zstd")
+    return own.mapInPandas(mark, own.drop("text").withColumns({"sid": F.lit(0).cast("bigint"), "fp": F.lit(0).cast("bigint")}).schema)
+
+
+def _labelled(marked: DataFrame, text_col: str, shingle: int, least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(sets, label): for each sid its first row; for each sid n (rows), first (of the set) and lowest (of its component)."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
-    sets = written(rows.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-sets", compression="zstd")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    links = similar_links(sets.where("sid <> 0").select("sid", "fp", F.col("row")[text_col].alias("text")).repartition(parts, "sid"), shingle, least)
+    parts = max(8, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sets = bucketed(marked.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-sets", "sid", parts)
+    links = similar_links(sets.where("sid <> 0").select("sid", "fp", F.col("row")[text_col].alias("text")), shingle, least)
     label = sets.select("sid", "first", "n").join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", "first", "n", F.coalesce("component", "sid").alias("component"))
     lowest = label.groupBy("component").agg(F.min("first").alias("lowest"))
-    return rows.select("id", "sid"), sets, written(label.join(lowest, "component").select("sid", "n", "first", "lowest"), "similar-labels")
+    return sets, written(label.join(lowest, "component").select("sid", "n", "first", "lowest"), "similar-labels")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
@@ -180,8 +188,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows whose id is null get the component of their set; an empty table gives an empty result; other columns may
     have any name.
     """
-    rows, _, label = _labelled(docs, id_col, text_col, shingle, least)
-    return join_groups(rows, label.select("sid", "n", F.col("lowest.id").alias("component_id")), "sid", "n").select(F.col("id").alias(id_col), "component_id")
+    marked = written(_marked(docs, id_col, text_col, shingle), "similar", compression="zstd")
+    _, label = _labelled(marked, text_col, shingle, least)
+    return join_groups(marked.select("id", "sid"), label.select("sid", "n", F.col("lowest.id").alias("component_id")), "sid", "n").select(F.col("id").alias(id_col), "component_id")
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
@@ -190,5 +199,5 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without an id come after all others, so one stays only where its group has no row with an id. Repeated rows
     and texts without a word are groups like any other; an empty table gives an empty result.
     """
-    _, sets, label = _labelled(docs, id_col, text_col, shingle, least)
+    sets, label = _labelled(_marked(docs, id_col, text_col, shingle), text_col, shingle, least)
     return sets.join(label.where(F.col("first") == F.col("lowest")).select("sid"), "sid", "left_semi").select("row.*")
