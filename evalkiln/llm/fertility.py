@@ -1,9 +1,13 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary says how well it knows a text: characters per token (few, if words fall apart), the share of
-tokens that are single fallback bytes, and the Shannon entropy of the token distribution (low for repetitive text).
-Each has a band per script; a text outside a band of its dominant script is rejected. Plain counts come first: too few
-words, or mostly repeated three-word windows.
+tokens that are single fallback bytes, and the Shannon entropy of the token distribution (low for repetitive text,
+high for random characters). Each has a band per language or script, fitted on the corpus itself: with the quantiles
+q05, q50 and q95 of the texts that pass the plain counts, equal measures counted once, a band reaches from
+q05 - FENCE (q50 - q05) to q95 + FENCE (q95 - q50), and some slack of its own. Noise of a few per cent doesn't move
+the quantiles and lies outside. Bands are those of the script and language label together if there are MIN_FIT such
+texts, else of the script, else of all texts, else the fixed ``BANDS``. Plain counts come first: too few words, or
+mostly repeated three-word windows.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from evalkiln.llm.common import carried, filled, restored, small_batches
+from evalkiln.llm.common import filled, restored, small_batches, written
 
 #: Fixed values of the base rule.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -27,25 +31,31 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 
+#: Fewest texts (of different measures) that a band is fitted on, how far it reaches beyond the quantiles, and slack.
+MIN_FIT = 100
+FENCE = 2.0
+SLACK = {"chars_per_token": 0.0, "byte_share": 0.05, "token_entropy": 0.0}
+CRITERIA = tuple(SLACK)
+
+
 @dataclass(frozen=True)
 class Band:
-    """What is accepted: characters per token within [fewest, most], fallback bytes at most, entropy (bits) at least."""
+    """What is accepted where too few texts were seen: characters per token, fallback bytes and entropy, each (least, most)."""
 
-    fewest: float
-    most: float
-    bytes_at_most: float
-    entropy_at_least: float
+    chars_per_token: tuple[float, float]
+    byte_share: tuple[float, float]
+    token_entropy: tuple[float, float]
 
 
 #: By dominant script. The vocabulary is made for Latin text; it spells others in short pieces or bytes.
 BANDS = {
-    "latin": Band(1.5, 9.0, 0.15, 5.0),
-    "greek": Band(0.6, 6.0, 0.60, 4.0),
-    "cyrillic": Band(0.8, 7.0, 0.40, 4.0),
-    "han": Band(0.25, 3.0, 0.95, 4.0),
-    "kana": Band(0.3, 3.0, 0.95, 4.0),
-    "hangul": Band(0.25, 3.0, 0.98, 4.0),
-    "other": Band(0.2, 9.0, 0.99, 3.0),
+    "latin": Band((1.5, 9.0), (0.0, 0.15), (4.5, 14.0)),
+    "greek": Band((0.6, 6.0), (0.0, 0.60), (4.0, 14.0)),
+    "cyrillic": Band((0.8, 7.0), (0.0, 0.40), (4.0, 14.0)),
+    "han": Band((0.25, 3.0), (0.0, 0.95), (4.0, 14.0)),
+    "kana": Band((0.3, 3.0), (0.0, 0.95), (4.0, 14.0)),
+    "hangul": Band((0.25, 3.0), (0.0, 0.98), (4.0, 14.0)),
+    "other": Band((0.2, 9.0), (0.0, 0.99), (3.0, 14.0)),
 }
 #: Code point ranges of the scripts told apart; letters elsewhere are "other".
 _SCRIPTS = {
@@ -55,6 +65,14 @@ _SCRIPTS = {
     "han": "㐀-䶿一-鿿",
     "kana": "぀-ヿ",
     "hangul": "가-힯ᄀ-ᇿ",
+    "arabic": "\u0600-\u06ff\u0750-\u077f",
+    "hebrew": "\u0590-\u05ff",
+    "devanagari": "\u0900-\u097f",
+    "bengali": "\u0980-\u09ff",
+    "tamil": "\u0b80-\u0bff",
+    "thai": "\u0e00-\u0e7f",
+    "georgian": "\u10a0-\u10ff",
+    "armenian": "\u0530-\u058f",
 }
 _RUNS = {name: re.compile(f"[{ranges}]+") for name, ranges in _SCRIPTS.items()}
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -108,18 +126,36 @@ def measures(text: str | None, path: str) -> tuple:
 COLUMNS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "script": "string", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double"}
 
 
-def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of every row with COLUMNS, base_failed and kept.
+def fitted_bands(measured: DataFrame) -> DataFrame:
+    """(script, lang, n, least and most of each criterion): one row for each group of MIN_FIT texts; a null is "any"."""
+    different = measured.where(~F.col("base_failed")).select("n_words", "word_chars", "script", "lang", *CRITERIA).distinct()
+    group = lambda script, lang: F.struct(script.cast("string").alias("script"), lang.cast("string").alias("lang"))
+    levels = F.array(group(F.col("script"), F.col("lang")), group(F.col("script"), F.lit(None)), group(F.lit(None), F.lit(None)))
+    rows = different.withColumn("level", F.explode(F.array_distinct(levels))).select("level.*", *CRITERIA)
+    quantiles = [F.percentile_approx(c, [0.05, 0.5, 0.95], 10_000).alias(c) for c in CRITERIA]
+    found = rows.groupBy("script", "lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= MIN_FIT)
+    low = lambda c: F.col(c)[0] - FENCE * (F.col(c)[1] - F.col(c)[0]) - SLACK[c]
+    high = lambda c: F.col(c)[2] + FENCE * (F.col(c)[2] - F.col(c)[1]) + SLACK[c]
+    return found.select("script", "lang", "n", F.struct(*[F.struct(low(c).alias("least"), high(c).alias("most")).alias(c) for c in CRITERIA]).alias("band"))
 
-    ``vocabulary`` is the path of a sentencepiece model with byte fallback that every executor can read. Null text
-    has no words and fails, as does empty text. Each text is measured whole and by itself. Columns of the same
-    names are replaced.
-    """
-    small_batches(docs.sparkSession)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*COLUMNS, "base_failed", "kept")]
 
-    df = carried(docs, text_col, keep)
-    fields = ["kept", "__text"] if text_col in keep else ["kept"]
+def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) of every row with COLUMNS, base_failed, outside and kept.
+
+    ``outside`` names the criteria whose band the text leaves, comma-joined; kept is false for it and where the plain
+    counts fail. ``vocabulary`` is the path of a sentencepiece model with byte fallback that every executor can read.
+    Null text has no words and fails, as does empty text. Each text is measured whole; repeated rows agree and count
+    once for the bands. A null or missing language is "any". Columns of the same names are replaced, others may have
+    any name. The measured rows are written in the shared folder, as they are read twice.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    new = ("base_failed", "outside", "kept")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*COLUMNS, *new)]
+    rest = [c for c in keep if c != text_col]
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    df = docs.select(F.struct(*rest).alias("kept") if rest else F.lit(None).cast("int").alias("kept"), F.col(text_col).alias("__text"), lang.alias("lang"))
+    fields = ["kept", "lang", *(["__text"] if text_col in keep else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
@@ -128,16 +164,29 @@ def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list
 
     out = df.mapInPandas(run, df.select(*fields).withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS.items()}).schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    inside = F.lit(False)
-    for script, b in BANDS.items():
-        ok = F.col("chars_per_token").between(b.fewest, b.most) & (F.col("byte_share") <= b.bytes_at_most) & (F.col("token_entropy") >= b.entropy_at_least)
-        inside = inside | ((F.col("script") == script) & ok)
-    return restored(out.withColumns({"base_failed": failed, "inside": ~failed & inside}), text_col, keep, *COLUMNS, "base_failed", "inside").withColumnRenamed("inside", "kept")
+    out = written(out.withColumn("base_failed", failed), "fertility")
+
+    bands = written(fitted_bands(out), "bands")  # one row for each script and label, and of these only the frequent
+    exact, wide = F.broadcast(bands.where("lang is not null").select("script", "lang", F.col("band").alias("exact"))), F.broadcast(bands.where("lang is null and script is not null").select("script", F.col("band").alias("wide")))
+    of_all = F.broadcast(bands.where("script is null").select(F.col("band").alias("of_all")))
+    pair = lambda x: F.struct(F.lit(x[0]).alias("least"), F.lit(x[1]).alias("most"))
+    fixed = F.coalesce(*[F.when(F.col("script") == s, F.struct(*[pair(getattr(b, c)).alias(c) for c in CRITERIA])) for s, b in BANDS.items()], F.struct(*[pair(getattr(BANDS["other"], c)).alias(c) for c in CRITERIA]))
+    out = out.join(exact, ["script", "lang"], "left").join(wide, "script", "left").join(of_all, F.lit(True), "left")
+    out = out.withColumn("band", F.coalesce("exact", "wide", "of_all", fixed))
+    outside = F.array_join(F.array_compact(F.array(*[F.when(~F.col(c).between(F.col("band")[c]["least"], F.col("band")[c]["most"]), c) for c in CRITERIA])), ",")
+    out = out.withColumn("outside", F.when(F.col("n_words") > 0, outside).otherwise("")).withColumn("verdict", ~F.col("base_failed") & (F.col("outside") == ""))
+    return restored(out, text_col, keep, *COLUMNS, "base_failed", "outside", "verdict").withColumnRenamed("verdict", "kept")
+
+
+def rejections(measured: DataFrame) -> DataFrame:
+    """(rule, texts): how many rows the plain counts and each criterion reject; a row may count for several criteria."""
+    rules = F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.split("outside", ","))
+    return measured.select(F.explode(rules).alias("rule")).where("rule <> ''").groupBy("rule").agg(F.count("*").alias("texts"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = measure(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "byte_share", "token_entropy")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *CRITERIA, "outside")

@@ -1,8 +1,11 @@
+import math
+import random
 import re
 from collections import Counter
 
 import public_tokenizers as P
 import pytest
+import sentencepiece
 
 from evalkiln.llm import fertility as Q
 
@@ -34,14 +37,86 @@ def test_query_equals_brute_force(spark, sf_dir):
         assert r.base_failed == (n < 50 or 100 * again > 50 * n) and not (r.kept and r.base_failed)
 
 
-def test_bands_reject_what_the_vocabulary_cannot_read(spark):
+def brute_kept(rows):
+    """id -> criteria outside their bands, from (id, text, lang): bands by sorting, level by level."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    found = {}
+    for i, text, lang in rows:
+        n, chars, _, _, again = brute(text)
+        ids = model.encode(text or "")
+        share = [c / len(ids) for c in Counter(ids).values()]
+        values = (len(text) / len(ids), sum(map(model.is_byte, ids)) / len(ids), -sum(p * math.log2(p) for p in share)) if ids else (0.0, 0.0, 0.0)
+        found[i] = (n, chars, Q.script_of(text or ""), lang, tuple(round(v, 9) for v in values), n < 50 or 100 * again > 50 * n)
+    seen = {}
+    for n, chars, script, lang, values, failed in set(found.values()):
+        if not failed:
+            for level in {(script, lang), (script, None), (None, None)}:
+                seen.setdefault(level, []).append(values)
+    out = {}
+    for i, (n, _, script, lang, values, failed) in found.items():
+        level = next((x for x in ((script, lang), (script, None), (None, None)) if (lang or x[1] is None) and len(seen.get(x, [])) >= 100), None)
+        bad = []
+        for k, name in enumerate(("chars_per_token", "byte_share", "token_entropy")):
+            if level:
+                own = sorted(v[k] for v in seen[level])
+                a, b, c = (own[math.ceil(p * len(own)) - 1] for p in (0.05, 0.5, 0.95))
+                slack = 0.05 * (k == 1)
+                low, high = a - 2 * (b - a) - slack, c + 2 * (c - b) + slack
+            else:
+                low, high = getattr(Q.BANDS.get(script, Q.BANDS["other"]), name)
+            if n and not low - 1e-6 <= values[k] <= high + 1e-6:
+                bad.append(name)
+        out[i] = (",".join(bad), not failed and not bad, values)
+    return out
+
+
+def noise():
+    """Letters at random, code points at random, bytes read as Latin letters, loops of three words; 60 words and more each."""
+    rng = random.Random(1)
+    word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9)))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [low, low.upper(), "".join(map(chr, range(0x4E00, 0x9FFF))), "".join(map(chr, range(0xC0, 0x180))), "".join(map(chr, range(33, 127)))]
+    return [" ".join(word(k) for _ in range(300)) for k in kinds] + [" ".join(chr(0x2800 + rng.randint(0, 200)) * 3 for _ in range(80))]
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """The documents of the 0.01 table, with noise, a text of which there are very many copies, and null languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    clean = {i for i, _, _ in rows}
+    rows += [(10_000 + i, t, "en") for i, t in enumerate(noise())] + [(20_000 + i, rows[5][1], "en") for i in range(300)] + [(30_000, rows[7][1], None), (30_001, None, "en"), (30_002, "", None)]
+    path = tmp_path_factory.mktemp("fertility")
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    return str(path), rows, clean
+
+
+def test_query_equals_brute_force_with_bands(spark, table):
+    path, rows, _ = table
+    want = brute_kept(rows)
+    got = Q.op10_quality_rules(spark, path).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        outside, kept, values = want[r.doc_id]
+        assert (r.outside, r.kept) == (outside, kept), r
+        assert all(abs(a - b) < 1e-6 for a, b in zip((r.chars_per_token, r.byte_share, r.token_entropy), values))
+
+
+def test_bands_reject_noise_and_leave_clean_texts(spark, table):
+    path, rows, clean = table
+    got = Q.op10_quality_rules(spark, path).collect()
+    assert all(not r.kept for r in got if 10_000 <= r.doc_id < 10_000 + len(noise()))
+    assert sum(bool(r.outside) and not r.base_failed for r in got if r.doc_id in clean) <= 0.01 * len(clean)
+    counts = {r.rule: r.texts for r in Q.rejections(Q.op10_quality_rules(spark, path)).collect()}
+    assert set(counts) == {"base", *Q.CRITERIA} and counts["chars_per_token"] >= 3
+
+
+def test_fixed_bands_where_there_are_few_texts(spark):
     prose = "In the morning the old keeper climbed the tower, wrote the wind and the height of the sea in his book, and looked for ships that had left the harbour the day before. " * 2
-    noise = " ".join(chr(0x2800 + i % 200) * 3 for i in range(80))
     few = " ".join(["ab", "ba"][(i * i) % 7 % 2] for i in range(90))
-    rows = [(1, prose), (2, noise + " x"), (3, few), (4, None)]
+    rows = [(1, prose), (2, " ".join(chr(0x2800 + i % 200) * 3 for i in range(80)) + " x"), (3, few), (4, None)]
     found = {r.doc_id: r for r in Q.measure(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH).collect()}
-    assert not found[1].base_failed or found[1].n_repeat_words
-    assert not found[2].kept and not found[3].kept and not found[4].kept and found[4].base_failed
+    assert found[1].outside == "" and not found[3].kept and not found[4].kept and found[4].base_failed
 
 
 def test_scripts():
@@ -49,6 +124,8 @@ def test_scripts():
 
 
 def test_edges(spark, edge_docs, no_docs):
+    clash = edge_docs.withColumnsRenamed({"kept": "band", "score": "exact"})
+    assert {"band", "exact"} <= set(Q.measure(clash, PATH).columns) and Q.measure(clash, PATH).count() == edge_docs.count()
     out = Q.measure(edge_docs.drop("kept"), PATH)
     assert out.count() == edge_docs.count() and out.where("text is null").first().n_words == 0
     assert Q.measure(edge_docs, PATH).count() == edge_docs.count() and Q.measure(no_docs, PATH).count() == 0
