@@ -4,6 +4,11 @@ A page becomes a flat list of text blocks in page order. A block is described by
 density, by those of the blocks before and after it, and by the elements around it. A decision tree, trained with
 pyspark.ml on the blocks of the small labelled pages in ``labelled_pages.py``, keeps or drops each block. The tree has a bounded
 depth; its nodes go to the tasks as a few tuples.
+
+What the elements say is a feature among others, never a gate. Names such as "sidebar" count for the elements of
+regions only (not for paragraphs, whose own class is another feature), up to the nearest ``main`` or ``article``; a
+region that holds one of these, or the page's first heading, is a wrapper and says nothing; and the share of the
+page's words that lie in a region is a feature too.
 """
 
 from __future__ import annotations
@@ -30,20 +35,38 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("head script style noscript template svg math iframe object canvas audio video select button textarea datalist".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog search".split())
+#: Of these what is inside is no article even if it is marked as one.
+OUTER = frozenset("nav footer aside menu dialog search".split())
 MAIN = frozenset("article main".split())
+#: Elements that are texts, not regions: their class describes one block.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr blockquote pre figcaption caption span a b i em strong small label q cite code time".split())
+#: Classes of an ``article`` that is a comment or a teaser of another text.
+_MINOR = re.compile(r"(?:^|[^a-z])(?:comments?|repl(?:y|ies)|related|teasers?|promo\w*|cards?|widgets?|recommend\w*)(?![a-z])")
 _HINT = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|side-?bar|aside|rail|widget\w*|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|comments?|commentlist|disqus|replies|reply|respond|share\w*|sharing|social\w*|related|recommend\w*|trending|tags?|pagination|pager|toolbar|toc|copyright|legal|disclaimer|paywall|search\w*|form|author-?bio|byline-?box|navigation|contentinfo|complementary)(?![a-z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "main", "heading", "item", "sentences", "after_heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "furniture", "share", "outer", "named", "heading", "item", "sentences", "after_heading")
+
+
+class Region:
+    """An element that may hold no main text: how many words it has, and whether it holds a main element or first heading."""
+
+    __slots__ = ("words", "element", "main", "first_heading")
+
+    def __init__(self, element: bool):
+        self.words, self.element, self.main, self.first_heading = 0, element, False, False
+
+    def wrapper(self) -> bool:
+        return self.main or not self.element and self.first_heading
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "furniture", "main", "heading", "item", "label")
+    __slots__ = ("text", "words", "linked", "regions", "main", "outer", "named", "heading", "item", "label")
 
-    def __init__(self, text: str, linked: int, around: dict[str, int], tag: str, label: int):
-        self.text, self.words, self.linked = text, text.count(" ") + 1, linked
-        self.furniture, self.main = min(around["furniture"], 1), min(around["main"], 1)
+    def __init__(self, text: str, linked: int, regions: tuple[Region, ...], around: Counter, tag: str, label: int):
+        self.text, self.words, self.linked, self.regions = text, text.count(" ") + 1, linked, regions
+        self.main, self.outer, self.named = min(around["main"], 1), min(around["outer"], 1), min(around["named"], 1)
         self.heading, self.item, self.label = int(len(tag) == 2 and tag[0] == "h" and tag != "hr"), int(tag in ("li", "dd", "dt", "td", "th")), label
 
 
@@ -52,23 +75,29 @@ def _roles(name: str, attributes: str, inside_main: bool) -> tuple[str, ...]:
     if name in UNSEEN:
         roles.append("unseen")
     if name in FURNITURE and not (name == "header" and inside_main):
-        roles.append("furniture")
-    if name in MAIN:
-        roles.append("main")
+        roles.append("element")
+        if name in OUTER:
+            roles.append("outer")
     if name == "a":
         roles.append("link")
+    main = name in MAIN
     if attributes:
         got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)}
         said = " ".join(got.get(k, "") for k in ("class", "id", "role")).lower()
-        if said and name not in ("html", "body") and name not in MAIN and _HINT.search(said):
-            roles.append("furniture")
-        elif said and re.search(r"(?:^|\s)main(?:\s|$)", got.get("role", "").lower()):
-            roles.append("main")
+        if name == "article" and _MINOR.search(said):
+            main = False
+            roles.append("hint")
+        elif not main and re.search(r"(?:^|\s)main(?:\s|$)", got.get("role", "").lower()):
+            main = True
+        elif said and name not in ("html", "body") and not main and _HINT.search(said):
+            roles.append("named" if name in TEXTUAL else "hint")
         style = got.get("style", "").lower().replace(" ", "")
         if re.search(r"(?:^|[\s\"'])hidden(?=$|[\s=/])", attributes.lower()) and "hidden" not in got.get("class", "") or "display:none" in style or "visibility:hidden" in style or got.get("aria-hidden", "").lower() == "true":
             roles.append("unseen")
         if "data-main" in attributes:
             roles.append("label")
+    if main:
+        roles.append("main")
     return tuple(roles)
 
 
@@ -77,6 +106,7 @@ def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    scopes: list[list[Region]] = [[]]  # the regions around, in one list for each main element around them
     open_tags, around = Counter(), Counter()
     text: list[str] = []
     linked, at, end, tag = 0, 0, len(page), ""
@@ -85,7 +115,11 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            out.append(Block(joined, min(linked, joined.count(" ") + 1), around, tag, int(around["label"] > 0)))
+            block = Block(joined, min(linked, joined.count(" ") + 1), tuple(scopes[-1]), around, tag, int(around["label"] > 0))
+            out.append(block)
+            for region in (r for scope in scopes for r in scope):
+                region.words += block.words
+                region.first_heading |= tag == "h1"
         text.clear()
         linked = 0
 
@@ -94,6 +128,10 @@ def blocks_of(page: str | None) -> list[Block]:
         open_tags[name] -= 1
         for r in roles:
             around[r] -= 1
+        if "main" in roles:
+            scopes.pop()
+        elif "element" in roles or "hint" in roles:
+            scopes[-1].pop()
 
     while at < end:
         if page[at] != "<":
@@ -148,10 +186,14 @@ def blocks_of(page: str | None) -> list[Block]:
         open_tags[name] += 1
         for r in roles:
             around[r] += 1
+        if "main" in roles:
+            for region in (r for scope in scopes for r in scope):
+                region.main = True
+            scopes.append([])
+        elif "element" in roles or "hint" in roles:
+            scopes[-1].append(Region("element" in roles))
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            if name == "title" and not around["unseen"]:
-                pass
             at = close.start() if close else end
     flush()
     return out
@@ -164,19 +206,22 @@ def features(blocks: list[Block]) -> np.ndarray:
     words = np.array([0, *(b.words for b in blocks), 0], float)
     links = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
     heading = np.array([0, *(b.heading for b in blocks)], float)
-    own = np.array([[b.furniture, b.main, b.heading, b.item, min(5, sum(b.text.count(c) for c in (". ", "! ", "? ")) + (b.text[-1] in ".!?"))] for b in blocks], float)
+    whole = max(1, sum(b.words for b in blocks))
+    real = [[r for r in b.regions if not r.wrapper()] for b in blocks]
+    own = np.array([[b.main, int(bool(rs)), max((r.words for r in rs), default=0) / whole, b.outer, b.named, b.heading, b.item, min(5, sum(b.text.count(c) for c in (". ", "! ", "? ")) + (b.text[-1] in ".!?"))] for b, rs in zip(blocks, real)], float)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own, heading[:-1]])
 
 
+def labelled_rows() -> list[tuple[int, np.ndarray]]:
+    """(label, features) of every block of the labelled pages."""
+    return [(b.label, x) for page in PAGES for blocks in (blocks_of(page),) for b, x in zip(blocks, features(blocks))]
+
+
 @lru_cache(maxsize=4)
-def trained_tree(spark: SparkSession, depth: int = 6) -> tuple:
+def trained_tree(spark: SparkSession, depth: int = 8) -> tuple:
     """The tree as nested tuples (feature, threshold, left, right) with 0.0 or 1.0 as leaves."""
-    rows = []
-    for page in PAGES:
-        blocks = blocks_of(page)
-        rows += [(float(b.label), Vectors.dense(x)) for b, x in zip(blocks, features(blocks))]
-    table = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=2, seed=1).fit(table)
+    table = spark.createDataFrame([(float(label), Vectors.dense(x)) for label, x in labelled_rows()], ["label", "features"]).coalesce(1)
+    model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=1).fit(table)
 
     def nodes(node) -> tuple | float:
         if node.subtreeDepth() == 0:
@@ -186,6 +231,14 @@ def trained_tree(spark: SparkSession, depth: int = 6) -> tuple:
     return nodes(model._call_java("rootNode"))
 
 
+def described(tree: tuple | float, depth: int = 0) -> str:
+    """The tree as text, one line for each node."""
+    if not isinstance(tree, tuple):
+        return "  " * depth + ("keep" if tree > 0.5 else "drop")
+    feature, threshold, left, right = tree
+    return "\n".join(["  " * depth + f"{FEATURES[feature]} <= {threshold:.3g}", described(left, depth + 1), described(right, depth + 1)])
+
+
 def classify(tree: tuple | float, x: np.ndarray) -> np.ndarray:
     if not isinstance(tree, tuple):
         return np.full(len(x), tree > 0.5)
@@ -200,25 +253,27 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
     """The columns ``keep`` (default: all but the html) of every page with its main text.
 
     The text is the kept blocks in page order, joined by an empty line; empty for null, empty and text-free pages.
-    A column named ``text_col`` is replaced. Each page is judged by itself, so repeated rows agree.
+    A column named ``text_col`` is replaced, others may have any name. Each page is judged by itself, so repeated
+    rows agree; pages are read whole, whatever their length. ``keep=[]`` leaves the text alone.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    keep = [c for c in (keep or [c for c in pages.columns if c != html_col]) if c != text_col]
+    keep = [c for c in ([c for c in pages.columns if c != html_col] if keep is None else keep) if c != text_col]
     tree = trained_tree(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
-            found = [blocks_of(x) for x in pdf["__html"]]
+            found = [blocks_of(x) for x in pdf["__text"]]
             kept = classify(tree, np.vstack([np.empty((0, len(FEATURES))), *map(features, found)]))
             at, texts = 0, []
             for blocks in found:
                 texts.append("\n\n".join(b.text for b, k in zip(blocks, kept[at : at + len(blocks)]) if k))
                 at += len(blocks)
-            yield pdf.drop(columns="__html").assign(**{text_col: texts})
+            yield pdf[["kept"]].assign(found=texts)
 
-    df = pages.select(*keep, F.col(html_col).alias("__html"))
-    return df.mapInPandas(run, df.drop("__html").withColumn(text_col, F.lit("")).schema)
+    df = pages.select(F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.col(html_col).alias("__text"))
+    out = df.mapInPandas(run, df.select("kept").withColumn("found", F.lit("")).schema)
+    return out.select(*[F.col("kept")[c].alias(c) for c in keep], F.col("found").alias(text_col))
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

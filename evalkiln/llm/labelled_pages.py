@@ -54,4 +54,26 @@ PAGES = (
     f"<body>{_p(2)}</body>",
     f"<body>{_NAV}<main>{_p(5)}<p data-main>Serve.</p></main></body>",
     f"<body><div>{_p(1, 2)}{_p(3)}<p data-main>End of it.</p></div></body>",
+    # Names of regions on wrappers of the whole page, forms around everything, and paragraphs with such names.
+    f"<body>{_NAV}<div class='layout with-sidebar'><article><h1 data-main>Reeds</h1>{_p(0)}{_p(2)}</article>{_SIDE}</div>{_FOOT}</body>",
+    f"<body><div class='page header-fixed'>{_NAV}<div class='content-with-rail'><h1 data-main>Slate</h1>{_p(1)}{_p(3)}<p data-main>Cut by hand.</p></div><div class='rail'><h3>More</h3>{_list('Lime', 'Clay')}<p>Get our letter with news of stone.</p></div></div>{_FOOT}</body>",
+    f"<body><form id='aspnetForm' action='/'><div>{_list('Start', 'Map')}</div><div class='main-content'><h1 data-main>Tides</h1>{_p(2)}{_p(0, 2)}{_p(3)}</div><div id='footer'>Made in the north.</div></form></body>",
+    f"<body class='has-sidebar'><div id='form1' class='form-wrapper nav-open'><h1 data-main>Moss</h1>{_p(0, 2)}{_p(5)}</div><div class='search'><label>Search</label></div></body>",
+    f"<body>{_NAV}<article><h1 data-main>Oats</h1><p class='tags-intro' data-main>{_LOREM[2]} {_LOREM[0]}</p>{_p(1)}<p class='share-note'>Share this</p><p class='tags'><a href='/o'>oats</a> <a href='/f'>fields</a></p></article>{_FOOT}</body>",
+    f"<body>{_NAV}<main><h1 data-main>Kelp</h1><p class='related-question' data-main>{_LOREM[5]}</p>{_p(3)}<p class='copyright'>Copyright 2021 The Harbour Post</p></main>{_FOOT}</body>",
+    f"<body><div class='sidebar-left layout'><div class='sidebar-left-inner'><article>{_p(1, 2)}{_p(2)}</article></div></div>{_FOOT}</body>",
+    f"<body><div class='widget-area notice-board'><main><h1 data-main>Rope</h1>{_p(3)}{_p(4)}</main></div><div class='notice'><p>The shop is closed on Monday and opens again on Tuesday at nine.</p></div></body>",
+    # Linked paragraphs and link lists inside the article.
+    f"<body>{_NAV}<article><h1 data-main>Sources</h1>{_p(0)}<p data-main><a href='/r'>{_LOREM[1]}</a></p>{_p(2)}<p data-main><a href='/q'>The full report of the council</a></p></article>{_FOOT}</body>",
+    f"<body>{_NAV}<article><h1 data-main>Links</h1>{_p(3)}<ul><li data-main><a href='/1'>Plan of the tower</a></li><li data-main><a href='/2'>Costs of the stone, by year</a></li></ul><p data-main><a href='/z'>Read on at the library</a></p>{_p(0)}</article>{_SIDE}{_FOOT}</body>",
+    f"<body>{_ADVERT}<main><h1 data-main>A list</h1><ol><li data-main>{_LOREM[4]}</li><li data-main><a href='/k'>Keep the lamp dry</a></li><li data-main>Oil</li></ol>{_p(5)}</main>{_COMMENTS}</body>",
+    # Articles that are teasers or comments; long comments after a short text.
+    f"<body>{_NAV}<article><h1 data-main>Gulls</h1>{_p(1)}{_p(0)}</article><aside><article><h3>Ferry late again</h3><p>Passengers waited for two hours on the pier, and no one told them why.</p></article><article><h3>Walks</h3><p>Ten walks by the sea for days without rain, all of them short.</p></article></aside>{_FOOT}</body>",
+    f"<body>{_NAV}<main><article><h1 data-main>Nets</h1>{_p(3)}</article><div class='comments'>" + "".join(f"<article class='comment'><p>{x}</p></article>" for x in (_LOREM[0], _LOREM[2], _LOREM[1])) + f"</div></main>{_FOOT}</body>",
+    f"<body>{_NAV}<div class='post'><h1 data-main>Salt</h1>{_p(4)}{_p(0)}</div><div id='comments' class='comment-list'>" + "".join(f"<div class='comment'><p>{x} {y}</p></div>" for x, y in zip(_LOREM, _LOREM[1:])) + f"</div>{_FOOT}</body>",
+    f"<body>{_NAV}<main><h1 data-main>Today</h1>{_p(2, 2)}</main><div class='related'><article class='card'><h4>Bridge closed</h4><p>For a month nobody can cross the river here, says the council.</p></article></div>{_FOOT}</body>",
+    f"<body>{_NAV}<article><h1 data-main>Ducks</h1><p data-main>They swim.</p><div class='newsletter'><p>Get the news by mail every morning before seven. No charge at all.</p></div><p data-main>They also fly.</p>{_p(2)}<div class='ad'>Boots for half the price, this week only in our store by the pier.</div>{_p(1)}</article>{_FOOT}</body>",
+    f"<body>{_COOKIE}{_NAV}<article><header><h1 data-main>Fog</h1><p data-main>{_LOREM[4]}</p></header>{_p(0)}<footer><p>Written by the harbour desk</p></footer></article>{_COMMENTS}{_FOOT}</body>",
+    f"<body>{_NAV}<article><h1 data-main>Ports</h1>{_p(2)}<p data-main><a href='/p'>{_LOREM[0]}</a></p>{_p(3)}</article></body>",
+    f"<body>{_NAV}<main><h1 data-main>Piers</h1>{_p(0)}<p data-main><a href='/p'>{_LOREM[1]}</a></p>{_p(4)}</main></body>",
 )
