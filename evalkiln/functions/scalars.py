@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 
@@ -20,8 +23,10 @@ def oriented(score: Column, lower_is_better: bool) -> Column:
 
 
 def exact(c: Column) -> Column:
-    """The shortest decimal of a double, exactly."""
-    return c.cast("string").cast("decimal(38,18)")
+    """The shortest decimal of a double, to 18 places; zero, or a size from 1e-18 to below 1e20. Others are refused, not bent."""
+    d = c.cast("string").try_cast("decimal(38,18)")
+    bent = d.isNull() | ((d == 0) & (c != 0))
+    return F.when(c.isNotNull() & bent, F.raise_error(F.concat(F.lit("outside the exact range of 1e-18 to 1e20: "), c.cast("string"))).cast("decimal(38,18)")).otherwise(d)
 
 
 def conformal_rank(n: Column, coverage: Column) -> Column:
@@ -52,11 +57,15 @@ def snv(vector: Column) -> Column:
     return F.transform(F.array(centred), scaled)[0]
 
 
-#: Which role the nodes of a chain play.
+#: Which role the nodes of a chain play. All other kinds are "other".
 CHAIN_ROLES = {
-    "transform": "preprocessing", "y_transform": "target", "feature_join": "preprocessing", "concat_transform": "preprocessing",
-    "augmentation": "augmentation", "split": "split", "model": "model", "tuner": "model", "prediction_join": "model",
-    "mixed_join": "model", "chart": "other", "tag": "filter", "exclude": "filter", "filter": "filter",
+    "transform": "preprocessing",
+    "y_transform": "target",
+    "split": "split",
+    "model": "model",
+    "augmentation": "augmentation",
+    "feature_join": "feature",
+    "source_join": "feature",
 }
 
 
@@ -66,10 +75,30 @@ def chain_role(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit("other"))
 
 
+#: What names of classes say about an operator, the first kind that fits. Of the whole dotted name, in
+#: lower case: its start, all of it, or a part; of its last piece: a part, its end, or all of it.
+ALIASES = {
+    "chart": {"starts": ("chart_",), "is": ("chart",), "holds": (".charts.", ".visualization.")},
+    "tuner": {"holds": (".tuners.", ".tuning.", "operators.tuners", "optuna", "ray.tune", "hyperopt"), "last_ends": ("tuner", "searchcv")},
+    "split": {
+        "holds": ("model_selection", ".splitters.", "operators.splitters"), "last_holds": ("splitter",), "last_ends": ("fold", "split"),
+        "last_is": ("leaveoneout", "leavepout"),
+    },
+    "model": {
+        "holds": (".models.", "operators.models", "linear_model", "cross_decomposition", ".ensemble.", ".svm.", ".tree.", ".neighbors.", ".neural_network.", "xgboost", "lightgbm", "catboost"),
+        "last_ends": ("regressor", "classifier", "regression"),
+        "last_is": ("ridge", "lasso", "elasticnet", "svr", "svc", "linearsvr", "linearsvc", "pls", "plsr", "metamodel"),
+    },
+}
+
+
 def alias_kind(name: Column) -> Column:
-    """What an operator's class name says about its kind."""
-    n = F.lower(name)
-    return (
-        F.when(n.rlike(r"(kfold|split|shufflesplit)$"), "split").when(n.rlike(r"(searchcv|tuner|finetuner)$"), "tuner").when(n.rlike(r"(chart|plot)"), "chart")
-        .when(n.rlike(r"(regressor|classifier|regression|ridge|lasso|svr|svc|pls)$"), "model").otherwise("transform")
-    )
+    """What an operator's class name says about its kind: the first of ALIASES that fits, else ``transform``."""
+    whole = F.lower(name)
+    last = F.regexp_extract(whole, r"([^.:]*)$", 1)
+    tests = {
+        "starts": lambda x: whole.startswith(x), "is": lambda x: whole == x, "holds": lambda x: whole.contains(x),
+        "last_holds": lambda x: last.contains(x), "last_ends": lambda x: last.endswith(x), "last_is": lambda x: last == x,
+    }
+    kinds = [F.when(reduce(or_, [tests[how](x) for how, values in rules.items() for x in values]), kind) for kind, rules in ALIASES.items()]
+    return F.coalesce(*kinds, F.lit("transform"))

@@ -44,13 +44,17 @@ def apply(predictions: DataFrame, radii: DataFrame) -> DataFrame:
 
 
 def metrics(intervals: DataFrame, keys: tuple[str, ...] = ("coverage",)) -> DataFrame:
-    """Empirical coverage, its gap, mean and median width and the Winkler score; null widths where unbounded."""
+    """Empirical coverage, its gap, mean and median width and the Winkler score.
+
+    Widths and score are null where any interval of the group is unbounded: a mean of the bounded ones would flatter.
+    """
     miss = F.when(F.col("y") < F.col("lower"), F.col("lower") - F.col("y")).when(F.col("y") > F.col("upper"), F.col("y") - F.col("upper")).otherwise(0.0)
     width = F.col("upper") - F.col("lower")
     inside = F.when(F.col("lower").isNull(), 1.0).when((F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper")), 1.0).otherwise(0.0)
+    bounded = lambda c: F.when(F.count_if(width.isNull()) == 0, c)
     out = intervals.groupBy(*dict.fromkeys([*keys, "coverage"])).agg(
-        F.count("*").alias("n"), F.avg(inside).alias("empirical"), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"),
-        F.avg(width + 2.0 / (1 - F.col("coverage")) * miss).alias("winkler"),
+        F.count("*").alias("n"), F.avg(inside).alias("empirical"), bounded(F.avg(width)).alias("mean_width"), bounded(F.median(width)).alias("median_width"),
+        bounded(F.avg(width + 2.0 / (1 - F.col("coverage")) * miss)).alias("winkler"),
     )
     return out.withColumn("gap", F.col("empirical") - F.col("coverage"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalkiln.checks import OofLeakage, OofValidation, strict
 
@@ -50,11 +50,38 @@ def oof_wide(predictions: DataFrame, columns: list[tuple[str, str]]) -> DataFram
     return predictions.groupBy("sample_id").agg(*picked)
 
 
+def campaign_violations(predictions: DataFrame, members: DataFrame, universe: DataFrame, resampled: bool = False) -> DataFrame:
+    """(rule, producer, partition, fold_id, sample_id, problem): everything that forbids the join, as one table, so that one job finds it.
+
+    Rules: ``leakage`` (a block that isn't of a validation partition), ``fold`` (rows missing or extra in a block),
+    ``coverage`` (a producer without every sample exactly once) and ``value`` (a prediction that is null or not finite).
+    """
+    def label(rule: str, df: DataFrame, problem: Column) -> DataFrame:
+        own = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("producer", "partition", "fold_id", "sample_id")]
+        return df.select(F.lit(rule).alias("rule"), *own, problem.cast("string").alias("problem"))
+
+    rows = predictions.select("producer", "partition", "fold_id", "sample_id", "value")
+    not_finite = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    return (
+        label("leakage", leakage_violations(rows), F.lit("not of a validation partition"))
+        .unionByName(label("fold", fold_mismatch(rows, members), F.col("problem")))
+        .unionByName(label("coverage", coverage(rows, universe, resampled).where("complete = 0"), F.format_string("%d missing, %d extra, %d repeated", "n_missing", "n_extra", "n_repeated")))
+        .unionByName(label("value", rows.where(not_finite), F.col("value")))
+    )
+
+
+def check_campaign(predictions: DataFrame, members: DataFrame, universe: DataFrame, resampled: bool = False) -> None:
+    """Raise OofLeakage or OofValidation if anything forbids the join; one job over all rules."""
+    bad = campaign_violations(predictions, members, universe, resampled).orderBy(F.col("rule") != "leakage", "rule").limit(20).collect()
+    if bad:
+        error = OofLeakage if bad[0].rule == "leakage" else OofValidation
+        raise error(f"{bad[0].rule}: {[r.asDict() for r in bad]}", bad)
+
+
 def oof_campaign(predictions: DataFrame, members: DataFrame, universe: DataFrame, columns: list[tuple[str, str]], resampled: bool = False) -> DataFrame:
-    """Check leakage, folds and coverage, then join. Raises before anything is joined."""
-    strict(leakage_violations(predictions), OofLeakage, "blocks that aren't out of fold")
-    strict(fold_mismatch(predictions, members), OofValidation, "blocks that don't match their fold")
-    strict(coverage(predictions, universe, resampled).where("complete = 0"), OofValidation, "incomplete coverage")
+    """Check leakage, folds, coverage and values of every target, then join. Raises before anything is joined."""
+    for target in dict.fromkeys(t for _, t in columns):
+        check_campaign(predictions.where(F.col("target") == target), members, universe, resampled)
     return oof_wide(predictions, columns)
 
 

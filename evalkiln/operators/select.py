@@ -13,10 +13,18 @@ def candidate_violations(candidates: DataFrame) -> DataFrame:
 
 
 def rank(candidates: DataFrame, lower_is_better: bool = True, group: str | None = None) -> DataFrame:
-    """Candidates with their rank from 1, best first; ties by id. Candidates are few: one per variant or producer."""
+    """Candidates with their rank from 1, best first; ties by id. Candidates are few: one per variant or producer.
+
+    A missing or non-finite value and a candidate that stands twice in its group are refused: the ranks themselves
+    raise, so the refusal can't be pruned and needs no job of its own. An empty table gives an empty result.
+    """
     order = F.col("value").asc() if lower_is_better else F.col("value").desc()
-    window = (Window.partitionBy(group) if group else Window).orderBy(order, "candidate_id")
-    return candidates.withColumn("rank", F.row_number().over(window))
+    parts = [group] if group else []
+    window = Window.partitionBy(*parts).orderBy(order, "candidate_id")
+    same = F.count("*").over(Window.partitionBy(*parts, "candidate_id"))
+    bad = F.when(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")), "candidate without a finite value: ").when(same > 1, "repeated candidate: ")
+    refused = F.raise_error(F.concat(F.lit("campaign_validation: "), bad, F.coalesce(F.col("candidate_id").cast("string"), F.lit("null")))).cast("int")
+    return candidates.withColumn("rank", F.when(bad.isNotNull(), refused).otherwise(F.row_number().over(window)))
 
 
 def top_k(candidates: DataFrame, k: int = 1, lower_is_better: bool = True, group: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from itertools import combinations, permutations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,6 +17,8 @@ from evalkiln.functions.hashing import seed_key
 
 #: More variants than this are refused, not cut.
 MAX_VARIANTS = 1_000_000
+#: Fixed value: the longest range of a parameter.
+MOST_IN_A_RANGE = 10_000
 
 
 def dimension(spark: SparkSession, name: str, values: list) -> DataFrame:
@@ -59,7 +62,7 @@ def constrain(space: DataFrame, mutex: list[list[Column]] = (), requires: list[t
 
 def identify(space: DataFrame, names: list[str], seed: int) -> DataFrame:
     """Variants with fingerprint, variant_id and seed (16 hex digits)."""
-    text = F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.col(n)) for n in sorted(names)])
+    text = F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})  # unlike joined text, no two choices give the same
     out = space.withColumn("fingerprint", F.sha2(text, 256))
     return out.withColumn("variant_id", F.concat(F.lit("variant:"), F.substring("fingerprint", 1, 16))).withColumn("seed_hex", seed_key(seed, "variant", F.col("variant_id")))
 
@@ -76,10 +79,27 @@ def checked(space: DataFrame, most: int = MAX_VARIANTS) -> DataFrame:
     return space
 
 
-def range_values(spark: SparkSession, start: float, stop: float, step: float) -> DataFrame:
-    """start, start + step, ... up to stop, which is included within a rounding error."""
-    n = int(math.floor((stop - start) / step + 1e-9))
-    return spark.range(n + 1).select(F.col("id").cast("int").alias("i"), (F.lit(start) + F.col("id") * F.lit(step)).alias("value"))
+def range_values(spark: SparkSession, start: float, stop: float, step: float, inclusive: bool = True) -> DataFrame:
+    """start, and what adding step again and again gives, up to stop; with it if ``inclusive``, within a rounding error.
+
+    At most MOST_IN_A_RANGE values, so they may be made here; an empty range, a step of zero or away from stop, and
+    numbers that aren't finite are refused.
+    """
+    if not all(map(math.isfinite, (start, stop, step))):
+        raise ValueError("a range needs finite numbers")
+    if step == 0 or (stop - start) * step < 0:
+        raise ValueError("a step of zero, or away from the stop")
+    error = abs(step) * 1e-12 + sys.float_info.epsilon
+    room = lambda x: (stop - x) * math.copysign(1, step)
+    values, now = [], float(start)
+    while room(now) >= -error if inclusive else room(now) > error:
+        values.append((len(values), now))
+        now += step
+        if len(values) > MOST_IN_A_RANGE:
+            raise ValueError(f"a range of more than {MOST_IN_A_RANGE} values")
+    if not values:
+        raise ValueError("a range without values")
+    return spark.createDataFrame(values, "i int, value double")
 
 
 def log_range_values(spark: SparkSession, start: float, stop: float, count: int, base: float = 10.0) -> DataFrame:

@@ -142,8 +142,10 @@ def rel_fingerprint(spark, d):
     return hashing.table_fingerprint(observations(spark, d), "sample_id", "observation_id", "source_id", "target_id", "group_id")
 
 
-@query("leak_origin", sql(""", origins as (select s.sample_id, o.sample_id as origin from samples s join samples o on o.k = s.k + 1 where s.k % 50 = 0)
- select m.fold_id, m.sample_id, origin from members m join origins using (sample_id) join members mo on mo.fold_id = m.fold_id and mo.sample_id = origin where m.role <> mo.role""", SAMPLES, FOLDS, MEMBERS))
+@query("leak_origin", sql(""", origins as materialized (select s.sample_id, o.sample_id as origin from (select sample_id, k + 1 as k from samples where k % 50 = 0) s join samples o using (k)),
+ placed as materialized (select sample_id, fold from folds),
+ both_ as (select a.sample_id, a.origin, f.fold as own, g.fold as other from origins a join placed f on f.sample_id = a.sample_id join placed g on g.sample_id = a.origin)
+ select 'fold' || own as fold_id, sample_id, origin from both_ where own <> other union all select 'fold' || other, sample_id, origin from both_ where own <> other""", SAMPLES, FOLDS, MEMBERS))
 def leak_origin(spark, d):
     s = samples(spark, d)
     origins = s.where("k % 50 = 0").select("sample_id", (F.col("k") + 1).alias("k")).join(s.select("k", F.col("sample_id").alias("origin")), "k").select("sample_id", "origin")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalkiln.checks import OofValidation, strict
 from evalkiln.operators import metrics, models, predictions as P, reduce as R, select
 from evalkiln.plans.prelude import FOLDS, MEMBERS, OBS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
@@ -25,7 +26,9 @@ def oof_campaign(spark, d):
     """Folds, two fold-train models, out-of-fold predictions with all checks, scores and ranks."""
     rows = samples(spark, d).join(fold_of(spark, d), "sample_id")
     parts = [models.group_mean_oof(rows, key).select(F.lit(f"m:{key}").alias("producer"), "sample_id", "fold", "y", "value") for key in ("segment", "priority")]
-    oof = parts[0].unionByName(parts[1]).where("value is not null")
+    oof = parts[0].unionByName(parts[1])
+    blocks = oof.select("producer", F.lit("validation").alias("partition"), F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id"), "sample_id", "value")
+    P.check_campaign(blocks, membership(spark, d), samples(spark, d))
     report = metrics.report(oof, ["producer"], ("rmse", "mae", "r2"))
     report = report.select("producer", "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 8).alias("r2"))
     ranked = select.rank(report.withColumnsRenamed({"producer": "candidate_id"}).withColumn("value", F.col("rmse")))
@@ -292,7 +295,8 @@ def branch_concat(spark, d):
     first = F.col("group_id").isin("G1", "G2")
     p = predictions(spark, d)
     branches = p.where(((F.col("producer") == "m:a") & first) | ((F.col("producer") == "m:b") & ~first)).withColumn("branch", F.col("producer"))
-    rows, _ = P.concat_branches(branches, samples(spark, d))
+    rows, bad = P.concat_branches(branches, samples(spark, d))
+    strict(bad, OofValidation, "branches that don't make up the universe")
     return _round(rows, "value")
 
 

@@ -208,7 +208,8 @@ def conformal_intervals(spark, d):
     return out.select("sample_id", "coverage", F.round("lower", 8).alias("lower"), F.round("upper", 8).alias("upper"), F.round(scalars.midpoint(F.col("lower"), F.col("upper")), 8).alias("mid"))
 
 
-SCORED = "count(*) as n, round(avg(case when y between lower and upper then 1.0 else 0.0 end), 8) as empirical, round(avg(upper - lower), 8) as mean_width, round(avg(upper - lower + 2.0 / (1 - coverage) * case when y < lower then lower - y when y > upper then y - upper else 0 end), 8) as winkler"
+BOUNDED = "case when count(*) = count(upper - lower) then"
+SCORED = f"count(*) as n, round(avg(case when y between lower and upper then 1.0 else 0.0 end), 8) as empirical, {BOUNDED} round(avg(upper - lower), 8) end as mean_width, {BOUNDED} round(avg(upper - lower + 2.0 / (1 - coverage) * case when y < lower then lower - y when y > upper then y - upper else 0 end), 8) end as winkler"
 
 
 def _interval_metrics(spark, d, *keys):
@@ -280,10 +281,12 @@ def chain_step_effects(spark, d):
     return chains.step_effects(chains.chain_effect(rows, "rank_by_dataset", True)).withColumn("effect", F.round("effect", 8))
 
 
-@query("chain_roles", "select kind, role from (values ('transform', 'preprocessing'), ('y_transform', 'target'), ('model', 'model'), ('tuner', 'model'), ('split', 'split'), ('tag', 'filter'), ('exclude', 'filter'), ('augmentation', 'augmentation'), ('chart', 'other'), ('subgraph', 'other')) t(kind, role)")
+KINDS = "transform y_transform split model augmentation feature_join source_join fork map prediction_join mixed_join tag exclude adapter aggregator generator restructure tuner subgraph chart".split()
+
+
+@query("chain_roles", "select unnest(string_split('" + " ".join(KINDS) + "', ' ')) as kind, case when kind = 'transform' then 'preprocessing' when kind = 'y_transform' then 'target' when kind in ('split', 'model', 'augmentation') then kind when kind in ('feature_join', 'source_join') then 'feature' else 'other' end as role")
 def chain_roles(spark, d):
-    kinds = [("transform",), ("y_transform",), ("model",), ("tuner",), ("split",), ("tag",), ("exclude",), ("augmentation",), ("chart",), ("subgraph",)]
-    return spark.createDataFrame(kinds, "kind string").select("kind", scalars.chain_role(F.col("kind")).alias("role"))
+    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", scalars.chain_role(F.col("kind")).alias("role"))
 
 
 @query("sanitize_label", "select p_name, regexp_replace(regexp_replace(p_type || ' #' || p_brand || '!', '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') as label from part")
@@ -291,10 +294,16 @@ def sanitize_label(spark, d):
     return table(spark, d, "part").select("p_name", scalars.sanitise_label(F.concat("p_type", F.lit(" #"), "p_brand", F.lit("!"))).alias("label"))
 
 
-@query("alias_kind", "select name, kind from (values ('GroupKFold', 'split'), ('StandardScaler', 'transform'), ('RandomForestRegressor', 'model'), ('GridSearchCV', 'tuner'), ('Chart2D', 'chart'), ('LinearRegression', 'model'), ('Ridge', 'model'), ('SNV', 'transform')) t(name, kind)")
+NAMES = {
+    "GroupKFold": "split", "StandardScaler": "transform", "RandomForestRegressor": "model", "GridSearchCV": "tuner", "Chart2D": "transform", "chart_2d": "chart", "LinearRegression": "model",
+    "Ridge": "model", "SNV": "transform", "sklearn.model_selection.LeaveOneOut": "split", "DataSplitter": "split", "ShuffleFold": "split", "optuna.Study": "tuner", "pkg.charts.Plot": "chart",
+    "sklearn.model_selection.GridSearchCV": "tuner", "xgboost.XGBRanker": "model", "sklearn.svm.NuSVC": "model", "a.b:PLS": "model", "operators.splitters.Custom": "split", "MetaModel": "model", "plot": "transform",
+}
+
+
+@query("alias_kind", "select name, kind from (values " + ", ".join(f"('{n}', '{k}')" for n, k in NAMES.items()) + ") t(name, kind)")
 def alias_kind(spark, d):
-    names = [(n,) for n in ("GroupKFold", "StandardScaler", "RandomForestRegressor", "GridSearchCV", "Chart2D", "LinearRegression", "Ridge", "SNV")]
-    return spark.createDataFrame(names, "name string").select("name", scalars.alias_kind(F.col("name")).alias("kind"))
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", scalars.alias_kind(F.col("name")).alias("kind"))
 
 
 # --- robustness

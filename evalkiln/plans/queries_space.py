@@ -46,7 +46,7 @@ def gen_count_limit(spark, d):
     return space.capped(space.cartesian(*_dims(spark)), ["model__pos", "scale__pos", "pick__pos"], 5).select("model", "scale", "pick")
 
 
-IDENT = f"with {DIMS}, f as (select model, scale, pick, sha256('model=' || model || ',pick=' || pick || ',scale=' || scale) as fingerprint from dims), v as (select *, 'variant:' || substr(fingerprint, 1, 16) as variant_id from f)"
+IDENT = f"with {DIMS}, f as (select model, scale, pick, sha256(cast(json_object('model', model, 'pick', pick, 'scale', scale) as varchar)) as fingerprint from dims), v as (select *, 'variant:' || substr(fingerprint, 1, 16) as variant_id from f)"
 
 
 @query("gen_variant_id", f"{IDENT} select model, scale, pick, fingerprint, variant_id, {_seed(9, 'variant', 'variant_id')} as seed_hex from v")

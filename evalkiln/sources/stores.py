@@ -25,7 +25,10 @@ def read_cache(spark, path: str, schema: T.StructType, producer: str | None = No
 def reread(predictions: DataFrame, partition_by: list[str]) -> DataFrame:
     """Write a cache to a new path in the shared checkpoint folder and read it again."""
     spark = predictions.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evalkiln-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="evalkiln-")
     path = f"{base}/cache-{uuid.uuid4().hex}"
     write_cache(predictions, path, partition_by)
     return read_cache(spark, path, predictions.schema)

@@ -202,3 +202,59 @@ def test_campaign_skips_uncovered_keys(spark):
     c = campaign.Campaign((campaign.group_mean("g"),), k=3)
     oof = c.fit_cv(spark.createDataFrame(rows, "sample_id string, g string, y double"))
     assert oof.count() == 11  # the rare key is in one fold only, so no other fold has learned it
+
+
+def test_rank_refuses_what_it_cannot_order(spark):
+    for rows in ([("a", 1.0), ("b", None)], [("a", 1.0), ("b", float("nan"))], [("a", float("inf"))], [("a", 1.0), ("a", 2.0)]):
+        with pytest.raises(Exception, match="campaign_validation"):
+            select.rank(spark.createDataFrame(rows, "candidate_id string, value double")).collect()
+    assert select.rank(spark.createDataFrame([], "candidate_id string, value double")).count() == 0
+
+
+def test_widths_are_null_where_an_interval_is_unbounded(spark):
+    rows = [(0.9, 1.0, 0.0, 2.0), (0.9, 1.0, None, None), (0.5, 5.0, 0.0, 2.0)]
+    got = {r.coverage: r for r in conformal.metrics(spark.createDataFrame(rows, "coverage double, y double, lower double, upper double")).collect()}
+    assert (got[0.9].mean_width, got[0.9].median_width, got[0.9].winkler, got[0.9].empirical) == (None, None, None, 1.0)
+    assert got[0.5].mean_width == 2.0 and got[0.5].empirical == 0.0
+
+
+def test_exact_refuses_what_it_would_bend(spark):
+    value = lambda x: spark.createDataFrame([(x,)], "x double").select(scalars.exact(F.col("x")).cast("double").alias("d")).first().d
+    assert [value(x) for x in (0.1, -123.456, 0.0, None, 1e-18)] == [0.1, -123.456, 0.0, None, 1e-18]
+    for x in (1e25, 1e-20, float("nan")):
+        with pytest.raises(Exception, match="exact range"):
+            value(x)
+
+
+def test_ranges(spark):
+    values = lambda *a, **k: [r.value for r in space.range_values(spark, *a, **k).orderBy("i").collect()]
+    now, want = 0.1, []
+    for _ in range(10):
+        want.append(now)
+        now += 0.1
+    assert values(0.1, 1.0, 0.1) == want and values(0.1, 1.0, 0.1, inclusive=False) == want[:9]
+    assert values(3.0, 1.0, -1.0) == [3.0, 2.0, 1.0] and values(1.0, 1.0, 5.0) == [1.0]
+    for bad in ((1.0, 2.0, 0.0), (1.0, 2.0, -1.0), (2.0, 1.0, 1.0), (0.0, 1.0, 1e-6), (0.0, float("inf"), 1.0)):
+        with pytest.raises(ValueError):
+            values(*bad)
+    with pytest.raises(ValueError):
+        values(1.0, 1.0, 1.0, inclusive=False)
+
+
+def test_variants_are_told_apart(spark):
+    rows = space.identify(spark.createDataFrame([("1,b=2", "3"), ("1", "2,b=3")], "a string, b string"), ["a", "b"], 1).collect()
+    assert rows[0].fingerprint != rows[1].fingerprint
+
+
+def test_campaign_is_refused_before_the_join(spark):
+    ok = [("p", "validation", f"f{i % 2}", f"s{i}", "y", float(i)) for i in range(6)]
+    members = spark.createDataFrame([(f"f{g}", f"s{i}", "validation" if i % 2 == g else "train") for i in range(6) for g in range(2)], "fold_id string, sample_id string, role string")
+    universe = spark.createDataFrame([(f"s{i}",) for i in range(6)], "sample_id string")
+    run = lambda rows: P.oof_campaign(spark.createDataFrame(rows, "producer string, partition string, fold_id string, sample_id string, target string, value double"), members, universe, [("p", "y")])
+    assert run(ok).count() == 6
+    for bad, error in (
+        ([*ok[:5], ("p", "train", "f1", "s5", "y", 1.0)], checks.OofLeakage), (ok[:5], checks.OofValidation), ([*ok, ("p", "validation", "f0", "s9", "y", 1.0)], checks.OofValidation),
+        ([*ok, ok[0]], checks.OofValidation), ([*ok[:5], ("p", "validation", "f0", "s5", "y", 1.0)], checks.OofValidation), ([*ok[:5], ("p", "validation", "f1", "s5", "y", None)], checks.OofValidation),
+    ):
+        with pytest.raises(error):
+            run(bad)
