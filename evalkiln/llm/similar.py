@@ -4,8 +4,8 @@ SimHash alone doesn't reach this threshold: two texts with a coefficient of 0.8
 bits (standard deviation 2.9), and a covering of such a radius has very many replicas. So the pairs of operator 8
 (``simhash.near_pairs``: fingerprints that differ in few bits, by the anchor-point covering) are the first candidates;
 the others come from prefixes. With the shingles of every set in one common order, two sets of coefficient >= t share
-one of the first n - ceil(t n) + 1 shingles of each. Candidates are bounded by sizes and places, and the coefficient of
-every candidate of either kind is computed on the whole sets, so the result is exact.
+one of the first n - ceil(t n) + 1 shingles of each. Candidates are bounded by sizes, places and the shingles that no
+other set has, and the coefficient of every candidate of either kind is computed on the whole sets, so the result is exact.
 
 Any order gives the same result; rare shingles come first, so that wording shared by very many texts makes no
 candidates. Rarity is read from counts in a table of fixed size.
@@ -116,14 +116,17 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
         both = candidates.select("src", "dst").join(texts.toDF("src", "one"), "src").join(texts.toDF("dst", "two"), "dst")
         return written(both.select("src", "dst", "one", "two").mapInPandas(check, "src bigint, dst bigint"), "similar-links")
 
-    # An overlap o reaches the threshold only if o (num + den) >= num (n + m).
+    # An overlap o reaches the threshold only if o (num + den) >= num (n + m). Of the shingles up to a shared one, two
+    # sets have no more in common than either has met there: one met by no other prefix stands in no other set that has
+    # the shared one in its prefix, since it would come before it.
     enough = lambda o: o * (num + den) >= num * (F.col("n").cast("bigint") + F.col("m"))
     rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("by"))
-    possible = enough(F.least("at", "by") + rest)
+    possible = enough(F.least("q", "p") + rest)
 
-    # A shingle that stands in one set only is dropped where the sets of a shingle meet.
+    # A shingle that stands in one prefix only is dropped where the sets of a shingle meet; q counts the others of a set.
     rows = sets.select("sid", "text").mapInPandas(prefixes, "token bigint, sid bigint, n int, at int")
     rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    rows = rows.withColumn("q", F.row_number().over(Window.partitionBy("sid").orderBy("at")))
     rows = met = written(rows, "similar-met", compression="zstd")
 
     # SimHash: sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet.
@@ -133,10 +136,16 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     same = sets.select("sid", "fp").join(heads, "fp").where("sid <> head").select(F.least("sid", "head").alias("src"), F.greatest("sid", "head").alias("dst"))
 
     # Neighbours: each set meets a few of those with the same shingle, those next to it by size and by id.
-    own = F.struct("sid", "n", "at")
+    own = F.struct("sid", "n", "at", "q")
     orders = (Window.partitionBy("token").orderBy("n", "sid"), Window.partitionBy("token").orderBy("sid"))
     chain = rows.withColumn("near", F.array(*[F.lag(own, back).over(order) for order in orders for back in (1, 2)]))
-    chain = chain.select("sid", "n", "at", F.explode("near").alias("y")).select(F.col("sid").alias("src"), "n", "at", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"))
+    chain = chain.select("sid", "n", "at", "q", F.explode("near").alias("y"))
+    # Hubs: each set meets that set of the same shingle which has the fewest shingles of its own. The copies of one text
+    # differ from each other twice as much as from what they have in common, so most are linked over it.
+    alone = F.struct((F.col("at") - F.col("q")).alias("alone"), "sid", "n", "at", "q")
+    hubs = rows.groupBy("token").agg(F.min(alone).alias("y"))
+    hubs = rows.join(hubs, "token").select("sid", "n", "at", "q", F.struct("y.sid", "y.n", "y.at", "y.q").alias("y")).where("sid <> y.sid")
+    chain = chain.union(hubs).select(F.col("sid").alias("src"), "n", "at", "q", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"), F.col("y.q").alias("p"))
     chain = chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     first = written(chain.union(near).union(same).distinct(), "similar-first")
     links = verified(first)
@@ -144,10 +153,10 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
 
     # Then every pair that these links leave apart; shingles that stay within one part need no pairs at all.
     part = connected_components(links)
-    rows = rows.join(part, rows.sid == part.node, "left").select("token", "sid", "n", "at", F.coalesce("component", "sid").alias("part"))
+    rows = rows.join(part, rows.sid == part.node, "left").select("token", "sid", "n", "at", "q", F.coalesce("component", "sid").alias("part"))
     across = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     rows = apart = written(rows.join(across, "token"), "similar-across", compression="zstd")
-    a, b = rows.toDF("token", "src", "n", "at", "part"), rows.toDF("token", "dst", "m", "by", "other")
+    a, b = rows.toDF("token", "src", "n", "at", "q", "part"), rows.toDF("token", "dst", "m", "by", "p", "other")
     meet = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
     last = meet.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.max(F.struct("at", "by", "n", "m")).alias("x")).select("src", "dst", "shared", "x.*")
     second = written(last.where(enough(F.col("shared") + rest)).select("src", "dst"), "similar-second")

@@ -1,3 +1,4 @@
+import random
 from fractions import Fraction
 
 import corpus_pipeline as C
@@ -35,6 +36,17 @@ def test_near_copies_at_the_threshold(spark):
     assert got == brute_groups(dict(rows)) and got[2] == 1 and got[5] == 5
 
 
+def test_copies_at_every_distance_from_one_text(spark):
+    """Copies with 0 to 6 changed words of 120, each in its own places: those near the text are one group over it, those
+    far from it are linked only to what is really near them."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"own{i}x{j}" if j in changed else w for j, w in enumerate(base))) for i in range(1, 240) for changed in [set(rng.sample(range(120), rng.randrange(7)))]]
+    rows += [(300 + i, text + f" one more word at the end of {i}") for i, text in rows[::9]]
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_groups(dict(rows)) and 20 < len(set(got.values())) < 200
+
+
 def test_groups_equal_brute_force_on_the_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
