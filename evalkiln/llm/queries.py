@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import bpe, decontaminate, fertility, html_text, language, licences, pii, secrets, simhash, token_store
+from evalkiln.llm import bpe, decontaminate, dual_tree, fertility, html_text, infill, language, licences, pii, secrets, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_quality_rules": fertility.op10_quality_rules,
+        "op11_centroid_clustering": dual_tree.op11_centroid_clustering,
+        "op12_fill_in_middle": infill.op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only operators that SQL can express; the others are tested against brute force."""
-    return {"op2_licence_scans": licences.op2_sql()}
+    return {"op2_licence_scans": licences.op2_sql(), "op11_centroid_clustering": dual_tree.op11_sql(), "op12_fill_in_middle": infill.op12_sql()}
