@@ -27,7 +27,7 @@ from evalkiln.llm.common import filled, small_batches, table, written
 #: Radii shrink by this factor from a node to its children.
 BASE = 1.5
 #: A node of so many vectors isn't divided.
-LEAF = 16
+LEAF = 32
 #: Sums go through Spark in parts of so many bits, so that a decimal holds the sum of any number of them.
 LIMB = 80
 LONG_MAX = (1 << 63) - 1
@@ -107,35 +107,59 @@ def nearest(points: np.ndarray, tree: Tree, centroids: np.ndarray, index: Tree)
     ``points`` are floats in tree order, whole numbers both.
     """
     reach = max(float(np.abs(points).max(initial=0.0)), float(np.abs(centroids).max(initial=0.0)))
-    own, other = exact(points, reach), exact(centroids, reach)
+    small = points.shape[1] * 4 * reach * reach < 2.0**53  # then doubles hold every product and sum exactly
+    own, other = (points, centroids) if small else (exact(points, reach), exact(centroids, reach))
+    squares, goal_squares = (np.einsum("ij,ij->i", x, x) for x in (points, centroids)) if small else (None, None)
     slack = margin(points) + margin(centroids)
     unit = max(1.0, reach)
     scaled, goals = points / unit, centroids[index.order] / unit
     out = np.zeros(len(points), np.int32)
     compared = 0
+
+    def compare(rows: np.ndarray, numbers: np.ndarray) -> None:
+        nonlocal compared
+        compared += len(rows) * len(numbers)
+        if small:
+            apart = squares[rows, None] + goal_squares[numbers] - 2 * own[rows] @ other[numbers].T
+        else:
+            apart = ((own[rows, None, :] - other[None, numbers, :]) ** 2).sum(axis=2)
+        out[rows] = numbers[apart.argmin(axis=1)]
+
     todo = [(0, np.array([0]))]
     while todo:
         node, over = todo.pop()
+        divided = tree.kids_end[node] > tree.kids[node]
         while True:
             d = np.sqrt(np.square(goals[index.start[over]] - scaled[tree.start[node]]).sum(axis=1)) * unit
             most = d.min() + tree.radius[node]
             over = over[(d - tree.radius[node] - index.radius[over]) * (1 - 1e-9) - slack <= most * (1 + 1e-9) + slack]
-            inner = index.kids_end[over] > index.kids[over]
-            divided = tree.kids_end[node] > tree.kids[node]
-            wide = inner & ((index.radius[over] >= tree.radius[node]) | (not divided))
+            wide = (index.kids_end[over] > index.kids[over]) & ((index.radius[over] >= tree.radius[node]) | (not divided))
             if not wide.any():
                 break
             over = np.concatenate([over[~wide], *[np.arange(index.kids[q], index.kids_end[q]) for q in over[wide]]])
         lo, hi = tree.start[node], tree.stop[node]
-        if len(over) == 1 and index.stop[over[0]] - index.start[over[0]] == 1:
-            out[lo:hi] = index.order[index.start[over[0]]]
-        elif tree.kids_end[node] > tree.kids[node]:
-            todo += [(k, over) for k in range(tree.kids[node], tree.kids_end[node])]
+        numbers = np.sort(np.concatenate([index.order[index.start[q] : index.stop[q]] for q in over]))
+        if len(numbers) == 1:
+            out[lo:hi] = numbers[0]
+        elif not divided:
+            compare(np.arange(lo, hi), numbers)
         else:
-            numbers = np.sort(np.concatenate([index.order[index.start[q] : index.stop[q]] for q in over]))
-            compared += (hi - lo) * len(numbers)
-            apart = ((own[lo:hi, None, :] - other[None, numbers, :]) ** 2).sum(axis=2)
-            out[lo:hi] = numbers[apart.argmin(axis=1)]
+            kids = np.arange(tree.kids[node], tree.kids_end[node])
+            inner = tree.kids_end[kids] > tree.kids[kids]
+            todo += [(k, over) for k in kids[inner]]
+            leaves = kids[~inner]  # all at once: each against the centroids that are left
+            size, r = tree.stop[leaves] - tree.start[leaves], tree.radius[leaves]
+            rows = np.repeat(tree.start[leaves] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            at, goal = scaled[tree.start[leaves]], centroids[numbers] / unit
+            d = np.sqrt(np.maximum(np.einsum("ij,ij->i", at, at)[:, None] + np.einsum("ij,ij->i", goal, goal) - 2 * at @ goal.T, 0.0)) * unit
+            # The matrix product is good to about the square root of a double's precision near zero.
+            rough = slack + 1e-6 * unit * math.sqrt(points.shape[1])
+            far = (d - r[:, None]) * (1 - 1e-9) - rough > ((d.min(axis=1) + r) * (1 + 1e-9) + rough)[:, None]
+            decided = far.sum(axis=1) == len(numbers) - 1
+            whole = np.repeat(decided, size)
+            out[rows[whole]] = np.repeat(numbers[d.argmin(axis=1)], size)[whole]
+            if not whole.all():
+                compare(rows[~whole], numbers)
     return out, compared
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalkiln.llm import bpe, decontaminate, dual_tree, fertility, html_text, infill, language, licences, pii, secrets, simhash, token_store
+from evalkiln.llm import bpe, brown, decontaminate, dual_tree, fertility, html_text, infill, language, licences, pii, secrets, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_quality_rules": fertility.op10_quality_rules,
         "op11_centroid_clustering": dual_tree.op11_centroid_clustering,
         "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_language_model": brown.op13_language_model,
     }
 
 
