@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalkiln.plans import queries_data, queries_predictions, queries_scores, queries_space  # noqa: F401  they register themselves
+from evalkiln.plans import queries_data, queries_models, queries_predictions, queries_scores, queries_space  # noqa: F401  they register themselves
 from evalkiln.plans.registry import ORACLES, QUERIES, Query
 
 

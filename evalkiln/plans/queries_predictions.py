@@ -329,18 +329,6 @@ def controller_group_mean(spark, d):
     return m.select("segment", "fold", F.round(F.col("s_train").cast("double") / F.col("n_train").cast("double"), 4).alias("value"))
 
 
-LINE = """, d as (select sample_id, fold, y::double as y, value::double as x from samples join folds using (sample_id) join (select sample_id, value from pred where producer = 'm:b') using (sample_id)),
- m as (select f.range as fold, regr_slope(y, x) as b, regr_intercept(y, x) as a from d, range(5) f where d.fold <> f.range group by f.range)
- select sample_id, round(a + b * x, 8) as value from d join m using (fold)"""
-
-
-@query("stacked_meta_model", sql(LINE.replace("y::double as y", "ly::double as y"), SAMPLES, FOLDS, PRED))
-def stacked_meta_model(spark, d):
-    base = predictions(spark, d).where("producer = 'm:b'").select("sample_id", F.col("value").alias("x"), "y")
-    rows = base.join(fold_of(spark, d), "sample_id")
-    return models.linear_oof(rows, "x").select("sample_id", F.round("value", 8).alias("value"))
-
-
 @query("y_transform_zscore", sql(", m as (select f.range as fold, avg(y) as mu, stddev_samp(y) as sd from (select y, fold from samples join folds using (sample_id)) d, range(5) f where d.fold <> f.range group by f.range) select sample_id, round((y - mu) / sd, 6) as y_scaled from samples join folds using (sample_id) join m using (fold)", SAMPLES, FOLDS))
 def y_transform_zscore(spark, d):
     rows = samples(spark, d).select("sample_id", "y").join(fold_of(spark, d), "sample_id")
