@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evalkiln.functions.scalars import oriented
+from evalkiln.operators import order
 
 
 def percentile_rank(df: DataFrame, dataset: str, score: str, name: str = "percentile") -> DataFrame:
-    """Rank in [0, 1] within a dataset; ties share the mean of their ranks, a lone score has 0.5."""
-    by = Window.partitionBy(dataset)
-    ties = F.count("*").over(Window.partitionBy(dataset, score))
-    lower = F.rank().over(by.orderBy(score)) - 1
-    n = F.count("*").over(by)
-    return df.withColumn(name, F.when(n == 1, 0.5).otherwise((lower + (ties - 1) / 2.0) / F.nullif(n - 1, F.lit(0))))
+    """Rank in [0, 1] within a dataset; ties share the mean of their ranks, a lone score has 0.5.
+
+    Scores are counted by value and the counts added up by ranges, so a dataset of any size is spread over tasks; null
+    scores rank below all others.
+    """
+    ranks = order.rank_of_values(df, score, [dataset])
+    n = df.groupBy(F.col(dataset).alias("__d")).agg(F.count("*").alias("__n"))
+    placed = ranks.join(n, F.col(dataset).eqNullSafe(F.col("__d"))).select(
+        "__d", F.col(score).alias("__s_"), F.when(F.col("__n") == 1, 0.5).otherwise((F.col("before") + (F.col("ties") - 1) / 2.0) / F.nullif(F.col("__n") - 1, F.lit(0))).alias(name)
+    )
+    return df.join(placed, F.col(dataset).eqNullSafe(F.col("__d")) & F.col(score).eqNullSafe(F.col("__s_"))).drop("__d", "__s_")
 
 
 def z_score(df: DataFrame, dataset: str, score: str, name: str = "z") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evalkiln.functions.scalars import conformal_rank, interval
+from evalkiln.operators import order
 
 
 def coverages(spark, values: tuple[float, ...]) -> DataFrame:
@@ -17,18 +18,13 @@ def coverages(spark, values: tuple[float, ...]) -> DataFrame:
 def quantiles(residuals: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ("target",)) -> DataFrame:
     """(keys, coverage, rank, radius): the order statistic at the exact rank; null radius where the rank exceeds n.
 
-    ``residuals`` has the keys and ``residual``. Repeated residuals are counted, not sorted: the position of a value
-    is a running count over the distinct values.
+    ``residuals`` has the keys and ``residual``. The value of a rank is selected by ranges (``order_statistics``), so a
+    target with any number of residuals is never sorted in one task.
     """
     keys = list(keys)
-    counts = residuals.groupBy(*keys, "residual").agg(F.count("*").alias("c"))
-    up_to = F.sum("c").over(Window.partitionBy(*keys).orderBy("residual").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", up_to)
     sizes = residuals.groupBy(*keys).agg(F.count("*").alias("n"))
-    ranks = sizes.crossJoin(F.broadcast(wanted)).withColumn("rank", conformal_rank(F.col("n"), F.col("coverage")))
-    # a few coverages for each key
-    hit = placed.join(F.broadcast(ranks), keys, "right").where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")) | (F.col("rank") > F.col("n")))
-    return hit.groupBy(*keys, "coverage", "rank").agg(F.max(F.when(F.col("rank") <= F.col("n"), F.col("residual"))).alias("radius"))
+    ranks = sizes.crossJoin(F.broadcast(wanted)).select(*keys, "coverage", conformal_rank(F.col("n"), F.col("coverage")).alias("rank"))  # a few coverages
+    return order.order_statistics(residuals, "residual", ranks, keys, name="radius")
 
 
 def joint_max(residuals: DataFrame) -> DataFrame:

@@ -2,37 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evalkiln.functions.hashing import seed_key
-
-#: Rows of a sample from which the boundaries of the ranges are taken, and ranges at most.
-SAMPLED, RANGES = 20_000, 256
-
-
-def global_position(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
-    """``df`` with the 0-based position of each row in the order of ``keys``, without sorting in one task.
-
-    The keys' order is cut into ranges at boundaries from a small sample. Rows are numbered within their range, and
-    the counts of the ranges before it (a table with one row per range) are added. The sample sets only how even the
-    ranges are, never a position. Rows that tie on all keys get different positions, in no fixed order.
-    """
-    first = keys[0]
-    total = df.count()
-    if not total:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    drawn = df.select(first).where(F.col(first).isNotNull()).sample(min(1.0, SAMPLED / total), seed=7).distinct().orderBy(first).limit(2 * SAMPLED)
-    values = [r[0] for r in drawn.collect()]
-    cuts = values[:: max(1, len(values) // RANGES)][1:]
-    cut_array = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    # the key may be an expression: bound to a variable, it is computed once and not for each boundary
-    bucket = F.coalesce(F.transform(F.array(first), lambda k: F.size(F.filter(cut_array, lambda c: c <= k)))[0], F.lit(-1)) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", bucket)
-    counts = ranged.groupBy("__range").count()
-    before = counts.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    return ranged.withColumn("__within", within).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__within")).cast("bigint")).drop("__range", "__within", "__before")
-
+from evalkiln.operators.order import position as global_position, running
 
 def kfold(samples: DataFrame, k: int, seed: int | None = None, shuffle_label: str = "kfold", id_col: str = "sample_id") -> DataFrame:
     """(sample_id, fold): position in the order of ids, or of their seeded hash, modulo k."""
@@ -58,23 +31,75 @@ def stratified_kfold(samples: DataFrame, k: int, label_col: str, seed: int | Non
     return placed.select(id_col, (F.col("position") % k).cast("int").alias("fold"))
 
 
-def group_kfold(samples: DataFrame, k: int, group_col: str = "group_id", id_col: str = "sample_id") -> DataFrame:
-    """Groups by falling size, then id, each to the fold with the fewest samples (the first of equals).
+#: Runs of groups of one size that may be broadcast; there are at most sqrt(2 N) sizes among N samples.
+SMALL_RUNS = 20_000
 
-    The greedy rule is sequential over groups: their sizes are folded over one array. That array has one entry per
-    group, not per sample.
+
+def placed_runs(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """(size, from, cycle) of the greedy rule, for (size, number of groups) by falling size.
+
+    Group i of a run of equal sizes, counted from 0, goes to fold ``cycle[(i - from) % len(cycle)]`` of the last segment
+    that begins at or before i. Within a run the folds take groups in the order of load and number: the lightest one
+    alone until it has caught up with the next, then both in turn, and so on, so a run has at most k segments.
     """
-    sizes = samples.groupBy(group_col).count()
-    ordered = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col(group_col).alias("g")))).alias("groups"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"), F.array().cast("array<struct<g:string,fold:int>>").alias("out"))
+    loads, out = [0] * k, []
+    for size, count in sizes:
+        by_load = sorted(range(k), key=lambda f: (loads[f], f))
+        taken = [0] * k
+        start = 0
+        for p in range(k):
+            here = by_load[p]
+            # What each lighter fold takes before this one's turn comes.
+            for f in by_load[:p]:
+                gap = loads[here] - loads[f]
+                taken[f] = gap // size + (gap % size > 0 or f < here)
+            start = sum(taken[f] for f in by_load[:p])
+            if start >= count and p:
+                break
+            active = by_load[: p + 1]
+            cycle = sorted(active, key=lambda f: (loads[f] + taken[f] * size, f))
+            out.append((size, start, cycle))
+            last, final = start, dict(zip(cycle, (taken[f] for f in cycle)))
+        rest = count - last
+        for i, f in enumerate(cycle):
+            loads[f] += size * (final[f] + rest // len(cycle) + (i < rest % len(cycle)))
+    return out
 
-    def step(s: Column, x: Column) -> Column:
-        fold = F.array_position(s["load"], F.array_min(s["load"])).cast("int") - 1
-        load = F.transform(s["load"], lambda v, i: F.when(i == fold, v - x["n"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(s["out"], F.array(F.struct(x["g"].cast("string").alias("g"), fold.alias("fold")))).alias("out"))
 
-    placed = ordered.select(F.explode(F.aggregate("groups", start, step, lambda s: s["out"])).alias("x")).select(F.col("x.g").alias("__g"), F.col("x.fold").alias("fold"))
-    return samples.join(placed, samples[group_col].cast("string") == placed["__g"]).select(id_col, "fold")
+def _place_groups(sizes: DataFrame, k: int, parts: list[str], group: str) -> DataFrame:
+    """(parts, group, fold): groups with ``count`` samples, placed by the greedy rule in each of ``parts``.
+
+    Only the histogram of sizes comes to the driver: at most sqrt(2 N) rows for N samples. A group's place in its run is
+    its position among the groups of its size.
+    """
+    spark = sizes.sparkSession
+    histogram = sizes.groupBy(*parts, "count").agg(F.count("*").alias("groups")).collect()
+    by_part: dict[tuple, list[tuple[int, int]]] = {}
+    for r in histogram:
+        by_part.setdefault(tuple(r[p] for p in parts), []).append((r["count"], r["groups"]))
+    runs: dict[tuple, list[tuple[int, list[int]]]] = {}
+    for part, found in by_part.items():
+        for size, start, cycle in placed_runs(sorted(found, reverse=True), k):
+            runs.setdefault((*part, size), []).append((start, cycle))
+    kinds = ", ".join(f"{p} {sizes.schema[p].dataType.simpleString()}" for p in [*parts, "count"])
+    table = spark.createDataFrame([(*key, segments) for key, segments in runs.items()], f"{kinds}, segments array<struct<start: bigint, cycle: array<int>>>")
+    placed = global_position(sizes, group, keys=[*parts, "count"], name="i")
+    joined = placed.join(F.broadcast(table) if len(runs) <= SMALL_RUNS else table, [*parts, "count"])
+    last = F.element_at(F.filter("segments", lambda s: s["start"] <= F.col("i")), -1)
+    fold = F.get(last["cycle"], ((F.col("i") - last["start"]) % F.size(last["cycle"])).cast("int"))
+    return joined.select(*parts, group, fold.alias("fold"))
+
+
+def group_kfold(samples: DataFrame, k: int, group_col: str = "group_id", id_col: str = "sample_id") -> DataFrame:
+    """Groups by falling size, then id, each to the fold with the fewest samples (the first of equals).
+
+    Groups of one size are placed together (``placed_runs``), so any number of groups is one join by size. A sample
+    without a group is left out; a group is never split.
+    """
+    if k < 2:
+        raise ValueError("k-fold needs k >= 2")
+    sizes = samples.where(F.col(group_col).isNotNull()).groupBy(group_col).count()
+    return samples.join(_place_groups(sizes, k, [], group_col), group_col).select(id_col, "fold")
 
 
 def membership(fold_of: DataFrame, k: int, id_col: str = "sample_id") -> DataFrame:
@@ -84,22 +109,30 @@ def membership(fold_of: DataFrame, k: int, id_col: str = "sample_id") -> DataFra
 
 
 def nested_kfold(fold_of: DataFrame, k_outer: int, k_inner: int, id_col: str = "sample_id") -> DataFrame:
-    """(outer_fold, sample_id, inner_fold): an inner K-fold over the train samples of each outer fold."""
-    train = membership(fold_of, k_outer, id_col).where("role = 'train'")
-    inner = F.row_number().over(Window.partitionBy("fold_id").orderBy(id_col)) - 1
-    return train.select(F.col("fold_id").alias("outer_fold"), id_col, (inner % k_inner).cast("int").alias("inner_fold"))
+    """(outer_fold, sample_id, inner_fold): an inner K-fold over the train samples of each outer fold.
+
+    A sample's place among the train samples of an outer fold is its place among all, less the samples of that fold
+    before it: one ordered pass for all outer folds.
+    """
+    sums = {"__all": F.lit(1)} | {f"__own{f}": (F.col("fold") == f).cast("int") for f in range(k_outer)}
+    placed = running(fold_of.select(id_col, "fold"), [id_col], sums)
+    each = F.array(*[F.struct(F.lit(f).alias("f"), ((F.col("__all") - F.col(f"__own{f}")) % k_inner).cast("int").alias("inner")) for f in range(k_outer)])
+    rows = placed.select(id_col, F.explode(F.filter(each, lambda e: e["f"] != F.col("fold"))).alias("e"))
+    return rows.select(F.concat(F.lit("fold"), F.col("e.f").cast("string")).alias("outer_fold"), id_col, F.col("e.inner").alias("inner_fold"))
 
 
 def nested_group_kfold(samples: DataFrame, fold_of: DataFrame, k_outer: int, k_inner: int, group_col: str = "group_id") -> DataFrame:
-    """An inner grouped K-fold over the train samples of each outer fold, by the rule of ``group_kfold``."""
-    parts = []
-    for f in range(k_outer):
-        train = samples.join(fold_of.where(F.col("fold") != f), "sample_id").drop("fold")
-        parts.append(group_kfold(train, k_inner, group_col).select(F.lit(f"fold{f}").alias("outer_fold"), "sample_id", F.col("fold").alias("inner_fold")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """An inner grouped K-fold over the train samples of each outer fold, by the rule of ``group_kfold``, for all outer folds at once.
+
+    A group's size in an outer fold's train samples is its whole size less its part in that fold.
+    """
+    rows = samples.select("sample_id", group_col).where(F.col(group_col).isNotNull()).join(fold_of, "sample_id")
+    own = rows.groupBy(group_col).agg(F.count("*").alias("n"), *[F.count_if(F.col("fold") == f).alias(f"__own{f}") for f in range(k_outer)])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("outer"), (F.col("n") - F.col(f"__own{f}")).alias("count")) for f in range(k_outer)])).alias("e")
+    sizes = own.select(group_col, each).select("e.outer", group_col, "e.count").where("count > 0")
+    placed = _place_groups(sizes, k_inner, ["outer"], group_col)
+    inner = rows.join(placed.withColumnRenamed("fold", "inner_fold"), group_col).where(F.col("fold") != F.col("outer"))
+    return inner.select(F.concat(F.lit("fold"), F.col("outer").cast("string")).alias("outer_fold"), "sample_id", "inner_fold")
 
 
 def repeated_kfold(samples: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFrame:

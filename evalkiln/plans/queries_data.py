@@ -273,7 +273,17 @@ def split_nested_kfold(spark, d):
     return folds.nested_kfold(fold_of(spark, d), 5, 3)
 
 
-@query("split_nested_group")
+NESTED_GROUP = """with recursive s as (select 'S' || lpad(cast(o_orderkey as varchar), 9, '0') as sample_id, 'G' || c_nationkey as g from orders join customer on o_custkey = c_custkey),
+ f as (select *, (row_number() over (order by sample_id) - 1) % 3 as fold from s),
+ sizes as (select x.range as part, g, count(*) as n from f, range(3) x where f.fold <> x.range group by x.range, g),
+ o as (select *, row_number() over (partition by part order by n desc, g) as i from sizes),
+ r(part, i, g, fold, l0, l1) as (select part, 1::bigint, g, 0, n, 0::bigint from o where i = 1
+ union all select o.part, o.i, o.g, p.fold, l0 + case p.fold when 0 then n else 0 end, l1 + case p.fold when 1 then n else 0 end
+ from r join o on o.part = r.part and o.i = r.i + 1, lateral (select case when l0 <= l1 then 0 else 1 end as fold) p)
+ select 'fold' || part as outer_fold, sample_id, cast(r.fold as int) as inner_fold from f join r on r.g = f.g and r.part <> f.fold"""
+
+
+@query("split_nested_group", NESTED_GROUP)
 def split_nested_group(spark, d):
     s = samples(spark, d)
     return folds.nested_group_kfold(s.select("sample_id", "group_id"), folds.kfold(s, 3), 3, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalkiln.checks import OofValidation, strict
-from evalkiln.operators import metrics, models, predictions as P, reduce as R, select
+from evalkiln.operators import metrics, models, order, predictions as P, reduce as R, select
 from evalkiln.plans.prelude import FOLDS, MEMBERS, OBS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
 from evalkiln.sources.testdata import fold_of, membership, observations, predictions, samples, table
@@ -145,10 +145,9 @@ def oof_missing_samples(spark, d):
 
 @query("oof_requested_order", sql("select sample_id, cast(row_number() over (order by y desc, sample_id) as int) as position, round(value, 8) as value from pred where producer = 'm:a' and fold_id = 'fold0'", SAMPLES, FOLDS, PRED))
 def oof_requested_order(spark, d):
-    from pyspark.sql import Window
-
     rows = predictions(spark, d).where("producer = 'm:a' and fold_id = 'fold0'")
-    wanted = rows.select("sample_id", F.row_number().over(Window.orderBy(F.desc("y"), "sample_id")).alias("position"))
+    placed = order.position(rows.select("sample_id", (-F.col("y")).alias("__falling")), "__falling", "sample_id")
+    wanted = placed.select("sample_id", (F.col("position") + 1).cast("int").alias("position"))
     return _round(P.requested_order(rows.select("sample_id", "value"), wanted), "value")
 
 
