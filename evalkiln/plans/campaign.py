@@ -34,12 +34,14 @@ class Campaign:
     top: int = 2
 
     def fit_cv(self, samples: DataFrame) -> DataFrame:
-        """Out-of-fold predictions of all producers, checked for coverage."""
-        rows = samples.join(folds.kfold(samples, self.k), "sample_id")
-        parts = [p.oof(rows).where("value is not null").select(F.lit(p.name).alias("producer"), F.lit("validation").alias("partition"), F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id"), "sample_id", F.lit("y").alias("target"), "value", "y") for p in self.producers]
+        """Out-of-fold predictions of all producers; a gap, a value that isn't finite or a sample out of place is refused."""
+        fold_of = folds.kfold(samples, self.k)
+        rows = samples.join(fold_of, "sample_id")
+        parts = [p.oof(rows).select(F.lit(p.name).alias("producer"), F.lit("validation").alias("partition"), F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id"), "sample_id", F.lit("y").alias("target"), "value", "y") for p in self.producers]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
+        P.check_campaign(out, folds.membership(fold_of, self.k), samples, [(p.name, "y") for p in self.producers])
         return out
 
     def ranking(self, oof: DataFrame) -> DataFrame:
@@ -47,12 +49,16 @@ class Campaign:
         return select.rank(scores)
 
     def predict(self, samples: DataFrame, new: DataFrame, ranking: DataFrame) -> DataFrame:
-        """Refit on all samples and average the best producers over new rows; each uses only what covers the row."""
+        """Refit on all samples and average the best producers over new rows; each uses only what covers the row.
+
+        A new row that no producer covers stays, with a null value and n = 0.
+        """
         parts = [p.final(samples, new).where("value is not null").select(F.lit(p.name).alias("producer"), "sample_id", "value") for p in self.producers]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return select.refit_ensemble(out, ranking, self.top)
+        found = select.refit_ensemble(out, ranking, self.top)
+        return new.select("sample_id").join(found, "sample_id", "left").select("sample_id", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def example(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ def oof_campaign(spark, d):
     """Folds, two fold-train models, out-of-fold predictions with all checks, scores and ranks."""
     rows = samples(spark, d).join(fold_of(spark, d), "sample_id")
     parts = [models.group_mean_oof(rows, key).select(F.lit(f"m:{key}").alias("producer"), "sample_id", "fold", "y", "value") for key in ("segment", "priority")]
-    oof = parts[0].unionByName(parts[1]).persist()  # read by the checks and by the scores; what is lost is computed again
-    blocks = oof.select("producer", F.lit("validation").alias("partition"), F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id"), "sample_id", "value")
-    P.check_campaign(blocks, membership(spark, d), samples(spark, d))
+    oof = parts[0].unionByName(parts[1])
+    blocks = oof.select("producer", F.lit("y").alias("target"), F.lit("validation").alias("partition"), F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id"), "sample_id", "value")
+    P.check_campaign(blocks, membership(spark, d), samples(spark, d), [("m:segment", "y"), ("m:priority", "y")])
     report = metrics.report(oof, ["producer"], ("rmse", "mae", "r2"))
     report = report.select("producer", "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 8).alias("r2"))
     ranked = select.rank(report.withColumnsRenamed({"producer": "candidate_id"}).withColumn("value", F.col("rmse")))

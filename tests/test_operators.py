@@ -197,11 +197,18 @@ def test_cache_fingerprint(spark):
         stores.verified(df.limit(1), mark)
 
 
-def test_campaign_skips_uncovered_keys(spark):
+def test_campaign_refuses_gaps(spark):
+    """A key that stands in one fold only is learned by no other fold: its sample has no prediction, so the campaign is refused."""
     rows = [(f"s{i:02d}", "k" if i < 11 else "rare", float(i)) for i in range(12)]
     c = campaign.Campaign((campaign.group_mean("g"),), k=3)
-    oof = c.fit_cv(spark.createDataFrame(rows, "sample_id string, g string, y double"))
-    assert oof.count() == 11  # the rare key is in one fold only, so no other fold has learned it
+    samples = spark.createDataFrame(rows, "sample_id string, g string, y double")
+    with pytest.raises(checks.OofValidation, match="s11"):
+        c.fit_cv(samples)
+    whole = samples.where("g = 'k'")
+    oof = c.fit_cv(whole)
+    assert oof.count() == 11 and oof.where("value is null").count() == 0
+    got = {r.sample_id: (r.value, r.n) for r in c.predict(whole, samples, c.ranking(oof)).collect()}
+    assert got["s11"] == (None, 0) and got["s03"] == (5.0, 1) and len(got) == 12
 
 
 def test_rank_refuses_what_it_cannot_order(spark):
@@ -258,3 +265,68 @@ def test_campaign_is_refused_before_the_join(spark):
     ):
         with pytest.raises(error):
             run(bad)
+
+
+def campaign_of(spark, change=None, resampled=False, **more):
+    """Six samples, two folds, two producers with two targets each; ``change`` plants a fault in (predictions, members, universe)."""
+    p = [(f"p{j}", "validation", f"f{i % 2}", f"s{i}", t, float(i + j)) for i in range(6) for j in range(2) for t in ("y", "z")]
+    m = [(f"f{g}", f"s{i}", "validation" if i % 2 == g else "train") for i in range(6) for g in range(2)]
+    u = [(f"s{i}",) for i in range(6)]
+    if change:
+        change(p, m, u)
+    frames = (spark.createDataFrame(p, PRED), spark.createDataFrame(m, MEMBERS), spark.createDataFrame(u, "sample_id string"))
+    columns = [(f"p{j}", t) for j in range(2) for t in ("y", "z")]
+    if "allow_train" in more:
+        return P.check_campaign(*frames, columns, resampled, **more)
+    return P.oof_campaign(*frames, columns, resampled)
+
+
+FAULTS = {
+    "overlap": (lambda p, m, u: m.append(("f0", "s0", "train")), "overlap"), "foreign": (lambda p, m, u: m.append(("f0", "s9", "train")), "foreign"),
+    "repeated member": (lambda p, m, u: m.append(("f0", "s1", "train")), "repeated in one role"), "validated twice": (lambda p, m, u: m.append(("f2", "s0", "validation")), "validated"),
+    "never validated": (lambda p, m, u: m.remove(("f0", "s0", "validation")), "validated"), "train-only fold": (lambda p, m, u: m.append(("f2", "s0", "train")), "no validation samples"),
+    "requested twice": (lambda p, m, u: u.append(("s0",)), "requested twice"), "requested beyond": (lambda p, m, u: u.append(("s9",)), "validated"), "not requested": (lambda p, m, u: u.remove(("s0",)), "foreign"),
+    "unknown fold": (lambda p, m, u: p.append(("p0", "validation", "f7", "s0", "y", 1.0)), "unknown fold"), "no fold": (lambda p, m, u: p.append(("p0", "validation", None, "s0", "z", 1.0)), "no fold"),
+    "gap": (lambda p, m, u: p.remove(("p1", "validation", "f1", "s3", "z", 4.0)), "missing"), "extra": (lambda p, m, u: p.append(("p1", "validation", "f1", "s9", "z", 4.0)), "extra"),
+    "repeat": (lambda p, m, u: p.append(p[5]), "1 repeated"), "other producer out of place": (lambda p, m, u: p.append(("q", "validation", "f1", "s0", "y", 4.0)), "extra"),
+    "null": (lambda p, m, u: p.__setitem__(2, (*p[2][:5], None)), "value"), "infinite": (lambda p, m, u: p.__setitem__(2, (*p[2][:5], float("inf"))), "value"), "NaN": (lambda p, m, u: p.__setitem__(2, (*p[2][:5], float("nan"))), "value"),
+    "null sample": (lambda p, m, u: p.append(("p0", "validation", "f1", None, "y", 4.0)), "extra"), "producer absent": (lambda p, m, u: [p.remove(r) for r in list(p) if r[0] == "p1" and r[4] == "z"], "no predictions"),
+    "nothing": (lambda p, m, u: (p.clear(), m.clear(), u.clear()), "no samples"),
+}
+
+
+@pytest.mark.parametrize("fault", FAULTS)
+def test_each_fault_is_refused(spark, fault):
+    change, message = FAULTS[fault]
+    with pytest.raises(checks.OofValidation, match=message):
+        campaign_of(spark, change)
+
+
+def test_leaking_blocks_come_first(spark):
+    with pytest.raises(checks.OofLeakage) as e:
+        campaign_of(spark, lambda p, m, u: p.append(("p0", "train", "f0", "s1", "z", 1.0)))
+    assert ("p0", "train", "f0") in {(r.producer, r.partition, r.fold_id) for r in e.value.rows}
+    assert campaign_of(spark).count() == 6
+
+
+def test_allowed_train_blocks_are_checked_against_their_fold(spark):
+    whole = lambda p, m, u: p.extend((f"p{j}", "train", f"f{g}", f"s{i}", t, 1.0) for i in range(6) for g in range(2) for j in range(2) for t in ("y", "z") if i % 2 != g)
+    campaign_of(spark, whole, allow_train=True)
+    for fault in (lambda p, m, u: (whole(p, m, u), p.remove(("p0", "train", "f0", "s1", "y", 1.0))), lambda p, m, u: (whole(p, m, u), p.append(("p0", "train", "f0", "s0", "y", 1.0)))):
+        with pytest.raises(checks.OofValidation):
+            campaign_of(spark, fault, allow_train=True)
+
+
+def test_resampled_campaign(spark):
+    """A sample may be validated in several folds, and then is predicted in each; the join averages. Overlap stays refused."""
+    def again(p, m, u):
+        m.remove(("f1", "s0", "train"))
+        m.append(("f1", "s0", "validation"))
+        p.extend((f"p{j}", "validation", "f1", "s0", t, 10.0) for j in range(2) for t in ("y", "z"))
+
+    got = {r.sample_id: r for r in campaign_of(spark, again, resampled=True).collect()}
+    assert got["s0"].p0__y == 5.0 and got["s3"].p1__z == 4.0
+    with pytest.raises(checks.OofValidation):
+        campaign_of(spark, again)
+    with pytest.raises(checks.OofValidation, match="overlap"):
+        campaign_of(spark, lambda p, m, u: (again(p, m, u), m.append(("f1", "s0", "train"))), resampled=True)
