@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from evalkiln.checks import OofValidation, strict
 from evalkiln.functions.hashing import seed_key
 from evalkiln.operators.order import position as global_position, running
 
@@ -144,6 +145,74 @@ def repeated_kfold(samples: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFr
     return out.select("repeat", "sample_id", "fold")
 
 
+def shuffle_split(samples: DataFrame, n_splits: int, test_share: float, seed: int, id_col: str = "sample_id") -> DataFrame:
+    """(fold_id, sample_id, role): in each split the first floor(test_share n) samples by a seeded hash are validated, the others train.
+
+    Splits are independent, so a sample may be validated in several or in none; the share must leave both sides rows.
+    Positions are found by ranges of (split, hash), so no split is sorted in one task.
+    """
+    n = samples.count()
+    tested = int(test_share * n)
+    if not 0 < tested < n:
+        raise ValueError(f"a share of {test_share} leaves {tested} of {n} samples for validation")
+    rows = samples.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("__f"))
+    label = F.concat(F.lit("fold"), F.col("__f").cast("string"))
+    keyed = rows.withColumn("__key", F.sha2(F.concat_ws(":", F.lit(str(seed)), "__f", id_col), 256))
+    placed = global_position(keyed, "__key", id_col, keys=["__f"])
+    return placed.select(label.alias("fold_id"), id_col, F.when(F.col("position") < tested, "validation").otherwise("train").alias("role"))
+
+
+def bootstrap(samples: DataFrame, n_splits: int, seed: int, id_col: str = "sample_id") -> DataFrame:
+    """(fold_id, sample_id, role, times): n draws with replacement train each split, the samples never drawn are validated.
+
+    ``times`` is how often a sample was drawn (1 for validation). Draw i of a split takes the sample at a hashed position;
+    draws are counted by position, so a split is one aggregation and one join, whatever its size.
+    """
+    n = samples.count()
+    if n < 2:
+        raise ValueError("a bootstrap needs at least two samples")
+    spark = samples.sparkSession
+    draws = spark.range(n_splits * n).select((F.col("id") % n_splits).cast("int").alias("__f"), F.floor(F.col("id") / n_splits).cast("bigint").alias("__i"))
+    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "__f", "__i"), 256), 1, 13), 16, 10).cast("bigint") % n
+    times = draws.groupBy("__f", place.alias("position")).agg(F.count("*").alias("times"))
+    placed = global_position(samples.select(id_col), id_col).withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    joined = placed.join(times, ["__f", "position"], "left")
+    return joined.select(
+        F.concat(F.lit("fold"), F.col("__f").cast("string")).alias("fold_id"), id_col, F.when(F.col("times").isNull(), "validation").otherwise("train").alias("role"), F.coalesce("times", F.lit(1)).alias("times")
+    )
+
+
+def supplied_violations(members: DataFrame, universe: DataFrame, partitioned: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """(rule, fold_id, sample_id): what forbids the use of a table of folds that came from elsewhere.
+
+    ``role`` (neither train nor validation), ``null`` (no fold or sample), ``repeated`` (twice in one role; with a column
+    ``times`` a repeat is a number there), ``times`` (not a positive number), ``empty`` (a fold without samples to validate
+    or to train on), those of ``fold_violations`` (``validated`` only where the folds are a partition), and ``group`` (a
+    group of ``groups`` (sample_id, group_id) on both sides of a fold; its id stands for the sample).
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    named = lambda rule, df: df.select(F.lit(rule).alias("rule"), text("fold_id"), text("sample_id"))
+    m = members
+    sides = m.groupBy("fold_id").agg(F.count_if(F.col("role") == "validation").alias("v"), F.count_if(F.col("role") == "train").alias("t"))
+    out = named("role", m.where(F.col("role").isNull() | ~F.col("role").isin("train", "validation")))
+    out = out.unionByName(named("null", m.where("fold_id is null or sample_id is null")))
+    out = out.unionByName(named("repeated", m.groupBy("fold_id", "sample_id", "role").count().where("count > 1")))
+    out = out.unionByName(named("empty", sides.where("v = 0 or t = 0").withColumn("sample_id", F.lit(None).cast("string"))))
+    if "times" in m.columns:
+        out = out.unionByName(named("times", m.where("times is null or times < 1")))
+    rules = fold_violations(m, universe.select("sample_id").distinct(), True).where(F.lit(partitioned) | (F.col("rule") != "validated"))
+    out = out.unionByName(rules.select("rule", text("fold_id"), text("sample_id")))
+    if groups is not None:
+        out = out.unionByName(straddling(m, groups, "group_id").select(F.lit("group").alias("rule"), text("fold_id"), F.col("unit").cast("string").alias("sample_id")))
+    return out
+
+
+def supplied(members: DataFrame, universe: DataFrame, partitioned: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """``members``, if nothing forbids their use as folds of ``universe``; else OofValidation with the first violations."""
+    strict(supplied_violations(members, universe, partitioned, groups), OofValidation, "a supplied fold set")
+    return members
+
+
 def fold_violations(members: DataFrame, universe: DataFrame, partitioned: bool = True) -> DataFrame:
     """(rule, fold_id, sample_id): overlaps of train and validation, unknown samples, wrong validation counts."""
     overlap = members.groupBy("fold_id", "sample_id").agg(F.count_distinct("role").alias("n")).where("n > 1").select(F.lit("overlap").alias("rule"), "fold_id", "sample_id")

@@ -38,15 +38,21 @@ class Moments:
 
 @dataclass(frozen=True)
 class FoldMoments:
-    """The cross-products of each fold's own rows, of columns shifted by ``shift``."""
+    """The cross-products of each fold's own rows, of columns shifted by ``shift``; with ``trained`` those of its train rows."""
 
     own: dict[int, np.ndarray]
     shift: np.ndarray
     dims: int
+    trained: bool = False
 
     def train(self, fold: int = ALL) -> Moments:
-        """Of all rows outside a fold; of all rows for ALL."""
-        m = sum((v for f, v in self.own.items() if f != fold), np.zeros_like(next(iter(self.own.values()))))
+        """Of what a fold trains on: all rows outside it, or its own train rows; of all rows for ALL."""
+        if self.trained:
+            if fold not in self.own:
+                raise OofValidation(f"fold {fold} has no rows to train on")
+            m = self.own[fold]
+        else:
+            m = sum((v for f, v in self.own.items() if f != fold), np.zeros_like(next(iter(self.own.values()))))
         n, p = m[0, 0], self.dims
         if n < 1:
             raise OofValidation(f"fold {fold} has no rows to train on")
@@ -108,6 +114,26 @@ def fold_moments(rows: DataFrame, x: str, ys: list[str], fold: str | None = "fol
     return FoldMoments(own, shift, width - len(ys))
 
 
+def resampled_moments(rows: DataFrame, members: DataFrame, x: str, ys: list[str]) -> FoldMoments:
+    """What each fold of a resampled set trains on: its train members, each as often as ``times`` says.
+
+    ``members`` has fold_id (``fold`` and a number), sample_id, role and may have times. A sample stands in several
+    folds, so its products are added to each; that is one join by sample and no row twice.
+    """
+    number = F.substring("fold_id", 5, 9).cast("int").alias("__of")
+    times = F.col("times") if "times" in members.columns else F.lit(1)
+    train = members.where("role = 'train'").select("sample_id", number, times.cast("double").alias("__times"))
+    found = fold_moments(rows.join(train, "sample_id"), x, ys, "__of", "__times")
+    return FoldMoments(found.own, found.shift, found.dims, trained=True)
+
+
+def resampled_oof(rows: DataFrame, members: DataFrame, models: list[Model], x: str, name: str = "value") -> DataFrame:
+    """(sample_id, value, n): the mean of a sample's predictions by the models of all folds that validate it; n = 0 and null if none does."""
+    valid = members.where("role = 'validation'").select("sample_id", F.substring("fold_id", 5, 9).cast("int").alias("__of"))
+    each = predict(rows.join(valid, "sample_id"), models, x, [name], "__of").groupBy("sample_id").agg(F.avg(name).alias(name), F.count(name).alias("n"))
+    return rows.select("sample_id").join(each, "sample_id", "left").select("sample_id", name, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 #: From moments to coefficients, one column for each target.
 Fit = Callable[[Moments], np.ndarray]
 
@@ -322,3 +348,29 @@ def pls_da(rows: DataFrame, x: str, label: str, components: int, fold: str = "fo
     out = predict(rows, fit_folds(moments, simpls(components)), x, names, fold)
     best = F.array_max(F.array(*[F.struct(F.col(n).alias("p"), F.lit(-i).alias("i")) for i, n in enumerate(names)]))["i"]
     return out.withColumn("predicted", F.get(F.array(*[F.lit(v) for v in labels]), -best)).drop(*names)
+
+
+def selected_features(moments: FoldMoments, keep: int) -> list[tuple[int, list[float], list[bool]]]:
+    """(fold, scores, mask): the squared correlation of each feature with the target on a fold's train rows, and the ``keep`` best.
+
+    The validation rows of a fold have no part in its mask; ties go to the earlier feature; a constant feature scores 0.
+    The fold ALL is the selection of a refit.
+    """
+    out = []
+    for f in [*sorted(moments.own), *([] if moments.trained else [ALL])]:
+        m = moments.train(f)
+        spread = np.diag(m.xx) * m.yy[0, 0]
+        score = np.divide(m.xy[:, 0] ** 2, spread, out=np.zeros(len(m.xx)), where=spread > 0)
+        best = np.lexsort((np.arange(len(score)), -score))[:keep]
+        out.append((f, score.tolist(), np.isin(np.arange(len(score)), best).tolist()))
+    return out
+
+
+def masked(fit: Callable[[list[int]], Fit], moments: FoldMoments, keep: int) -> list[Model]:
+    """One model for each fold on the features that the fold's own train rows select, by ``fit`` of the kept columns."""
+    out = []
+    for f, _, mask in selected_features(moments, keep):
+        m = moments.train(f)
+        coef = fit([i for i, k in enumerate(mask) if k])(m)
+        out.append(Model(f"top{keep}", f, coef, m.y_mean - m.x_mean @ coef))
+    return out

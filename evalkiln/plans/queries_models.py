@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalkiln.operators import folds, gram
-from evalkiln.plans.prelude import FOLDS, PRED, SAMPLES, sql
+from evalkiln.plans.prelude import FOLDS, MEMBERS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
-from evalkiln.sources.testdata import fold_of, predictions, samples, table
+from evalkiln.sources.testdata import fold_of, membership, predictions, samples, table
 
 COLUMNS = [("m:a", "y"), ("m:b", "y")]
 RIDGE = 0.5
@@ -135,3 +135,73 @@ def ml_pls_da(spark, d):
     """Classes by partial least squares on one indicator for each label; the largest prediction wins, ties by label."""
     rows = _vectors(spark, d)
     return gram.pls_da(rows, "x", "y", 4).select("vec_id", F.col("y").cast("int").alias("label"), F.col("predicted").cast("int").alias("predicted"))
+
+
+# --- resampled and supplied fold sets
+
+SHUFFLED = "shuffled as (select f.range as f, sample_id, row_number() over (partition by f.range order by sha256('5:' || f.range || ':' || sample_id), sample_id) as i, count(*) over (partition by f.range) as n from samples, range(3) f)"
+
+
+@query("split_shuffle", sql("select 'fold' || f as fold_id, sample_id, case when i <= floor(0.3 * n) then 'validation' else 'train' end as role from shuffled", SAMPLES, SHUFFLED))
+def split_shuffle(spark, d):
+    return folds.shuffle_split(samples(spark, d), 3, 0.3, 5)
+
+
+DRAWN = """placed as (select sample_id, row_number() over (order by sample_id) - 1 as pos, count(*) over () as n from samples),
+times as (select f.range as f, ('0x' || substr(sha256('11:' || f.range || ':' || i.pos), 1, 13))::bigint % i.n as pos, count(*) as times from placed i, range(3) f group by all),
+boot as (select 'fold' || f.range as fold_id, f.range as f, sample_id, case when times is null then 'validation' else 'train' end as role, coalesce(times, 1) as times from placed cross join range(3) f left join times t on t.f = f.range and t.pos = placed.pos)"""
+
+
+@query("split_bootstrap", sql("select fold_id, sample_id, role, times from boot", SAMPLES, DRAWN))
+def split_bootstrap(spark, d):
+    return folds.bootstrap(samples(spark, d), 3, 11)
+
+
+@query("resampled_oof", sql(""", d as (select sample_id, max(value) filter (producer = 'm:a') as xa, max(value) filter (producer = 'm:b') as xb, any_value(y) as y from pred group by sample_id),
+ often as (select b.f, d.* from d join boot b using (sample_id), range(50) r where role = 'train' and r.range < times),
+ sums as (select f as fold, count(*) as n, avg(xa) as ma, avg(xb) as mb, avg(y) as my, count(*) * var_pop(xa) as saa, count(*) * var_pop(xb) as sbb, count(*) * covar_pop(xa, xb) as sab, count(*) * covar_pop(xa, y) as say, count(*) * covar_pop(xb, y) as sby from often group by f),
+ """ + BOTH + """, v as (select sample_id, my + ba * (xa - ma) + bb * (xb - mb) as value from boot b join d using (sample_id) join solved on solved.fold = b.f where role = 'validation')
+ select s.sample_id, round(avg(value), 6) as value, count(value) as n from samples s left join v using (sample_id) group by s.sample_id""", SAMPLES, FOLDS, PRED, DRAWN))
+def resampled_oof(spark, d):
+    """Ridge models trained on bootstrap draws; each sample has the mean of the models that never drew it."""
+    rows, members = _stacked(spark, d), folds.supplied(folds.bootstrap(samples(spark, d), 3, 11), samples(spark, d), partitioned=False)
+    models = gram.fit_folds(gram.resampled_moments(rows, members, "x", ["y"]), gram.ridge(RIDGE))
+    return gram.resampled_oof(rows, members, models, "x").withColumn("value", F.round("value", 6))
+
+
+SUPPLIED = """given as (select case when fold_id = 'fold2' then null else fold_id end as fold_id, sample_id, case when sample_id like '%3' and fold_id = 'fold1' then 'test' else role end as role from members where not (fold_id = 'fold3' and role = 'validation'))"""
+
+
+@query("supplied_fold_violations", sql(""", u as (select 'role' as rule, fold_id, sample_id from given where role = 'test' union all select 'null', fold_id, sample_id from given where fold_id is null
+ union all select 'empty', fold_id, null from given group by fold_id having count(*) filter (role = 'validation') = 0 or count(*) filter (role = 'train') = 0
+ union all select 'overlap', fold_id, sample_id from given group by fold_id, sample_id having count(distinct role) > 1
+ union all select 'validated', null, s.sample_id from samples s left join given g on g.sample_id = s.sample_id and g.role = 'validation' group by s.sample_id having count(g.sample_id) <> 1
+ union all select 'group', fold_id, group_id from given join samples using (sample_id) group by fold_id, group_id having count(distinct role) > 1) select rule, fold_id, sample_id from u""", SAMPLES, FOLDS, MEMBERS, SUPPLIED))
+def supplied_fold_violations(spark, d):
+    m = membership(spark, d).where("not (fold_id = 'fold3' and role = 'validation')")
+    given = m.select(
+        F.when(F.col("fold_id") != "fold2", F.col("fold_id")).alias("fold_id"), "sample_id",
+        F.when(F.col("sample_id").endswith("3") & (F.col("fold_id") == "fold1"), "test").otherwise(F.col("role")).alias("role"),
+    )
+    return folds.supplied_violations(given, samples(spark, d), True, samples(spark, d).select("sample_id", "group_id"))
+
+
+# --- feature selection by fold
+
+SCORES = "score as (select x.range as fold, j, corr(l.x, l.y) ** 2 as score from l, range(-1, 5) x where l.fold <> x.range group by x.range, j), best as (select fold, j, score, row_number() over (partition by fold order by score desc, j) <= 10 as kept from score)"
+
+
+@query("feature_selection", sql("select cast(fold as int) as fold, list(kept order by j)::varchar as mask, round(max(score), 6) as top_score from best group by fold", PLS, SCORES))
+def feature_selection(spark, d):
+    """The ten best of 64 features for each fold by its own train rows, and for the refit (fold -1), as masks."""
+    found = gram.selected_features(gram.fold_moments(_vectors(spark, d), "x", ["y"]), 10)
+    rows = [(f, "[" + ", ".join(str(k).lower() for k in mask) + "]", max(score)) for f, score, mask in found]
+    return spark.createDataFrame(rows, "fold int, mask string, top_score double").withColumn("top_score", F.round("top_score", 6))
+
+
+@query("feature_selection_oof")
+def feature_selection_oof(spark, d):
+    """Out-of-fold predictions of least squares on each fold's own selection."""
+    rows = _vectors(spark, d)
+    models = gram.masked(lambda columns: gram.ridge(0.0, columns), gram.fold_moments(rows, "x", ["y"]), 10)
+    return gram.predict(rows, [m for m in models if m.fold != gram.ALL], "x", ["value"]).select("vec_id", F.round("value", 6).alias("value"))

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from evalkiln.checks import CampaignValidation, OofValidation
-from evalkiln.operators import gram
+from evalkiln.operators import folds, gram
 
 
 def frame(spark, n=240, p=6, seed=0, far=0.0):
@@ -134,3 +134,54 @@ def test_stack_refuses(spark, change, message):
         gram.stack(change(p), rows, columns).collect()
     twice = p.unionByName(p.withColumn("value", F.col("value") + 1))
     assert {r.sample_id: r.x for r in gram.stack(twice, rows, columns, resampled=True).collect()}["s2"] == [100.5, 99.5]
+
+
+def test_resampled_folds(spark):
+    """Shuffle splits and bootstraps have the sizes and multiplicities asked for; models train on each fold's draws."""
+    x, y, df = frame(spark, n=90)
+    shuffled = folds.shuffle_split(df, 3, 0.25, 9)
+    assert {(r.fold_id, r.role): r["count"] for r in shuffled.groupBy("fold_id", "role").count().collect()} == {(f"fold{f}", role): n for f in range(3) for role, n in (("validation", 22), ("train", 68))}
+    assert folds.supplied_violations(shuffled, df, partitioned=False).count() == 0
+    with pytest.raises(ValueError):
+        folds.shuffle_split(df, 3, 0.001, 9)
+    drawn = folds.bootstrap(df, 3, 4)
+    times = {(r.fold_id, r.sample_id): r.times if r.role == "train" else 0 for r in drawn.collect()}
+    assert len(times) == 270 and all(sum(times[f"fold{f}", i] for i in range(90)) == 90 for f in range(3)) and len({times[k] for k in times}) > 3
+    models = gram.fit_folds(gram.resampled_moments(df, drawn, "x", ["y"]), gram.ridge(1.0))
+    total, count = np.zeros(90), np.zeros(90)
+    for m in models:
+        often = [i for i in range(90) for _ in range(times[f"fold{m.fold}", i])]
+        xc, yc = x[often] - x[often].mean(0), y[often, :1] - y[often, :1].mean(0)
+        assert m.coef == pytest.approx(np.linalg.solve(xc.T @ xc + np.eye(6), xc.T @ yc), rel=1e-6)
+        out = np.array([times[f"fold{m.fold}", i] == 0 for i in range(90)])
+        total += out * (x @ m.coef[:, 0] + m.intercept[0])
+        count += out
+    got = {r.sample_id: r for r in gram.resampled_oof(df, drawn, models, "x").collect()}
+    for i in range(90):
+        assert got[i].n == count[i] and (got[i].value is None if not count[i] else got[i].value == pytest.approx(total[i] / count[i]))
+
+
+def test_supplied_folds_are_refused(spark):
+    u = spark.createDataFrame([(f"s{i}", f"g{i % 3}") for i in range(6)], "sample_id string, group_id string")
+    good = [(f"f{g}", f"s{i}", "validation" if i % 3 == g else "train", 1) for i in range(6) for g in range(3)]
+    kind = "fold_id string, sample_id string, role string, times int"
+    assert folds.supplied(spark.createDataFrame(good, kind), u, groups=u).count() == 18
+    for bad, rule in (
+        ([*good, ("f0", "s1", "test", 1)], "role"), ([*good, (None, "s1", "train", 1)], "null"), ([*good, good[4]], "repeated"), ([*good, ("f4", "s1", "train", 1)], "empty"), ([*good[1:], (*good[0][:3], 0)], "times"),
+        ([*good, ("f0", "s0", "train", 1)], "overlap"), ([*good, ("f0", "s7", "train", 1)], "foreign"), (good[1:], "validated"), ([*[g for g in good if g[:2] != ("f0", "s3")], ("f0", "s3", "train", 1)], "group"),
+    ):
+        df = spark.createDataFrame(bad, kind)
+        assert rule in {r.rule for r in folds.supplied_violations(df, u, groups=u).collect()}
+        with pytest.raises(OofValidation):
+            folds.supplied(df, u, groups=u)
+
+
+def test_features_are_selected_by_train_rows(spark):
+    x, y, df = frame(spark)
+    moments = gram.fold_moments(df, "x", ["y"])
+    for f, score, mask in gram.selected_features(moments, 2):
+        own = np.arange(240) % 4 != f
+        want = [np.corrcoef(x[own, j], y[own, 0])[0, 1] ** 2 for j in range(6)]
+        assert score == pytest.approx(want) and [i for i, k in enumerate(mask) if k] == sorted(np.argsort(want)[-2:])
+    models = gram.masked(lambda columns: gram.ridge(0.0, columns), moments, 2)
+    assert all((m.coef != 0).sum() == 2 for m in models)
