@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalkiln.operators import folds, gram
+from evalkiln.operators import domain, folds, gram
 from evalkiln.plans.prelude import FOLDS, MEMBERS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
 from evalkiln.sources.testdata import fold_of, membership, predictions, samples, table
@@ -205,3 +205,41 @@ def feature_selection_oof(spark, d):
     rows = _vectors(spark, d)
     models = gram.masked(lambda columns: gram.ridge(0.0, columns), gram.fold_moments(rows, "x", ["y"]), 10)
     return gram.predict(rows, [m for m in models if m.fold != gram.ALL], "x", ["value"]).select("vec_id", F.round("value", 6).alias("value"))
+
+
+# --- the domain of the training rows
+
+H = "1.0 / n + (sbb * (xa - ma) ** 2 - 2 * sab * (xa - ma) * (xb - mb) + saa * (xb - mb) ** 2) / (saa * sbb - sab * sab)"
+LEVERAGE = f"lev as (select sample_id, xa, xb, {H} as h, 9.0 / n as threshold from d join sums using (fold) where fold = 4)"
+
+
+def _leverage(spark, d):
+    rows = _stacked(spark, d)
+    return domain.leverage(rows.where("fold = 4"), gram.fold_moments(rows, "x", ["y"]).train(4))
+
+
+@query("domain_leverage", sql("select sample_id, round(h, 10) as score, round(threshold, 10) as threshold, cast(h <= threshold as int) as supported from lev", SAMPLES, FOLDS, PRED, WIDE, SUMS, LEVERAGE))
+def domain_leverage(spark, d):
+    m = F.col("leverage")
+    return _leverage(spark, d).select("sample_id", F.round(m["score"], 10).alias("score"), F.round(m["threshold"], 10).alias("threshold"), m["supported"].cast("int").alias("supported"))
+
+
+@query("decision_operators", sql("""select sample_id, case when xb > 13.5 then 'reject' when h > threshold or sample_id in ('S000000005', 'S000000010') then 'refer' else 'accept' end as decision,
+ array_to_string(case when h <= threshold and xb <= 13.5 and sample_id not in ('S000000005', 'S000000010') then ['all_thresholds_hold'] else list_filter([case when h > threshold then 'domain' end, case when xb > 13.5 then 'high' end, case when sample_id in ('S000000005', 'S000000010') then 'listed' end], lambda r: r is not null) end, ',') as reasons from lev""", SAMPLES, FOLDS, PRED, WIDE, SUMS, LEVERAGE))
+def decision_operators(spark, d):
+    """Accept, refer or reject by domain support, a number and a list of ids."""
+    rows = domain.assess(_leverage(spark, d).withColumn("xb", F.col("x")[1]), ["leverage"])
+    rules = [domain.Threshold("domain", "status", "not_in", ["out_of_support"]), domain.Threshold("high", "xb", "lte", 13.5, "reject"), domain.Threshold("listed", "sample_id", "not_in", ["S000000005", "S000000010"])]
+    return domain.decide(rows, rules).select("sample_id", "decision", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("domain_assessment")
+def domain_assessment(spark, d):
+    """Embeddings of the largest label against those of all others: leverage and cross-fitted density ratio, in three states."""
+    rows = _vectors(spark, d).withColumn("is_test", (F.col("y") == 7).cast("int"))
+    count = {r.is_test: r["count"] for r in rows.groupBy("is_test").count().collect()}
+    moments = gram.fold_moments(rows, "x", ["y"])
+    train = gram.fold_moments(rows.where("is_test = 0"), "x", ["y"]).train()
+    models = domain.separating_models(rows, "x", moments)
+    scored = domain.density_ratio(domain.leverage(rows, train), "x", moments, models, count.get(0, 1), max(1, count.get(1, 1)), 10.0)
+    return domain.assess(scored, ["leverage", "density_ratio"]).select("vec_id", "is_test", "status")
