@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: dict[str, SparkSession] = {}
+#: The catalog's names of bucketed tables, by path.
+_names: dict[str, str] = {}
 #: Where the tables that ``written`` gave are.
 _place: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -57,12 +60,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
+    _delete(spark, path)
+
+
 def _clean() -> None:
     for path, spark in _written.items():
         try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
+            _remove(spark, path)
+        except Exception:  # the session may have ended before the interpreter; the next path may have another session
+            continue
 
 
 atexit.register(_clean)
@@ -98,6 +107,7 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     """
     spark = df.sparkSession
     path, table = shared_path(spark, name), f"evalkiln_{uuid.uuid4().hex}"
+    _names[path] = table
     df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(table)
     out = spark.table(table)
     _place[out] = path
@@ -105,10 +115,19 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables that ``written`` or ``bucketed`` gave and that no later action reads."""
+    """Remove tables that ``written`` or ``bucketed`` gave and that no later action reads.
+
+    The driver collects its garbage then: only so does Spark learn which shuffles and broadcasts no one needs any more,
+    and the plans of many small jobs don't pile up in its heap.
+    """
+    spark = None
     for df in tables:
         path = _place.pop(df)
-        _delete(_written.pop(path), path)
+        spark = _written.pop(path)
+        _remove(spark, path)
+    if spark is not None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def carried(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:

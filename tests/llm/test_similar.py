@@ -84,3 +84,14 @@ def test_edges(spark, edge_docs, no_docs):
     assert similar.similar_groups(no_docs).count() == 0 == similar.first_of_groups(no_docs).count()
     clash = edge_docs.withColumnsRenamed({"kept": "sid", "score": "row"})
     assert similar.first_of_groups(clash).columns == clash.columns
+
+
+def test_released_tables_leave_the_catalog(spark):
+    from evalkiln.llm.common import bucketed, release, written
+
+    df = spark.range(10)
+    tables = [bucketed(df, "catalog-test", "id", 2), written(df, "catalog-test")]
+    before = [t.name for t in spark.catalog.listTables() if t.name.startswith("evalkiln_")]
+    assert before and all(t.count() == 10 for t in tables)
+    release(*tables)
+    assert len([t.name for t in spark.catalog.listTables() if t.name.startswith("evalkiln_")]) == len(before) - 1
