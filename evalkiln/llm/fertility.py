@@ -2,16 +2,18 @@
 
 A public vocabulary says how well it knows a text: characters per token (few, if words fall apart), the share of
 tokens that are single fallback bytes, and the Shannon entropy of the token distribution (low for repetitive text,
-high for random characters). Each has a band per language or script, fitted on the corpus itself: with the quantiles
-q05, q50 and q95 of the texts that pass the plain counts, equal measures counted once, a band reaches from
-q05 - FENCE (q50 - q05) to q95 + FENCE (q95 - q50), and some slack of its own. Noise of a few per cent doesn't move
-the quantiles and lies outside. Bands are those of the script and language label together if there are MIN_FIT such
-texts, else of the script, else of all texts, else the fixed ``BANDS``. Plain counts come first: too few words, or
-mostly repeated three-word windows.
+high for random characters). Each has a band per language or script, fitted on the corpus itself. Centre and spread of
+a group are those of the shortest interval that holds half of its texts (different ones that pass the plain counts),
+which up to half of the texts being noise cannot move away; then texts far from it are left out and both are
+taken again, so that noise widens no band either. A band reaches REACH spreads down and up. Few texts say little: the
+limits of script and language are drawn towards those of the script, these towards those of all texts, and these towards
+the fixed ``BANDS``, by PRIOR texts each time, so nothing changes suddenly with the size of a group. Plain counts come first: too few words, or mostly repeated
+three-word windows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,11 +33,19 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 
-#: Fewest texts (of different measures) that a band is fitted on, how far it reaches beyond the quantiles, and slack.
-MIN_FIT = 100
-FENCE = 2.0
+#: How far a band reaches from its centre, down and up, in spreads, and beyond that; a spread is at least LEAST.
+REACH = {"chars_per_token": (12.0, 8.0), "byte_share": (math.inf, 10.0), "token_entropy": (12.0, 3.5)}  # no text has too few fallback bytes
 SLACK = {"chars_per_token": 0.0, "byte_share": 0.05, "token_entropy": 0.0}
+LEAST = {"chars_per_token": 0.01, "byte_share": 0.002, "token_entropy": 0.05}
 CRITERIA = tuple(SLACK)
+#: Texts farther from the first centre, in spreads, don't take part in the second fit.
+TRIM = 3.5
+#: Texts that what is known beforehand weighs as much as.
+PRIOR = 20
+#: Quantiles among which the shortest half is looked for, and its half width in standard deviations of a normal sample.
+STEPS, HALF_WIDTH = 200, 0.6744897501960817
+#: Bands (scripts and labels) that may be broadcast.
+MANY_BANDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -126,17 +136,34 @@ def measures(text: str | None, path: str) -> tuple:
 COLUMNS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "script": "string", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double"}
 
 
+def _spreads(rows: DataFrame) -> DataFrame:
+    """(script, lang, n, and centre and spread of each criterion): of the shortest half of each group."""
+    steps = [F.percentile_approx(c, [i / STEPS for i in range(STEPS + 1)], 10_000).alias(c) for c in CRITERIA]
+    found = rows.groupBy("script", "lang").agg(F.count("*").alias("n"), *steps)
+
+    def shortest(c: str):
+        half = STEPS // 2
+        at = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(half)), lambda i: F.struct((F.get(c, i + half) - F.get(c, i)).alias("width"), i.alias("i"))))
+        low, high = F.get(c, at["i"]), F.get(c, at["i"] + half)
+        return F.struct(((low + high) / 2).alias("centre"), F.greatest(at["width"] / (2 * HALF_WIDTH) * (1 + 5.0 / F.col("n")), F.lit(LEAST[c])).alias("spread")).alias(c)
+
+    return found.select("script", "lang", "n", *[shortest(c) for c in CRITERIA])
+
+
 def fitted_bands(measured: DataFrame) -> DataFrame:
-    """(script, lang, n, least and most of each criterion): one row for each group of MIN_FIT texts; a null is "any"."""
+    """(script, lang, n, band): least and most of each criterion for all texts (null script), each script (null lang), and each script and language."""
     different = measured.where(~F.col("base_failed")).select("n_words", "word_chars", "script", "lang", *CRITERIA).distinct()
     group = lambda script, lang: F.struct(script.cast("string").alias("script"), lang.cast("string").alias("lang"))
     levels = F.array(group(F.col("script"), F.col("lang")), group(F.col("script"), F.lit(None)), group(F.lit(None), F.lit(None)))
     rows = different.withColumn("level", F.explode(F.array_distinct(levels))).select("level.*", *CRITERIA)
-    quantiles = [F.percentile_approx(c, [0.05, 0.5, 0.95], 10_000).alias(c) for c in CRITERIA]
-    found = rows.groupBy("script", "lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= MIN_FIT)
-    low = lambda c: F.col(c)[0] - FENCE * (F.col(c)[1] - F.col(c)[0]) - SLACK[c]
-    high = lambda c: F.col(c)[2] + FENCE * (F.col(c)[2] - F.col(c)[1]) + SLACK[c]
-    return found.select("script", "lang", "n", F.struct(*[F.struct(low(c).alias("least"), high(c).alias("most")).alias(c) for c in CRITERIA]).alias("band"))
+    first = written(_spreads(rows).select(F.col("script").alias("s"), F.col("lang").alias("l"), *[F.col(c).alias(f"own_{c}") for c in CRITERIA]), "spreads")
+    if first.count() <= MANY_BANDS:
+        first = F.broadcast(first)
+    near = [F.abs(F.col(c) - F.col(f"own_{c}")["centre"]) <= TRIM * F.col(f"own_{c}")["spread"] for c in CRITERIA]
+    left = rows.join(first, F.col("script").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l"))).where(near[0] & near[1] & near[2])
+    low = lambda c: F.col(c)["centre"] - REACH[c][0] * F.col(c)["spread"] - SLACK[c] if math.isfinite(REACH[c][0]) else F.lit(0.0)
+    high = lambda c: F.col(c)["centre"] + REACH[c][1] * F.col(c)["spread"] + SLACK[c]
+    return _spreads(left).select("script", "lang", "n", F.struct(*[F.struct(low(c).alias("least"), high(c).alias("most")).alias(c) for c in CRITERIA]).alias("band"))
 
 
 def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
@@ -166,13 +193,24 @@ def measure(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     out = written(out.withColumn("base_failed", failed), "fertility")
 
-    bands = written(fitted_bands(out), "bands")  # one row for each script and label, and of these only the frequent
-    exact, wide = F.broadcast(bands.where("lang is not null").select("script", "lang", F.col("band").alias("exact"))), F.broadcast(bands.where("lang is null and script is not null").select("script", F.col("band").alias("wide")))
-    of_all = F.broadcast(bands.where("script is null").select(F.col("band").alias("of_all")))
+    bands = written(fitted_bands(out), "bands")  # one row for each script and label
+    few = F.broadcast if bands.count() <= MANY_BANDS else lambda df: df
+    exact = few(bands.where("lang is not null").select("script", "lang", F.struct("n", "band").alias("exact")))
+    wide = F.broadcast(bands.where("lang is null and script is not null").select("script", F.struct("n", "band").alias("wide")))  # one for each script
+    whole = F.broadcast(bands.where("script is null").select(F.struct("n", "band").alias("whole")))  # one row
     pair = lambda x: F.struct(F.lit(x[0]).alias("least"), F.lit(x[1]).alias("most"))
     fixed = F.coalesce(*[F.when(F.col("script") == s, F.struct(*[pair(getattr(b, c)).alias(c) for c in CRITERIA])) for s, b in BANDS.items()], F.struct(*[pair(getattr(BANDS["other"], c)).alias(c) for c in CRITERIA]))
-    out = out.join(exact, ["script", "lang"], "left").join(wide, "script", "left").join(of_all, F.lit(True), "left")
-    out = out.withColumn("band", F.coalesce("exact", "wide", "of_all", fixed))
+
+    def drawn(own, parent):
+        """The limits of a group, drawn towards those of what it is part of."""
+        share = F.coalesce(own["n"], F.lit(0)) / (F.coalesce(own["n"], F.lit(0)) + PRIOR)
+        limit = lambda c, end: (parent[c][end] + share * F.coalesce(own["band"][c][end] - parent[c][end], F.lit(0.0))).alias(end)
+        return F.struct(*[F.struct(limit(c, "least"), limit(c, "most")).alias(c) for c in CRITERIA])
+
+    out = out.join(exact, ["script", "lang"], "left").join(wide, "script", "left").join(whole, F.lit(True), "left")
+    out = out.withColumn("band", drawn(F.col("whole"), fixed))
+    for level in ("wide", "exact"):
+        out = out.withColumn("band", drawn(F.col(level), F.col("band")))
     outside = F.array_join(F.array_compact(F.array(*[F.when(~F.col(c).between(F.col("band")[c]["least"], F.col("band")[c]["most"]), c) for c in CRITERIA])), ",")
     out = out.withColumn("outside", F.when(F.col("n_words") > 0, outside).otherwise("")).withColumn("verdict", ~F.col("base_failed") & (F.col("outside") == ""))
     return restored(out, text_col, keep, *COLUMNS, "base_failed", "outside", "verdict").withColumnRenamed("verdict", "kept")

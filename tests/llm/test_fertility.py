@@ -47,23 +47,33 @@ def brute_kept(rows):
         share = [c / len(ids) for c in Counter(ids).values()]
         values = (len(text) / len(ids), sum(map(model.is_byte, ids)) / len(ids), -sum(p * math.log2(p) for p in share)) if ids else (0.0, 0.0, 0.0)
         found[i] = (n, chars, Q.script_of(text or ""), lang, tuple(round(v, 9) for v in values), n < 50 or 100 * again > 50 * n)
-    seen = {}
+    groups = {}
     for n, chars, script, lang, values, failed in set(found.values()):
         if not failed:
             for level in {(script, lang), (script, None), (None, None)}:
-                seen.setdefault(level, []).append(values)
+                groups.setdefault(level, []).append(values)
+    least, reach, slack = (0.01, 0.002, 0.05), ((12, 8), (None, 10), (12, 3.5)), (0, 0.05, 0)
+
+    def spread(own, k):
+        own = sorted(v[k] for v in own)
+        q = [own[max(0, math.ceil(i / 200 * len(own)) - 1)] for i in range(201)]
+        width, i = min((q[i + 100] - q[i], i) for i in range(101))
+        return (q[i] + q[i + 100]) / 2, max(width / (2 * 0.6744897501960817) * (1 + 5 / len(own)), least[k])
+
+    limits = {}
+    for level, own in groups.items():
+        first = [spread(own, k) for k in range(3)]
+        own = [v for v in own if all(abs(v[k] - first[k][0]) <= 3.5 * first[k][1] for k in range(3))]
+        if own:
+            limits[level] = len(own), [(c - reach[k][0] * s - slack[k] if reach[k][0] else 0.0, c + reach[k][1] * s + slack[k]) for k in range(3) for c, s in [spread(own, k)]]
     out = {}
     for i, (n, _, script, lang, values, failed) in found.items():
-        level = next((x for x in ((script, lang), (script, None), (None, None)) if (lang or x[1] is None) and len(seen.get(x, [])) >= 100), None)
         bad = []
         for k, name in enumerate(("chars_per_token", "byte_share", "token_entropy")):
-            if level:
-                own = sorted(v[k] for v in seen[level])
-                a, b, c = (own[math.ceil(p * len(own)) - 1] for p in (0.05, 0.5, 0.95))
-                slack = 0.05 * (k == 1)
-                low, high = a - 2 * (b - a) - slack, c + 2 * (c - b) + slack
-            else:
-                low, high = getattr(Q.BANDS.get(script, Q.BANDS["other"]), name)
+            low, high = getattr(Q.BANDS.get(script, Q.BANDS["other"]), name)
+            for level in [(None, None), (script, None), *([(script, lang)] if lang is not None else [])]:
+                many, own = limits.get(level, (0, [(low, high)] * 3))
+                low, high = (end + many / (many + 20) * (mine - end) for end, mine in zip((low, high), own[k]))
             if n and not low - 1e-6 <= values[k] <= high + 1e-6:
                 bad.append(name)
         out[i] = (",".join(bad), not failed and not bad, values)
@@ -129,3 +139,29 @@ def test_edges(spark, edge_docs, no_docs):
     out = Q.measure(edge_docs.drop("kept"), PATH)
     assert out.count() == edge_docs.count() and out.where("text is null").first().n_words == 0
     assert Q.measure(edge_docs, PATH).count() == edge_docs.count() and Q.measure(no_docs, PATH).count() == 0
+
+
+@pytest.fixture(scope="module")
+def english(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang").collect()
+    return [(r.doc_id, r.text, r.lang) for r in docs if r.text]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.2, 0.4])
+def test_noise_widens_no_band(spark, english, share):
+    """Letters at random under the label of clean texts: all are rejected whatever their share, and clean texts stay."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    clean = [r for r in english if brute(r[1])[0] >= 50][:200]
+    rows = clean + [(100_000 + i, " ".join(word() for _ in range(300)), "en") for i in range(int(len(clean) * share / (1 - share)))]
+    got = Q.measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), PATH).collect()
+    assert not [r.doc_id for r in got if r.doc_id >= 100_000 and r.kept]
+    assert sum(bool(r.outside) for r in got if r.doc_id < 100_000) <= 0.01 * len(clean)
+
+
+def test_bands_follow_the_number_of_texts(spark, english):
+    """One text more or less moves a limit a little, at any size of a group."""
+    clean = [r for r in english if brute(r[1])[0] >= 50]
+    limit = lambda n: {r.lang: r.band for r in Q.fitted_bands(Q.measure(spark.createDataFrame(clean[:n], "doc_id bigint, text string, lang string"), PATH)).collect()}["en"].chars_per_token.least
+    a, b = limit(99), limit(100)
+    assert abs(a - b) < 0.1
