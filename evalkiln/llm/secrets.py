@@ -4,7 +4,7 @@ The base patterns are credentials by their form. The method adds what has no for
 strings of a character class, and the Shannon entropy of its characters is kept up to date by counts that change
 for one leaving and one entering character. Base spans are cut out of the text first, so what is left beside them is
 still a candidate. The allow list works at two sizes: a candidate that as a whole is an identifier, number, path or
-checksum is no secret; a placeholder word suppresses only the windows near it.
+checksum is no secret; a placeholder word suppresses only the windows that overlap it or its short segment.
 """
 
 from __future__ import annotations
@@ -53,13 +53,36 @@ ALLOWED = (
     r"^/?[0-9]{0,8}[A-Za-z]{0,15}[0-9]{0,8}(?:[/_-]+[0-9]{0,8}[A-Za-z]{0,15}[0-9]{0,8})+$",
     r"^sha(?:1-[A-Za-z0-9+/]{27}|256-[A-Za-z0-9+/]{43}|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86})$",
 )
-#: Words of placeholders and published example keys, and how far from one a window has to be to count.
-PLACEHOLDER = r"(?i)(?:abcdefgh|01234567|example|sample|placeholder|dummy|redacted|xxxxxx)"
-REACH = 40
+def _rising(first: str, rest: str) -> str:
+    """``first`` and as much of ``rest`` as follows it."""
+    tail = ""
+    for ch in reversed(rest):
+        tail = f"(?:{ch}{tail})?"
+    return first + tail
+
+
+#: Words of placeholders and published example keys, and alphabets in their order.
+PLACEHOLDER = f"(?i)(?:{_rising('abcdefgh', 'ijklmnopqrstuvwxyz')}|{_rising('01234567', '89')}|example|sample|placeholder|dummy|redacted|xxxxxx)"
+#: Between "-" and "_", a segment of at most so many characters is quiet so far around a placeholder (published example
+#: keys end in one); in a longer one, and beyond its ends, only windows that overlap the placeholder are.
+SEGMENT, REACH = 64, 40
 STRETCH = "array<struct<from:int,to:int>>"
 
 
-def entropy_spans_of(candidate: Column, c: CharClass, placeholder: str = PLACEHOLDER, reach: int = REACH) -> Column:
+def quiet(candidate: Column, placeholder: str = PLACEHOLDER, reach: int = REACH, segment: int = SEGMENT) -> Column:
+    """The stretches (from, to) that placeholders keep quiet: a window that overlaps one doesn't count."""
+
+    def around(s: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(candidate, F.lit(1), s["start"]), "[^_-]*$", 0))
+        behind = F.length(F.regexp_extract(F.substring(candidate, s["stop"] + 1, F.length(candidate)), "^[^_-]*", 0))
+        wide = before + (s["stop"] - s["start"]) + behind <= segment
+        far = lambda n: F.when(wide, F.least(n, F.lit(reach))).otherwise(0)
+        return F.struct((s["start"] - far(before)).alias("from"), (s["stop"] + far(behind)).alias("to"))
+
+    return F.transform(spans_of(candidate, placeholder), around)
+
+
+def entropy_spans_of(candidate: Column, c: CharClass, placeholder: str = PLACEHOLDER) -> Column:
     """The stretches (from, to) of a candidate that windows of high entropy cover; windows that touch or overlap are one stretch.
 
     H = log2(w) - sum(n log2 n) / w; a step changes two counts and two terms of the sum. The counts are packed in
@@ -89,7 +112,7 @@ def entropy_spans_of(candidate: Column, c: CharClass, placeholder: str = PLACEHO
             return let(total, lambda x: mark(s, moved(t["n"], code, 1), x, at))
 
         def mark(s: Column, n: Column, total: Column, at: Column) -> Column:
-            high = (at >= w) & (total <= most) & ~F.exists(near, lambda p: (at - w < p["stop"] + reach) & (at > p["start"] - reach))
+            high = (at >= w) & (total <= most) & ~F.exists(near, lambda p: (at - w < p["to"]) & (at > p["from"]))
             new = high & (s["to"].isNull() | (s["to"] < at - w))
             return F.struct(
                 n.alias("n"), total.alias("sum"), F.when(new, at - w).otherwise(s["from"]).alias("from"), F.when(high, at).otherwise(s["to"]).alias("to"),
@@ -104,7 +127,7 @@ def entropy_spans_of(candidate: Column, c: CharClass, placeholder: str = PLACEHO
         return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, last)
 
     codes = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(c.alphabet), ch) - 1)
-    return let(F.filter(codes, lambda x: x >= 0), lambda k: let(spans_of(candidate, placeholder), lambda near: F.when(F.size(k) < w, F.array().cast(STRETCH)).otherwise(slide(k, near))))
+    return let(F.filter(codes, lambda x: x >= 0), lambda k: let(quiet(candidate, placeholder), lambda near: F.when(F.size(k) < w, F.array().cast(STRETCH)).otherwise(slide(k, near))))
 
 
 def base_spans(text: Column) -> Column:

@@ -64,11 +64,17 @@ def test_entropy_and_allow_list(spark, text, kinds):
 
 def stretches(w, c):
     """The stretches of high windows by direct computation, window by window."""
-    near = [m.span() for m in re.finditer("abcdefgh|01234567|example|sample|placeholder|dummy|redacted|xxxxxx", w, re.I)]
+    near = []
+    rising = "|".join("abcdefghijklmnopqrstuvwxyz"[:n] for n in range(26, 7, -1)) + "|0123456789|012345678|01234567"
+    for m in re.finditer(rising + "|example|sample|placeholder|dummy|redacted|xxxxxx", w, re.I):
+        a, b = m.span()
+        left = max(w.rfind("-", 0, a), w.rfind("_", 0, a)) + 1
+        right = min([i for i in (w.find("-", b), w.find("_", b)) if i >= 0], default=len(w))
+        near.append((max(left, a - 40), min(right, b + 40)) if right - left <= 64 else (a, b))
     out = []
     for i in range(len(w) - c.window + 1):
         h = -sum(n / c.window * math.log2(n / c.window) for n in Counter(w[i : i + c.window]).values())
-        if h >= c.threshold - 1e-9 and not any(i < b + secrets.REACH and i + c.window > a - secrets.REACH for a, b in near):
+        if h >= c.threshold - 1e-9 and not any(i < b and i + c.window > a for a, b in near):
             if out and out[-1][1] >= i:
                 out[-1][1] = i + c.window
             else:
@@ -81,11 +87,11 @@ def test_entropy_windows_equal_direct_computation(spark):
     rng = random.Random(5)
     part = lambda: "".join(rng.choice(rng.choice(["abcXYZ0123", c.alphabet, "aab"])) for _ in range(rng.randint(20, 60)))
     noise = lambda n: "".join(rng.choice(c.alphabet) for _ in range(n))
-    words = [noise(rng.randint(20, 60)) if i % 3 else part() for i in range(60)] + ["a" * 90 + noise(60) + "b" * 90 + noise(50) + "c" * 30, noise(640) + "sample", noise(200) + "EXAMPLE" + noise(200), "a", noise(23)]
+    words = [noise(rng.randint(20, 60)) if i % 3 else part() for i in range(60)] + ["a" * 90 + noise(60) + "b" * 90 + noise(50) + "c" * 30, noise(640) + "sample", noise(200) + "EXAMPLE" + noise(200), "a", noise(23)] + [f"{mark}{sep}{noise(40)}" for mark in ("example", "my_sample", "AbcdefghijkL") for sep in "-_+"] + [f"{noise(40)}-sample-{noise(30)}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.entropy_spans_of(F.col("w"), c).alias("s"))
     for r in df.collect():
         assert [tuple(x) for x in r.s] == stretches(r.w, c)
-    assert len(stretches(words[60], c)) == 2 and stretches(words[61], c)[0][1] > 550
+    assert len(stretches(words[60], c)) == 2 and stretches(words[61], c)[-1][1] > 600
 
 
 def test_what_stands_beside_base_spans_or_placeholders_is_scored(spark):
@@ -97,11 +103,21 @@ def test_what_stands_beside_base_spans_or_placeholders_is_scored(spark):
     found = [[(s.kind, texts[r.doc_id][s.start : s.stop]) for s in r.added_spans] for r in rows]
     assert found[0] == [("entropy_base64", "Zq8rT1vLw0Pk7NsX4bYd9GhJ2mCa5uEf")]
     assert found[1] and found[1][0][1].endswith(key)
-    assert len(found[2][0][1]) > 550
+    assert found[2][-1][1].endswith(texts[2][-20:-6])  # up to the placeholder itself
     assert found[3] == [("entropy_hex", texts[3][4:])] and found[4] == [("entropy_hex", texts[4][2:])]
     assert [k for k, _ in found[5]] == ["entropy_hex", "entropy_base64"] and found[5][1][1].endswith(key)
 
 
+def test_a_placeholder_beside_a_key_doesn_t_hide_it(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice(secrets.CLASSES[1].alphabet[:62]) for _ in range(n - 1)) + "7"
+    key = noise(40)
+    texts = [f"k example-{key} x", f"k {key}-sample x", f"k dummy_{key} x", f"k {noise(640)}sample x", "k wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY x", "k ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/ x"]
+    clean = [r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert not any(key in t or key[-20:] in t for t in clean[:3]) and texts[3][-30:-10] not in clean[3]
+    assert clean[4:] == texts[4:]  # a published example key and an alphabet
+
+
 def test_redact_keeps_rows_and_columns(spark, edge_docs, no_docs):
     docs = spark.createDataFrame([(1, 'a token="abcdefghij" b ' + "deadbeef" * 4, "s"), (2, None, "x"), (3, "password=token=abcdefghijkl", "q")], "doc_id int, text string, base_spans string")
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
