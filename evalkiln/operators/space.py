@@ -152,6 +152,53 @@ def merge_overrides(*overrides: dict[tuple[str, str], object]) -> dict[tuple[str
     return out
 
 
+def merged_overrides(*overrides: DataFrame) -> DataFrame:
+    """(node, param, value) of all choices, once each; two values for one parameter raise while the rows are made."""
+    rows = overrides[0]
+    for o in overrides[1:]:
+        rows = rows.unionByName(o)
+    one = rows.groupBy("node", "param").agg(F.min("value").alias("value"), F.max("value").alias("__other"), F.count_if(F.col("value").isNull()).alias("__null"), F.count("value").alias("__n"))
+    clash = (F.col("value") != F.col("__other")) | ((F.col("__null") > 0) & (F.col("__n") > 0))
+    refused = F.raise_error(F.concat(F.lit("campaign_validation: conflicting overrides of "), "node", F.lit("."), "param"))
+    return one.select("node", "param", F.when(clash, refused.cast("string")).otherwise(F.col("value")).alias("value"))
+
+
+def ranges(rows: DataFrame, start: str, stop: str, step: Column) -> DataFrame:
+    """``rows`` with (i, value): for each row start, and what adding step again and again gives, up to stop.
+
+    The rule of ``range_values``, for as many ranges as there are rows: a step of zero or away from the stop, numbers
+    that aren't finite and more than MOST_IN_A_RANGE values are refused while the rows are made.
+    """
+    a, b, s = F.col(start).cast("double"), F.col(stop).cast("double"), step.cast("double")
+    odd = [F.coalesce(~(F.abs(x) < float("inf")), F.lit(True)) for x in (a, b, s)]
+    n = F.floor((b - a) / F.nullif(s, F.lit(0.0)) + 1e-12 + F.lit(sys.float_info.epsilon) / F.abs(s)) + 1
+    bad = F.when(odd[0] | odd[1] | odd[2], "a range needs finite numbers").when((s == 0) | ((b - a) * s < 0), "a step of zero, or away from the stop").when(n > MOST_IN_A_RANGE, "a range of too many values")
+    many = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("campaign_validation: "), bad)).cast("int")).otherwise(n.cast("int"))
+    grown = F.aggregate(F.sequence(F.lit(1), F.col("__n")), F.array().cast("array<double>"), lambda out, i: F.concat(out, F.array(F.when(i == 1, a).otherwise(F.element_at(out, -1) + s))))
+    return rows.withColumn("__n", many).select("*", F.posexplode(grown).alias("i", "value")).drop("__n")
+
+
+def log_ranges(rows: DataFrame, start: str, stop: str, count: int, base: float = 10.0) -> DataFrame:
+    """``rows`` with (i, value): for each row ``count`` points at equal distances of the logarithm between two positive numbers."""
+    low, high = (F.ln(F.col(c).cast("double")) / math.log(base) for c in (start, stop))
+    bad = F.coalesce((F.col(start) <= 0) | (F.col(stop) <= 0), F.lit(True))
+    value = lambda i: F.pow(F.lit(base), low + i / F.lit(float(max(1, count - 1))) * (high - low))
+    points = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), value)
+    refused = F.raise_error(F.lit("campaign_validation: a logarithmic range needs positive ends")).cast("array<double>")
+    return rows.select("*", F.posexplode(F.when(bad, refused).otherwise(points)).alias("i", "value"))
+
+
+def uniform(seed: int, ids: Column, low: Column, high: Column, label: str = "uniform") -> Column:
+    """A number between low and high for each id, by a seeded hash; the same on every run and at every parallelism."""
+    unit = F.conv(F.substring(seed_key(seed, label, ids), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return low + unit * (high - low)
+
+
+def log_uniform(seed: int, ids: Column, low: Column, high: Column, label: str = "log_uniform") -> Column:
+    """Like ``uniform``, with equal chances for equal ratios; both ends positive."""
+    return F.exp(uniform(seed, ids, F.ln(low), F.ln(high), label))
+
+
 def schedule(variants: DataFrame, folds: DataFrame, levels: DataFrame) -> DataFrame:
     """(variant_id, fold_id, node, level): what FIT_CV runs."""
     return variants.select("variant_id").crossJoin(folds.select("fold_id")).crossJoin(levels.select("node", "level"))

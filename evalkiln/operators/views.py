@@ -21,6 +21,7 @@ class ViewPolicy:
     unsafe: frozenset[str] = frozenset()
 
     def check(self) -> None:
+        """Raise if ``refusal`` would name a reason."""
         if self.fit in ("full_train", "fold_validation") and "full_train_fit" not in self.unsafe:
             raise CampaignValidation(f"fitting on {self.fit} leaks validation rows")
         if self.augmented_validation and "augmented_validation" not in self.unsafe:
@@ -58,6 +59,12 @@ def by_metadata(relations: DataFrame, key: str, value: str, column: str = "metad
     return relations.where(F.try_element_at(F.col(column), F.lit(key)) == value)
 
 
+def refusal() -> Column:
+    """Why a row of policies (fit, augmented_validation, unsafe) is refused, the rules of ``ViewPolicy.check``; null if it is allowed."""
+    allowed = lambda flag: F.array_contains("unsafe", flag)
+    return F.when(F.col("fit").isin("full_train", "fold_validation") & ~allowed("full_train_fit"), "full_train_fit").when(F.col("augmented_validation") & ~allowed("augmented_validation"), "augmented_validation")
+
+
 def by_tags(relations: DataFrame, *tags: str) -> DataFrame:
     return relations.where(F.array_contains("tags", tags[0]) if len(tags) == 1 else F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, functions as F
+
 from evalkiln.checks import GraphValidation
 
+#: Nodes of a graph whose levels are found; edges may be any number.
+SMALL_GRAPH = 100_000
+
 #: The kinds of nodes.
 NODE_KINDS = frozenset(
     "transform y_transform split model fork map feature_join prediction_join mixed_join source_join tag exclude augmentation adapter aggregator generator restructure tuner subgraph chart".split()
@@ -88,3 +93,24 @@ class Graph:
                 seen.add(n)
                 todo.extend(before[n])
         return seen
+
+
+def levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, level) of a graph given as a table (src, dst): the length of the longest path that ends at the node.
+
+    Each round lifts every node above its predecessors; nodes without any are level 0. A cycle never comes to rest and is
+    refused once there are more rounds than nodes.
+    """
+    edges = edges.select("src", "dst").distinct()
+    found = {r[0]: 0 for r in edges.select("src").union(edges.select("dst")).distinct().limit(SMALL_GRAPH + 1).collect()}
+    n, spark = len(found), edges.sparkSession
+    if n > SMALL_GRAPH:
+        raise GraphValidation(f"a graph of more than {SMALL_GRAPH} nodes")
+    for _ in range(min(rounds, n) + 1):
+        table = spark.createDataFrame(list(found.items()), "node string, level int")
+        lifted = edges.join(F.broadcast(table), F.col("src") == F.col("node")).groupBy("dst").agg((F.max("level") + 1).alias("level"))
+        after = found | {r.dst: max(found[r.dst], r.level) for r in lifted.collect()}
+        if after == found:
+            return table
+        found = after
+    raise GraphValidation("the graph has a cycle")

@@ -72,16 +72,16 @@ def view_separation(spark, d):
     return views.separation(observations(spark, d), source="A", tag="bulk").select("observation_id", "source_id")
 
 
-@query("view_policy_refusal")
+POLICY = "case when p_size % 3 = 0 then 'full_train' when p_size % 3 = 1 then 'fold_validation' else 'fold_train' end"
+
+
+@query("view_policy_refusal", f"select p_partkey, case when {POLICY} in ('full_train', 'fold_validation') and p_brand not in ('Brand#1', 'Brand#2') then 'full_train_fit' when p_type like '%COPPER%' then 'augmented_validation' end as refused from part")
 def view_policy_refusal(spark, d):
-    refused = []
-    for p in (views.ViewPolicy(fit="full_train"), views.ViewPolicy(augmented_validation=True), views.ViewPolicy()):
-        try:
-            p.check()
-            refused.append((p.fit, p.augmented_validation, "allowed"))
-        except ValueError:
-            refused.append((p.fit, p.augmented_validation, "refused"))
-    return spark.createDataFrame(refused, "fit string, augmented_validation boolean, result string")
+    """A policy for each part, some with the flag that allows an unsafe fit; what each is refused for."""
+    fit = F.when(F.col("p_size") % 3 == 0, "full_train").when(F.col("p_size") % 3 == 1, "fold_validation").otherwise("fold_train")
+    unsafe = F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.array(F.lit("full_train_fit"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "part").select("p_partkey", fit.alias("fit"), F.col("p_type").contains("COPPER").alias("augmented_validation"), unsafe.alias("unsafe"))
+    return rows.select("p_partkey", views.refusal().alias("refused"))
 
 
 @query("fanout_partition_values", sql("select value, 'branch_' || regexp_replace(regexp_replace(value, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') as branch_id, 1::bigint as n_same_id from (select distinct priority as value from samples)", SAMPLES))

@@ -129,11 +129,15 @@ def variant_oof_rows(spark, d):
     return _round(joined.select("variant_id", "producer", "fold_id", "sample_id", "value", "y"), "value", "y")
 
 
-@query("lineage_inputs", """with edges(src, dst, carries) as (values ('scan', 'scale', true), ('scale', 'm:a', true), ('scale', 'm:b', true), ('m:a', 'meta', true), ('m:b', 'meta', true), ('split', 'meta', false)),
- lineage(node, lineage_id) as (select src, 'L:' || src from edges union select dst, 'L:' || dst from edges)
- select dst as node, lineage_id as input_id from edges join lineage on src = node where carries""")
+@query("lineage_inputs", sql(""", edges as (select distinct 'scan:' || group_id as src, producer || ':' || fold_id as dst, true as carries from pred union select distinct producer || ':' || fold_id, 'meta', true from pred union select distinct 'split:' || fold_id, 'meta', false from pred),
+ lineage as (select src as node, 'L:' || src as lineage_id from edges union select dst, 'L:' || dst from edges) select dst as node, lineage_id as input_id from edges join lineage on src = node where carries""", SAMPLES, FOLDS, PRED))
 def lineage_inputs(spark, d):
-    edges = spark.createDataFrame([("scan", "scale", True), ("scale", "m:a", True), ("scale", "m:b", True), ("m:a", "meta", True), ("m:b", "meta", True), ("split", "meta", False)], "src string, dst string, carries boolean")
+    """The inputs of every node of a campaign's graph, over the edges that carry data, which are read off its blocks."""
+    p = predictions(spark, d)
+    block = F.concat_ws(":", "producer", "fold_id")
+    edge = lambda src, dst, carries: F.struct(src.alias("src"), dst.alias("dst"), F.lit(carries).alias("carries"))
+    three = F.array(edge(F.concat(F.lit("scan:"), "group_id"), block, True), edge(block, F.lit("meta"), True), edge(F.concat(F.lit("split:"), "fold_id"), F.lit("meta"), False))
+    edges = p.select(F.explode(three).alias("e")).select("e.*").distinct()
     lineage = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("lineage_id", F.concat(F.lit("L:"), "node"))
     return edges.where("carries").join(lineage, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.col("lineage_id").alias("input_id"))
 

@@ -284,9 +284,14 @@ def chain_step_effects(spark, d):
 KINDS = "transform y_transform split model augmentation feature_join source_join fork map prediction_join mixed_join tag exclude adapter aggregator generator restructure tuner subgraph chart".split()
 
 
-@query("chain_roles", "select unnest(string_split('" + " ".join(KINDS) + "', ' ')) as kind, case when kind = 'transform' then 'preprocessing' when kind = 'y_transform' then 'target' when kind in ('split', 'model', 'augmentation') then kind when kind in ('feature_join', 'source_join') then 'feature' else 'other' end as role")
+LISTED = "list_value(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+
+
+@query("chain_roles", f"select event_id, case when kind = 'transform' then 'preprocessing' when kind = 'y_transform' then 'target' when kind in ('split', 'model', 'augmentation') then kind when kind in ('feature_join', 'source_join') then 'feature' else 'other' end as role from (select event_id, ({LISTED})[event_id % {len(KINDS)} + 1] as kind from events)")
 def chain_roles(spark, d):
-    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", scalars.chain_role(F.col("kind")).alias("role"))
+    """The role of the node that each event is about."""
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % len(KINDS)).cast("int"))
+    return table(spark, d, "events").select("event_id", scalars.chain_role(kind).alias("role"))
 
 
 @query("sanitize_label", "select p_name, regexp_replace(regexp_replace(p_type || ' #' || p_brand || '!', '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') as label from part")
@@ -301,9 +306,15 @@ NAMES = {
 }
 
 
-@query("alias_kind", "select name, kind from (values " + ", ".join(f"('{n}', '{k}')" for n, k in NAMES.items()) + ") t(name, kind)")
+NAMED = "list_value(" + ", ".join(f"'{n}'" for n in NAMES) + ")"
+EXPECTED = "list_value(" + ", ".join(f"'{k}'" for k in NAMES.values()) + ")"
+
+
+@query("alias_kind", f"select event_id, ({NAMED})[event_id % {len(NAMES)} + 1] as name, ({EXPECTED})[event_id % {len(NAMES)} + 1] as kind from events")
 def alias_kind(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", scalars.alias_kind(F.col("name")).alias("kind"))
+    """The kind of the operator whose class each event names."""
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES)).cast("int"))
+    return table(spark, d, "events").select("event_id", name.alias("name")).withColumn("kind", scalars.alias_kind(F.col("name")))
 
 
 # --- robustness

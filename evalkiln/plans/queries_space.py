@@ -2,48 +2,74 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import functions as F
 
 from evalkiln.functions import hashing
-from evalkiln.operators import metrics, space
+from evalkiln.operators import metrics, space, unrank
 from evalkiln.plans import campaign, graph
 from evalkiln.plans.prelude import FOLDS, PRED, SAMPLES, sql
 from evalkiln.plans.queries_data import _seed
 from evalkiln.plans.registry import query
 from evalkiln.sources import stores
-from evalkiln.sources.testdata import predictions, table
+from evalkiln.sources.testdata import fold_of, predictions, table
+
+# Dimensions are the distinct values of columns, numbered in their order.
+DIM = "{0} as (select v as {0}, row_number() over (order by v) - 1 as {0}__pos from (select distinct {1} as v from {2}))"
+DIMS = ", ".join([DIM.format("model", "c_mktsegment", "customer"), DIM.format("scale", "o_orderstatus", "orders"), DIM.format("pick", "l_returnflag", "lineitem"), "dims as (select * from model, scale, pick)"])
+
 
-DIMS = "dims as (select model, model__pos, scale, scale__pos, pick, pick__pos from (values ('pls', 0), ('ridge', 1), ('forest', 2)) m(model, model__pos), (values ('none', 0), ('snv', 1)) s(scale, scale__pos), (values ('all', 0), ('half', 1)) p(pick, pick__pos))"
+def _dims(spark, d):
+    return [(name, unrank.items_of(table(spark, d, t), c)) for name, c, t in (("model", "c_mktsegment", "customer"), ("scale", "o_orderstatus", "orders"), ("pick", "l_returnflag", "lineitem"))]
 
 
-def _dims(spark):
-    return space.dimension(spark, "model", ["pls", "ridge", "forest"]), space.dimension(spark, "scale", ["none", "snv"]), space.dimension(spark, "pick", ["all", "half"])
+def _space(spark, d, count=None):
+    """(i, model, scale, pick): all variants, or the first ``count``, each computed from its rank."""
+    dims = _dims(spark, d)
+    total = 1
+    for _, items in dims:
+        total *= items.count()
+    return unrank.products(unrank.ranks(spark, total, count), dims)
 
 
 @query("gen_cartesian", f"with {DIMS} select model, scale, pick, cast(row_number() over (order by model__pos, scale__pos, pick__pos) as int) as position from dims")
 def gen_cartesian(spark, d):
-    from pyspark.sql import Window
+    return _space(spark, d).select("model", "scale", "pick", (F.col("i") + 1).cast("int").alias("position"))
 
-    out = space.checked(space.cartesian(*_dims(spark)))
-    order = Window.orderBy("model__pos", "scale__pos", "pick__pos")  # a search space is small
-    return out.select("model", "scale", "pick", F.row_number().over(order).alias("position"))
 
-
-@query("gen_zip", "select * from (values ('none', 'all'), ('snv', 'half')) t(scale, pick)")
+@query("gen_zip", f"with {DIMS} select scale, pick from scale join pick on scale__pos = pick__pos")
 def gen_zip(spark, d):
-    _, scale, pick = _dims(spark)
-    return space.zipped(scale, pick).select("scale", "pick")
+    _, (_, scale), (_, pick) = _dims(spark, d)
+    return space.zipped(*[x.select(F.col("item").alias(n), F.col("pos").alias(f"{n}__pos")) for n, x in (("scale", scale), ("pick", pick))]).select("scale", "pick")
 
 
-@query("gen_constraints", f"with {DIMS} select model, scale, pick from dims where not (model = 'pls' and scale = 'snv' and pick = 'half') and (model <> 'ridge' or scale = 'snv') and not (model = 'forest' and pick = 'half')")
+@query("gen_constraints", f"with {DIMS} select model, scale, pick from dims where not (model = 'BUILDING' and scale = 'F' and pick = 'R') and (model <> 'MACHINERY' or scale = 'O') and not (model = 'FURNITURE' and pick = 'A')")
 def gen_constraints(spark, d):
     is_ = lambda c, v: F.col(c) == v
-    return space.constrain(space.cartesian(*_dims(spark)), mutex=[[is_("model", "pls"), is_("scale", "snv"), is_("pick", "half")]], requires=[(is_("model", "ridge"), is_("scale", "snv"))], exclude=[(is_("model", "forest"), is_("pick", "half"))]).select("model", "scale", "pick")
+    return space.constrain(
+        _space(spark, d), mutex=[[is_("model", "BUILDING"), is_("scale", "F"), is_("pick", "R")]], requires=[(is_("model", "MACHINERY"), is_("scale", "O"))], exclude=[(is_("model", "FURNITURE"), is_("pick", "A"))]
+    ).select("model", "scale", "pick")
 
 
 @query("gen_count_limit", f"with {DIMS} select model, scale, pick from dims order by model__pos, scale__pos, pick__pos limit 5")
 def gen_count_limit(spark, d):
-    return space.capped(space.cartesian(*_dims(spark)), ["model__pos", "scale__pos", "pick__pos"], 5).select("model", "scale", "pick")
+    """The first five variants; no others are made."""
+    return _space(spark, d, 5).select("model", "scale", "pick")
+
+
+RANK = "('0x' || substr({0}, 1, 15))::bigint"
+
+
+@query("gen_sampled", f"""with f as (select v as part, row_number() over (order by v) - 1 as pos from (select distinct p_name as v from part)), n as (select count(*)::bigint as n from f),
+ drawn as (select {RANK.format("(" + _seed(3, 'draw', "cast(r.range as varchar)") + ")")} % (n * n * n) as i, r.range as id from range(60) r, n),
+ firsts as (select i, min(id) as id from drawn group by i order by 2 limit 20)
+ select i, a.part as a, b.part as b, c.part as c from firsts, n join f a on a.pos = i // (n * n) join f b on b.pos = (i // n) % n join f c on c.pos = i % n""")
+def gen_sampled(spark, d):
+    """Twenty of all triples of parts, by rank: none of the others is made."""
+    parts = unrank.items_of(table(spark, d, "part"), "p_name")
+    at = unrank.sampled_ranks(spark, parts.count() ** 3, 20, 3)
+    return unrank.products(at, [("a", parts), ("b", parts), ("c", parts)]).select("i", "a", "b", "c")
 
 
 IDENT = f"with {DIMS}, f as (select model, scale, pick, sha256(cast(json_object('model', model, 'pick', pick, 'scale', scale) as varchar)) as fingerprint from dims), v as (select *, 'variant:' || substr(fingerprint, 1, 16) as variant_id from f)"
@@ -51,33 +77,40 @@ IDENT = f"with {DIMS}, f as (select model, scale, pick, sha256(cast(json_object(
 
 @query("gen_variant_id", f"{IDENT} select model, scale, pick, fingerprint, variant_id, {_seed(9, 'variant', 'variant_id')} as seed_hex from v")
 def gen_variant_id(spark, d):
-    return space.identify(space.cartesian(*_dims(spark)), ["model", "scale", "pick"], 9).select("model", "scale", "pick", "fingerprint", "variant_id", "seed_hex")
+    return space.identify(_space(spark, d), ["model", "scale", "pick"], 9).select("model", "scale", "pick", "fingerprint", "variant_id", "seed_hex")
 
 
-@query("gen_param_overrides", "select * from (values ('pls', 'n', '5'), ('pls', 'tol', '0.1'), ('snv', 'ddof', '1')) t(node, param, value)")
+@query("gen_param_overrides", "select p_brand as node, 'size' as param, max(p_size)::varchar as value from part group by p_brand union all select p_type, 'n', count(*)::varchar from part group by p_type")
 def gen_param_overrides(spark, d):
-    merged = space.merge_overrides({("pls", "n"): 5}, {("pls", "tol"): 0.1, ("snv", "ddof"): 1}, {("pls", "n"): 5})
-    return spark.createDataFrame([(n, p, str(v)) for (n, p), v in merged.items()], "node string, param string, value string")
+    """Overrides of two choices, one of them given twice with the same value."""
+    part = table(spark, d, "part")
+    sizes = part.groupBy(F.col("p_brand").alias("node")).agg(F.lit("size").alias("param"), F.max("p_size").cast("string").alias("value"))
+    counts = part.groupBy(F.col("p_type").alias("node")).agg(F.lit("n").alias("param"), F.count("*").cast("string").alias("value"))
+    return space.merged_overrides(sizes, counts, sizes)
 
 
-@query("gen_or", "select unnest(['a', 'b', 'c']) as choice")
+@query("gen_or", "select distinct n_name as choice from nation")
 def gen_or(spark, d):
-    return space.dimension(spark, "choice", ["a", "b", "c"]).select("choice")
+    return unrank.items_of(table(spark, d, "nation"), "n_name").select(F.col("item").alias("choice"))
 
 
-@query("gen_range", "select cast(range as int) as i, round(0.5::double + range * 0.25::double, 8) as value from range(11)")
+@query("gen_range", "select p_partkey, i::int as i, round(p_size::double + 0.25::double * i, 8) as value from part, lateral (select unnest(range(p_size % 7 * 4 + 1)) as i)")
 def gen_range(spark, d):
-    return space.range_values(spark, 0.5, 3.0, 0.25).withColumn("value", F.round("value", 8))
+    """A range for each part, from its size by quarters."""
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("start"), (F.col("p_size") + F.col("p_size") % 7).cast("double").alias("stop"))
+    return space.ranges(rows, "start", "stop", F.lit(0.25)).select("p_partkey", "i", F.round("value", 8).alias("value"))
 
 
-@query("gen_log_range", "select cast(range as int) as i, round(pow(10, -4 + range / 6.0 * 6), 10) as value from range(7)")
+@query("gen_log_range", "select p_partkey, i::int as i, round(pow(10, i / 4.0 * log10(p_retailprice)), 6) as value from part, lateral (select unnest(range(5)) as i)")
 def gen_log_range(spark, d):
-    return space.log_range_values(spark, 1e-4, 1e2, 7).withColumn("value", F.round("value", 10))
+    rows = table(spark, d, "part").select("p_partkey", F.lit(1.0).alias("start"), F.col("p_retailprice").alias("stop"))
+    return space.log_ranges(rows, "start", "stop", 5).select("p_partkey", "i", F.round("value", 6).alias("value"))
 
 
-@query("gen_grid", "select a, b from (values ('1'), ('2')) x(a), (values ('p'), ('q'), ('r')) y(b)")
+@query("gen_grid", "select a.v as a, b.v as b from (select distinct r_name as v from region) a, (select distinct p_type as v from part) b")
 def gen_grid(spark, d):
-    return space.cartesian(space.dimension(spark, "a", [1, 2]), space.dimension(spark, "b", ["p", "q", "r"])).select("a", "b")
+    a, b = unrank.items_of(table(spark, d, "region"), "r_name"), unrank.items_of(table(spark, d, "part"), "p_type")
+    return unrank.products(unrank.ranks(spark, a.count() * b.count()), [("a", a), ("b", b)]).select("a", "b")
 
 
 ITEMS = "items as (select r_name as item, r_regionkey as pos from region)"
@@ -97,39 +130,69 @@ def gen_arrange(spark, d):
     return space.arrange(_items(spark, d), 2)
 
 
-@query("gen_structural", "select * from (values (0, 'snv>detrend>pls'), (1, 'snv>msc>pls'), (2, 'detrend>msc>pls')) t(i, sequence)")
+def _nations(spark, d):
+    """(items): the names of the nations as one array in their order, and their number."""
+    rows = unrank.items_of(table(spark, d, "nation"), "n_name")
+    n = rows.count()
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items")), n  # at most MAX_ITEMS
+
+
+NATIONS = "ord as (select v as item, row_number() over (order by v) - 1 as pos from (select distinct n_name as v from nation))"
+
+
+@query("gen_structural", f"with {NATIONS} select row_number() over (order by a.pos, b.pos) - 1 as i, a.item || '>' || b.item || '>pls' as sequence from ord a join ord b on a.pos < b.pos")
 def gen_structural(spark, d):
-    found = space.structural([["snv"], ["detrend"], ["msc"]], pick_k=2, tail=("pls",))
-    return spark.createDataFrame([(i, ">".join(x)) for i, x in enumerate(found)], "i int, sequence string")
+    """Sequences of two of all operators and a tail, each from its rank."""
+    items, n = _nations(spark, d)
+    at = unrank.ranks(spark, comb(n, 2)).crossJoin(F.broadcast(items))  # one row
+    return at.select("i", F.concat_ws(">", unrank.named(unrank.subset_positions(F.col("i"), n, 2), F.col("items")), F.lit("pls")).alias("sequence"))
+
+
+@query("gen_then_arrange", f"""with {NATIONS}, one as (select row_number() over (order by a.pos, b.pos) - 1 as r, a.item || '+' || b.item as s from ord a join ord b on a.pos < b.pos)
+ select row_number() over (order by x.r, y.r) - 1 as i, x.s || '>' || y.s as sequence from one x join one y on x.r <> y.r order by i limit 1000""")
+def gen_then_arrange(spark, d):
+    """The first thousand orders of two of all pairs of operators: an arrangement of what was picked before."""
+    items, n = _nations(spark, d)
+    at = unrank.ranks(spark, comb(n, 2) * (comb(n, 2) - 1), 1000).crossJoin(F.broadcast(items))  # one row
+    both = F.transform(unrank.then(F.col("i"), n, ("pick", 2), ("arrange", 2)), lambda p: F.concat_ws("+", unrank.named(p, F.col("items"))))
+    return at.select("i", F.concat_ws(">", both).alias("sequence"))
+
 
+UNIT = "('0x' || substr({0}, 1, 13))::ubigint / pow(16.0, 13)"
 
-@query("gen_sample_uniform", "select cast(range as int) as i, round(1::double + range * 2.0::double, 8) as value from range(5)")
+
+@query("gen_sample_uniform", f"select p_partkey, round(p_size + {UNIT.format('(' + _seed(6, 'uniform', 'p_partkey::varchar') + ')')} * 10.0, 8) as value from part")
 def gen_sample_uniform(spark, d):
-    return space.range_values(spark, 1.0, 9.0, 2.0).withColumn("value", F.round("value", 8))
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", F.round(space.uniform(6, F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_size") + 10.0), 8).alias("value"))
 
 
-@query("gen_sample_log", "select cast(range as int) as i, round(pow(10, range), 6) as value from range(4)")
+@query("gen_sample_log", f"select p_partkey, round(exp(ln(p_size) + {UNIT.format('(' + _seed(6, 'log_uniform', 'p_partkey::varchar') + ')')} * (ln(p_retailprice) - ln(p_size))), 6) as value from part")
 def gen_sample_log(spark, d):
-    return space.log_range_values(spark, 1.0, 1000.0, 4).withColumn("value", F.round("value", 6))
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", F.round(space.log_uniform(6, F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_retailprice")), 6).alias("value"))
 
 
-@query("gen_rows")
+@query("gen_rows", f"select p_partkey, r.i::int as row, round({UNIT.format('(' + _seed(3, 'rows', "(p_partkey || ':' || r.i)") + ')')}, 8) as x from part, lateral (select unnest(range(1, p_size + 1)) as i) r")
 def gen_rows(spark, d):
-    noise = hashing.seed_key(3, "rows", F.col("id").cast("string"))
-    return spark.range(1000).select(F.col("id").alias("row"), (F.conv(F.substring(noise, 1, 8), 16, 10).cast("double") / 4294967296.0).alias("x"))
+    """Synthetic rows from a table of how many each generator makes; a row's values hang on its generator and number only."""
+    rows = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), "p_size")).alias("row"))
+    return rows.select("p_partkey", "row", F.round(space.uniform(3, F.concat_ws(":", "p_partkey", "row"), F.lit(0.0), F.lit(1.0), "rows"), 8).alias("x"))
 
 
-@query("schedule_expand", f"{IDENT}, n(node, level) as (values ('scale', 1), ('model', 2)) select variant_id, 'fold' || f.range as fold_id, node, level from v, range(5) f, n")
+@query("schedule_expand", f"{IDENT}, {SAMPLES}, {FOLDS}, n(node, level) as (values ('scale', 1), ('model', 2)) select variant_id, 'fold' || f.fold as fold_id, node, level from v, (select distinct fold from folds) f, n")
 def schedule_expand(spark, d):
-    variants = space.identify(space.cartesian(*_dims(spark)), ["model", "scale", "pick"], 9)
-    fold_ids = spark.range(5).coalesce(1).select(F.concat(F.lit("fold"), F.col("id").cast("string")).alias("fold_id"))
+    variants = space.identify(_space(spark, d), ["model", "scale", "pick"], 9)
+    fold_ids = fold_of(spark, d).select(F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id")).distinct()
     levels = spark.createDataFrame([("scale", 1), ("model", 2)], "node string, level int").coalesce(1)
     return space.schedule(variants, fold_ids, levels)
 
 
-@query("hpo_random", f"""select cast(range as int) as trial, round(0.1 + ('0x' || substr({_seed(4, 'alpha', "cast(range as varchar)")}, 1, 13))::ubigint / pow(16.0, 13) * 0.9, 8) as alpha from range(50)""")
+@query("hpo_random", f"select event_id as trial, round(0.1 + {UNIT.format('(' + _seed(4, 'alpha', 'event_id::varchar') + ')')} * 0.9, 8) as alpha from events")
 def hpo_random(spark, d):
-    return space.random_search(spark, 50, {"alpha": (0.1, 1.0)}, 4).select("trial", F.round("alpha", 8).alias("alpha"))
+    """A parameter for each trial that the table asks for."""
+    trial = F.col("event_id")
+    return table(spark, d, "events").select(trial.alias("trial"), F.round(space.uniform(4, trial.cast("string"), F.lit(0.1), F.lit(1.0), "alpha"), 8).alias("alpha"))
 
 
 @query("hpo_asha", sql(", c as (select producer || fold_id as trial, i as rung, round(avg(abs(value - y)) / i, 8) as value from pred, (values (1), (2)) r(i) group by producer, fold_id, i) select rung, trial, value from (select *, row_number() over (partition by rung order by value, trial) as r, count(*) over (partition by rung) as n from c) where r <= greatest(1, n // 3)", SAMPLES, FOLDS, PRED))
@@ -140,14 +203,20 @@ def hpo_asha(spark, d):
 
 # --- graphs and campaigns
 
-GRAPH = [("scan", "snv"), ("snv", "pls"), ("snv", "ridge"), ("scan", "split"), ("split", "pls"), ("split", "ridge"), ("pls", "stack"), ("ridge", "stack"), ("stack", "chart")]
-EDGES = "edges(src, dst) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in GRAPH) + ")"
+EDGES = "edges as (select distinct r_name as src, n_name as dst from nation join region on r_regionkey = n_regionkey union select distinct n_name, c_mktsegment from customer join nation on n_nationkey = c_nationkey union select distinct c_mktsegment, o_orderstatus from orders join customer on o_custkey = c_custkey union select distinct r_name, o_orderstatus from orders join customer on o_custkey = c_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey)"
+
+
+def _edges(spark, d):
+    """A graph in four levels, with edges that skip some: regions, nations, segments, states."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "right").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right")
+    rows = rows.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pairs = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("r_name", "n_name"), ("n_name", "c_mktsegment"), ("c_mktsegment", "o_orderstatus"), ("r_name", "o_orderstatus"))])
+    return rows.select(F.explode(pairs).alias("e")).select("e.*").where("src is not null and dst is not null").distinct()
 
 
-@query("graph_levels", f"with recursive {EDGES}, w(node, level) as (select 'scan', 0 union all select dst, level + 1 from w join edges on src = node) select node, cast(max(level) as int) as level from w group by node")
+@query("graph_levels", f"with recursive {EDGES}, w(node, level) as (select src, 0 from edges where src not in (select dst from edges) union select dst, level + 1 from w join edges on src = node) select node, cast(max(level) as int) as level from w group by node")
 def graph_levels(spark, d):
-    g = graph.Graph.of(edges=GRAPH)
-    return spark.createDataFrame([(n, i) for i, level in enumerate(g.levels()) for n in level], "node string, level int")
+    return graph.levels(_edges(spark, d))
 
 
 @query("campaign_stack", None)
@@ -163,9 +232,9 @@ def cache_roundtrip(spark, d):
     return stores.reread(p, ["producer", "fold_id"]).select("producer", "fold_id", "sample_id", "value")
 
 
-@query("cache_json_roundtrip", sql("select sample_id, producer, round(value, 8) as value from pred where fold_id = 'fold0'", SAMPLES, FOLDS, PRED))
+@query("cache_json_roundtrip", sql("select sample_id, fold_id, producer, round(value, 8) as value from pred", SAMPLES, FOLDS, PRED))
 def cache_json_roundtrip(spark, d):
-    p = predictions(spark, d).where("fold_id = 'fold0'").select("sample_id", "producer", F.round("value", 8).alias("value"))
+    p = predictions(spark, d).select("sample_id", "fold_id", "producer", F.round("value", 8).alias("value"))
     return stores.from_json(stores.to_json(p, ["sample_id"]), p.schema, ["sample_id"])
 
 
@@ -190,10 +259,14 @@ def fingerprint_json(spark, d):
     return table(spark, d, "part").select("p_partkey", hashing.row_fingerprint(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("fingerprint"))
 
 
-@query("lineage_export")
+LINEAGE = """select 'block:' || producer || ':' || fold_id as id, 'Dataset' as kind, json_object('@id', 'block:' || producer || ':' || fold_id, '@type', 'Dataset', 'n', count(*), 'first', min(sample_id), 'last', max(sample_id))::varchar as json from pred group by producer, fold_id
+ union all select 'run:' || producer, 'CreateAction', json_object('@id', 'run:' || producer, '@type', 'CreateAction', 'result', list_sort(list(distinct 'block:' || producer || ':' || fold_id)))::varchar from pred group by producer"""
+
+
+@query("lineage_export", sql(LINEAGE, SAMPLES, FOLDS, PRED))
 def lineage_export(spark, d):
-    g = graph.Graph.of(edges=GRAPH)
-    return spark.createDataFrame([(doc["@id"], doc["@type"], doc["json"]) for doc in stores.provenance(g)], "id string, kind string, json string")
+    """What a campaign made, as linked documents: a dataset for each block, an action for each producer with its results."""
+    return stores.provenance(predictions(spark, d))
 
 
 @query("ml_scaler", "select vec_id, round((embedding[1] - (select avg(embedding[1]::double) from embeddings)) / (select stddev_samp(embedding[1]::double) from embeddings), 5) as z from embeddings")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import tempfile
 import uuid
 
@@ -65,10 +64,15 @@ def schema_fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(df.schema.json().encode()).hexdigest()
 
 
-def provenance(graph) -> list[dict]:
-    """PROV-like JSON documents of a graph: one activity per node with what it used."""
-    out = []
-    for n in graph.order():
-        used = sorted(e.src for e in graph.edges if e.dst == n)
-        out.append({"@id": f"node:{n}", "@type": "Activity", "json": json.dumps({"@id": f"node:{n}", "used": [f"node:{u}" for u in used]}, sort_keys=True)})
-    return out
+def provenance(predictions: DataFrame) -> DataFrame:
+    """(id, kind, json): linked documents of what a campaign made, in the terms of research-object crates.
+
+    A ``Dataset`` for each block with its rows and the first and last sample, and a ``CreateAction`` for each producer
+    with its blocks as results, in order. One aggregation by block, one over the blocks.
+    """
+    blocks = predictions.groupBy("producer", "fold_id").agg(F.count("*").alias("n"), F.min("sample_id").alias("first"), F.max("sample_id").alias("last"))
+    blocks = blocks.withColumn("id", F.concat_ws(":", F.lit("block"), "producer", "fold_id"))
+    data = F.to_json(F.struct(F.col("id").alias("@id"), F.lit("Dataset").alias("@type"), "n", "first", "last"))
+    runs = blocks.groupBy("producer").agg(F.array_sort(F.collect_list("id")).alias("result")).withColumn("id", F.concat_ws(":", F.lit("run"), "producer"))
+    action = F.to_json(F.struct(F.col("id").alias("@id"), F.lit("CreateAction").alias("@type"), "result"))
+    return blocks.select("id", F.lit("Dataset").alias("kind"), data.alias("json")).unionByName(runs.select("id", F.lit("CreateAction").alias("kind"), action.alias("json")))
