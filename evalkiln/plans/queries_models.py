@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalkiln.operators import domain, folds, gram
+from evalkiln.operators import domain, folds, gram, robust
 from evalkiln.plans.prelude import FOLDS, MEMBERS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
 from evalkiln.sources.testdata import fold_of, membership, predictions, samples, table
@@ -243,3 +243,32 @@ def domain_assessment(spark, d):
     models = domain.separating_models(rows, "x", moments)
     scored = domain.density_ratio(domain.leverage(rows, train), "x", moments, models, count.get(0, 1), max(1, count.get(1, 1)), 10.0)
     return domain.assess(scored, ["leverage", "density_ratio"]).select("vec_id", "is_test", "status")
+
+
+# --- robustness: kinds and modes
+
+@query("robust_axis_shift", """with e as (select vec_id, embedding::double[] as x from embeddings), l as (select vec_id, x, s.s, i, least(greatest(i + s.s, 0.0), 63.0)::double as p from e, (values (0.0), (0.5), (2.25)) s(s), range(64) r(i)),
+ m as (select vec_id, s, i, x[floor(p)::int + 1] * (1 - (p - floor(p))) + case when p > floor(p) then x[floor(p)::int + 2] * (p - floor(p)) else 0 end as v from l)
+ select vec_id, s::double as severity, round(sum(v * (i + 1)), 6) as moment, round(max(v) filter (i = 63), 6) as last from m group by vec_id, s""")
+def robust_axis_shift(spark, d):
+    """Each vector with its axis moved by none, half and two and a quarter steps."""
+    rows = robust.perturbed(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), "ordered_axis_shift", (0.0, 0.5, 2.25), id_col="vec_id")
+    moment = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("vec_id", "severity", F.round(moment, 6).alias("moment"), F.round(F.element_at("x", -1), 6).alias("last"))
+
+
+def _roles(spark, d):
+    role = F.when(F.col("fold") == 4, "test").when(F.col("fold") == 3, "calibration").otherwise("train")
+    return _vectors(spark, d).withColumn("role", role)
+
+
+@query("robust_modes")
+def robust_modes(spark, d):
+    """A model of all embeddings under a shifted axis, frozen and recalibrated, and with three features replaced, refitted."""
+    rows, fit = _roles(spark, d), gram.ridge(1.0)
+    parts = [
+        robust.scenario(rows, kind, (0.0, 0.5, 1.0), mode, fit, nodes=nodes, id_col="vec_id").withColumn("mode", F.lit(mode))
+        for kind, mode, nodes in (("ordered_axis_shift", "clean_frozen", ()), ("ordered_axis_shift", "matched_recalibration", ()), ("node_replacement", "structural_refit", (0, 1, 2)))
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("mode", "severity", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "radius", "coverage")], "refit", "recalibrated")
