@@ -55,37 +55,37 @@ def exclude_outliers(rows: DataFrame, keys: list[str], values: list[str], thresh
 
     A row's T² is the sum over all values of its squared distance from the mean of the other rows over their
     (population) variance; it is dropped above ``threshold``, with all its values. Units of fewer than three rows, or
-    where all rows would go, keep their plain mean. Repetitions of a unit are few, so they are held in one array.
-    """
-    arr = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(v).cast("double").alias(v) for v in values])).alias("rows"))
-
-    def total(xs: Column, f: Callable[[Column], Column]) -> Column:
-        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-
-    def t2(xs: Column, x: Column, i: Column) -> Column:
-        others = F.filter(xs, lambda _, j: j != i)
-        n = F.size(xs) - 1
-
-        def part(v: str) -> Column:
-            mean = total(others, lambda o: o[v]) / n
-            spread = F.transform(F.array(mean), lambda m: total(others, lambda o: (o[v] - m) * (o[v] - m)) / n)[0]
-            return F.transform(F.array(F.struct(mean.alias("m"), spread.alias("s"))), lambda p: F.when(p["s"] > 2.220446049250313e-16, (x[v] - p["m"]) * (x[v] - p["m"]) / p["s"]).otherwise(0.0))[0]
+    where all rows would go, keep their plain mean.
 
-        out = part(values[0])
-        for v in values[1:]:
-            out = out + part(v)
-        return out
-
-    scored = F.transform("rows", lambda x, i: F.struct(x.alias("x"), t2(F.col("rows"), x, i).alias("t2")))
-    kept = F.transform(F.filter(scored, lambda s: s["t2"] <= threshold), lambda s: s["x"])
-    used = F.when(F.size("rows") < 3, F.col("rows")).otherwise(F.transform(F.array(kept), lambda k: F.when(F.size(k) == 0, F.col("rows")).otherwise(k))[0])
-    arr = arr.withColumn("used", used)
-    means = [_mean_of("used", v).alias(v) for v in values]
-    return arr.select(*keys, *means, F.size("rows").cast("bigint").alias("n"), F.size("used").cast("bigint").alias("n_used"))
-
-
-def _mean_of(col: str, field: str) -> Column:
-    return F.aggregate(F.col(col), F.lit(0.0), lambda a, x: a + x[field]) / F.size(col)
+    The mean and variance of the others follow from those of the whole unit and the row itself, so nothing of a unit is
+    held: with d the distance from the unit's mean and Q the sum of its squares, the others lie at d n / (n - 1) and have
+    the variance (Q - d² n / (n - 1)) / (n - 1). Others that are all equal, which a difference of sums can't tell, are
+    known by how often the least and the greatest value stand in the unit. Two aggregations by unit and one after them.
+    """
+    v = [F.col(x).cast("double").alias(f"__v{i}") for i, x in enumerate(values)]
+    given = rows.select(*keys, *v)
+    ends = given.groupBy(*keys).agg(F.count("*").alias("__n"), *[f(f"__v{i}").alias(f"__{name}{i}") for i in range(len(values)) for name, f in (("mean", F.avg), ("var", F.var_pop), ("low", F.min), ("high", F.max))])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    with_ends = lambda df, stats: df.join(stats.withColumnsRenamed({k: f"__k_{k}" for k in keys}), same).drop(*[f"__k_{k}" for k in keys])
+    placed = with_ends(given, ends)
+    often = placed.groupBy(*keys).agg(*[F.count_if(F.col(f"__v{i}") == F.col(f"__{name}{i}")).alias(f"__n_{name}{i}") for i in range(len(values)) for name in ("low", "high")])
+    placed = with_ends(placed, often)
+    n = F.col("__n")
+    t2 = F.lit(0.0)
+    for i in range(len(values)):
+        x, low, high = F.col(f"__v{i}"), F.col(f"__low{i}"), F.col(f"__high{i}")
+        d = x - F.col(f"__mean{i}")
+        far = d * d * n * n / ((n - 1) * (n - 1))
+        spread = (F.col(f"__var{i}") * n - d * d * n / (n - 1)) / (n - 1)
+        constant = (low == high) | ((x == high) & (F.col(f"__n_low{i}") == n - 1)) | ((x == low) & (F.col(f"__n_high{i}") == n - 1))
+        # others closer together than the digits of the row's own distance show: the row is infinitely far from them
+        t2 = t2 + F.when(constant, 0.0).when(spread > F.greatest(F.lit(2.220446049250313e-16), 1e-13 * d * d), far / F.nullif(spread, F.lit(0.0))).when(1e-13 * d * d > 2.220446049250313e-16, float("inf")).otherwise(0.0)
+    fine = F.when(n < 3, F.lit(True)).otherwise(t2 <= threshold)
+    sums = placed.select(*keys, "__n", *[f"__v{i}" for i in range(len(values))], fine.alias("__fine")).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if("__fine").alias("__used"), *[F.avg(F.when(F.col("__fine"), F.col(f"__v{i}"))).alias(f"__fine{i}") for i in range(len(values))], *[F.avg(f"__v{i}").alias(f"__all{i}") for i in range(len(values))]
+    )
+    some = F.col("__used") > 0
+    return sums.select(*keys, *[F.when(some, F.col(f"__fine{i}")).otherwise(F.col(f"__all{i}")).alias(x) for i, x in enumerate(values)], "n", F.when(some, F.col("__used")).otherwise(F.col("n")).alias("n_used"))
 
 
 def custom_reduce(rows: DataFrame, keys: list[str], value: str, fn: Callable[[pd.Series], float]) -> DataFrame:

@@ -330,3 +330,43 @@ def test_resampled_campaign(spark):
         campaign_of(spark, again)
     with pytest.raises(checks.OofValidation, match="overlap"):
         campaign_of(spark, lambda p, m, u: (again(p, m, u), m.append(("f1", "s0", "train"))), resampled=True)
+
+
+def plain_outliers(rows):
+    """unit -> (means, n, used), row by row with the others written out."""
+    out = {}
+    for unit in {u for u, *_ in rows}:
+        xs = [x for u, *x in rows if u == unit]
+        t2 = []
+        for i, x in enumerate(xs):
+            others = xs[:i] + xs[i + 1 :]
+            total = 0.0
+            for c in range(2):
+                if others and len({o[c] for o in others}) > 1:
+                    mean = sum(o[c] for o in others) / len(others)
+                    total += (x[c] - mean) ** 2 / (sum((o[c] - mean) ** 2 for o in others) / len(others))
+            t2.append(total)
+        kept = [x for x, t in zip(xs, t2) if t <= R.OUTLIER_T2] if len(xs) >= 3 else xs
+        kept = kept or xs
+        out[unit] = (*[sum(x[c] for x in kept) / len(kept) for c in range(2)], len(xs), len(kept))
+    return out
+
+
+def test_outliers_of_small_and_constant_units(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"u{i}", r.gauss(10, 1), float(r.randint(0, 2))) for i in range(40) for _ in range(r.randint(1, 9))]
+    rows += [("same", 1.5, 2.0)] * 5 + [("one off", 0.1, 0.3)] * 6 + [("one off", 7.0, 0.3)] + [("far", 1e6 + i * 1e-3, 0.0) for i in range(6)] + [("far", 2e6, 0.0), ("two", 1.0, 1.0), ("two", 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "unit string, v double, q double").repartition(3)
+    got = {x.unit: (x.v, x.q, x.n, x.n_used) for x in R.exclude_outliers(df, ["unit"], ["v", "q"]).collect()}
+    want = plain_outliers(rows)
+    assert got.keys() == want.keys()
+    for u, w in want.items():
+        assert got[u] == pytest.approx(w), u
+
+
+def test_outliers_of_one_huge_unit(spark):
+    df = spark.range(300_000).select(F.lit("u").alias("unit"), (F.col("id") % 100).cast("double").alias("v"), F.when(F.col("id") == 5, 1e6).otherwise(F.col("id") % 7).cast("double").alias("q"))
+    r = R.exclude_outliers(df, ["unit"], ["v", "q"]).first()
+    assert (r.n, r.n_used) == (300_000, 299_999)
