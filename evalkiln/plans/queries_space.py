@@ -238,6 +238,21 @@ def cache_json_roundtrip(spark, d):
     return stores.from_json(stores.to_json(p, ["sample_id"]), p.schema, ["sample_id"])
 
 
+@query("cache_arrow_roundtrip", sql("select producer, fold_id, sample_id, round(value, 8) as value from pred", SAMPLES, FOLDS, PRED))
+def cache_arrow_roundtrip(spark, d):
+    """Prediction blocks as Arrow streams, their digests and identities checked, and back."""
+    p = predictions(spark, d).select("producer", "fold_id", "sample_id", F.round("value", 8).alias("value"))
+    return stores.from_arrow(stores.to_arrow(p, ["producer", "fold_id"]), p.schema, ["producer", "fold_id"])
+
+
+@query("artifact_register")
+def artifact_register(spark, d):
+    """The files of two tables by content; nothing was changed since they were registered."""
+    found = stores.artifacts(spark, d, "part*.parquet")
+    stores.strict(stores.refetch_violations(found, found), stores.CampaignValidation, "artifacts")
+    return found
+
+
 @query("tensor_row_major", "select 64 * vec_id + i - 1 as position, round(x, 6) as value from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings)")
 def tensor_row_major(spark, d):
     return stores.tensor(table(spark, d, "embeddings"), "vec_id", "embedding", 64, row_major=True).select("position", F.round("value", 6).alias("value"))
