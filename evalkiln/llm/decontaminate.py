@@ -34,7 +34,7 @@ CELLS = 1 << 22
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
-MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_pos", T.IntegerType()), T.StructField("doc_pos", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
+MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_pos", T.IntegerType()), T.StructField("doc_pos", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_places", T.IntegerType())])
 
 ADDED = {"n_words": "bigint", "hit_from": "array<int>", "hit_to": "array<int>", "items": "array<string>", "matches": f"array<{MATCH.simpleString()}>"}
 
@@ -71,8 +71,11 @@ class TestBlock:
             places = [np.array([(i, at, self.words[i][at - 1] if at else -1) for i, at in by[k]], np.int64) for k in keys]
             self.windows.append((length, np.array(keys, f"S{4 * length}"), [sorted({i for i, _ in by[k]}) for k in keys], places))
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str], list[tuple[str, int, int, int]]]]:
-        """For each text of the shard: words, hit ranges [from, to), ids of occurring items, longest matches."""
+    def search(self, texts: list[str | None], every: bool = True) -> list[tuple[int, list[tuple[int, int]], set[str], list[tuple[str, int, int, int, int]]]]:
+        """For each text of the shard: words, hit ranges [from, to), ids of occurring items, longest matches.
+
+        With ``every`` a window is followed to all its places in the items, else only to the first of them.
+        """
         get, flat, starts = self.vocabulary.get, [0], []
         counts = []
         for text in texts:
@@ -86,7 +89,7 @@ class TestBlock:
         run = np.repeat(zeros[1:], np.diff(zeros)) - np.arange(len(shard) - 1)  # positions up to the next 0, itself included if it is one
         change = np.zeros(len(shard) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
-        found: dict[int, list[tuple[str, int, int, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[str, int, int, int, int]]] = defaultdict(list)
         for length, keys, owners, places in self.windows:
             at = np.flatnonzero((run >= length) & (shard[:-1] > 0))
             if not len(at):
@@ -103,8 +106,8 @@ class TestBlock:
                 own = np.searchsorted(begin, hit, "right") - 1
                 for d in np.unique(own).tolist():
                     items[d].update(self.ids[i] for i in owners[k])
-                for p, d, item, pos in self._starts(hit, own, shard, places[k]):
-                    found[d].append((self.ids[item], pos, p - starts[d], self._length(item, pos, p, shard)))
+                for p, d, item, pos in self._starts(hit, own, shard, places[k] if every else places[k][:1]):
+                    found[d].append((self.ids[item], pos, p - starts[d], self._length(item, pos, p, shard), len(places[k])))
         covered = np.cumsum(change[:-1]) > 0
         edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
         ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -151,12 +154,15 @@ def test_blocks(bench: DataFrame, item_col: str, text_col: str, window: int, blo
 test_blocks.__test__ = False
 
 
-def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None, every_place: bool = True) -> DataFrame:
     """The columns ``keep`` (default: all) of every row of ``docs`` and what the search found in its text.
 
     Adds n_words, hit_from and hit_to (word ranges in a window that a test item shares), items (ids of the items
     with such a window, as strings) and matches (every longest verbatim match of a window or more with its places in
-    item and text, by place in the text, then length). Rows stay as they are: null and empty texts have no words,
+    item and text, by place in the text, then length, and with the number of places that its first window has in the
+    items). A window that very many items share, such as a line of a template, has as many places in each document that
+    holds it; without ``every_place`` a match is told for the first of them only, and ``n_places`` counts the others, so a
+    row's matches are at most as many as its words. Hits and items are the same either way. Rows stay as they are: null and empty texts have no words,
     repeated rows are each searched, an empty benchmark hits nothing. Added columns replace columns of the
     same names; a repeated or null item id counts as one item (``null``).
     """
@@ -173,7 +179,7 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in filled(batches):
-                got = shared.value.search(pdf["__text"].tolist())
+                got = shared.value.search(pdf["__text"].tolist(), every_place)
                 pdf["n_words"] = [n for n, _, _, _ in got]
                 pdf["hit_from"] = [[*old, *(a for a, _ in r)] for old, (_, r, _, _) in zip(pdf["hit_from"], got)]
                 pdf["hit_to"] = [[*old, *(b for _, b in r)] for old, (_, r, _, _) in zip(pdf["hit_to"], got)]
@@ -203,13 +209,13 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     columns may have any name.
     """
     columns = docs.columns
-    found = scan(docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text")), bench, text_col="text", **options)
+    found = scan(docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text")), bench, text_col="text", **{"every_place": False} | options)
     return found.where(F.size("hit_from") == 0).select("row.*")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = scan(docs.select("doc_id", "text"), bench, keep=["doc_id"])
+    found = scan(docs.select("doc_id", "text"), bench, keep=["doc_id"], every_place=False)
     hit = n_hit()
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),

@@ -41,7 +41,7 @@ def test_longest_matches_are_maximal(spark):
     item = " ".join(f"w{i}" for i in range(40))
     doc = "start w3 " + " ".join(f"w{i}" for i in range(5, 31)) + " end"
     r = D.scan(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")).first()
-    assert [m.asDict() for m in r.matches] == [{"item_id": "7", "item_pos": 5, "doc_pos": 2, "n_words": 26}]
+    assert [m.asDict() for m in r.matches] == [{"item_id": "7", "item_pos": 5, "doc_pos": 2, "n_words": 26, "n_places": 1}]
     assert (list(r.hit_from), list(r.hit_to)) == ([2], [28])
 
 
@@ -112,3 +112,17 @@ def test_query(spark, sf_dir):
         own = words(texts[r.doc_id])
         hit, found = windows_in(own, by_length)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(own), hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0)
+
+
+def test_a_line_of_very_many_items_is_told_once(spark):
+    """Hits and items are whole either way; without every place a document has a match for each place of its own, not of the items."""
+    line = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(i, f"{line} tail{i} x{i}") for i in range(300)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"before {line} after"), (2, f"{line} tail7 x7"), (3, "nothing of it")], "doc_id bigint, text string")
+    whole = {r.doc_id: r for r in D.scan(docs, bench).collect()}
+    short = {r.doc_id: r for r in D.scan(docs, bench, every_place=False).collect()}
+    for i in (1, 2, 3):
+        assert (whole[i].hit_from, whole[i].hit_to, whole[i].items) == (short[i].hit_from, short[i].hit_to, short[i].items)
+    assert len(whole[1].matches) == 300 and len(whole[1].items) == 300
+    assert len(short[1].matches) <= 3 and short[1].matches[0].n_places == 300 and short[1].matches[0].doc_pos == 1
+    assert short[3].matches == [] and D.drop_contaminated(docs, bench).count() == 1
