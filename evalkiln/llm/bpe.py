@@ -227,7 +227,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     words = frequent_words(docs, pattern, text_col, at_most=dictionary_words).where(F.octet_length("word") <= SHORT).select("word")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folded = words.repartition(parts, "word").select("word", fold_words(F.col("word").cast("binary"), ranks_of(ranks_path)).alias("ids"))
-    dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in folded.toLocalIterator()})
+    dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in folded.collect()})  # at most dictionary_words rows, in one job
 
     df = carried(docs, text_col, keep)
     fields = ["kept", "__text"] if text_col in keep else ["kept"]
