@@ -114,20 +114,25 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Remove tables that ``written`` or ``bucketed`` gave and that no later action reads.
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, between the steps of a long computation.
 
-    The driver collects its garbage then: only so does Spark learn which shuffles and broadcasts no one needs any more,
-    and the plans of many small jobs don't pile up in its heap.
+    Only so does Spark learn which shuffles and broadcasts no one needs any more and removes their files, and the plans of
+    many small jobs don't pile up in the driver's heap.
     """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` or ``bucketed`` gave and that no later action reads, and ``tidy``."""
     spark = None
     for df in tables:
         path = _place.pop(df)
         spark = _written.pop(path)
         _remove(spark, path)
     if spark is not None:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        tidy(spark)
 
 
 def carried(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:

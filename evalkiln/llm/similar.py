@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalkiln.llm.common import bucketed, filled, join_groups, release, small_batches, written
+from evalkiln.llm.common import bucketed, filled, join_groups, release, small_batches, written, tidy
 from evalkiln.llm.components import connected_components
 from evalkiln.llm.simhash import near_pairs
 
@@ -87,7 +87,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
         yield pd.DataFrame({"bucket": some, "c": counts[some]})
 
     frequent = np.zeros(BUCKETS, np.int64)
-    for r in sets.select("text").mapInPandas(tally, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toLocalIterator():
+    for r in sets.select("text").mapInPandas(tally, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # at most BUCKETS rows
         frequent[r["bucket"]] = r["c"]
     shared = spark.sparkContext.broadcast(frequent)
 
@@ -128,6 +128,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
     rows = rows.withColumn("q", F.row_number().over(Window.partitionBy("sid").orderBy("at")))
     rows = met = written(rows, "similar-met", compression="zstd")
+    tidy(spark)  # the shuffles by shingle and by set are done with
 
     # SimHash: sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet.
     heads = written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "similar-prints")
@@ -148,6 +149,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     chain = chain.union(hubs).select(F.col("sid").alias("src"), "n", "at", "q", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"), F.col("y.q").alias("p"))
     chain = chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     first = written(chain.union(near).union(same).distinct(), "similar-first")
+    tidy(spark)
     links = verified(first)
     release(first, heads)
 
@@ -156,6 +158,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     rows = rows.join(part, rows.sid == part.node, "left").select("token", "sid", "n", "at", "q", F.coalesce("component", "sid").alias("part"))
     across = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     rows = apart = written(rows.join(across, "token"), "similar-across", compression="zstd")
+    tidy(spark)
     a, b = rows.toDF("token", "src", "n", "at", "q", "part"), rows.toDF("token", "dst", "m", "by", "p", "other")
     meet = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
     last = meet.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.max(F.struct("at", "by", "n", "m")).alias("x")).select("src", "dst", "shared", "x.*")
@@ -184,6 +187,7 @@ def _labelled(marked: DataFrame, text_col: str, shingle: int, least: Fraction) -
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
     parts = max(8, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sets = bucketed(marked.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-sets", "sid", parts)
+    tidy(marked.sparkSession)
     links = similar_links(sets.where("sid <> 0").select("sid", "fp", F.col("row")[text_col].alias("text")), shingle, least)
     label = sets.select("sid", "first", "n").join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", "first", "n", F.coalesce("component", "sid").alias("component"))
     lowest = label.groupBy("component").agg(F.min("first").alias("lowest"))
