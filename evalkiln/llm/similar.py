@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evalkiln.llm.common import bucketed, filled, join_groups, release, small_batches, written, tidy
 from evalkiln.llm.components import connected_components
-from evalkiln.llm.simhash import near_pairs
+from evalkiln.llm.simhash import code_for, near_pairs
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
@@ -132,7 +132,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
 
     # SimHash: sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet.
     heads = written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "similar-prints")
-    near = near_pairs(heads.select("fp").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp"))
+    near = near_pairs(heads.select("fp").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp"), code=code_for(heads.count()))
     near = near.join(heads.toDF("src", "one"), "src").join(heads.toDF("dst", "two"), "dst").select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"))
     same = sets.select("sid", "fp").join(heads, "fp").where("sid <> head").select(F.least("sid", "head").alias("src"), F.greatest("sid", "head").alias("dst"))
 

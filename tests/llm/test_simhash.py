@@ -41,19 +41,38 @@ def test_hash_is_the_one_of_spark(spark):
 @pytest.mark.parametrize("code", [simhash.CODE, simhash.CODE_FINE])
 def test_covering_loses_no_pair(code):
     rng = np.random.default_rng(3)
-    for _ in range(150):
-        x = int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2))
-        bits = rng.choice(64, int(rng.integers(0, 3)), replace=False)
-        y = x ^ sum(1 << int(b) for b in bits)
-        assert simhash.anchors_of(x, 0, code)[0] in simhash.anchors_of(y, 2, code)[1]
-        assert len(set(simhash.anchors_of(y, 2, code)[1].tolist())) == len(simhash.anchors_of(y, 2, code)[1])
-
-
-def test_pairs_equal_brute_force(spark):
+    one = rng.integers(-(2**63), 2**63 - 1, 400)
+    two = np.array([x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, int(rng.integers(0, 3)), replace=False).astype(np.uint64), initial=np.uint64(0)).astype(np.int64) for x in one], np.int64)
+    anchors, places = simhash.replicas(two, 2, code)
+    of = [set(anchors[places == i].tolist()) for i in range(len(two))]
+    assert all(home in of[i] for i, home in enumerate(simhash.homes(one, code).tolist()))
+    assert sum(map(len, of)) == len(anchors)
+
+
+def test_replicas_are_all_words_within_the_block_distances():
+    """Brute force over the 4,096 words of one block."""
+    code = simhash.CODE[:1]
+    words = np.unique(simhash.homes(np.arange(1 << 23), code))
+    assert len(words) == 4096
+    fps = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 50)
+    anchors, places = simhash.replicas(fps, 2, code)
+    for i, fp in enumerate(fps.tolist()):
+        want = [w for w in words.tolist() if ((fp & (1 << 23) - 1) ^ w).bit_count() <= 5]
+        assert sorted(anchors[places == i].tolist()) == want
+
+
+def test_code_follows_the_work():
+    assert simhash.code_for(0) == simhash.code_for(10**6) == simhash.CODE
+    assert simhash.code_for(2 * 10**8) == simhash.code_for(10**11) == simhash.CODE_FINE
+    assert 55 < simhash.replicas_each(2, simhash.CODE) < 65 and 140 < simhash.replicas_each(2, simhash.CODE_FINE) < 165
+
+
+@pytest.mark.parametrize("code", [None, simhash.CODE_FINE])
+def test_pairs_equal_brute_force(spark, code):
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**63), 2**63, 60)
     prints = sorted({int(b) ^ int(sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 4)), replace=False))) for b in base for _ in range(6)})
-    got = {(r.src, r.dst) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()}
+    got = {(r.src, r.dst) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in prints], "fp bigint"), code=code).collect()}
     want = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
     assert got == want and want
 
