@@ -8,7 +8,8 @@ depth; its nodes go to the tasks as a few tuples.
 What the elements say is a feature among others, never a gate. Names such as "sidebar" count for the elements of
 regions only (not for paragraphs, whose own class is another feature), up to the nearest ``main`` or ``article``; a
 region that holds one of these, or the page's first heading, is a wrapper and says nothing; and the share of the
-page's words that lie in a region is a feature too.
+page's words that lie in a region is a feature too. Reader comments whose elements have names that say nothing are told by
+their structure: siblings of one kind, each with a by-line and without a heading (``repeated``).
 """
 
 from __future__ import annotations
@@ -46,7 +47,18 @@ _HINT = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|me
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "furniture", "share", "outer", "named", "heading", "item", "sentences", "after_heading")
+#: Scripts that are written without spaces; two such letters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+#: Ends of sentences, with a space behind or, in scripts without spaces, anywhere.
+_SENTENCE = re.compile(r"[.!?؟।](?=\s|$)|[。！？]")
+#: Elements that may hold one reader comment, and the words that a by-line has at most.
+UNIT = frozenset("div section article li".split())
+BYLINE_WORDS = 5
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "outside", "furniture", "share", "outer", "named", "heading", "item", "sentences", "after_heading", "repeated", "repeated_after")
+
+
+def n_words(text: str) -> int:
+    return len(text.split()) + len(_UNSPACED.findall(text)) // 2
 
 
 class Region:
@@ -62,11 +74,12 @@ class Region:
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "regions", "main", "outer", "named", "heading", "item", "label")
+    __slots__ = ("text", "words", "linked", "regions", "main", "outer", "named", "heading", "item", "label", "repeated")
 
     def __init__(self, text: str, linked: int, regions: tuple[Region, ...], around: Counter, tag: str, label: int):
-        self.text, self.words, self.linked, self.regions = text, text.count(" ") + 1, linked, regions
-        self.main, self.outer, self.named = min(around["main"], 1), min(around["outer"], 1), min(around["named"], 1)
+        self.text, self.words, self.linked, self.regions = text, n_words(text), linked, regions
+        self.repeated = 0
+        self.main, self.outer, self.named = 2 if around["article"] else min(around["main"], 1), min(around["outer"], 1), min(around["named"], 1)
         self.heading, self.item, self.label = int(len(tag) == 2 and tag[0] == "h" and tag != "hr"), int(tag in ("li", "dd", "dt", "td", "th")), label
 
 
@@ -98,14 +111,41 @@ def _roles(name: str, attributes: str, inside_main: bool) -> tuple[str, ...]:
             roles.append("label")
     if main:
         roles.append("main")
+        if name == "article":
+            roles.append("article")
     return tuple(roles)
 
 
+def _by_line(block: Block) -> bool:
+    return block.words <= BYLINE_WORDS and not _SENTENCE.search(block.text)
+
+
+def _mark_repeated(blocks: list[Block], units: list[tuple[int, str, int, int]]) -> None:
+    """How many siblings of one kind there are of the unit around a block, if each has a by-line and none a heading.
+
+    Inside an ``article`` such units are its steps or questions, and say nothing.
+    ``units`` are (parent, kind, first block, block behind the last) of elements that are closed.
+    """
+    headings = np.cumsum([0, *(b.heading for b in blocks)])
+    by: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for parent, kind, first, end in units:
+        if end - first > 1 and headings[first] == headings[end] and (_by_line(blocks[first]) or _by_line(blocks[end - 1])):
+            by.setdefault((parent, kind), []).append((first, end))
+    for siblings in by.values():
+        if len(siblings) > 1:
+            for first, end in siblings:
+                for b in blocks[first:end]:
+                    b.repeated = min(5, len(siblings)) if b.main < 2 else 0
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks of a page in order; markup that never closes is read up to the end of the page."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    units: list[tuple[int, str, int, int]] = []
+    opened: list[tuple[int, str, int]] = []  # number, kind and first block of the units around
+    count = 0
     scopes: list[list[Region]] = [[]]  # the regions around, in one list for each main element around them
     open_tags, around = Counter(), Counter()
     text: list[str] = []
@@ -115,7 +155,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            block = Block(joined, min(linked, joined.count(" ") + 1), tuple(scopes[-1]), around, tag, int(around["label"] > 0))
+            block = Block(joined, min(linked, n_words(joined)), tuple(scopes[-1]), around, tag, int(around["label"] > 0))
             out.append(block)
             for region in (r for scope in scopes for r in scope):
                 region.words += block.words
@@ -124,7 +164,10 @@ def blocks_of(page: str | None) -> list[Block]:
         linked = 0
 
     def pop() -> None:
-        name, roles = stack.pop()
+        name, roles, is_unit = stack.pop()
+        if is_unit:
+            _, kind, first = opened.pop()
+            units.append((opened[-1][0] if opened else 0, kind, first, len(out)))
         open_tags[name] -= 1
         for r in roles:
             around[r] -= 1
@@ -141,7 +184,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 piece = page[at:stop]
                 text.append(piece)
                 if around["link"]:
-                    linked += len(piece.split())
+                    linked += n_words(piece)
             at = stop
             continue
         if page.startswith("<!--", at):
@@ -167,7 +210,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
-            tag = next((n for n, _ in reversed(stack) if n in BLOCK), "") if block else tag
+            tag = next((n for n, *_ in reversed(stack) if n in BLOCK), "") if block else tag
             continue
         if name == "br":
             text.append(" ")
@@ -182,7 +225,12 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
         roles = _roles(name, m[3], around["main"] > 0)
-        stack.append((name, roles))
+        is_unit = name in UNIT
+        if is_unit:
+            count += 1
+            said = next((a or b or c for k, a, b, c in _ATTR.findall(m[3]) if k.lower() == "class"), "")
+            opened.append((count, f"{name} {said}", len(out)))
+        stack.append((name, roles, is_unit))
         open_tags[name] += 1
         for r in roles:
             around[r] += 1
@@ -196,6 +244,9 @@ def blocks_of(page: str | None) -> list[Block]:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
     flush()
+    while stack:
+        pop()
+    _mark_repeated(out, units)
     return out
 
 
@@ -208,8 +259,9 @@ def features(blocks: list[Block]) -> np.ndarray:
     heading = np.array([0, *(b.heading for b in blocks)], float)
     whole = max(1, sum(b.words for b in blocks))
     real = [[r for r in b.regions if not r.wrapper()] for b in blocks]
-    own = np.array([[b.main, int(bool(rs)), max((r.words for r in rs), default=0) / whole, b.outer, b.named, b.heading, b.item, min(5, sum(b.text.count(c) for c in (". ", "! ", "? ")) + (b.text[-1] in ".!?"))] for b, rs in zip(blocks, real)], float)
-    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own, heading[:-1]])
+    has_main, repeated = any(b.main for b in blocks), np.array([*(b.repeated for b in blocks), 0], float)
+    own = np.array([[b.main, int(has_main and not b.main), int(bool(rs)), max((r.words for r in rs), default=0) / whole, b.outer, b.named, b.heading, b.item, min(5, len(_SENTENCE.findall(b.text)))] for b, rs in zip(blocks, real)], float)
+    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own, heading[:-1], repeated[:-1], repeated[1:]])
 
 
 def labelled_rows() -> list[tuple[int, np.ndarray]]:
@@ -218,7 +270,7 @@ def labelled_rows() -> list[tuple[int, np.ndarray]]:
 
 
 @lru_cache(maxsize=4)
-def trained_tree(spark: SparkSession, depth: int = 8) -> tuple:
+def trained_tree(spark: SparkSession, depth: int = 12) -> tuple:
     """The tree as nested tuples (feature, threshold, left, right) with 0.0 or 1.0 as leaves."""
     table = spark.createDataFrame([(float(label), Vectors.dense(x)) for label, x in labelled_rows()], ["label", "features"]).coalesce(1)
     model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=1).fit(table)

@@ -26,6 +26,32 @@ _SIDE = '<aside><h3>Most read</h3>' + _list("Ferry late again", "Mayor opens the
 _COMMENTS = '<section class="comments"><h2>Comments</h2><div class="comment"><p>I have waited for this for years. Great news for all of us who sail here at night.</p></div><div class="comment"><p>Who pays for it in the end? I read that taxes will rise again. The council should say so.</p></div></section>'
 _FORM = '<form action="/s"><label>Search this site for words</label><input name="q"></form>'
 
+_SHORTER = (
+    "The ferry was late again on Sunday, and nobody said why.",
+    "Most of them went home. A few waited until the evening.",
+    "It had rained for nine days before the river rose over the road.",
+    "The mayor will speak about it next week. Until then the bridge stays closed for all cars.",
+    "She found the letter in a box of old maps.",
+)
+
+
+def _s(i: int, n: int = 1) -> str:
+    return "".join(f"<p data-main>{_SHORTER[(i + k) % len(_SHORTER)]}</p>" for k in range(n))
+
+
+_END = {
+    "line": "<p data-main>Why</p><p data-main>Because</p><p data-main>It is so</p>",
+    "code": "<p data-main>Call it like this:</p><pre data-main>print(1)</pre>",
+    "items": "<ul><li data-main>butter</li><li data-main>flour</li><li data-main>salt and pepper</li></ul>",
+    "caption": "<figure><img src='a.png'><figcaption data-main>The tower in spring</figcaption></figure>",
+    "unspaced": "<p data-main>灯台は冬の嵐が来る前に修理される予定です。</p><p data-main>漁船は今、海岸の先にある弱い信号に頼っています。</p>",
+    "table": "<table><tr><td data-main>Height</td><td data-main>31</td></tr><tr><td data-main>Steps</td><td data-main>140</td></tr></table>",
+    "sign": "<p data-main>Thank you for reading</p>",
+}
+_OPAQUE = "<div class='x1'><div class='x2'>Three people said</div><div class='x3'><b>Ann Lee</b><p>Great post! I sail there every week and never saw that crack.</p></div><div class='x3'><b>Tom</b><p>Who pays for it in the end?</p></div><div class='x3'><b>sea_rose</b><p>Thank you. Please write more about the quarry, it was closed when I was a child.</p></div></div>"
+_OPAQUE_LAST = "<ul class='k7'>" + "".join(f"<li class='k8'><p>{x}</p><span>{who}, an hour ago</span></li>" for x, who in ((_LOREM[0], "Bo"), (_LOREM[2], "Kim"), (_LOREM[1], "Jo"))) + "</ul>"
+_STEPS = "".join(f"<div class='s' data-main><b>Step {i}</b><p>{x}</p></div>" for i, x in ((1, _LOREM[5]), (2, _LOREM[1]), (3, _LOREM[0])))
+
 #: Layouts by semantic elements, by class names, without either, short and long, with lists and headings.
 PAGES = (
     f"<body>{_NAV}{_ADVERT}<article><h1 data-main>Lighthouse to be repaired</h1>{_p(0)}{_p(1)}{_p(2)}{_p(4)}</article>{_FOOT}</body>",
@@ -76,4 +102,29 @@ PAGES = (
     f"<body>{_COOKIE}{_NAV}<article><header><h1 data-main>Fog</h1><p data-main>{_LOREM[4]}</p></header>{_p(0)}<footer><p>Written by the harbour desk</p></footer></article>{_COMMENTS}{_FOOT}</body>",
     f"<body>{_NAV}<article><h1 data-main>Ports</h1>{_p(2)}<p data-main><a href='/p'>{_LOREM[0]}</a></p>{_p(3)}</article></body>",
     f"<body>{_NAV}<main><h1 data-main>Piers</h1>{_p(0)}<p data-main><a href='/p'>{_LOREM[1]}</a></p>{_p(4)}</main></body>",
+    # Articles that end in short blocks, code, items, captions and scripts without spaces, at the end of the page or not.
+    *(f"<body>{_NAV}<{tag}><h2 data-main>Oak and elm</h2>{body}{end}</{tag}>{behind}</body>" for end in _END.values() for tag, body, behind in (("main", "", ""), ("article", _p(0), ""), ("main", _p(2), _FOOT), ("article", "", _SIDE + _FOOT), ("main", _p(1, 2), _OPAQUE))),
+    # Reader comments told by their structure, after the article and beside it in its main element.
+    f"<body>{_NAV}<article><h1 data-main>Locks</h1>{_p(0)}{_p(3)}</article>{_OPAQUE}{_FOOT}</body>",
+    f"<body>{_NAV}<main><h1 data-main>Keys</h1>{_p(2)}{_p(1)}{_OPAQUE}</main>{_FOOT}</body>",
+    f"<body>{_NAV}<main><article><h1 data-main>Doors</h1>{_p(1)}{_p(4)}</article>{_OPAQUE_LAST}</main>{_FOOT}</body>",
+    f"<body>{_NAV}<main><h1 data-main>Hinges</h1>{_p(3)}{_p(0)}{_OPAQUE_LAST}</main></body>",
+    f"<body><div class='a'>{_list('Start', 'Help')}</div><div class='b'><h1 data-main>Walls</h1>{_p(0)}{_p(2, 2)}</div>{_OPAQUE}<div class='c'>Made in the north</div></body>",
+    f"<body><div class='b'><h1 data-main>Roofs</h1>{_p(5)}{_p(1)}<p data-main>Done.</p></div>{_OPAQUE_LAST}</body>",
+    # Units of one kind inside an article.
+    f"<body>{_NAV}<article><h1 data-main>How to mend a net</h1>{_p(0)}{_STEPS}</article>{_FOOT}</body>",
+    f"<body>{_NAV}<article><h1 data-main>How to paint a boat</h1>{_STEPS}{_p(3)}</article>{_OPAQUE}</body>",
+    f"<body>{_NAV}<main><article><h1 data-main>How to tie a knot</h1>{_p(4)}{_STEPS}</article>{_OPAQUE_LAST}</main>{_SIDE}</body>",
+    # Short paragraphs without any element or name that says what is main.
+    f"<body><div class='m'>{_NAV}</div><div class='t'><h1 data-main>Late</h1>{_s(0, 2)}</div>{_OPAQUE}</body>",
+    f"<body><div class='m'>{_NAV}</div><div class='t'><h1 data-main>Rain</h1>{_s(1, 3)}</div>{_OPAQUE_LAST}</body>",
+    f"<body><div class='m'>{_NAV}</div><div class='t'><h1 data-main>Rivers</h1>{_s(2, 5)}</div>{_FOOT}</body>",
+    f"<body><div class='m'>{_NAV}</div><div class='t'><h1 data-main>Maps</h1>{_s(3, 4)}</div>{_SIDE}</body>",
+    f"<body><div class='m'>{_NAV}</div><div class='t'><h1 data-main>Roads</h1>{_s(4, 3)}</div>{_COMMENTS}</body>",
+    f"<body>{_list('One', 'Two')}<div><h2 data-main>Sunday</h2>{_s(1, 4)}</div><div>Made in the north</div></body>",
+    f"<body><div>{_s(0, 5)}</div><div class='x1'>{_list('Next', 'Back')}</div></body>",
+    f"<body><div id='top'>{_list('Start', 'Help')}</div><h1 data-main>Letters</h1>{_s(3, 3)}{_OPAQUE}</body>",
+    f"<body>{_NAV}<main><h1 data-main>Quays</h1>{_s(2, 3)}{_OPAQUE}</main></body>",
+    f"<body>{_NAV}<main><h1 data-main>Cranes</h1>{_s(1, 2)}{_OPAQUE}{_FOOT}</main></body>",
+    f"<body>{_NAV}<main><h1 data-main>Cargo</h1>{_s(0, 4)}{_OPAQUE_LAST}</main>{_SIDE}</body>",
 )

@@ -34,6 +34,43 @@ def test_names_of_wrappers_are_no_gate(spark, i):
     assert H.extract_text(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first().text == want
 
 
+_MENU = "<nav><ul><li><a href=/>Start</a></li><li><a href=/map>Map of the site</a></li></ul></nav>"
+_SAID = "<div class='c-9f'><div>4 people wrote</div>" + "".join(f"<div class='c-2a'><span>{who}</span><p>{what}</p></div>" for who, what in (("Maria G", "Great post! It helped me a lot."), ("old_sailor", "I do not agree with the second part, where are the sources?"), ("Li", "Nice. When does the next part come out?"), ("Sam", "Same here."))) + "</div>"
+#: Layouts that are not among the labelled pages: (page, blocks of the article).
+HELD_OUT = [
+    ("<main><h2>Q and A</h2><p>Why</p><p>Because</p><p>It is so</p></main>", ["Q and A", "Why", "Because", "It is so"]),
+    (f"{_MENU}<main><h1>Setup</h1><p>Install it first and then start the server from the command line.</p><pre>print(2)</pre></main>", ["Setup", "Install it first and then start the server from the command line.", "print(2)"]),
+    (f"{_MENU}<article><h1>Birds</h1><p>They come in spring and leave before the first frost.</p><figure><img src=b.jpg><figcaption>A stork on its nest</figcaption></figure></article>", ["Birds", "They come in spring and leave before the first frost.", "A stork on its nest"]),
+    (f"{_MENU}<article><h1>Packing list</h1><p>Take these with you on the trip.</p><ol><li>tent</li><li>two ropes</li></ol></article>", ["Packing list", "Take these with you on the trip.", "tent", "two ropes"]),
+    ("<article><p>港口办公室周一报告说，旧灯塔将在冬季风暴到来之前修复。</p><p>工程师测量了塔楼两次。他们在顶部附近发现了裂缝，但地基很稳固。</p></article>", ["港口办公室周一报告说，旧灯塔将在冬季风暴到来之前修复。", "工程师测量了塔楼两次。他们在顶部附近发现了裂缝，但地基很稳固。"]),
+    (f"{_MENU}<article><h1>Boats</h1><p>The first boat was built of oak. The second one was not.</p><p>Both float.</p></article>{_SAID}<footer>Imprint</footer>", ["Boats", "The first boat was built of oak. The second one was not.", "Both float."]),
+    (f"{_MENU}<main><h1>Trains</h1><p>The line is closed for the summer, as the company said on Friday.</p><p>Buses go every hour.</p>{_SAID}</main>", ["Trains", "The line is closed for the summer, as the company said on Friday.", "Buses go every hour."]),
+    (f"<div class=m>{_MENU}</div><div class=t><h1>Planes</h1><p>They fly over the sea at night, and nobody in the village has slept since then. Some have moved.</p><p>The others stay. They say that the noise will end in autumn, when the new runway opens.</p></div>{_SAID}", ["Planes", "They fly over the sea at night, and nobody in the village has slept since then. Some have moved.", "The others stay. They say that the noise will end in autumn, when the new runway opens."]),
+    (f"{_MENU}<article><h1>Bread</h1><p>It takes a day, most of which is waiting for the dough.</p><div class=k><b>Part one</b><p>Mix flour, water and salt, and let it rest.</p></div><div class=k><b>Part two</b><p>Bake it hot for forty minutes.</p></div></article><footer>Imprint</footer>", ["Bread", "It takes a day, most of which is waiting for the dough.", "Part one", "Mix flour, water and salt, and let it rest.", "Part two", "Bake it hot for forty minutes."]),
+]
+
+
+@pytest.mark.parametrize("i", range(len(HELD_OUT)))
+def test_held_out_layouts(spark, i):
+    page, want = HELD_OUT[i]
+    assert H.extract_text(spark.createDataFrame([(1, f"<body>{page}</body>")], "page_id bigint, html string")).first().text.split("\n\n") == want
+
+
+def test_very_long_page(spark):
+    """One page of 20,000 paragraphs that ends inside its article with a short block is kept whole."""
+    body = "".join(f"<p>Paragraph {i} tells what happened on that day, at some length.</p>" for i in range(20_000))
+    text = H.extract_text(spark.createDataFrame([(1, f"<body>{_MENU}<article><h1>Diary</h1>{body}<p>The end</p></article></body>")], "page_id bigint, html string")).first().text
+    assert text.count("\n\n") == 20_001 and text.startswith("Diary\n\n") and text.endswith("\n\nThe end")
+
+
+def test_units_are_repeated_without_headings():
+    found = lambda p: [b.repeated for b in H.blocks_of(p)]
+    assert found("<div class=a><b>Ann</b><p>One.</p></div>" * 3) == [3] * 6
+    assert found("<div class=a><h3>Ann</h3><p>One.</p></div>" * 3) == found("<div class=a><p>One.</p></div>" * 3) + [0] * 3 == [0] * 6
+    assert found("<div class=a><b>Ann</b><p>One.</p></div><div class=b><b>Ann</b><p>One.</p></div>") == [0] * 4
+    assert found("<div><b>Ann</b><p>One.") == [0, 0]
+
+
 def test_tree_uses_words_and_links_of_neighbours(spark):
     text = H.described(H.trained_tree(spark))
     print(text)
@@ -47,7 +84,7 @@ def test_test_pages_equal_their_articles_block_by_block(spark):
     blocks = lambda a: [t for t in (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|section|header|figure|figcaption|article)\b[^>]*>", a)) if t]
     want = {i: "\n\n".join(blocks(re.search("<article>(.*)</article>", s, re.S)[1])) for i, s in source.items()}
     rows = H.op7_html_extraction(spark, "/root/testdata/sf0.01").collect()
-    assert sum(r.text == want[r.page_id] for r in rows) >= 0.98 * len(rows)
+    assert sum(r.text == want[r.page_id] for r in rows) == len(rows)
 
 
 def test_test_pages_equal_their_articles(spark):
@@ -55,7 +92,7 @@ def test_test_pages_equal_their_articles(spark):
     rows = H.op7_html_extraction(spark, "/root/testdata/sf0.01").collect()
     want = {i: " ".join(html.unescape(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", s, re.S)[1])).split()) for i, s in source.items()}
     good = sum(" ".join(r.text.split()) == want[r.page_id] for r in rows)
-    assert len(rows) == len(source) and good >= 0.98 * len(rows) and all(r.n_chars == len(r.text) for r in rows)
+    assert len(rows) == len(source) and good == len(rows) and all(r.n_chars == len(r.text) for r in rows)
 
 
 def test_labelled_pages_are_learned(spark):
