@@ -2,12 +2,15 @@
 
 Comment marks at the start of lines are taken off, then a text is compared in units: each line, each paragraph
 (between empty lines) of more than one line, each run of up to RUN sentences, and the whole text; so a notice is met
-within a longer line, hard-wrapped, in a comment, or next to code. A template's result is that of its best unit.
+within a longer line, hard-wrapped, in a comment, or next to code. Units of a template's own are the windows of its number
+of words that start with one of its bigrams, so its notice is also met amid a sentence or a line of code. A template's
+result is that of its best unit.
 
-Two prunes, neither of which loses a match. With a and b distinct bigrams a unit and a template reach a coefficient
+Prunes, none of which loses a match. With a and b distinct bigrams a unit and a template reach a coefficient
 of at most 2 min(a, b) / (a + b), so a threshold t leaves only templates with t / (2 - t) <= a / b <= (2 - t) / t.
 And a match has more than b t / (2 - t) bigrams of the template, so a text without any of the ``anchor_words``, which
-touch all but fewer than that, is not looked at.
+touch all but fewer than that, is not looked at. Of the windows only those are compared in which so many places hold a
+bigram of the template, which sorted places tell without counting: that so many places on is still within the window.
 """
 
 from __future__ import annotations
@@ -75,12 +78,12 @@ def _bound(n: int, threshold: float) -> tuple[int, int]:
 
 
 def template_table(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
-    """Per template: licence, distinct bigrams, and the fewest and most distinct bigrams of a unit that can match it."""
+    """Per template: licence, words, distinct bigrams, and the fewest and most distinct bigrams of a unit that can match it."""
     out = []
     for licence, text in templates:
         found = sorted(set(bigrams(text)))
         least, most = _bound(len(found), threshold)
-        out.append({"licence": licence, "least": least, "most": most, "grams": found})
+        out.append({"licence": licence, "least": least, "most": most, "words": len(re.findall("[a-z0-9]+", text.lower())), "grams": found})
     return out
 
 
@@ -129,18 +132,37 @@ def scan_licences(docs: DataFrame, text_col: str = "text", templates: tuple = TE
     """
     small_batches(docs.sparkSession)
     rows = [{"i": i, **r} for i, r in enumerate(template_table(templates, threshold))]
-    kind = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("licence", T.StringType()), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
+    kind = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("licence", T.StringType()), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
     least = min(r["least"] for r in rows)
     words = lambda u: F.regexp_extract_all(F.translate(u, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
 
+    def in_order(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    def dice(grams: Column, t: Column) -> Column:
+        return F.struct((2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["i"].alias("i"))
+
     def compare(w: Column, table: Column) -> Column:
-        n = F.size(w) - 1
-        pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(n, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+        n, pairs = F.size(w) - 1, F.array_distinct(in_order(w))
         none = F.array().cast("array<struct<dice:double,i:int>>")
         by_size = lambda grams: F.filter(table, lambda t: F.size(grams).between(t["least"], t["most"]))
-        scored = lambda grams: F.transform(by_size(grams), lambda t: F.struct((2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["i"].alias("i")))
+        scored = lambda grams: F.transform(by_size(grams), lambda t: dice(grams, t))
         return F.when(n >= least, let(pairs, lambda g: F.filter(scored(g), lambda s: s["dice"] >= threshold))).otherwise(none)
 
+    def windows(w: Column, table: Column) -> Column:
+        every = F.from_json(F.lit(json.dumps(sorted({g for r in rows for g in r["grams"]}))), T.ArrayType(T.StringType()))
+
+        def of_template(placed: Column, t: Column) -> Column:
+            at = F.transform(F.filter(placed, lambda x: F.array_contains(t["grams"], x["g"])), lambda x: x["at"])
+            enough = lambda p: F.filter(p, lambda x, j: F.get(p, j + t["least"] - 1) - x <= t["words"] - 2)
+            return F.transform(let(at, enough), lambda x: let(F.array_distinct(in_order(F.slice(w, x + 1, t["words"]))), lambda g: dice(g, t)))
+
+        places = lambda grams, common: F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("at"))), lambda x: F.array_contains(common, x["g"]))
+        placed = let(in_order(w), lambda grams: let(F.array_intersect(grams, every), lambda common: places(grams, common)))
+        found = let(placed, lambda p: F.flatten(F.transform(table, lambda t: of_template(p, t))))
+        return F.filter(found, lambda s: s["dice"] >= threshold)
+
     def best(hits: Column, table: Column) -> Column:
         of = lambda t: F.array_max(F.transform(F.filter(hits, lambda h: h["i"] == t["i"]), lambda h: h["dice"]))
         return F.filter(F.transform(table, lambda t: F.struct((-of(t)).alias("d"), t["licence"].alias("licence"))), lambda x: x["d"].isNotNull())
@@ -148,7 +170,7 @@ def scan_licences(docs: DataFrame, text_col: str = "text", templates: tuple = TE
     plain = F.regexp_replace(F.col(text_col), MARKS, "$1")
     of_units = lambda table: F.flatten(F.transform(_units(plain, sentences_in_a_template(templates)), lambda u: let(words(u), lambda w: compare(w, table))))
     table = F.from_json(F.lit(json.dumps(rows)), kind)
-    found = let(table, lambda t: let(of_units(t), lambda hits: best(hits, t)))
+    found = let(table, lambda t: let(F.concat(of_units(t), let(words(plain), lambda w: windows(w, t))), lambda hits: best(hits, t)))
     anchors = rf"(?i)(?<![A-Za-z0-9]){one_pattern(anchor_words(templates, threshold))}(?![A-Za-z0-9])"
     order = F.when(F.col(text_col).rlike(anchors), found).otherwise(F.array().cast("array<struct<d:double,licence:string>>"))
     return docs.withColumn("licence_matches", F.transform(F.array_sort(order), lambda s: F.struct((-s["d"]).alias("dice"), s["licence"].alias("licence"))))
@@ -165,10 +187,10 @@ def op2_licence_scans(spark, sf_dir: str) -> DataFrame:
 
 def op2_sql() -> str:
     """The same rows without any pruning: bigrams of all units are joined to those of the templates and counted."""
-    templates = ", ".join(f"({i}, '{licence}', [{', '.join(repr(g) for g in sorted(set(bigrams(text))))}])" for i, (licence, text) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({r}, '{t['licence']}', {t['words']}, [{', '.join(map(repr, t['grams']))}])" for r, t in enumerate(template_table()))
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return f"""
-with templates(tid, licence, grams) as (values {templates}),
+with templates(tid, licence, size, grams) as (values {templates}),
 wanted as (select tid, unnest(grams) as gram from templates),
 texts as materialized (select row_number() over () as rid, doc_id, regexp_replace(text, {quoted(MARKS)}, '\\1', 'g') as text from documents),
 sentences as (select rid, list_filter(regexp_split_to_array(text, {quoted(SENTENCE_END)}), lambda x: regexp_matches(x, '[A-Za-z0-9]')) as s from texts where text is not null),
@@ -186,7 +208,12 @@ worded as (select row_number() over () as uid, rid, regexp_extract_all(translate
 paired as materialized (select uid, rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from worded where len(w) > 1),
 shared as (select uid, tid, count(*) as c from (select uid, unnest(g) as gram from paired) join wanted using (gram) group by uid, tid),
 scored as (select rid, tid, licence, 2.0::double * c / (len(g) + len(grams)) as dice from shared join paired using (uid) join templates using (tid)),
-hits as (select rid, tid, any_value(licence) as licence, max(dice) as dice from scored where dice >= {THRESHOLD} group by rid, tid),
+seq as materialized (select rid, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') as w from texts where text is not null),
+placed as (select rid, i, w[i] || ' ' || w[i + 1] as gram from (select rid, w, unnest(range(1, len(w))) as i from seq)),
+cut as (select rid, tid, licence, grams, w[i:i + size - 1] as w from placed join wanted using (gram) join templates using (tid) join seq using (rid)),
+windows as (select rid, tid, licence, grams, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from cut),
+every as (select * from scored union all select rid, tid, licence, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from windows),
+hits as (select rid, tid, any_value(licence) as licence, max(dice) as dice from every where dice >= {THRESHOLD} group by rid, tid),
 by_doc as (
   select rid, count(*) as n_matches, string_agg(distinct licence, ',' order by licence) as licences,
          first(licence order by dice desc, licence) as best_licence, round(max(dice), 6) as best_dice

@@ -18,11 +18,18 @@ def units(text):
     return text.split("\n") + re.split(r"\n[ \t\r]*\n", text) + [text] + [" ".join(s[i : i + k]) for i in range(len(s)) for k in (1, 2, 3)]
 
 
+def windows(text, template):
+    """All windows of the template's number of words that start with one of its bigrams, without comment marks."""
+    split = lambda x: re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in x))
+    w, size = split(re.sub(r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|#+|//+|--+|;+|%+|<!--|>+|\|)[ \t]*", r"\1", text)), len(split(template))
+    return [" ".join(w[i : i + size]) for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" in grams(template)]
+
+
 def brute(text):
-    """Every template against every unit, with no rule of size and no anchors."""
+    """Every template against every unit and window, with no rule of size and no anchors."""
     out = []
     for name, t in licences.TEMPLATES:
-        best = max(2 * len(grams(u) & grams(t)) / (len(grams(u)) + len(grams(t))) for u in units(text or ""))
+        best = max(2 * len(grams(u) & grams(t)) / (len(grams(u)) + len(grams(t))) for u in units(text or "") + windows(text or "", t))
         if best >= licences.THRESHOLD:
             out.append((round(-best, 9), name))
     return [(-d, n) for d, n in sorted(out)]
@@ -40,6 +47,8 @@ TEXTS = [
     "#!/bin/sh\n#\n# Copyright 2020 A. B.\n#\n" + WRAPPED(GPL, "# ") + "\n#\n# It is hoped that this is of use.\nset -e\n",
     "/*\n * Copyright (c) 2011 C D\n" + WRAPPED(APACHE, " * ") + "\n */\nint main() { return 0; }\n", "import os\n// " + GRANT[:200] + "\n// " + GRANT[200:] + "\nx = 1",
     "é\r\nLicensed under CC BY-SA 4.0.\r\n\r\nü", "License license terms of the copyright. " * 40,
+    "My tool (Released under the MIT License) is nice", "Foo 1.2, released under the MIT license, by Bar", "int x = 1 // Released under the MIT License.",
+    "we say that this program is free software and that " + GPL + " so there, and " * 3 + "more of it without any end " * 200, "the MIT License the MIT License the MIT", "released under the",
 ]
 
 
@@ -58,6 +67,7 @@ def test_notices_are_met_wherever_they_stand(found):
     assert [n for _, n in found[12]] and found[12][0] == (1.0, "MIT")
     assert "GPL-3.0" in [n for _, n in found[13]] and "Apache-2.0" in [n for _, n in found[14]] and "MIT" in [n for _, n in found[15]]
     assert found[8] and found[9] and not found[17]
+    assert [found[i][0] for i in (18, 19, 20)] == [(1.0, "MIT")] * 3 and (1.0, "GPL-3.0") in found[21] and not found[23]
 
 
 def test_pruning_keeps_all_that_can_match():
