@@ -29,7 +29,7 @@ def with_range(df: DataFrame, order: list[str], name: str = "__range") -> DataFr
     if not cuts:
         return df.withColumn(name, F.lit(0))
     kind = df.select(key.alias("k")).schema["k"].dataType.simpleString()
-    table = df.sparkSession.createDataFrame([(cuts,)], f"__cuts array<{kind}>")
+    table = df.sparkSession.createDataFrame([(cuts,)], f"__range_cuts array<{kind}>")
     steps, top = [], 1
     while 2 * top <= len(cuts):
         top *= 2
@@ -39,10 +39,11 @@ def with_range(df: DataFrame, order: list[str], name: str = "__range") -> DataFr
 
     def further(at: Column, step: Column) -> Column:
         """``step`` ranges on, if the row isn't before the cut there."""
-        return F.when((at + step <= len(cuts)) & (F.get("__cuts", at + step - 1) <= F.col("__key")), at + step).otherwise(at)
+        return F.when((at + step <= len(cuts)) & (F.get("__range_cuts", at + step - 1) <= F.col("__range_key")), at + step).otherwise(at)
 
     found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
-    return df.withColumn("__key", key).crossJoin(F.broadcast(table)).withColumn(name, found).drop("__cuts", "__key")  # one row
+    # the names are this step's own, so no column of the caller is replaced or dropped
+    return df.withColumn("__range_key", key).crossJoin(F.broadcast(table)).withColumn(name, found).drop("__range_cuts", "__range_key")  # one row
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 from collections import Counter, defaultdict
@@ -126,3 +127,23 @@ def test_a_million_groups(spark):
     loads = [r[1] for r in folds.group_kfold(df, 5).groupBy("fold").count().collect()]
     assert len(loads) == 5 and max(loads) - min(loads) <= 1
     assert time.perf_counter() - began < 60
+
+
+def test_seeded_splits_over_several_ranges(spark, ranges):
+    n = 60
+    ids = spark.createDataFrame([(f"S{i:03d}",) for i in range(n)], "sample_id string").repartition(3)
+    one = {r.sample_id: r.fold for r in folds.kfold(ids, 4, seed=3).collect()}
+    assert len(one) == n and Counter(one.values()) == dict.fromkeys(range(4), n // 4)
+    twice = {(r.repeat, r.sample_id): r.fold for r in folds.repeated_kfold(ids, 4, (3, 5)).collect()}
+    assert len(twice) == 2 * n and all(twice[0, s] == f for s, f in one.items())
+    split = [tuple(r) for r in folds.shuffle_split(ids, 2, 0.25, 5).collect()]
+    for f in range(2):
+        by_hash = sorted((hashlib.sha256(f"5:{f}:S{i:03d}".encode()).hexdigest(), f"S{i:03d}") for i in range(n))
+        want = {(f"fold{f}", s, "validation" if at < n // 4 else "train") for at, (_, s) in enumerate(by_hash)}
+        assert {x for x in split if x[0] == f"fold{f}"} == want
+
+
+def test_ranges_keep_the_columns_of_the_caller(spark, ranges):
+    df = spark.createDataFrame([(i, -i, str(i), i) for i in range(30)], "i int, __key int, __cuts string, __range_no int")
+    got = order.position(df, "__key").collect()
+    assert sorted((r["i"], r["__key"], r["__cuts"], r["position"]) for r in got) == [(i, -i, str(i), 29 - i) for i in range(30)]
