@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 TRIM = 0.1
 #: Fixed value: rows with a larger T² are outliers.
 OUTLIER_T2 = 5.023886
+#: The distance from 1 to the next double: a smaller variance of the other rows is none.
+EPSILON = 2.220446049250313e-16
 
 
 def weighted_mean(value: Column | str, weight: Column | str) -> Column:
@@ -50,12 +52,13 @@ def reduce_units(rows: DataFrame, keys: list[str], values: list[str], method: st
     return rows.groupBy(*keys).agg(*[REDUCERS[method](v).alias(v) for v in values], F.count("*").alias("n"))
 
 
-def exclude_outliers(rows: DataFrame, keys: list[str], values: list[str], threshold: float = OUTLIER_T2) -> DataFrame:
+def exclude_outliers(rows: DataFrame, keys: list[str], values: list[str], threshold: float = OUTLIER_T2, least_variance: float = EPSILON) -> DataFrame:
     """The mean without outlying rows of a unit.
 
     A row's T² is the sum over all values of its squared distance from the mean of the other rows over their
-    (population) variance; it is dropped above ``threshold``, with all its values. Units of fewer than three rows, or
-    where all rows would go, keep their plain mean.
+    (population) variance; it is dropped above ``threshold``, with all its values. A value whose variance among the others
+    is at most ``least_variance`` adds nothing. Units of fewer than three rows, or where all rows would go, keep their
+    plain mean.
 
     The mean and variance of the others follow from those of the whole unit and the row itself, so nothing of a unit is
     held: with d the distance from the unit's mean and Q the sum of its squares, the others lie at d n / (n - 1) and have
@@ -79,7 +82,7 @@ def exclude_outliers(rows: DataFrame, keys: list[str], values: list[str], thresh
         spread = (F.col(f"__var{i}") * n - d * d * n / (n - 1)) / (n - 1)
         constant = (low == high) | ((x == high) & (F.col(f"__n_low{i}") == n - 1)) | ((x == low) & (F.col(f"__n_high{i}") == n - 1))
         # others closer together than the digits of the row's own distance show: the row is infinitely far from them
-        t2 = t2 + F.when(constant, 0.0).when(spread > F.greatest(F.lit(2.220446049250313e-16), 1e-13 * d * d), far / F.nullif(spread, F.lit(0.0))).when(1e-13 * d * d > 2.220446049250313e-16, float("inf")).otherwise(0.0)
+        t2 = t2 + F.when(constant, 0.0).when(spread > F.greatest(F.lit(least_variance), 1e-13 * d * d), far / F.nullif(spread, F.lit(0.0))).when(1e-13 * d * d > least_variance, float("inf")).otherwise(0.0)
     fine = F.when(n < 3, F.lit(True)).otherwise(t2 <= threshold)
     sums = placed.select(*keys, "__n", *[f"__v{i}" for i in range(len(values))], fine.alias("__fine")).groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if("__fine").alias("__used"), *[F.avg(F.when(F.col("__fine"), F.col(f"__v{i}"))).alias(f"__fine{i}") for i in range(len(values))], *[F.avg(f"__v{i}").alias(f"__all{i}") for i in range(len(values))]

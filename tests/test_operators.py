@@ -370,3 +370,13 @@ def test_outliers_of_one_huge_unit(spark):
     df = spark.range(300_000).select(F.lit("u").alias("unit"), (F.col("id") % 100).cast("double").alias("v"), F.when(F.col("id") == 5, 1e6).otherwise(F.col("id") % 7).cast("double").alias("q"))
     r = R.exclude_outliers(df, ["unit"], ["v", "q"]).first()
     assert (r.n, r.n_used) == (300_000, 299_999)
+
+
+def test_outliers_with_others_that_nearly_agree(spark):
+    rows = [("u", 10.0, 1.0), ("u", 10.00002, 2.0), ("u", 10.5, 3.0)]
+    df = spark.createDataFrame(rows, "unit string, v double, q double")
+    # the first two differ by a variance of 1e-10: too little to call the third one far, unless that counts
+    told = R.exclude_outliers(df, ["unit"], ["v"]).first()
+    assert (told.n_used, told.v) == (2, pytest.approx(10.00001))
+    kept = R.exclude_outliers(df, ["unit"], ["v"], least_variance=1e-9).first()
+    assert (kept.n_used, kept.v) == (3, pytest.approx(30.50002 / 3))
