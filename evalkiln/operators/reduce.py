@@ -92,13 +92,19 @@ def exclude_outliers(rows: DataFrame, keys: list[str], values: list[str], thresh
 
 
 def custom_reduce(rows: DataFrame, keys: list[str], value: str, fn: Callable[[pd.Series], float]) -> DataFrame:
-    """A reducer in Python, called once per unit with its values; one unit has to fit in a task."""
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    """A reducer in Python, called once per unit with its values; one unit has to fit in a task.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, float(fn(pdf[value])), len(pdf))])
+    Units are gathered by Spark and go to Python many at a time, so a small unit costs its call and not a frame of its own.
+    Nulls are NaN there and count as rows.
+    """
+
+    @F.pandas_udf("double")
+    def run(units: pd.Series) -> pd.Series:
+        return pd.Series([float(fn(pd.Series(x, dtype=None if len(x) else "float64"))) for x in units])
 
-    return rows.select(*keys, value).groupBy(*keys).applyInPandas(run, f"{kinds}, {value} double, n bigint")
+    # as structs, since a list of bare values leaves out nulls
+    units = rows.select(*keys, value).groupBy(*keys).agg(F.collect_list(F.struct(value)).alias("__values"))
+    return units.select(*keys, run(F.transform("__values", lambda x: x[value])).alias(value), F.size("__values").cast("bigint").alias("n"))
 
 
 def fuse_branches(rows: DataFrame, weights: dict[str, float] | None = None, branch_col: str = "branch") -> DataFrame:
