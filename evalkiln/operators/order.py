@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows that one range should hold, ranges at most, and sampled rows for each range.
-RANGE_ROWS, MAX_RANGES, SAMPLED = 200_000, 10_000, 20
+RANGE_ROWS, MAX_RANGES, SAMPLED = 50_000, 10_000, 20
 
 
 def with_range(df: DataFrame, order: list[str], name: str = "__range") -> DataFrame:

@@ -380,3 +380,30 @@ def test_outliers_with_others_that_nearly_agree(spark):
     assert (told.n_used, told.v) == (2, pytest.approx(10.00001))
     kept = R.exclude_outliers(df, ["unit"], ["v"], least_variance=1e-9).first()
     assert (kept.n_used, kept.v) == (3, pytest.approx(30.50002 / 3))
+
+
+def test_shuffles_follow_the_rows(spark):
+    from evalkiln.session import spread
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")}
+    try:
+        spread(spark, 1000)
+        assert {k: spark.conf.get(k) for k in kept} == kept
+        spread(spark, 10_000_001)
+        df = spark.range(100).groupBy(F.col("id") % 7).count()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert df.rdd.getNumPartitions() == 41
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_custom_reducer_counts_nulls_and_is_called_for_many_units_at_once(spark):
+    rows = [("a", 1.0), ("a", None), ("a", 4.0), (None, 2.0), ("b", None)] + [(f"u{i}", float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "u string, v double").repartition(3)
+    out = R.custom_reduce(df, ["u"], "v", lambda s: s.max() + len(s))
+    got = {r.u: (r.v, r.n) for r in out.collect()}
+    assert got["a"] == (7.0, 3) and got[None] == (3.0, 1) and got["b"] == (None, 1)  # NaN is null, as it was
+    assert all(got[f"u{i}"] == (i + 1.0, 1) for i in range(300))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
