@@ -19,15 +19,20 @@ def with_range(df: DataFrame, order: list[str], name: str = "__range") -> DataFr
     Ranges follow the order: a row of a smaller range is never behind one of a larger. Rows that are equal in all columns
     are in one range. Up to RANGE_ROWS rows are one range, for the price of a count.
     """
+    return _ranged(df, order, name)[0]
+
+
+def _ranged(df: DataFrame, order: list[str], name: str = "__range") -> tuple[DataFrame, int]:
+    """``with_range``, and how many ranges there are."""
     total = df.count()
     ranges = min(MAX_RANGES, -(-total // RANGE_ROWS))
     if ranges <= 1:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, F.lit(0)), 1
     key = F.struct(*[F.col(c) for c in order])
     drawn = df.select(key.alias("k")).sample(min(1.0, SAMPLED * ranges / total), seed=7).distinct().orderBy("k").limit(2 * SAMPLED * ranges).collect()
     cuts = [r.k for r in drawn[:: max(1, len(drawn) // ranges)]][1:]
     if not cuts:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, F.lit(0)), 1
     kind = df.select(key.alias("k")).schema["k"].dataType.simpleString()
     table = df.sparkSession.createDataFrame([(cuts,)], f"__range_cuts array<{kind}>")
     steps, top = [], 1
@@ -43,7 +48,7 @@ def with_range(df: DataFrame, order: list[str], name: str = "__range") -> DataFr
 
     found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
     # the names are this step's own, so no column of the caller is replaced or dropped
-    return df.withColumn("__range_key", key).crossJoin(F.broadcast(table)).withColumn(name, found).drop("__range_cuts", "__range_key")  # one row
+    return df.withColumn("__range_key", key).crossJoin(F.broadcast(table)).withColumn(name, found).drop("__range_cuts", "__range_key"), len(cuts) + 1  # one row
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
@@ -54,7 +59,10 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], keys: list
     """
     keys = keys or []
     # the values are taken once, before the rows move
-    rows = with_range(df.withColumns({f"__v_{n}": c for n, c in sums.items()}), [*keys, *order])
+    rows, ranges = _ranged(df.withColumns({f"__v_{n}": c for n, c in sums.items()}), [*keys, *order])
+    if ranges > 1:
+        # a fixed number of partitions: ordered rows are packed so well that by bytes very many would be read together
+        rows = rows.repartition(2 * ranges, "__range")
     window = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     within = rows.withColumns({f"__w_{n}": zero(F.sum(f"__v_{n}").over(window)) for n in sums})
