@@ -1,4 +1,7 @@
-"""From raw documents to token ids: five stages, each one operator of ``evalkiln.llm`` over all that its predecessor kept."""
+"""From raw documents to token ids: five stages, each one operator of ``evalkiln.llm`` over all that its predecessor kept.
+
+Each stage begins with ``tidy``: what the driver holds of the plans, shuffles and broadcasts before it is let go.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalkiln.llm import bpe, decontaminate, language, secrets, similar
-from evalkiln.llm.common import written
+from evalkiln.llm.common import tidy, written
 
 #: A prediction with a smaller share is a rejection.
 MIN_LANGUAGE_SCORE = 0.5
@@ -18,6 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows go or stay together; columns may have any name; an empty table stays empty.
     """
+    tidy(spark)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = language.identify(rows, language.learned(docs), keep=["row"])
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
@@ -29,6 +33,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Near duplicates share 0.8 of their five-word shingles. A document without an id stays if its group has none with one.
     Documents without a word are one group; repeated rows are one document; an empty table stays empty.
     """
+    tidy(spark)
     return similar.first_of_groups(docs)
 
 
@@ -37,6 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Null and empty texts stay; repeated rows go or stay together; columns may have any name.
     """
+    tidy(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -45,6 +51,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts stay null and keep their n_chars; empty texts and repeated rows stay as they are; columns may have any name.
     """
+    tidy(spark)
     clean = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -56,6 +63,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens and the digests of nothing; repeated rows and rows without an id stay.
     """
+    tidy(spark)
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

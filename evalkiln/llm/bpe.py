@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from evalkiln.llm.common import carried, restored, small_batches
+from evalkiln.llm.common import carried, restored, small_batches, tidy
 from evalkiln.llm.spans import let
 
 #: Words a task proposes for the dictionary and words the dictionary has.
@@ -211,6 +211,23 @@ class Chunks(dict):
         return ids
 
 
+def folded_words(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", at_most: int = DICTIONARY) -> dict[str, bytes]:
+    """The ids (little endian, 32 bits) of the frequent words, at most ``at_most``: one job, whose rows come as Arrow columns.
+
+    The driver keeps neither the vocabulary nor a row object for each word.
+    """
+    # The word length bound keeps the higher-order fold short; longer words are folded in the tasks.
+    words = frequent_words(docs, pattern, text_col, at_most=at_most).where(F.octet_length("word") <= SHORT).select("word")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folded = words.repartition(parts, "word").select("word", fold_words(F.col("word").cast("binary"), Ranks(ranks_path)).alias("ids")).toArrow()
+    known: dict[str, bytes] = {}
+    for batch in folded.to_batches():
+        lists = batch.column("ids")
+        ids, at = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(batch.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist()))
+    return known
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, dictionary_words: int = DICTIONARY, bytes_col: str | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row with its token ids (array<int>).
 
@@ -223,11 +240,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     spark = docs.sparkSession
     small_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, bytes_col)]
-    # The word length bound keeps the higher-order fold short; longer words are folded in the tasks.
-    words = frequent_words(docs, pattern, text_col, at_most=dictionary_words).where(F.octet_length("word") <= SHORT).select("word")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folded = words.repartition(parts, "word").select("word", fold_words(F.col("word").cast("binary"), ranks_of(ranks_path)).alias("ids"))
-    dictionary = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in folded.collect()})  # at most dictionary_words rows, in one job
+    dictionary = spark.sparkContext.broadcast(folded_words(docs, ranks_path, pattern, text_col, dictionary_words))
+    tidy(spark)  # the rank map in the plan of the fold is large, and done with
 
     df = carried(docs, text_col, keep)
     fields = ["kept", "__text"] if text_col in keep else ["kept"]

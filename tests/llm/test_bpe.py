@@ -57,3 +57,12 @@ def test_edges(spark, edge_docs, no_docs):
     out = bpe.encode(edge_docs, PATH, P.PATTERN)
     assert out.count() == edge_docs.count() and out.columns == [*edge_docs.columns, "ids"]
     assert bpe.encode(no_docs, PATH, P.PATTERN).count() == 0
+
+
+def test_folded_words_leave_no_vocabulary_on_the_driver(spark, reference):
+    docs = spark.createDataFrame([(1, "the the the café's end end"), (2, None)], "doc_id bigint, text string")
+    bpe.ranks_of.cache_clear()
+    known = bpe.folded_words(docs, PATH, P.PATTERN)
+    assert {" the", " café", "'s", " end"} <= set(known)
+    assert all(list(memoryview(ids).cast("i")) == reference.encode_ordinary(w) for w, ids in known.items())
+    assert bpe.ranks_of.cache_info().currsize == 0

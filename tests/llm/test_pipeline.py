@@ -50,3 +50,12 @@ def test_rejections_and_odd_rows(spark, sf_dir):
     for name, stage in C.STAGES:
         empty = C.written(stage(spark, empty, sf_dir), name)
     assert empty.count() == 0
+
+
+def test_a_stage_lets_go_of_what_came_before(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "tidy", seen.append)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    for _, stage in C.STAGES:
+        stage(spark, docs, sf_dir)
+    assert len(seen) == len(C.STAGES)
