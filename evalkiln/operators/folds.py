@@ -20,6 +20,13 @@ def kfold(samples: DataFrame, k: int, seed: int | None = None, shuffle_label: st
     return placed.select(id_col, (F.col("position") % k).cast("int").alias("fold"))
 
 
+def with_fold(samples: DataFrame, k: int, id_col: str = "sample_id") -> DataFrame:
+    """``samples`` with the column ``fold`` of the unshuffled ``kfold``: the rows are placed whole, so nothing is joined back."""
+    if k < 2:
+        raise ValueError("k-fold needs k >= 2")
+    return global_position(samples, id_col, name="__position").withColumn("fold", (F.col("__position") % k).cast("int")).drop("__position")
+
+
 def stratified_kfold(samples: DataFrame, k: int, label_col: str, seed: int | None = None, id_col: str = "sample_id") -> DataFrame:
     """Classes by label, inside a class the order of ``kfold``; the global position modulo k.
 
@@ -174,9 +181,10 @@ def bootstrap(samples: DataFrame, n_splits: int, seed: int, id_col: str = "sampl
     spark = samples.sparkSession
     draws = spark.range(n_splits * n).select((F.col("id") % n_splits).cast("int").alias("__f"), F.floor(F.col("id") / n_splits).cast("bigint").alias("__i"))
     place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "__f", "__i"), 256), 1, 13), 16, 10).cast("bigint") % n
-    times = draws.groupBy("__f", place.alias("position")).agg(F.count("*").alias("times"))
-    placed = global_position(samples.select(id_col), id_col).withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    joined = placed.join(times, ["__f", "position"], "left")
+    drawn = draws.select("__f", place.alias("position")).groupBy("position").agg(F.array(*[F.count_if(F.col("__f") == f) for f in range(n_splits)]).alias("__drawn"))
+    # a sample meets the draws of all splits in one row, and only then is it a row for each
+    placed = global_position(samples.select(id_col), id_col).join(drawn, "position", "left")
+    joined = placed.select(id_col, "__drawn", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("__f")).withColumn("times", F.nullif(F.get("__drawn", F.col("__f")), F.lit(0)))
     return joined.select(
         F.concat(F.lit("fold"), F.col("__f").cast("string")).alias("fold_id"), id_col, F.when(F.col("times").isNull(), "validation").otherwise("train").alias("role"), F.coalesce("times", F.lit(1)).alias("times")
     )
@@ -207,8 +215,31 @@ def supplied_violations(members: DataFrame, universe: DataFrame, partitioned: bo
     return out
 
 
+def doubtful(members: DataFrame, universe: DataFrame, partitioned: bool = True) -> DataFrame:
+    """Samples and folds where a rule of ``supplied_violations`` (but for groups) may be broken: without any row none is."""
+    wrong = F.col("role").isNull() | ~F.col("role").isin("train", "validation") | F.col("fold_id").isNull() | F.col("sample_id").isNull()
+    if "times" in members.columns:
+        wrong = wrong | F.col("times").isNull() | (F.col("times") < 1)
+    v = F.coalesce((F.col("role") == "validation").cast("int"), F.lit(0))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = members.select("sample_id", text("fold_id"), wrong.alias("wrong"), v.alias("v"), F.lit(1).alias("m"), F.lit(0).alias("u"))
+    rows = rows.unionByName(universe.select("sample_id", F.lit(None).cast("string").alias("fold_id"), F.lit(False).alias("wrong"), F.lit(0).alias("v"), F.lit(0).alias("m"), F.lit(1).alias("u")))
+    sums = [F.max("wrong").alias("wrong"), F.sum("v").alias("v"), F.max("u").alias("u")]
+    # by sample alone, so that the second aggregation moves no rows
+    each = rows.repartition("sample_id").groupBy("sample_id", "fold_id").agg(*sums, F.sum("m").alias("m"))
+    one = each.groupBy("sample_id").agg(*sums, F.max("m").alias("m"))
+    bad = F.col("wrong") | (F.col("m") > 1) | (F.col("u") == 0)
+    sides = members.groupBy(text("fold_id")).agg(F.count_if(F.col("role") == "validation").alias("v"), F.count_if(F.col("role") == "train").alias("t"))
+    return one.where(bad | (F.col("v") != 1) if partitioned else bad).select(text("sample_id")).union(sides.where("v = 0 or t = 0").select("fold_id"))
+
+
 def supplied(members: DataFrame, universe: DataFrame, partitioned: bool = True, groups: DataFrame | None = None) -> DataFrame:
-    """``members``, if nothing forbids their use as folds of ``universe``; else OofValidation with the first violations."""
+    """``members``, if nothing forbids their use as folds of ``universe``; else OofValidation with the first violations.
+
+    One aggregation by sample tells whether a rule can be broken at all; only then, or with ``groups``, are the violations looked up.
+    """
+    if groups is None and doubtful(members, universe, partitioned).isEmpty():
+        return members
     strict(supplied_violations(members, universe, partitioned, groups), OofValidation, "a supplied fold set")
     return members
 

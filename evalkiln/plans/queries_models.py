@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from evalkiln.operators import domain, folds, gram, robust
 from evalkiln.plans.prelude import FOLDS, MEMBERS, PRED, SAMPLES, sql
 from evalkiln.plans.registry import query
-from evalkiln.sources.testdata import fold_of, membership, predictions, samples, table
+from evalkiln.sources.stores import reread
+from evalkiln.sources.testdata import folded, membership, predicted, samples, table
 
 COLUMNS = [("m:a", "y"), ("m:b", "y")]
 RIDGE = 0.5
@@ -15,8 +16,14 @@ RIDGE = 0.5
 
 def _stacked(spark, d):
     """(sample_id, fold, y, x): both producers' out-of-fold predictions of each sample."""
-    rows = samples(spark, d).select("sample_id", F.col("ly").alias("y")).join(fold_of(spark, d), "sample_id")
-    return gram.stack(predictions(spark, d), rows, COLUMNS)
+    return _kept_stack(folded(spark, d))
+
+
+def _kept_stack(s, more=None):
+    """The stack over samples with their fold, kept: models and predictions read it several times. ``more`` are repeated predictions."""
+    p = predicted(s)
+    rows = s.select("sample_id", F.col("ly").alias("y"), "fold")
+    return reread(gram.stack(p.unionByName(more(p)) if more else p, rows, COLUMNS, resampled=more is not None), [])
 
 
 # Normal equations of two predictors, by Cramer's rule; fold -1 is the model of all rows.
@@ -49,10 +56,7 @@ REPEATED = "twice as (select * from pred union all select producer, partition, f
 @query("stacked_resampled", sql("select sample_id, round(my + ba * (xa - ma) + bb * (xb - mb), 6) as value from d join solved using (fold)", SAMPLES, FOLDS, PRED, REPEATED, WIDE.replace("from pred p", "from (select producer, sample_id, y, avg(value) as value from twice group by all) p"), SUMS, BOTH))
 def stacked_resampled(spark, d):
     """Repeated validation rows of a resampled fold set are averaged before stacking; without that mode they are refused."""
-    p = predictions(spark, d)
-    more = p.where("producer = 'm:b' and fold_id in ('fold1', 'fold3')").withColumn("value", F.col("value") + 0.5)
-    rows = samples(spark, d).select("sample_id", F.col("ly").alias("y")).join(fold_of(spark, d), "sample_id")
-    rows = gram.stack(p.unionByName(more), rows, COLUMNS, resampled=True)
+    rows = _kept_stack(folded(spark, d), lambda p: p.where("producer = 'm:b' and fold_id in ('fold1', 'fold3')").withColumn("value", F.col("value") + 0.5))
     models = gram.fit_folds(gram.fold_moments(rows, "x", ["y"]), gram.ridge(RIDGE))
     return gram.predict(rows, models, "x", ["value"]).select("sample_id", F.round("value", 6).alias("value"))
 
@@ -164,7 +168,8 @@ def split_bootstrap(spark, d):
  select s.sample_id, round(avg(value), 6) as value, count(value) as n from samples s left join v using (sample_id) group by s.sample_id""", SAMPLES, FOLDS, PRED, DRAWN))
 def resampled_oof(spark, d):
     """Ridge models trained on bootstrap draws; each sample has the mean of the models that never drew it."""
-    rows, members = _stacked(spark, d), folds.supplied(folds.bootstrap(samples(spark, d), 3, 11), samples(spark, d), partitioned=False)
+    s = folded(spark, d)
+    rows, members = _kept_stack(s), folds.supplied(reread(folds.bootstrap(s, 3, 11), []), s, partitioned=False)
     models = gram.fit_folds(gram.resampled_moments(rows, members, "x", ["y"]), gram.ridge(RIDGE))
     return gram.resampled_oof(rows, members, models, "x").withColumn("value", F.round("value", 6))
 

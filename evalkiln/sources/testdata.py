@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evalkiln.operators import folds
+from evalkiln.sources.stores import reread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +47,22 @@ def fold_of(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return folds.kfold(samples(spark, sf_dir).select("sample_id"), k)
 
 
+def folded(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """``samples`` with their fold, placed once and kept in the shared folder: every later pass is a scan."""
+    return reread(folds.with_fold(samples(spark, sf_dir), k), [])
+
+
 def membership(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return folds.membership(fold_of(spark, sf_dir, k), k)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of two producers for the logarithm of y, one row per sample, fold and producer."""
-    s = samples(spark, sf_dir).join(fold_of(spark, sf_dir), "sample_id")
+    return predicted(folds.with_fold(samples(spark, sf_dir), 5))
+
+
+def predicted(s: DataFrame) -> DataFrame:
+    """``predictions`` of samples with their fold."""
     a = F.col("ly") * (1 + ((F.col("c") % 7) - 3) / 20.0)
     b = F.col("ly") * (1 + ((F.col("k") % 5) - 2) / 10.0)
     rows = s.select("sample_id", "fold", F.col("ly").alias("y"), "group_id", "target_id", F.explode(F.array(F.struct(F.lit("m:a").alias("producer"), a.alias("value")), F.struct(F.lit("m:b").alias("producer"), b.alias("value")))).alias("p"))

@@ -407,3 +407,31 @@ def test_custom_reducer_counts_nulls_and_is_called_for_many_units_at_once(spark)
     assert got["a"] == (7.0, 3) and got[None] == (3.0, 1) and got["b"] == (None, 1)  # NaN is null, as it was
     assert all(got[f"u{i}"] == (i + 1.0, 1) for i in range(300))
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_placing_samples_whole_equals_kfold(spark):
+    rows = spark.createDataFrame([(f"S{i * 7 % 23:02}", i) for i in range(23)], "sample_id string, v int")
+    got = {(r.sample_id, r.v, r.fold) for r in folds.with_fold(rows, 5).collect()}
+    assert got == {(r.sample_id, r.v, r.fold) for r in rows.join(folds.kfold(rows, 5), "sample_id").collect()}
+
+
+def test_doubtful_members_are_those_that_break_a_rule(spark):
+    universe = spark.createDataFrame([(s,) for s in "abc"], "sample_id string")
+    good = [("fold0", "a", "validation", 1), ("fold0", "b", "train", 2), ("fold0", "c", "train", 1), ("fold1", "a", "train", 1), ("fold1", "b", "validation", 1), ("fold1", "c", "validation", 1)]
+    faults = [[("fold0", "b", "validation", 1)], [("fold0", "b", "train", 1)], [("fold0", "z", "train", 1)], [("fold2", "a", "test", 1)], [(None, "a", "train", 1)], [("fold0", None, "train", 1)], [("fold2", "a", "train", 0)], [("fold2", "a", "train", 1)]]
+    frame = lambda rows: spark.createDataFrame(rows, "fold_id string, sample_id string, role string, times int")
+    assert folds.doubtful(frame(good), universe).isEmpty()
+    assert folds.supplied(frame(good), universe).count() == 6
+    for fault in faults:
+        assert not folds.doubtful(frame(good + fault), universe, False).isEmpty(), fault
+    unseen = universe.union(spark.createDataFrame([("d",)], "sample_id string"))
+    assert not folds.doubtful(frame(good), unseen).isEmpty() and folds.doubtful(frame(good), unseen, False).isEmpty()
+
+
+def test_few_keys_of_a_model_are_broadcast(spark):
+    from evalkiln.operators import models
+
+    rows = spark.createDataFrame([("k", i % 2, float(i)) for i in range(6)], "key string, fold int, y double")
+    out = models.group_mean_oof(rows, "key")
+    assert "ResolvedHint (strategy=broadcast)" in out._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in out._jdf.queryExecution().logical().toString()
+    assert {(r.fold, r.value) for r in out.collect()} == {(0, 3.0), (1, 2.0)}
