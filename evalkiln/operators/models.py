@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MONEY = "decimal(18,2)"
+#: Rows of a model (keys times folds) that may be broadcast.
+SMALL_MODEL = 20_000
 
 
 def loo_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -16,10 +18,15 @@ def loo_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataF
 
 
 def group_mean_oof(rows: DataFrame, key: str, y: str = "y") -> DataFrame:
-    """Out-of-fold predictions of the mean of y by key, learned on the other folds; null where they lack the key."""
+    """Out-of-fold predictions of the mean of y by key, learned on the other folds; null where they lack the key.
+
+    A model of few keys is broadcast, so no key's rows meet in one task.
+    """
     m = loo_sums(rows, [key], {"s": F.col(y).cast(MONEY)})
     p = F.col("s_train").cast("double") / F.nullif(F.col("n_train").cast("double"), F.lit(0.0))
-    return rows.join(m.select(key, "fold", p.alias("value")), [key, "fold"])
+    m = m.select(key, "fold", p.alias("value"))
+    few = m.limit(SMALL_MODEL + 1).count() <= SMALL_MODEL
+    return rows.join(F.broadcast(m) if few else m, [key, "fold"])
 
 
 def linear_oof(rows: DataFrame, x: str, y: str = "y", ridge: float = 0.0) -> DataFrame:
