@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalkiln.operators import folds, metrics, models, predictions as P, select
+from evalkiln.sources.stores import reread
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,12 @@ class Campaign:
 
     def fit_cv(self, samples: DataFrame) -> DataFrame:
         """Out-of-fold predictions of all producers; a gap, a value that isn't finite or a sample out of place is refused."""
-        fold_of = folds.kfold(samples, self.k)
-        rows = samples.join(fold_of, "sample_id")
+        rows = reread(folds.with_fold(samples, self.k), [])
         parts = [p.oof(rows).select(F.lit(p.name).alias("producer"), F.lit("validation").alias("partition"), F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("fold_id"), "sample_id", F.lit("y").alias("target"), "value", "y") for p in self.producers]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        P.check_campaign(out, folds.membership(fold_of, self.k), samples, [(p.name, "y") for p in self.producers])
+        P.check_campaign(out, folds.membership(rows, self.k), rows, [(p.name, "y") for p in self.producers])
         return out
 
     def ranking(self, oof: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def example(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders up to a key are the campaign's samples, the rest are new rows."""
     from evalkiln.sources.testdata import samples
 
-    rows = samples(spark, sf_dir)
+    rows = reread(samples(spark, sf_dir), [])
     old, new = rows.where("k % 10 <> 0"), rows.where("k % 10 = 0").drop("y")
     campaign = Campaign((group_mean("segment"), group_mean("priority"), group_mean("group_id")))
     oof = campaign.fit_cv(old)
