@@ -2,9 +2,10 @@
 
 The fold is written with Spark's higher-order functions over the bytes of a word and a literal rank map
 (``fold_words``). It runs over the distinct frequent words of the corpus, and its result, at most ``dictionary_words``
-rows, is broadcast. Encoding then is one pass over the texts without a shuffle: words in the dictionary take the
-folded ids, the others are folded in the task by the same rule (``Ranks.fold``). Folding every distinct word with
-higher-order functions and joining the ids back to the texts was measured and given up: see the README.
+rows, is broadcast. Encoding then is one pass over the texts without a shuffle, some thousand at a time: their distinct
+words in the dictionary take the folded ids, the others are folded together in the task by the same rule
+(``Ranks.fold_all``). Folding every distinct word with higher-order functions and joining the ids back to the texts was
+measured and given up: see the README.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -29,8 +32,10 @@ from evalkiln.llm.spans import let
 #: Words a task proposes for the dictionary and words the dictionary has.
 PROPOSED = 20_000
 DICTIONARY = 50_000
-#: Chunks of text, and words, whose ids a task keeps.
+#: Words that a task counts before it lets rare ones go.
 CACHE = 300_000
+#: Bytes of text that a task counts, and encodes, at once.
+COUNTED, ENCODED = 32 << 20, 8 << 20
 #: No such merge.
 NONE = 2**31 - 1
 #: Longer words are merged with a heap.
@@ -67,6 +72,72 @@ class Ranks:
                 ranks[i] = get(new + parts[i + 1], NONE)
         return [self.rank[p] for p in parts]
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the single bytes; keys of all pairs of pieces that merge, in order; the ranks of these."""
+        top, found = len(self.pieces), {}
+        for piece, r in self.rank.items():
+            for i in range(1, len(piece)):
+                a, b = self.rank.get(piece[:i]), self.rank.get(piece[i:])
+                if a is not None and b is not None:
+                    found[a * top + b] = r
+        keys = np.array(sorted(found), np.int64)
+        return np.array([self.rank.get(bytes([b]), NONE) for b in range(256)], np.int64), keys, np.array([found[k] for k in keys.tolist()] + [NONE], np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        _, keys, ranks = self.pairs
+        wanted = a * len(self.pieces) + b
+        at = np.searchsorted(keys, wanted)
+        return np.where(np.append(keys, -1)[at] == wanted, ranks[at], NONE)
+
+    def fold_all(self, words: list[bytes]) -> list[bytes]:
+        """``fold`` of many words at once, as bytes (little endian, 32 bits): a round merges one pair in each word."""
+        out: list[bytes] = [b""] * len(words)
+        some = []
+        for i, w in enumerate(words):
+            if (whole := self.rank.get(w)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(w) > SHORT:
+                out[i] = np.array(self._fold_long(w), "<i4").tobytes()
+            elif w:
+                some.append(i)
+        if not some:
+            return out
+        token = self.pairs[0][np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
+        word = np.repeat(np.arange(len(some)), [len(words[i]) for i in some])
+        rank = np.full(len(token), NONE, np.int64)  # of a token with the next one of its word
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self._ranks(token[inner], token[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(starts, append=len(word))
+            least = np.minimum.reduceat(rank, starts)
+            going = least < NONE
+            if not going.all():
+                stay = np.repeat(going, sizes)
+                done.append((word[~stay], token[~stay]))
+                token, word, rank, sizes, least = token[stay], word[stay], rank[stay], sizes[going], least[going]
+            if not len(token):
+                break
+            at = np.flatnonzero(rank == np.repeat(least, sizes))
+            at = at[np.diff(word[at], prepend=-1) > 0]  # the leftmost of equals
+            token[at] = least
+            rank[at] = NONE
+            right = at[(at + 2 < len(word)) & (word[np.minimum(at + 2, len(word) - 1)] == word[at])]
+            rank[right] = self._ranks(token[right], token[right + 2])
+            left = at[(at > 0) & (word[at - 1] == word[at])]
+            rank[left - 1] = self._ranks(token[left - 1], token[left])
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            token, word, rank = token[keep], word[keep], rank[keep]
+        word, token = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        data, stops = token[order].astype("<i4").tobytes(), np.cumsum(np.bincount(word, minlength=len(some))) * 4
+        for i, a, b in zip(some, [0, *stops.tolist()], stops.tolist()):
+            out[i] = data[a:b]
+        return out
+
     def _fold_long(self, word: bytes) -> list[int]:
         n, get = len(word), self.rank.get
         parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
@@ -137,78 +208,111 @@ def _folded(word: Column, table: Column, buckets: int) -> Column:
     return F.when(F.length(word) == 0, no_rank).when(whole != NONE, F.array(whole)).otherwise(folded)
 
 
-def _chunks(text: str) -> list[str] | None:
-    """The text cut before each space, where no space is next to other white space; else None.
-
-    Such a space always starts a word of the pattern, so chunks can be split into words one by one.
-    """
-    parts = text.split(" ")
-    return None if any(not x or x[0].isspace() for x in parts) else parts
+def gathered(batches: Iterator[pa.RecordBatch], size: int = ENCODED) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes, or of one of the batches that come; none is empty."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, (None,)):
+        if held and (batch is None or sum(b.nbytes for b in held) + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held = []
+        if batch is not None and batch.num_rows:
+            held.append(batch)
 
 
 def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", proposed: int = PROPOSED, at_most: int = DICTIONARY) -> DataFrame:
     """(word, n): the words that are most frequent over all texts; each task proposes its own most frequent ones."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = regex.compile(pattern), Counter()
-
-        def counted() -> Counter:
-            pieces: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in words.findall(f" {chunk}"):
-                    pieces[w] += n
-            return pieces
-
-        found: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                seen.update((text or "").split(" "))
-            if len(seen) > CACHE:
-                found.update(counted())
-                seen.clear()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, found, held = regex.compile(pattern).findall, Counter(), []
+
+        def counted() -> None:
+            chunks = pa.concat_arrays(held).value_counts()
+            words = [find(f" {chunk}") for chunk in chunks.field("values").to_pylist()]
+            n = np.repeat(chunks.field("counts").to_numpy(), np.fromiter(map(len, words), np.int64, len(words)))
+            each = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+            found.update(dict(zip(each.dictionary.to_pylist(), np.bincount(each.indices.to_numpy(), n, len(each.dictionary)).astype(np.int64).tolist())))
+            held.clear()
+
+        for batch in batches:
+            held.append(pc.split_pattern(batch.column("text").drop_null(), " ").flatten())
+            if sum(x.nbytes for x in held) > COUNTED:
+                counted()
                 if len(found) > 2 * CACHE:
                     found = Counter(dict(found.most_common(CACHE)))
-        found.update(counted())
+        if held:
+            counted()
         best = found.most_common(proposed)
         if best:
-            yield pd.DataFrame({"word": [w for w, _ in best], "n": [n for _, n in best]})
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n bigint")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(at_most)
 
 
-class Words(dict):
-    """Ids (little endian, 32 bits) of words, kept up to CACHE of them; ``known`` are those of the dictionary."""
+def _bounds(lengths: pa.Array | np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
 
-    def __init__(self, ranks: Ranks, known: dict[str, bytes]):
-        super().__init__()
-        self.ranks, self.known = ranks, known
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = np.array(self.ranks.fold(word.encode()), "<i4").tobytes()
-            if len(self) < CACHE and len(word) <= SHORT:
-                self[word] = ids
-        return ids
+def _grouped(lists: pa.ListArray, sizes: np.ndarray) -> pa.ListArray:
+    """Runs of so many lists each, joined."""
+    stops = _bounds(pc.list_value_length(lists).to_numpy())
+    return pa.ListArray.from_arrays(pa.array(stops[_bounds(sizes)], pa.int32()), lists.flatten())
 
 
-class Chunks(dict):
-    """Ids of chunks that follow a space, kept up to CACHE of them."""
+class Encoder:
+    """The ids of many texts at once: each distinct chunk is cut once and each distinct word is folded once."""
 
     def __init__(self, ranks_path: str, pattern: str, known: dict[str, bytes]):
-        super().__init__()
-        self.find, self.ranks = regex.compile(pattern).findall, ranks_of(ranks_path)
-        self.words = Words(self.ranks, known)
-
-    def of_words(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.find(text)))
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.of_words(f" {chunk}")
-        if len(self) < CACHE and len(chunk) <= SHORT:
-            self[chunk] = ids
-        return ids
+        self.ranks, self.find, self.known = ranks_of(ranks_path), regex.compile(pattern).findall, known
+
+    def of_words(self, words: list[str]) -> pa.ListArray:
+        found = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self.ranks.fold_all([words[i].encode() for i in new])):
+            found[i] = ids
+        data = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
+        return pa.ListArray.from_arrays(pa.array(_bounds([len(x) // 4 for x in found]), pa.int32()), data)
+
+    def of_texts(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, none for null.
+
+        A text is cut before each space where no space is next to other white space: such a space always starts a word
+        of the pattern, so chunks can be cut into words apart from each other. A text with any other space stays whole.
+        """
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        chunks = parts.flatten().dictionary_encode()
+        at, distinct = chunks.indices.to_numpy(), chunks.dictionary
+        starts = _bounds(pc.list_value_length(parts).to_numpy())[:-1]
+        heads = pc.utf8_slice_codeunits(distinct, 0, 1).dictionary_encode()
+        gap = np.array([not c or c.isspace() for c in heads.dictionary.to_pylist()], bool)[heads.indices.to_numpy()]
+        whole = np.logical_or.reduceat(gap[at], starts)
+        later = ~np.repeat(whole, np.diff(starts, append=len(at)))
+        later[starts] = False
+        used = np.flatnonzero(np.bincount(at[later], minlength=len(distinct)))
+
+        # What follows a space is cut as one text, in which a space starts each chunk; what starts a text is cut by itself.
+        first = pc.if_else(pa.array(whole), texts, distinct.take(pa.array(at[starts])))
+        cut = [self.find(x) for x in first.to_pylist()]
+        rest = self.find(" " + " ".join(distinct.take(pa.array(used)).to_pylist())) if len(used) else []
+        sizes = np.concatenate((np.array(list(map(len, cut)), np.int64), np.diff(np.flatnonzero(pc.starts_with(pa.array(rest, pa.string()), " ")), append=len(rest))))
+        words = pa.array(chain(chain.from_iterable(cut), rest), pa.string()).dictionary_encode()
+        of_chunk = _grouped(self.of_words(words.dictionary.to_pylist()).take(words.indices), sizes)
+
+        place = np.zeros(len(distinct), np.int64)
+        place[used] = len(cut) + np.arange(len(used))
+        order = place[at]
+        order[starts] = np.arange(len(cut))
+        later[starts] = True
+        return _grouped(of_chunk.take(pa.array(order[later])), np.add.reduceat(later, starts, dtype=np.int64))
+
+
+def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The bytes that the ids stand for: the binary pieces, concatenated. No list is null."""
+    taken = pieces.take(ids.flatten())
+    stops = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    bounds = _bounds(pc.list_value_length(ids).to_numpy())
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(stops[bounds].astype(np.int32)), taken.buffers()[2] or pa.py_buffer(b"")])
 
 
 def folded_words(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", at_most: int = DICTIONARY) -> dict[str, bytes]:
@@ -247,19 +351,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     fields = ["kept", "__text"] if text_col in keep else ["kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Chunks(ranks_path, pattern, dictionary.value)  # a cache for each task stays small enough to be fast
-        of_words, piece = encode.of_words, encode.ranks.pieces.__getitem__
-        for batch in batches:
-            found = []
-            for text in batch.column("__text").to_pylist():
-                parts = _chunks(text) if text else []
-                found.append(of_words(text) if parts is None else b"".join((of_words(parts[0]), *map(encode.__getitem__, parts[1:]))) if parts else b"")
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])))
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        encoder = Encoder(ranks_path, pattern, dictionary.value)
+        pieces = pa.array(encoder.ranks.pieces, pa.large_binary())
+        for batch in gathered(batches):
+            ids = encoder.of_texts(batch.column("__text"))
             columns = [*(batch.column(c) for c in fields), ids]
             if bytes_col:
-                columns.append(pa.array([b"".join(map(piece, np.frombuffer(x, "<i4").tolist())) for x in found], pa.binary()))
+                columns.append(joined_pieces(ids, pieces))
             yield pa.RecordBatch.from_arrays(columns, names=[*fields, *new])
 
     new = ["__ids", "__bytes"] if bytes_col else ["__ids"]

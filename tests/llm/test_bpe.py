@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -66,3 +67,17 @@ def test_folded_words_leave_no_vocabulary_on_the_driver(spark, reference):
     assert {" the", " café", "'s", " end"} <= set(known)
     assert all(list(memoryview(ids).cast("i")) == reference.encode_ordinary(w) for w, ids in known.items())
     assert bpe.ranks_of.cache_info().currsize == 0
+
+
+def test_words_of_a_batch_are_folded_together(reference, monkeypatch):
+    """No distinct word is folded by a call of its own, which took most of the time; bounds between texts and chunks hold."""
+    monkeypatch.setattr(bpe.Ranks, "fold", None)
+    rng = random.Random(4)
+    letters = ["a", "eing", "th", " ", " ", "\n", "é", "中", "'s", "7", "!", "\x1c", "　", "x" * 70]
+    texts = [None, "", " ", "a", " b", "c ", "d  e", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(300))]
+    encoder = bpe.Encoder(PATH, P.PATTERN, {" a": bytes(reference.encode_ordinary(" a")[0].to_bytes(4, "little"))})
+    ids = encoder.of_texts(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [reference.encode_ordinary(t or "") for t in texts]
+    assert bpe.joined_pieces(ids, pa.array(encoder.ranks.pieces, pa.large_binary())).to_pylist() == [(t or "").encode() for t in texts]
+    words = [*some_words(300, 90), b"", b"a"]
+    assert [list(memoryview(x).cast("i")) for x in encoder.ranks.fold_all(words)] == [reference._core_bpe.encode_single_piece(w) if w else [] for w in words]
