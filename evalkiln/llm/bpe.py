@@ -1,6 +1,6 @@
 """Byte-level BPE: distinct words are folded by ranked merges, decoding concatenates the binary pieces.
 
-The fold is written with Spark's higher-order functions over the bytes of a word and a literal rank map
+The fold is written with Spark's higher-order functions over the bytes of a word and a rank map
 (``fold_words``). It runs over the distinct frequent words of the corpus, and its result, at most ``dictionary_words``
 rows, is broadcast. Encoding then is one pass over the texts without a shuffle, some thousand at a time: their distinct
 words in the dictionary take the folded ids, the others are folded together in the task by the same rule
@@ -26,7 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from evalkiln.llm.common import carried, restored, small_batches, tidy
+from evalkiln.llm.common import carried, release, restored, small_batches, written
 from evalkiln.llm.spans import let
 
 #: Words a task proposes for the dictionary and words the dictionary has.
@@ -35,7 +35,7 @@ DICTIONARY = 50_000
 #: Words that a task counts before it lets rare ones go.
 CACHE = 300_000
 #: Bytes of text that a task counts, and encodes, at once.
-COUNTED, ENCODED = 32 << 20, 8 << 20
+COUNTED, ENCODED = 16 << 20, 8 << 20
 #: No such merge.
 NONE = 2**31 - 1
 #: Longer words are merged with a heap.
@@ -164,18 +164,21 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def rank_map(ranks: Ranks, buckets: int = 1 << 15) -> Column:
-    """The ranks as one literal: an array of small maps from the hexadecimal piece, by the hash of the piece."""
+#: An array of small maps from the hexadecimal piece to its rank, by the hash of the piece.
+RANK_MAP = T.ArrayType(T.MapType(T.StringType(), T.IntegerType()))
+
+
+def rank_json(ranks: Ranks, buckets: int = 1 << 15) -> str:
     table: list[dict[str, int]] = [{} for _ in range(buckets)]
     for piece, r in ranks.rank.items():
         key = piece.hex().upper()
         table[xxhash.xxh64_intdigest(key.encode(), 42) % buckets][key] = r
-    return F.from_json(F.lit(json.dumps(table)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+    return json.dumps(table)
 
 
 def fold_words(word: Column, ranks: Ranks, buckets: int = 1 << 15) -> Column:
     """The token ids of a word (binary), by folding ranked merges over its bytes with higher-order functions."""
-    return let(rank_map(ranks, buckets), lambda table: _folded(word, table, buckets))
+    return let(F.from_json(F.lit(rank_json(ranks, buckets)), RANK_MAP), lambda table: _folded(word, table, buckets))
 
 
 def _folded(word: Column, table: Column, buckets: int) -> Column:
@@ -318,12 +321,17 @@ def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
 def folded_words(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", at_most: int = DICTIONARY) -> dict[str, bytes]:
     """The ids (little endian, 32 bits) of the frequent words, at most ``at_most``: one job, whose rows come as Arrow columns.
 
-    The driver keeps neither the vocabulary nor a row object for each word.
+    The driver keeps neither the vocabulary nor a row object for each word. The rank map is the one row of a broadcast
+    table: as a literal of the fold it would be written out in each text of the plan that Spark makes and keeps.
     """
     # The word length bound keeps the higher-order fold short; longer words are folded in the tasks.
     words = frequent_words(docs, pattern, text_col, at_most=at_most).where(F.octet_length("word") <= SHORT).select("word")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    folded = words.repartition(parts, "word").select("word", fold_words(F.col("word").cast("binary"), Ranks(ranks_path)).alias("ids")).toArrow()
+    spark, buckets = docs.sparkSession, 1 << 15
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = written(spark.createDataFrame([(rank_json(Ranks(ranks_path), buckets),)], "ranks string").select(F.from_json("ranks", RANK_MAP).alias("ranks")), "bpe-ranks")
+    words = words.repartition(parts, "word").crossJoin(F.broadcast(table))
+    folded = words.select("word", _folded(F.col("word").cast("binary"), F.col("ranks"), buckets).alias("ids")).toArrow()
+    release(table)
     known: dict[str, bytes] = {}
     for batch in folded.to_batches():
         lists = batch.column("ids")
@@ -345,7 +353,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     small_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, bytes_col)]
     dictionary = spark.sparkContext.broadcast(folded_words(docs, ranks_path, pattern, text_col, dictionary_words))
-    tidy(spark)  # the rank map in the plan of the fold is large, and done with
 
     df = carried(docs, text_col, keep)
     fields = ["kept", "__text"] if text_col in keep else ["kept"]

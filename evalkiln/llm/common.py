@@ -17,7 +17,7 @@ BATCH_ROWS = 1000
 #: Bytes in one Arrow batch, where Spark knows the setting.
 BATCH_BYTES = 16 << 20
 #: Characters of a plan that the driver keeps as text; literals such as a rank map are long.
-PLAN_TEXT = 1 << 16
+PLAN_TEXT = 1 << 13
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ bits (standard deviation 2.9), and a covering of such a radius has very many rep
 (``simhash.near_pairs``: fingerprints that differ in few bits, by the anchor-point covering) are the first candidates;
 the others come from prefixes. With the shingles of every set in one common order, two sets of coefficient >= t share
 one of the first n - ceil(t n) + 1 shingles of each. Candidates are bounded by sizes, places and the shingles that no
-other set has, and the coefficient of every candidate of either kind is computed on the whole sets, so the result is exact.
+other set has, then by parities of the whole sets (``parity``), and the coefficient of every candidate of either kind is computed on the whole sets, so the result is exact.
 
 Any order gives the same result; rare shingles come first, so that wording shared by very many texts makes no
 candidates. Rarity is read from counts in a table of fixed size.
@@ -19,7 +19,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalkiln.llm.common import bucketed, filled, join_groups, release, small_batches, written, tidy
 from evalkiln.llm.components import connected_components
@@ -63,13 +63,35 @@ def shingle_print(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(h)).view(">i8")[0]) if len(h) else 0
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of some bits, packed in longs: a power of two, 4 at least, with a bit a shingle.
+
+    A shingle in one of two sets changes one bit, one in both changes none, so the bits that differ are no more than the
+    shingles that stand in one set only. The halves of a longer parity, added bit by bit, are the shorter one.
+    """
+    bits = np.uint64(max(256, 1 << max(0, len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & (bits - np.uint64(1))).astype(np.int64), minlength=int(bits)) & 1, bitorder="little").view("<i8")
+
+
+def differing_bits(a: Column, b: Column) -> Column:
+    """Differing bits of two parities; 0, which says nothing, if one is over twice as long as the other."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(p: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(p) == 2 * half, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), xor)).otherwise(p)
+
+    a, b = folded(a, b), folded(b, a)
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, xor), F.lit(0), lambda n, x: n + F.bit_count(x))).otherwise(0)
+
+
 def jaccard_reaches(a: np.ndarray, b: np.ndarray, least: Fraction = SIMILARITY) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
 
 
 def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
-    """Links (src, dst) between set ids of ``sets`` (sid, fp, text; sid distinct) whose coefficient is at least ``least``.
+    """Links (src, dst) between set ids of ``sets`` (sid, fp, size, parity, text; sid distinct) whose coefficient is at least ``least``.
 
     All pairs are linked or connected by other links, so a group of near copies costs about one link a set and
     shingle, not the square of its size.
@@ -111,6 +133,17 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
             ok = [jaccard_reaches(shingle_set(x, shingle), shingle_set(y, shingle), least) for x, y in zip(pdf["one"], pdf["two"])]
             yield pdf.loc[ok, ["src", "dst"]]
 
+    def likely(candidates: DataFrame) -> DataFrame:
+        """Candidates that sizes and parities leave: a coefficient that is reached bounds the shingles in one set only.
+
+        Without this the texts of all sets that share one shingle by chance are moved; these grow faster than the sets.
+        """
+        own = sets.select("sid", F.struct(F.col("size").cast("bigint").alias("size"), "parity").alias("own"))
+        both = candidates.join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst")
+        total = F.col("a.size") + F.col("b.size")
+        both = both.where(F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num)
+        return both.where((total - differing_bits(F.col("a.parity"), F.col("b.parity"))) * (num + den) >= 2 * num * total).select("src", "dst")
+
     def verified(candidates: DataFrame) -> DataFrame:
         texts = sets.select("sid", "text")
         both = candidates.select("src", "dst").join(texts.toDF("src", "one"), "src").join(texts.toDF("dst", "two"), "dst")
@@ -148,7 +181,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     hubs = rows.join(hubs, "token").select("sid", "n", "at", "q", F.struct("y.sid", "y.n", "y.at", "y.q").alias("y")).where("sid <> y.sid")
     chain = chain.union(hubs).select(F.col("sid").alias("src"), "n", "at", "q", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"), F.col("y.q").alias("p"))
     chain = chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    first = written(chain.union(near).union(same).distinct(), "similar-first")
+    first = written(likely(chain.union(near).union(same).distinct()), "similar-first")
     tidy(spark)
     links = verified(first)
     release(first, heads)
@@ -162,7 +195,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     a, b = rows.toDF("token", "src", "n", "at", "q", "part"), rows.toDF("token", "dst", "m", "by", "p", "other")
     meet = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
     last = meet.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.max(F.struct("at", "by", "n", "m")).alias("x")).select("src", "dst", "shared", "x.*")
-    second = written(last.where(enough(F.col("shared") + rest)).select("src", "dst"), "similar-second")
+    second = written(likely(last.where(enough(F.col("shared") + rest)).select("src", "dst")), "similar-second")
     release(met, apart)
     out = links.union(verified(second))
     release(second)
@@ -170,25 +203,29 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(row, id, uid, sid, fp): every row whole, its number, and set id and SimHash of its text."""
+    """(row, id, uid, sid, fp, size, parity): every row whole, its number, and set id, SimHash, size and parity of its text."""
     small_batches(docs.sparkSession)
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             found = [shingle_set(x, shingle) for x in pdf["text"]]
-            yield pdf.drop(columns="text").assign(sid=np.array([set_id(s) for s in found], np.int64), fp=np.array([shingle_print(s) for s in found], np.int64))
+            yield pdf.drop(columns="text").assign(
+                sid=np.array([set_id(s) for s in found], np.int64), fp=np.array([shingle_print(s) for s in found], np.int64),
+                size=np.array([len(s) for s in found], np.int32), parity=[parity(s) for s in found],
+            )
 
-    return own.mapInPandas(mark, own.drop("text").withColumns({"sid": F.lit(0).cast("bigint"), "fp": F.lit(0).cast("bigint")}).schema)
+    kinds = {"sid": "bigint", "fp": "bigint", "size": "int", "parity": "array<bigint>"}
+    return own.mapInPandas(mark, own.drop("text").withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items()}).schema)
 
 
 def _labelled(marked: DataFrame, text_col: str, shingle: int, least: Fraction) -> tuple[DataFrame, DataFrame]:
     """(sets, label): for each sid its first row; for each sid n (rows), first (of the set) and lowest (of its component)."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
     parts = max(8, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sets = bucketed(marked.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-sets", "sid", parts)
+    sets = bucketed(marked.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), *(F.first(c).alias(c) for c in ("fp", "size", "parity")), F.count("*").alias("n")), "similar-sets", "sid", parts)
     tidy(marked.sparkSession)
-    links = similar_links(sets.where("sid <> 0").select("sid", "fp", F.col("row")[text_col].alias("text")), shingle, least)
+    links = similar_links(sets.where("sid <> 0").select("sid", "fp", "size", "parity", F.col("row")[text_col].alias("text")), shingle, least)
     label = sets.select("sid", "first", "n").join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", "first", "n", F.coalesce("component", "sid").alias("component"))
     lowest = label.groupBy("component").agg(F.min("first").alias("lowest"))
     return sets, written(label.join(lowest, "component").select("sid", "n", "first", "lowest"), "similar-labels")

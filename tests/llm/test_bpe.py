@@ -81,3 +81,19 @@ def test_words_of_a_batch_are_folded_together(reference, monkeypatch):
     assert bpe.joined_pieces(ids, pa.array(encoder.ranks.pieces, pa.large_binary())).to_pylist() == [(t or "").encode() for t in texts]
     words = [*some_words(300, 90), b"", b"a"]
     assert [list(memoryview(x).cast("i")) for x in encoder.ranks.fold_all(words)] == [reference._core_bpe.encode_single_piece(w) if w else [] for w in words]
+
+
+def test_plans_of_the_fold_do_not_spell_out_the_rank_map(spark, monkeypatch):
+    """The driver keeps a text of each plan; with the rank map as a literal such a text had over a million characters."""
+    docs, plans = spark.createDataFrame([(1, "the end")], "doc_id bigint, text string"), []
+    kind = type(docs)
+    collect = kind.toArrow
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(kind, "toArrow", watched)
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    assert bpe.folded_words(docs, PATH, P.PATTERN)
+    assert plans and all(len(x) < 100_000 for x in plans)

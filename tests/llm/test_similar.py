@@ -2,7 +2,9 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline as C
+import numpy as np
 from evalkiln.llm import similar
+from pyspark.sql import functions as F
 
 
 def shingles(text):
@@ -95,3 +97,38 @@ def test_released_tables_leave_the_catalog(spark):
     assert before and all(t.count() == 10 for t in tables)
     release(*tables)
     assert len([t.name for t in spark.catalog.listTables() if t.name.startswith("evalkiln_")]) == len(before) - 1
+
+
+def test_parities_bound_the_difference_of_two_sets(spark):
+    """The differing bits never exceed the shingles of one set only, also over two lengths, and tell unrelated sets apart."""
+    rng = random.Random(6)
+    new = lambda n: {rng.getrandbits(64) for _ in range(n)}
+    rows = []
+    for n, m, both in [(0, 0, 0), (0, 3, 0), (1, 1, 1), (250, 262, 240), (500, 530, 490), (1000, 1030, 0), (3000, 3000, 2900), (200, 1200, 150), (400, 400, 0)]:
+        common = new(both)
+        a, b = common | new(n - both), common | new(m - both)
+        rows.append((len(a ^ b), *(similar.parity(np.array(sorted(x), np.uint64)).tolist() for x in (a, b))))
+    table = spark.createDataFrame(rows, "apart int, a array<bigint>, b array<bigint>")
+    got = [(r.apart, r.n) for r in table.select("apart", similar.differing_bits(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert all(n <= apart and (apart - n) % 2 == 0 for apart, n in got) and {len(a) for _, a, _ in rows} == {4, 8, 16, 64}
+    assert got[5][1] * 9 > 2030 and got[8][1] * 9 > 800 and got[7][1] == 0
+
+
+def test_texts_of_unlikely_candidates_stay_where_they_are(spark, monkeypatch):
+    """Of 120 texts that share one passage of 40 words in 240, none is a candidate whose text is read."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"own{i}x{rng.getrandbits(40)}" for _ in range(200)])) for i in range(120)] + [(500, " ".join(f"w{i}" for i in range(90))), (501, " ".join(f"w{i}" for i in range(91)))]
+    seen = []
+    write = similar.written
+
+    def watched(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        if name in ("similar-first", "similar-second"):
+            seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(similar, "written", watched)
+    monkeypatch.setattr(similar, "BUCKETS", 2)  # tells rare shingles from frequent ones as little as a very large corpus does
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: min(i, 500) for i, _ in rows} and len(seen) == 1
