@@ -35,7 +35,7 @@ DICTIONARY = 50_000
 #: Words that a task counts before it lets rare ones go.
 CACHE = 300_000
 #: Bytes of text that a task counts, and encodes, at once.
-COUNTED, ENCODED = 16 << 20, 8 << 20
+COUNTED, ENCODED = 4 << 20, 2 << 20
 #: No such merge.
 NONE = 2**31 - 1
 #: Longer words are merged with a heap.
@@ -329,8 +329,10 @@ def folded_words(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     spark, buckets = docs.sparkSession, 1 << 15
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = written(spark.createDataFrame([(rank_json(Ranks(ranks_path), buckets),)], "ranks string").select(F.from_json("ranks", RANK_MAP).alias("ranks")), "bpe-ranks")
-    words = words.repartition(parts, "word").crossJoin(F.broadcast(table))
-    folded = words.select("word", _folded(F.col("word").cast("binary"), F.col("ranks"), buckets).alias("ids")).toArrow()
+    # Some hundred words meet the rank map at once: a joined row holds a copy of it.
+    groups = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(parts, at_most // 250))).alias("g")).agg(F.collect_list("word").alias("words"))
+    fold = lambda w: F.struct(w.alias("word"), _folded(w.cast("binary"), F.col("ranks"), buckets).alias("ids"))
+    folded = groups.crossJoin(F.broadcast(table)).select(F.inline(F.transform("words", fold))).toArrow()
     release(table)
     known: dict[str, bytes] = {}
     for batch in folded.to_batches():
