@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -53,3 +54,41 @@ def test_edges(spark, edge_docs, no_docs):
     done = infill.fill_in_middle(clash, keep=["doc_id", "text"]).collect()
     assert sorted([(r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in done], key=str) == sorted([(r.doc_id, *brute(r.doc_id, r.text)) for r in edge_docs.collect()], key=str)
     assert infill.fill_in_middle(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("part, short, known", [(infill.PART, infill.SHORT, infill.KNOWN), (20, 64, 50), (7, 3, 5), (1, 2, 1), (3, 0, 0)])
+def test_words_and_parts_of_any_size(monkeypatch, part, short, known):
+    """Spaces at both ends, beside each other and beside parts; words that are kept, forgotten and too long to keep."""
+    for name, value in (("PART", part), ("SHORT", short), ("KNOWN", known)):
+        monkeypatch.setattr(infill, name, value)
+    chosen, units = random.Random(part), infill.Units()
+    for i in range(2000):
+        text = "".join(chosen.choice(chosen.choice(["ab", "  ", "aé𝔘\n", "abcdefgZ", "<SPM>", "12", "\0\r\t "])) for _ in range(chosen.randrange(60)))
+        assert infill.transformed(text, hashlib.sha256(f"1:{i}".encode()).hexdigest(), units) == brute(i, text)
+
+
+def test_a_word_is_split_once():
+    """The pre-tokenizer's work is that of the distinct words, and of at most two words more for the places in each text."""
+
+    class Counting:
+        def __init__(self, split):
+            self.split, self.seen = split, []
+
+        def pre_tokenize_str(self, word):
+            self.seen.append(word)
+            return self.split.pre_tokenize_str(word)
+
+    words, units = [f"word{i}, éa" for i in range(50)], infill.Units()
+    units.split = Counting(units.split)
+    texts = [" ".join(words[(i + j * (i % 7 + 1)) % 50] for j in range(500)) for i in range(100)]
+    for i, text in enumerate(texts):
+        assert infill.transformed(text, hashlib.sha256(f"1:{i}".encode()).hexdigest(), units) == brute(i, text)
+    assert len(units.split.seen) <= 51 + 2 * len(texts)
+
+
+def test_output_is_read_few_times(spark, edge_docs):
+    """Restoring names the output seven times (69 before), and the workers give back no text that isn't asked for."""
+    assert str(infill.original(F.col("output"), F.col("form"))).count("output") <= 7
+    plan = infill.fill_in_middle(edge_docs)._jdf.queryExecution().executedPlan().toString()
+    given = re.search(r"MapInArrow .*\[(.*)\]", plan)[1]
+    assert "output" in given and "__text" not in given
