@@ -178,7 +178,8 @@ def near_pairs(fps: DataFrame, threshold: int = 2, code: tuple | None = None) ->
     residents = fps.select("fp").mapInPandas(live, "anchor bigint, fp bigint")
     others = fps.select("fp").mapInPandas(replicate, "anchor bigint, other bigint")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    return residents.join(others, "anchor").where((F.col("fp") != F.col("other")) & (apart <= threshold)).select(F.least("fp", "other").alias("src"), F.greatest("fp", "other").alias("dst")).distinct()
+    # sorted, not broadcast: Spark takes the replicas to be as small as the fingerprints that they are made from
+    return residents.join(others.hint("merge"), "anchor").where((F.col("fp") != F.col("other")) & (apart <= threshold)).select(F.least("fp", "other").alias("src"), F.greatest("fp", "other").alias("dst")).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, code: tuple | None = None) -> DataFrame:

@@ -9,6 +9,9 @@ other set has, then by parities of the whole sets (``parity``), and the coeffici
 
 Any order gives the same result; rare shingles come first, so that wording shared by very many texts makes no
 candidates. Rarity is read from counts in a table of fixed size.
+
+Every table here grows with the documents, so all joins are by sorting. Spark would size many sides by the packed bytes
+of their files, or as what they are made from, and send them through the driver.
 """
 
 from __future__ import annotations
@@ -139,14 +142,14 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
         Without this the texts of all sets that share one shingle by chance are moved; these grow faster than the sets.
         """
         own = sets.select("sid", F.struct(F.col("size").cast("bigint").alias("size"), "parity").alias("own"))
-        both = candidates.join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst")
+        both = candidates.join(own.toDF("src", "a").hint("merge"), "src").join(own.toDF("dst", "b").hint("merge"), "dst")
         total = F.col("a.size") + F.col("b.size")
         both = both.where(F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num)
         return both.where((total - differing_bits(F.col("a.parity"), F.col("b.parity"))) * (num + den) >= 2 * num * total).select("src", "dst")
 
     def verified(candidates: DataFrame) -> DataFrame:
         texts = sets.select("sid", "text")
-        both = candidates.select("src", "dst").join(texts.toDF("src", "one"), "src").join(texts.toDF("dst", "two"), "dst")
+        both = candidates.select("src", "dst").join(texts.toDF("src", "one").hint("merge"), "src").join(texts.toDF("dst", "two").hint("merge"), "dst")
         return written(both.select("src", "dst", "one", "two").mapInPandas(check, "src bigint, dst bigint"), "similar-links")
 
     # An overlap o reaches the threshold only if o (num + den) >= num (n + m). Of the shingles up to a shared one, two
@@ -166,8 +169,8 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     # SimHash: sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet.
     heads = written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "similar-prints")
     near = near_pairs(heads.select("fp").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp"), code=code_for(heads.count()))
-    near = near.join(heads.toDF("src", "one"), "src").join(heads.toDF("dst", "two"), "dst").select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"))
-    same = sets.select("sid", "fp").join(heads, "fp").where("sid <> head").select(F.least("sid", "head").alias("src"), F.greatest("sid", "head").alias("dst"))
+    near = near.join(heads.toDF("src", "one").hint("merge"), "src").join(heads.toDF("dst", "two").hint("merge"), "dst").select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"))
+    same = sets.select("sid", "fp").join(heads.hint("merge"), "fp").where("sid <> head").select(F.least("sid", "head").alias("src"), F.greatest("sid", "head").alias("dst"))
 
     # Neighbours: each set meets a few of those with the same shingle, those next to it by size and by id.
     own = F.struct("sid", "n", "at", "q")
@@ -178,7 +181,7 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
     # differ from each other twice as much as from what they have in common, so most are linked over it.
     alone = F.struct((F.col("at") - F.col("q")).alias("alone"), "sid", "n", "at", "q")
     hubs = rows.groupBy("token").agg(F.min(alone).alias("y"))
-    hubs = rows.join(hubs, "token").select("sid", "n", "at", "q", F.struct("y.sid", "y.n", "y.at", "y.q").alias("y")).where("sid <> y.sid")
+    hubs = rows.join(hubs.hint("merge"), "token").select("sid", "n", "at", "q", F.struct("y.sid", "y.n", "y.at", "y.q").alias("y")).where("sid <> y.sid")
     chain = chain.union(hubs).select(F.col("sid").alias("src"), "n", "at", "q", F.col("y.sid").alias("dst"), F.col("y.n").alias("m"), F.col("y.at").alias("by"), F.col("y.q").alias("p"))
     chain = chain.where(F.col("dst").isNotNull() & possible).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     first = written(likely(chain.union(near).union(same).distinct()), "similar-first")
@@ -188,12 +191,12 @@ def similar_links(sets: DataFrame, shingle: int = SHINGLE, least: Fraction = SIM
 
     # Then every pair that these links leave apart; shingles that stay within one part need no pairs at all.
     part = connected_components(links)
-    rows = rows.join(part, rows.sid == part.node, "left").select("token", "sid", "n", "at", "q", F.coalesce("component", "sid").alias("part"))
+    rows = rows.join(part.hint("merge"), rows.sid == part.node, "left").select("token", "sid", "n", "at", "q", F.coalesce("component", "sid").alias("part"))
     across = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    rows = apart = written(rows.join(across, "token"), "similar-across", compression="zstd")
+    rows = apart = written(rows.join(across.hint("merge"), "token"), "similar-across", compression="zstd")
     tidy(spark)
     a, b = rows.toDF("token", "src", "n", "at", "q", "part"), rows.toDF("token", "dst", "m", "by", "p", "other")
-    meet = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
+    meet = a.join(b.hint("merge"), "token").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("other")) & possible)
     last = meet.groupBy("src", "dst").agg(F.count("*").alias("shared"), F.max(F.struct("at", "by", "n", "m")).alias("x")).select("src", "dst", "shared", "x.*")
     second = written(likely(last.where(enough(F.col("shared") + rest)).select("src", "dst")), "similar-second")
     release(met, apart)
@@ -226,9 +229,9 @@ def _labelled(marked: DataFrame, text_col: str, shingle: int, least: Fraction) -
     sets = bucketed(marked.groupBy("sid").agg(F.min_by("row", order).alias("row"), F.min(order).alias("first"), *(F.first(c).alias(c) for c in ("fp", "size", "parity")), F.count("*").alias("n")), "similar-sets", "sid", parts)
     tidy(marked.sparkSession)
     links = similar_links(sets.where("sid <> 0").select("sid", "fp", "size", "parity", F.col("row")[text_col].alias("text")), shingle, least)
-    label = sets.select("sid", "first", "n").join(connected_components(links), F.col("sid") == F.col("node"), "left").select("sid", "first", "n", F.coalesce("component", "sid").alias("component"))
+    label = sets.select("sid", "first", "n").join(connected_components(links).hint("merge"), F.col("sid") == F.col("node"), "left").select("sid", "first", "n", F.coalesce("component", "sid").alias("component"))
     lowest = label.groupBy("component").agg(F.min("first").alias("lowest"))
-    return sets, written(label.join(lowest, "component").select("sid", "n", "first", "lowest"), "similar-labels")
+    return sets, written(label.join(lowest.hint("merge"), "component").select("sid", "n", "first", "lowest"), "similar-labels")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Fraction = SIMILARITY) -> DataFrame:
@@ -250,4 +253,4 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and texts without a word are groups like any other; an empty table gives an empty result.
     """
     sets, label = _labelled(_marked(docs, id_col, text_col, shingle), text_col, shingle, least)
-    return sets.join(label.where(F.col("first") == F.col("lowest")).select("sid"), "sid", "left_semi").select("row.*")
+    return sets.join(label.where(F.col("first") == F.col("lowest")).select("sid").hint("merge"), "sid", "left_semi").select("row.*")

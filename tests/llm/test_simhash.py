@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evalkiln.llm import simhash
 from evalkiln.llm.components import connected_components
@@ -96,3 +97,11 @@ def test_groups_equal_brute_force(spark):
 def test_edges(spark, edge_docs, no_docs):
     assert simhash.simhash_groups(edge_docs).count() == edge_docs.count()
     assert simhash.simhash_groups(no_docs).count() == 0
+
+
+def test_replicas_are_not_broadcast(spark):
+    """Spark takes the replicas to be as small as the fingerprints; there are 60 for each."""
+    pairs = simhash.near_pairs(spark.range(1000).select(F.xxhash64("id").alias("fp")), code=simhash.CODE)
+    assert pairs.count() == 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

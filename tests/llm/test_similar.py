@@ -132,3 +132,16 @@ def test_texts_of_unlikely_candidates_stay_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(similar, "BUCKETS", 2)  # tells rare shingles from frequent ones as little as a very large corpus does
     got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: min(i, 500) for i, _ in rows} and len(seen) == 1
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """However small Spark takes a side to be, all joins are by sorting: none of these tables has a bound."""
+    plans = []
+    write = similar.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(similar, "written", lambda df, *a, **b: (plan(df), write(df, *a, **b))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}x{j}" for j in range(40 + i % 3))) for i in range(30)], "doc_id bigint, text string")
+    kept = similar.first_of_groups(docs)
+    plan(kept)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 30, 3))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 15 and not [p for p in plans if "Broadcast" in p]
