@@ -150,15 +150,17 @@ def restored(df: DataFrame, text_col: str, keep: list[str], *more: str) -> DataF
 HOT = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, sort: bool = False) -> DataFrame:
     """``rows`` left-joined with ``groups``, which has one row for each key and in ``count`` how many rows have it.
 
     Keys that hold over a thousandth of all rows are at most HOT, so their groups may be broadcast; no other key can
-    fill a task. Keys are not null. The column ``count`` is not part of the result.
+    fill a task. Keys are not null. The column ``count`` is not part of the result. ``sort``: the other groups are joined by
+    sorting, also where Spark takes them to be small.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) * HOT > F.lit(total)
     hot = groups.where(is_hot).drop(count)
+    rest = groups.where(~is_hot).drop(count)
     with_hot = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~is_hot).drop(count), key, "left")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge") if sort else rest, key, "left")
     return with_hot.unionByName(others)

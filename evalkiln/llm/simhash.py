@@ -186,7 +186,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, fingerprint, component_id) for every row of ``docs``.
 
     Copies share a fingerprint and are reduced to it before any pair is looked at, so a group of equal texts
-    costs one row, and a fingerprint of very many rows is joined apart from the others. The code is chosen by the
+    costs one row, and a fingerprint of very many rows is joined apart from the others. What grows with the documents is joined by sorting. The code is chosen by the
     number of fingerprints unless it is given. component_id is the smallest id reachable over links. Rows whose id is null keep their
     fingerprint and get the component of their fingerprint; other columns of ``docs`` are not read; an empty
     table gives an empty result.
@@ -196,10 +196,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     code = code or code_for(distinct.count(), threshold)  # of the written table: its row counts are in the files
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     label = connected_components(near_pairs(distinct.repartition(parts, "fp"), threshold, code))
-    label = distinct.join(label, distinct.fp == label.node, "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
+    label = distinct.join(label.hint("merge"), distinct.fp == label.node, "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
     least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_print = written(label.join(least, "component").select("fp", "n", "component_id"), "simhash-groups")
-    return join_groups(prints, by_print, "fp", "n").select(
+    by_print = written(label.join(least.hint("merge"), "component").select("fp", "n", "component_id"), "simhash-groups")
+    return join_groups(prints, by_print, "fp", "n", sort=True).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -105,3 +105,17 @@ def test_replicas_are_not_broadcast(spark):
     assert pairs.count() == 0
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_only_groups_of_very_many_rows_are_broadcast(spark, monkeypatch):
+    """Prints, labels and groups grow with the documents; only groups of a thousandth of all rows have a bound."""
+    plans = []
+    write = simhash.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(simhash, "written", lambda df, *a, **b: (plan(df), write(df, *a, **b))[1])
+    docs = spark.createDataFrame([(i, f"text {i // 2} of {i // 2 * 7}") for i in range(20)], "doc_id bigint, text string")
+    got = simhash.simhash_groups(docs)
+    assert not [p for p in plans if "Broadcast" in p] and "SortMergeJoin" in plans[-1]
+    plan(got)
+    assert plans[-1].count("SortMergeJoin") == 1 and plans[-1].count("BroadcastHashJoin") == 2
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i in range(20)}
