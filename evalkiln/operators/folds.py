@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evalkiln.checks import OofValidation, strict
 from evalkiln.functions.hashing import seed_key
@@ -152,21 +152,55 @@ def repeated_kfold(samples: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFr
     return out.select("repeat", "sample_id", "fold")
 
 
+#: Hex digits of a seeded hash by which the samples of a split are counted: 4,096 parts of much the same size.
+CUT_DIGITS = 3
+
+
+def _cuts(keyed: DataFrame, tested: int, id_col: str) -> DataFrame:
+    """(__f, __at, __last, __equal, __left): for each split of ``keyed`` (__f, __key, id) its row number ``tested`` by key and id.
+
+    __equal rows are equal to it, __left of them are not behind it. Rows are counted by the first digits of the key, and
+    only those of the part that holds the wanted row are ordered. One row for each split.
+    """
+    part = F.substring("__key", 1, CUT_DIGITS).alias("__part")
+    held = keyed.groupBy("__f", part).agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(Window.partitionBy("__f").orderBy("__part")))
+    held = held.where((F.col("__upto") >= tested) & (F.col("__upto") - F.col("__n") < tested)).select("__f", "__part", (F.col("__upto") - F.col("__n")).alias("__before"))
+    near = keyed.select("*", part).join(F.broadcast(held), ["__f", "__part"])  # a row for each split
+    near = near.groupBy("__f", "__before", "__key", id_col).agg(F.count("*").alias("__equal")).withColumn("__upto", F.col("__before") + F.sum("__equal").over(Window.partitionBy("__f").orderBy("__key", id_col)))
+    left = tested - F.col("__upto") + F.col("__equal")
+    cut = near.where((left > 0) & (F.col("__upto") >= tested)).select("__f", F.col("__key").alias("__at"), F.col(id_col).alias("__last"), "__equal", left.alias("__left"))
+    return keyed.sparkSession.createDataFrame(cut.collect(), cut.schema)
+
+
 def shuffle_split(samples: DataFrame, n_splits: int, test_share: float, seed: int, id_col: str = "sample_id") -> DataFrame:
     """(fold_id, sample_id, role): in each split the first floor(test_share n) samples by a seeded hash are validated, the others train.
 
     Splits are independent, so a sample may be validated in several or in none; the share must leave both sides rows.
-    Positions are found by ranges of (split, hash), so no split is sorted in one task.
+    Only the last validated sample of each split is looked for; then every row tells its own side, so no split is sorted
+    or moved. Samples without an id come last. Samples are read four times.
     """
     n = samples.count()
     tested = int(test_share * n)
     if not 0 < tested < n:
         raise ValueError(f"a share of {test_share} leaves {tested} of {n} samples for validation")
     rows = samples.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("__f"))
-    label = F.concat(F.lit("fold"), F.col("__f").cast("string"))
-    keyed = rows.withColumn("__key", F.sha2(F.concat_ws(":", F.lit(str(seed)), "__f", id_col), 256))
-    placed = global_position(keyed, "__key", id_col, keys=["__f"])
-    return placed.select(label.alias("fold_id"), id_col, F.when(F.col("position") < tested, "validation").otherwise("train").alias("role"))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("__f").cast("string"), F.lit(":"), F.col(id_col).cast("string")), 256)
+    keyed = rows.withColumn("__key", F.coalesce(digest, F.lit("null")))  # behind all hex digits
+    cuts = _cuts(keyed, tested, id_col)
+    label = F.concat(F.lit("fold"), F.col("__f").cast("string")).alias("fold_id")
+    role = lambda first: F.when(first, "validation").otherwise("train").alias("role")
+    last = (F.col("__key") == F.col("__at")) & F.col(id_col).eqNullSafe(F.col("__last"))
+    met = keyed.join(F.broadcast(cuts), "__f")
+    before = (F.col("__key") < F.col("__at")) | ((F.col("__key") == F.col("__at")) & (F.col(id_col) < F.col("__last")))
+    shared = cuts.where("__left < __equal").collect()
+    if not shared:
+        return met.select(label, id_col, role(before | last))
+    # Equal rows on both sides of a cut: as many of each as there have to be.
+    out = met.where(~(last & (F.col("__left") < F.col("__equal")))).select(label, id_col, role(before))
+    for r in shared:
+        equal = samples.sparkSession.range(r["__equal"]).crossJoin(F.broadcast(cuts.where(F.col("__f") == r["__f"])))  # one row
+        out = out.unionByName(equal.select(label, F.col("__last").alias(id_col), role(F.col("id") < F.col("__left"))))
+    return out
 
 
 def bootstrap(samples: DataFrame, n_splits: int, seed: int, id_col: str = "sample_id") -> DataFrame:

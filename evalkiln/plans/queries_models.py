@@ -148,7 +148,7 @@ SHUFFLED = "shuffled as (select f.range as f, sample_id, row_number() over (part
 
 @query("split_shuffle", sql("select 'fold' || f as fold_id, sample_id, case when i <= floor(0.3 * n) then 'validation' else 'train' end as role from shuffled", SAMPLES, SHUFFLED))
 def split_shuffle(spark, d):
-    return folds.shuffle_split(samples(spark, d), 3, 0.3, 5)
+    return folds.shuffle_split(reread(samples(spark, d).select("sample_id"), []), 3, 0.3, 5)
 
 
 DRAWN = """placed as (select sample_id, row_number() over (order by sample_id) - 1 as pos, count(*) over () as n from samples),

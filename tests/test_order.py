@@ -147,3 +147,27 @@ def test_ranges_keep_the_columns_of_the_caller(spark, ranges):
     df = spark.createDataFrame([(i, -i, str(i), i) for i in range(30)], "i int, __key int, __cuts string, __range_no int")
     got = order.position(df, "__key").collect()
     assert sorted((r["i"], r["__key"], r["__cuts"], r["position"]) for r in got) == [(i, -i, str(i), 29 - i) for i in range(30)]
+
+
+def test_shuffle_split_moves_no_rows(spark):
+    """Only the cut of each split is looked for: the rows that come out were neither sorted nor dealt out."""
+    ids = spark.range(120_000).select(F.format_string("S%09d", "id").alias("sample_id"))
+    split = folds.shuffle_split(ids, 2, 0.3, 5)
+    got = {(r.fold_id, r.role): r["count"] for r in split.groupBy("fold_id", "role").count().collect()}
+    assert got == {(f"fold{f}", role): n for f in range(2) for role, n in (("validation", 36_000), ("train", 84_000))}
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Exchange hash", "Exchange range", "Sort", "Window") if x in plan]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 3])
+def test_shuffle_split_with_repeated_and_missing_ids(spark, monkeypatch, digits):
+    """Equal samples on both sides of a cut; samples without an id come last, as in SQL."""
+    monkeypatch.setattr(folds, "CUT_DIGITS", digits)
+    for ids in (["a"] * 10, ["a"] * 7 + ["b"] * 9 + ["c", None, "d"], [None] * 6 + ["x", "y"], [None] * 5, [f"S{i}" for i in range(41)]):
+        table = spark.createDataFrame([(i,) for i in ids], "sample_id string").repartition(3)
+        for share in (0.3, 0.5, 0.75):
+            want = Counter()
+            for f in range(3):
+                ordered = sorted(ids, key=lambda i: (i is None, hashlib.sha256(f"5:{f}:{i}".encode()).hexdigest()))
+                want.update((f"fold{f}", s, "validation" if at < int(share * len(ids)) else "train") for at, s in enumerate(ordered))
+            assert Counter(map(tuple, folds.shuffle_split(table, 3, share, 5).collect())) == want, (ids, share)
